@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per application."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    if int((spark.conf.get(key, None) or "67108864").rstrip("b")) > most:  # whole texts can be long: bound what a Python worker holds
+        spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
