@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import mpeg_audio, packing, sharding, warc
+from panelith.llm import language, mpeg_audio, packing, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
+        "op2_markov_secrets": secrets.op2_markov_secrets,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
+        "op5_language_svm": language.op5_language_svm,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_warc_zstd": warc.op8_warc_zstd,
     }
