@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import language, mpeg_audio, packing, secrets, sharding, warc
+from panelith.llm import decontaminate, language, mpeg_audio, packing, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_svm": language.op5_language_svm,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_warc_zstd": warc.op8_warc_zstd,
+        "op9_spaced_seeds": decontaminate.op9_spaced_seeds,
     }
 
 
