@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import decontaminate, language, mpeg_audio, packing, secrets, sharding, warc
+from panelith.llm import decontaminate, language, mpeg_audio, neardup, packing, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_markov_secrets": secrets.op2_markov_secrets,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
         "op5_language_svm": language.op5_language_svm,
+        "op6_bag_minhash": neardup.op6_bag_minhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_warc_zstd": warc.op8_warc_zstd,
         "op9_spaced_seeds": decontaminate.op9_spaced_seeds,
