@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import decontaminate, language, mpeg_audio, neardup, packing, secrets, sharding, warc
+from panelith.llm import decontaminate, language, mpeg_audio, neardup, packing, secrets, sharding, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_warc_zstd": warc.op8_warc_zstd,
         "op9_spaced_seeds": decontaminate.op9_spaced_seeds,
+        "op10_debruijn_spans": substring.op10_debruijn_spans,
     }
 
 
