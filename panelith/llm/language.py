@@ -135,14 +135,16 @@ def train(labelled: DataFrame, per_language: int = 300) -> Model:
     return Model(languages, families, weights, pairs)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score, from the whole text alone. Null, empty and letterless texts get UNDETERMINED and 0; clashing columns are replaced."""
+def predict(df: DataFrame, model: Model, text: str = "text", into: str | None = None) -> DataFrame:
+    """df with lang_pred and score (or with a struct of them named `into`), from the whole text alone. Null, empty and letterless texts get UNDETERMINED and 0; clashing columns are replaced."""
     ship(df.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
+    if into:
+        return df.withColumn(into, run(F.col(text).cast("string")))
     return df.drop("lang_pred", "score").withColumn("_p", run(F.col(text).cast("string"))).select("*", "_p.*").drop("_p")
 
 

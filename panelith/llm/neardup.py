@@ -164,13 +164,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "n1", "h2", "n2").mapInArrow(check, "a binary, b binary"), "links")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row of docs (doc_id, text).
+def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(id, class_id, class_text, n_links) of each distinct text of docs (doc_id, text): its class by the smallest doc_id in it (null only if all are) and the text that has that.
 
     Words are split at ASCII white space and compared in lower case. Texts are linked if the weighted Jaccard similarity
-    of their multisets of five-word shingles is at least `similar`; classes are the components of these links. class_id is the
-    smallest doc_id of a class, n_links the number of verified links of the row's text that the classes rest on. Equal texts are
-    one text: they share a class, and copies are never paired. A null text is in a class of its own; so is a text without words, with its copies.
+    of their multisets of five-word shingles is at least `similar`; classes are the components of these links. n_links is
+    the number of a text's verified links that the classes rest on. Equal texts are one text: copies are never
+    paired. A text without words is a class of its own; null texts have none.
 
     Signatures are made where the rows are; distinct texts meet by band. Each bucket's first member is compared with the others,
     which settles most buckets in one go. Those that still hold several components have the members outside the largest one compared
@@ -202,9 +202,28 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     of = texts.select("id", "doc_id").join(roots, "id", "left").join(degree, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of = materialise(of, "of")
-    heads = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = of.join(heads, "root").select("id", "class_id", "n_links")
-    return docs.select("doc_id", text_id(F.col("text")).alias("id")).join(classes, "id", "left").select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "id"))
+    heads = of.groupBy("root").agg(head.alias("head")).select("root", F.col("head.doc_id").alias("class_id"), F.col("head.id").alias("class_text"))
+    return of.join(heads, "root").select("id", "class_id", "class_text", "n_links")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row of docs (doc_id, text): the class of its text and the number of the text's verified links; see text_classes.
+
+    A null text is in a class of its own: class_id is the row's doc_id.
+    """
+    classes = text_classes(docs, similar).select("id", "class_id", "n_links")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text").cast("string")).alias("id"))
+    return rows.join(classes, "id", "left").select("doc_id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rows of docs that stay: of each class the one with the smallest doc_id (of rows alike in doc_id and text, any one); rows without a text stay."""
+    heads = text_classes(docs, similar).filter("id = class_text").select(F.col("id").alias("_head"), F.col("class_id").alias("_head_doc"))
+    rows = docs.withColumn("_tid", text_id(F.col("text").cast("string")))
+    same = (F.col("_tid") == F.col("_head")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_head_doc"))
+    kept = rows.join(heads, same).drop("_head_doc").dropDuplicates(["_head"]).drop("_head", "_tid")
+    return kept.unionByName(rows.filter("_tid is null").drop("_tid"))
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import decontaminate, language, mpeg_audio, neardup, packing, secrets, sharding, substring, warc
+from panelith.llm import decontaminate, html_content, language, mpeg_audio, neardup, packing, secrets, sharding, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
         "op2_markov_secrets": secrets.op2_markov_secrets,
         "op3_feistel_sharding": sharding.op3_feistel_sharding,
+        "op4_wrapper_induction": html_content.op4_wrapper_induction,
         "op5_language_svm": language.op5_language_svm,
         "op6_bag_minhash": neardup.op6_bag_minhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
