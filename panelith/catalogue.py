@@ -2,18 +2,678 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelith.constants import PENALTIES
+from panelith.functions import calendar, numeric
+from panelith.operators import assemble, clean, evaluate, fold, level, shape
+from panelith.plans.forecast import PanelForecaster, explode_channels, forecast_start
+from panelith.sources import panels
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return keep
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ts(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded for comparison, without a negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# ---- Panels that the queries share, and their SQL ----
+
+
+def hourly(spark: SparkSession, sf_dir: str, sine: float = 0.0) -> DataFrame:
+    """Events by type and hour of January 2024's first 30 days (series_id, ts, i, n, y), with a daily sine on top."""
+    p = panels.counts(table(spark, sf_dir, "events"), "event_type", "ts", "hour", ts("2024-01-01 00:00:00"), ts("2024-01-30 23:00:00"))
+    p = clean.index_series(p)
+    return p.withColumn("y", F.col("y") + sine * F.sin(F.col("i") * (2 * math.pi / 24))) if sine else p
+
+
+HOURLY = """c AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+grid AS (SELECT s.series_id, h.ts::TIMESTAMP AS ts FROM (SELECT DISTINCT series_id FROM c) s, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts) h),
+p AS (SELECT series_id, ts, coalesce(c.n, 0.0)::DOUBLE AS y, (row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1)::BIGINT AS i FROM grid LEFT JOIN c USING (series_id, ts))"""
+SINE = HOURLY + """,
+q AS (SELECT series_id, ts, i, y + 10 * sin(i * (2 * pi() / 24)) AS y FROM p)"""
+
+
+def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals by priority and day, null on days without orders."""
+    return clean.index_series(panels.sums(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "day"))
+
+
+DAILY = """c AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2),
+grid AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY))::TIMESTAMP AS ts FROM c GROUP BY 1),
+d AS (SELECT series_id, ts, c.y, (row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1)::BIGINT AS i FROM grid LEFT JOIN c USING (series_id, ts))"""
+
+FILL = """f AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER w1 AS pi, last_value(y IGNORE NULLS) OVER w1 AS py,
+first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER w2 AS ni, first_value(y IGNORE NULLS) OVER w2 AS ny FROM d
+WINDOW w1 AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS (SELECT series_id, ts, i, CASE WHEN pi = ni THEN py WHEN py IS NOT NULL AND ny IS NOT NULL THEN py + (ny - py) * (i - pi) / (ni - pi) ELSE coalesce(py, ny, 0.0) END AS y FROM f)"""
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.fold(hourly(spark, sf_dir), 24)
+
+
+FOLDED = HOURLY + """,
+f AS (SELECT series_id, 30 AS nc, (i // 24)::INT AS period_idx, (i % 24)::INT AS phase, y FROM p),
+l AS (SELECT series_id, period_idx, nc, sum(y) AS level FROM f GROUP BY 1, 2, 3)"""
+SHAPED = FOLDED + """,
+sh AS (SELECT series_id, phase, a / sum(a) OVER (PARTITION BY series_id) AS s FROM (SELECT f.series_id, f.phase, avg(CASE WHEN l.level > 1e-10 THEN f.y / l.level ELSE 1.0 / 24 END) AS a FROM f JOIN l USING (series_id, period_idx) WHERE f.period_idx >= 28 GROUP BY 1, 2))"""
+SHAPE2 = FOLDED + """,
+r0 AS (SELECT series_id, (period_idx % 7)::INT AS pos, avg(level) AS a FROM l GROUP BY 1, 2),
+r1 AS (SELECT series_id, pos, a / avg(a) OVER (PARTITION BY series_id) AS r, cos(2 * pi() * pos / 7) AS c, sin(2 * pi() * pos / 7) AS s FROM r0),
+r2 AS (SELECT *, 1 + 2 * avg((r - 1) * c) OVER w * c + 2 * avg((r - 1) * s) OVER w * s AS h FROM r1 WINDOW w AS (PARTITION BY series_id)),
+r3 AS (SELECT *, 7 * ln(greatest(sum((r - 1) * (r - 1)) OVER w / 7, 1e-30)) AS flat, 7 * ln(greatest(sum((r - h) * (r - h)) OVER w / 7, 1e-30)) + 2 * ln(7) AS wave FROM r2 WINDOW w AS (PARTITION BY series_id)),
+r4 AS (SELECT series_id, pos, greatest(4.0 / 11 * r + 7.0 / 11 * CASE WHEN wave < flat THEN h ELSE 1 END, 1e-6) AS m FROM r3),
+s2 AS (SELECT series_id, pos, m / avg(m) OVER (PARTITION BY series_id) AS s2 FROM r4)"""
+#: Levels of the sine panel, shifted, for the regression: 30 periods of 24 hours.
+LEVELS = SINE + """,
+sh AS (SELECT series_id, i, y + greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0) AS y FROM q),
+lv AS (SELECT series_id, (i // 24)::INT AS period_idx, sum(y) AS level FROM sh GROUP BY 1, 2),
+b AS (SELECT series_id, period_idx, ln(level) AS level_bc FROM lv),
+z AS (SELECT *, level_bc - last_value(level_bc) OVER (PARTITION BY series_id ORDER BY period_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS innov FROM b)"""
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, nc, period_idx, level, level_bc, last_level, innov) of the sine panel in logarithms."""
+    rows = fold.level(fold.fold(clean.positivity_shift(hourly(spark, sf_dir, 10.0)), 24))
+    return level.centre(rows.withColumn("level_bc", numeric.boxcox(F.col("level"), F.lit(0.0))))
+
+
+CODES = "h d w min 5min 15MIN Min T 60min 20min 25min 45min 2H BH ms us ns BMS BME SM QE-DEC QS-OCT AS-JAN YS B L UNKNOWN M Q A Y S 10S 10T 30T 5T 15T H D W ME QE YE MS QS W-SUN Q-DEC"
+CODE_ROWS = f"f AS (SELECT unnest(string_split('{CODES}', ' ')) AS freq)"
+_SUFFIX = " ".join(f"WHEN r0 LIKE '%{s}' THEN left(r0, length(r0) - 2) || '{s[0]}'" for s in ("ME", "QE", "YE", "MS", "QS", "YS", "AS"))
+RESOLVED = f"WITH {CODE_ROWS}, a AS (SELECT freq, split_part(replace(upper(freq), 'MIN', 'T'), '-', 1) AS r0 FROM f), r AS (SELECT freq, CASE {_SUFFIX} ELSE r0 END AS code FROM a)"
+
+
+def codes(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.split(F.lit(CODES), " ")).alias("freq"))
+
+
+# ---- Calendar ----
+
+
+@query(f"{RESOLVED} SELECT freq, code FROM r")
+def freq_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes(spark).select("freq", calendar.resolved(F.col("freq")).alias("code"))
+
+
+_PERIODS = "VALUES " + ", ".join(f"('{k}', {v})" for k, v in calendar.FREQ_TO_PERIOD.items())
+_CANDIDATES = "VALUES " + ", ".join(f"('{k}', '{','.join(map(str, v))}')" for k, v in calendar.FREQ_TO_PERIODS.items())
+
+
+@query(f"{RESOLVED}, k(key, period) AS ({_PERIODS}) SELECT freq, coalesce(arg_max(period, length(key)), 1)::BIGINT AS period FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY freq")
+def freq_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes(spark).select("freq", calendar.period_column(F.col("freq")).cast("long").alias("period"))
+
+
+@query(f"{RESOLVED}, k(key, periods) AS ({_CANDIDATES}) SELECT freq, coalesce(arg_max(periods, length(key)), '') AS periods FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY freq")
+def freq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes(spark).select("freq", F.array_join(calendar.periods_column(F.col("freq")).cast("array<string>"), ",").alias("periods"))
+
+
+# ---- Ingest ----
+
+
+@query(f"WITH {HOURLY} SELECT series_id, ts, y FROM p")
+def panel_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly(spark, sf_dir).select("series_id", "ts", "y")
+
+
+@query("SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS y FROM events GROUP BY 1, 2 HAVING avg(value) IS NOT NULL")
+def resample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panels.resample(table(spark, sf_dir, "events").withColumnRenamed("event_type", "series_id"), "value", "ts", "hour", ["series_id"])
+    return out.select("series_id", "ts", r6("y").alias("y"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 50 THEN value END AS y FROM events")
+def sentinel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", panels.sentinel_to_null(F.col("value"), 50).alias("y"))
+
+
+@query("SELECT o_orderkey, coalesce((o_orderstatus = 'F')::DOUBLE, 0.0) AS done, coalesce((o_orderpriority = '1-URGENT')::DOUBLE, 0.0) AS urgent FROM orders")
+def dummy_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", panels.dummy(F.col("o_orderstatus"), "F").alias("done"), panels.dummy(F.col("o_orderpriority"), "1-URGENT").alias("urgent"))
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'")
+def range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.between(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+
+
+@query(f"WITH {HOURLY} SELECT series_id, ts, y, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 48 THEN 'test' ELSE 'train' END AS part FROM p")
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.hold_out(hourly(spark, sf_dir).select("series_id", "ts", "y"), 48)
+
+
+@query("WITH t AS (SELECT DISTINCT event_type FROM events) SELECT event_type AS item_id, c::BIGINT AS channel, ((('0x' || substr(md5(event_type), 1, 8))::BIGINT + c) % 4294967296)::BIGINT AS seed, k::BIGINT AS i, (10.0 * c + k)::DOUBLE AS y FROM t, (SELECT unnest(range(3)) AS c), (SELECT unnest(range(4)) AS k)")
+def multivariate_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "events").select(F.col("event_type").alias("item_id")).distinct()
+    grid = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (c * 10 + k).cast("double")))
+    return explode_channels(ids.withColumn("target", grid)).select("item_id", F.col("channel").cast("long").alias("channel"), "seed", F.col("i").cast("long").alias("i"), "y")
+
+
+@query(f"WITH {HOURLY} SELECT series_id, s::BIGINT AS step, max(ts) + (s + 1) * INTERVAL 1 HOUR AS ts FROM p, (SELECT unnest(range(6)) AS s) GROUP BY series_id, s")
+def forecast_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_start(hourly(spark, sf_dir), 6, "1 hour").withColumn("step", F.col("step").cast("long"))
+
+
+@query("SELECT DISTINCT event_type AS series_id, ('0x' || substr(md5(event_type), 1, 8))::BIGINT AS seed FROM events")
+def item_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct().withColumn("seed", numeric.item_seed(F.col("series_id")))
+
+
+# ---- Cleaning ----
+
+
+@query(f"WITH {DAILY}, {FILL} SELECT series_id, ts, round(y, 6) AS y FROM g")
+def interp_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.interpolate(daily_sums(spark, sf_dir)).select("series_id", "ts", r6("y").alias("y"))
+
+
+@query(f"WITH {DAILY}, {FILL}, k AS (SELECT series_id, arg_max(y, i) AS last FROM g GROUP BY 1) SELECT series_id, s::BIGINT AS step, round(last, 2) AS x FROM k, (SELECT unnest(range(5)) AS s)")
+def exog_interp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = daily_sums(spark, sf_dir).withColumnRenamed("y", "x")
+    future = hist.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"), F.lit(None).cast("double").alias("x"))
+    _, out = clean.fill_exog(hist, future, ["x"])
+    return out.select("series_id", F.col("step").cast("long").alias("step"), F.round("x", 2).alias("x"))
+
+
+@query(f"WITH {DAILY}, {FILL}, e AS (SELECT series_id, i, y - 250000 AS y FROM g) SELECT series_id, i, round(greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0), 6) AS shift, round(y + greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0), 6) AS y FROM e")
+def positivity_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean.positivity_shift(clean.interpolate(daily_sums(spark, sf_dir)).withColumn("y", F.col("y") - 250000))
+    return out.select("series_id", F.col("i").cast("long").alias("i"), F.round("shift", 6).alias("shift"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {HOURLY} SELECT series_id, arg_max(y, i) AS last_y, greatest(stddev_pop(d), 1e-6) AS sigma FROM (SELECT *, y - lag(y) OVER (PARTITION BY series_id ORDER BY i) AS d FROM p WHERE i >= 718) GROUP BY 1")
+def degenerate_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.degenerate_sigma(hourly(spark, sf_dir).filter("i >= 718"))
+
+
+# ---- Period choice and routing ----
+
+
+@query(f"WITH {HOURLY} SELECT series_id, round(count(*) * ln(greatest(var_pop(y), 1e-30)) + ln(count(*)), 6) AS bic FROM p GROUP BY 1")
+def bic_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count(F.lit(1))
+    return hourly(spark, sf_dir).groupBy("series_id").agg(r6(n * F.ln(F.greatest(F.var_pop("y"), F.lit(1e-30))) + F.ln(n)).alias("bic"))
+
+
+def _spectra(rows: DataFrame, periods: list[int]) -> DataFrame:
+    """(series_id, p, nc, values): singular values of each series folded by each period."""
+    from panelith.operators.kernel import spectrum
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("i")["y"].to_numpy()
+        return pd.DataFrame([(pdf["series_id"].iloc[0], p, len(y) // p, spectrum(y, p)) for p in periods], columns=["series_id", "p", "nc", "values"])
+
+    return rows.select("series_id", "i", "y").groupBy("series_id").applyInPandas(run, "series_id string, p long, nc long, values array<double>")
+
+
+#: Power iteration on the rows' inner products gives the first singular value.
+POWER = """cols AS (SELECT series_id, (i % {p})::INT AS a, list(y ORDER BY i) AS v, sum(y * y) AS e FROM src GROUP BY 1, 2),
+gram AS (SELECT x.series_id, x.a, list(list_dot_product(x.v, w.v) ORDER BY w.a) AS g FROM cols x JOIN cols w USING (series_id) GROUP BY 1, 2),
+mat AS (SELECT series_id, list(g ORDER BY a) AS m FROM gram GROUP BY 1),
+it AS (SELECT series_id, m, 0 AS k, list_transform(range({p}), lambda x: 1.0::DOUBLE) AS v, 0.0::DOUBLE AS nrm FROM mat
+UNION ALL SELECT series_id, m, k + 1, list_transform(m, lambda r: list_dot_product(r, v) / sqrt(list_dot_product(v, v))), sqrt(list_dot_product(v, v)) FROM it WHERE k < 60),
+top AS (SELECT series_id, sqrt(list_dot_product(v, v)) AS s1sq FROM it WHERE k = 60),
+rss AS (SELECT t.series_id, sum(c.e) - max(t.s1sq) AS rss FROM top t JOIN cols c USING (series_id) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {POWER.format(p=24)} SELECT series_id, round(rss, 3) AS rss FROM rss")
+def rank1_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.aggregate(F.slice("values", 2, 1000), F.lit(0.0), lambda s, x: s + x * x)
+    return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", F.round(tail, 3).alias("rss"))
+
+
+def _bics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hourly(spark, sf_dir, 10.0)
+    t = F.col("p") * F.col("nc")
+    rss = F.aggregate(F.slice("values", 2, 1000), F.lit(0.0), lambda s, x: s + x * x)
+    own = _spectra(rows, [24, 168]).select("series_id", "p", (t * F.ln(F.greatest(rss / t, F.lit(1e-30))) + (F.col("p") + F.col("nc") - 1) * F.ln(t)).alias("bic"))
+    n = F.count(F.lit(1))
+    null = rows.groupBy("series_id").agg(F.lit(1).cast("long").alias("p"), (n * F.ln(F.greatest(F.var_pop("y"), F.lit(1e-30))) + F.ln(n)).alias("bic"))
+    return null.unionByName(own)
+
+
+_BIC24 = f"WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {POWER.format(p=24)}, bics AS (SELECT series_id, 24::BIGINT AS p, 720 * ln(rss / 720) + 53 * ln(720) AS bic FROM rss UNION ALL SELECT series_id, 1, 720 * ln(var_pop(y)) + ln(720) FROM q GROUP BY 1)"
+
+
+@query(f"{_BIC24} SELECT series_id, p, round(bic, 3) AS bic FROM bics")
+def bic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bics(spark, sf_dir).filter("p != 168").select("series_id", "p", F.round("bic", 3).alias("bic"))
+
+
+@query(f"{_BIC24} SELECT series_id, arg_min(p, bic) AS p FROM bics GROUP BY 1")
+def select_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly period loses on this panel: four columns of 168 leave it a far larger penalty."""
+    best = F.array_min(F.collect_list(F.struct("bic", "p")))["p"]
+    return _bics(spark, sf_dir).groupBy("series_id").agg(best.alias("p"))
+
+
+@query("WITH c AS (SELECT l_returnflag AS series_id, count(DISTINCT date_trunc('month', l_shipdate)) AS n FROM lineitem GROUP BY 1), s AS (SELECT *, n // 12 AS nc FROM c) SELECT series_id, n::BIGINT AS n, nc::BIGINT AS nc, 0::BIGINT AS max_cp, 1::BIGINT AS start, 3::BIGINT AS nf, CASE WHEN nc < 3 OR nc - 1 < 6 THEN 1 ELSE 12 END::BIGINT AS p_used, CASE WHEN n < 3 THEN 'degenerate' WHEN nc < 3 OR nc - 1 < 6 THEN 'level' ELSE 'periodic' END AS kind FROM s")
+def dof_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series_id"), panels.truncate_ts(F.col("l_shipdate"), "month").alias("ts")).distinct()
+    return fold.route(rows, 12, [])
+
+
+@query(f"WITH {HOURLY}, t AS (SELECT series_id, i FROM p WHERE i < 2 OR (series_id = 'view' AND i < 100) OR (series_id = 'click' AND i < 400)), s AS (SELECT series_id, count(*) AS n, count(*) // 24 AS nc FROM t GROUP BY 1), m AS (SELECT *, CASE WHEN 7 <= nc // 2 THEN 7 ELSE 0 END AS max_cp FROM s), k AS (SELECT *, greatest(max_cp, 1) AS start, 3 + (max_cp >= 2)::INT AS nf FROM m), u AS (SELECT *, nc < 3 OR nc - start < 2 * nf AS few FROM k) SELECT series_id, n::BIGINT AS n, nc::BIGINT AS nc, max_cp::BIGINT AS max_cp, start::BIGINT AS start, nf::BIGINT AS nf, CASE WHEN few THEN 1 ELSE 24 END::BIGINT AS p_used, CASE WHEN n < 3 THEN 'degenerate' WHEN few THEN 'level' ELSE 'periodic' END AS kind FROM u")
+def short_series_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hourly(spark, sf_dir).filter("i < 2 or (series_id = 'view' and i < 100) or (series_id = 'click' and i < 400)")
+    return fold.route(rows.select("series_id", "i"), 24, [168])
+
+
+# ---- Folding, shapes, levels ----
+
+
+@query(f"WITH {DAILY}, {FILL}, n AS (SELECT series_id, count(*) AS n FROM g GROUP BY 1) SELECT series_id, (i - (n - 500 * 2))::BIGINT AS i, round(y, 6) AS y FROM g JOIN n USING (series_id) WHERE n // 2 > 500 AND i >= n - 1000 UNION ALL SELECT series_id, i::BIGINT, round(y, 6) FROM g JOIN n USING (series_id) WHERE n // 2 <= 500")
+def level_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.truncate(clean.interpolate(daily_sums(spark, sf_dir)), 2).select("series_id", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {FOLDED} SELECT series_id, nc::BIGINT AS nc, period_idx::BIGINT AS period_idx, level FROM l")
+def fold_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.level(folded(spark, sf_dir)).select("series_id", F.col("nc").cast("long").alias("nc"), F.col("period_idx").cast("long").alias("period_idx"), "level")
+
+
+@query(f"WITH {SHAPED} SELECT series_id, phase, round(s, 6) AS s FROM sh")
+def shape1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.shape(folded(spark, sf_dir), 24).select("series_id", "phase", r6("s").alias("s"))
+
+
+@query("""WITH g AS (SELECT sec, p, per, nc FROM (VALUES ('168', 24, 24), ('365', 7, 7), ('24,168', 1, 24), ('', 1, 7), ('52', 1, 52)) t(sec, p, per), (VALUES (10), (14), (30), (120), (500)) u(nc)),
+e AS (SELECT *, CASE WHEN sec = '' THEN [] ELSE list_transform(string_split(sec, ','), lambda x: x::INT // CASE WHEN p >= 2 THEN p ELSE 1 END) END AS lags FROM g),
+k AS (SELECT *, list_filter(lags, lambda c: c >= 2 AND c <= nc // 2) AS kept FROM e)
+SELECT sec, p::BIGINT AS p, nc::BIGINT AS nc, array_to_string(CASE WHEN p = 1 AND per >= 2 AND per <= nc // 2 THEN list_sort(list_distinct(list_concat(kept, [per]))) ELSE kept END, ',') AS lags FROM k""")
+def cross_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = "('168', 24, 24), ('365', 7, 7), ('24,168', 1, 24), ('', 1, 7), ('52', 1, 52)"
+    rows = spark.sql(f"SELECT sec, p, per, explode(array(10, 14, 30, 120, 500)) AS nc FROM VALUES {cases} AS t(sec, p, per)")
+    sec = F.when(F.col("sec") == "", F.array().cast("array<int>")).otherwise(F.split("sec", ",").cast("array<int>"))
+    lags = numeric.cross_periods(sec, F.col("p"), F.col("per"), F.col("nc"))
+    return rows.select("sec", F.col("p").cast("long").alias("p"), F.col("nc").cast("long").alias("nc"), F.array_join(lags.cast("array<string>"), ",").alias("lags"))
+
+
+@query(f"WITH {SHAPE2} SELECT series_id, pos, round(s2, 6) AS s2 FROM s2")
+def shape2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.shape2(fold.level(folded(spark, sf_dir)), 7).select("series_id", "pos", r6("s2").alias("s2"))
+
+
+@query(f"WITH {SHAPE2} SELECT l.series_id, period_idx, round(level / greatest(s2, 1e-10), 6) AS level FROM l JOIN s2 ON l.series_id = s2.series_id AND l.period_idx % 7 = s2.pos")
+def deseason_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fold.level(folded(spark, sf_dir))
+    return shape.deseason(rows, shape.shape2(rows, 7), 7).select("series_id", "period_idx", r6("level").alias("level"))
+
+
+@query()
+def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, factor): shrinkage of the level from the spectrum; held against closed forms in tests."""
+    from panelith.operators.kernel import shrinkage
+
+    @F.pandas_udf("double")
+    def of(values: pd.Series, p: pd.Series, nc: pd.Series) -> pd.Series:
+        return pd.Series([shrinkage(v, int(a), int(b)) for v, a, b in zip(values, p, nc, strict=True)])
+
+    return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", of("values", "p", "nc").alias("factor"))
+
+
+@query()
+def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(beta, median): Marchenko-Pastur medians; held against known values in tests."""
+    from panelith.operators.kernel import mp_median as median
+
+    @F.pandas_udf("double")
+    def of(beta: pd.Series) -> pd.Series:
+        return beta.map(median)
+
+    return spark.range(1, 21).select((F.col("id") / 20).alias("beta")).withColumn("median", of("beta"))
+
+
+@query(f"WITH {FOLDED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS power), x AS (SELECT series_id, power, level, CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power) - 1) / power END AS z FROM l, w WHERE level > 0) SELECT series_id, power, round((power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(z)), 4) AS loglik FROM x GROUP BY 1, 2")
+def boxcox_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = level.boxcox_loglik(fold.level(folded(spark, sf_dir)), [0.0, 0.25, 0.5, 0.75, 1.0])
+    return out.select("series_id", "power", F.round("loglik", 4).alias("loglik"))
+
+
+def _powers(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("power", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0)))))
+
+
+@query(f"WITH {FOLDED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS power) SELECT series_id, period_idx, power, round(CASE WHEN power = 0 THEN ln(greatest(level, 1e-8)) ELSE (pow(greatest(level, 1e-8), power) - 1) / power END, 6) AS z FROM l, w")
+def boxcox_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _powers(fold.level(folded(spark, sf_dir)))
+    return rows.select("series_id", "period_idx", "power", r6(numeric.boxcox(F.col("level"), F.col("power"))).alias("z"))
+
+
+@query(f"WITH {FOLDED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS power), x AS (SELECT series_id, period_idx, power, level / 40 - 1 AS z FROM l, w) SELECT series_id, period_idx, power, round(CASE WHEN power = 0 THEN exp(least(greatest(z, -30.0), 30.0)) ELSE pow(least(greatest(z * power + 1, 1e-10), exp(30 * power)), 1 / power) END, 6) AS y FROM x")
+def boxcox_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _powers(fold.level(folded(spark, sf_dir)).withColumn("z", F.col("level") / 40 - 1))
+    return rows.select("series_id", "period_idx", "power", r6(numeric.boxcox_inverse(F.col("z"), F.col("power"))).alias("y"))
+
+
+@query(f"WITH {FOLDED}, w AS (SELECT unnest(range(201)) / 200.0 AS power), x AS (SELECT series_id, power::DOUBLE AS power, level, CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power::DOUBLE) - 1) / power::DOUBLE END AS z FROM l, w WHERE level > 0), k AS (SELECT series_id, power, (power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(z)) AS loglik FROM x GROUP BY 1, 2) SELECT series_id, round(arg_max(power, loglik), 1) AS power FROM k GROUP BY 1")
+def boxcox_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most likely power in [0, 1] to one decimal; the SQL looks over a fine grid."""
+    from panelith.operators.kernel import boxcox_power
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "power": [boxcox_power(pdf.sort_values("period_idx")["level"].to_numpy())]})
+
+    return fold.level(folded(spark, sf_dir)).groupBy("series_id").applyInPandas(run, "series_id string, power double").withColumn("power", F.round("power", 1))
+
+
+@query(f"WITH {LEVELS} SELECT series_id, period_idx, round(innov, 6) + 0.0 AS innov FROM z")
+def innovation_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels(spark, sf_dir).select("series_id", "period_idx", r6("innov").alias("innov"))
+
+
+_DESIGN = """dz AS (SELECT series_id, period_idx, 1.0::DOUBLE AS b0, period_idx / 30.0 AS b1, -lag(innov) OVER w AS lag1, lag(innov, 7) OVER w AS lag_cp, innov - lag(innov) OVER w AS target FROM z WINDOW w AS (PARTITION BY series_id ORDER BY period_idx))"""
+
+
+@query(f"WITH {LEVELS}, {_DESIGN} SELECT series_id, period_idx, b0, round(b1, 6) AS b1, round(lag1, 6) + 0.0 AS lag1, round(lag_cp, 6) + 0.0 AS lag_cp, round(target, 6) + 0.0 AS target FROM dz WHERE period_idx >= 7")
+def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = level.design(levels(spark, sf_dir), 7)
+    return out.select("series_id", "period_idx", "b0", *[r6(c).alias(c) for c in ("b1", "lag1", "lag_cp", "target")])
+
+
+_ALPHAS = ", ".join(repr(a) + "::DOUBLE" for a in PENALTIES)
+#: Ridge with three columns: the inverse by cofactors, leave-one-out errors, and the softmax over penalties.
+RIDGE = f"""x AS (SELECT series_id, period_idx, b0 AS u, b1::DOUBLE AS v, lag1 AS w, target AS y FROM dz WHERE period_idx >= 1),
+g AS (SELECT series_id, sum(u*u) uu, sum(u*v) uv, sum(u*w) uw, sum(v*v) vv, sum(v*w) vw, sum(w*w) ww, sum(u*y) uy, sum(v*y) vy, sum(w*y) wy FROM x GROUP BY 1),
+al AS (SELECT unnest([{_ALPHAS}]) AS a),
+gp AS (SELECT series_id, a, uu + a AS p, uv AS q, uw AS r, vv + a AS s, vw AS t, ww + a AS z, uy, vy, wy FROM g, al),
+inv AS (SELECT *, p*(s*z - t*t) - q*(q*z - t*r) + r*(q*t - s*r) AS det FROM gp),
+cf AS (SELECT series_id, a, (s*z - t*t)/det i11, (r*t - q*z)/det i12, (q*t - r*s)/det i13, (p*z - r*r)/det i22, (q*r - p*t)/det i23, (p*s - q*q)/det i33, uy, vy, wy FROM inv),
+co AS (SELECT *, i11*uy + i12*vy + i13*wy AS c0, i12*uy + i22*vy + i23*wy AS c1, i13*uy + i23*vy + i33*wy AS c2 FROM cf),
+e AS (SELECT co.series_id, co.a, avg(pow((y - (c0*u + c1*v + c2*w)) / greatest(1 - (u*u*i11 + v*v*i22 + w*w*i33 + 2*u*v*i12 + 2*u*w*i13 + 2*v*w*i23), 1e-10), 2)) AS gcv, max(c0) c0, max(c1) c1, max(c2) c2 FROM co JOIN x USING (series_id) GROUP BY 1, 2),
+wt AS (SELECT *, exp(-(gcv - min(gcv) OVER k) / greatest(min(gcv) OVER k, 1e-10)) AS ww FROM e WINDOW k AS (PARTITION BY series_id))"""
+
+
+@query(f"WITH {LEVELS}, {_DESIGN}, {RIDGE} SELECT series_id, round(sum(ww*c0)/sum(ww), 5) + 0.0 AS theta0, round(sum(ww*c1)/sum(ww), 5) + 0.0 AS theta1, round(sum(ww*c2)/sum(ww), 5) + 0.0 AS theta2, round(min(gcv), 8) AS least FROM wt GROUP BY 1")
+def ridge_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelith.operators.kernel import ridge
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period_idx")
+        fit = ridge(pdf[["b0", "b1", "lag1"]].to_numpy(), pdf["target"].to_numpy())
+        return pd.DataFrame([(pdf["series_id"].iloc[0], *fit.coef, fit.least)], columns=["series_id", "theta0", "theta1", "theta2", "least"])
+
+    out = level.design(levels(spark, sf_dir), 0).groupBy("series_id").applyInPandas(run, "series_id string, theta0 double, theta1 double, theta2 double, least double")
+    return out.select("series_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("theta0", "theta1", "theta2")], F.round("least", 8).alias("least"))
+
+
+@query("SELECT n_nationkey::BIGINT AS k, round(n_nationkey * 0.1::DOUBLE, 6) AS b0, round(n_nationkey * 0.2::DOUBLE, 6) AS b1, round(CASE WHEN n_nationkey % 2 = 0 THEN 1 - n_nationkey * 0.01 ELSE n_nationkey * 0.01 END, 6) AS b2 FROM nation")
+def recover_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    beta = numeric.recover_beta(F.array(k * F.lit(0.1), k * F.lit(0.2), k * F.lit(0.01)), k % 2 == 0)
+    return table(spark, sf_dir, "nation").select(k.cast("long").alias("k"), F.round(beta[0], 6).alias("b0"), F.round(beta[1], 6).alias("b1"), F.round(beta[2], 6).alias("b2"))
+
+
+_PHI = """d1 AS (SELECT series_id, period_idx, level_bc - lag(level_bc) OVER (PARTITION BY series_id ORDER BY period_idx) AS d FROM b),
+d2 AS (SELECT series_id, period_idx, d - avg(d) OVER (PARTITION BY series_id) AS e FROM d1 WHERE d IS NOT NULL),
+d3 AS (SELECT *, lag(e) OVER (PARTITION BY series_id ORDER BY period_idx) AS f FROM d2),
+ph AS (SELECT series_id, CASE WHEN count(*) < 5 OR sum(e*e) < 1e-10 THEN 0.0 ELSE greatest(sum(e*f)/sum(e*e), 0.0) END AS phi FROM d3 GROUP BY 1)"""
+
+
+@query(f"WITH {LEVELS}, {_PHI} SELECT series_id, round(phi, 6) AS phi FROM ph")
+def phi_damping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level.phi(levels(spark, sf_dir)).select("series_id", r6("phi").alias("phi"))
+
+
+@query("WITH g AS (SELECT ph, j FROM (SELECT unnest([0.0, 0.3, 0.9, 1.5])::DOUBLE AS ph), (SELECT unnest(range(1, 6)) AS j)) SELECT ph AS phi, j::BIGINT AS j, round(CASE WHEN least(ph, 1 - 1e-10) <= 1e-10 THEN 29.0 / 30 ELSE (29 + least(ph, 1 - 1e-10) * (1 - pow(least(ph, 1 - 1e-10), j)) / (1 - least(ph, 1 - 1e-10))) / 30 END, 5) AS trend FROM g")
+def damped_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.9, 1.5)))).alias("phi"))
+    out = rows.select("phi", F.posexplode(numeric.damped_trend(F.col("phi"), 5, F.lit(30))).alias("j", "trend"))
+    return out.select("phi", (F.col("j") + 1).cast("long").alias("j"), F.round("trend", 5).alias("trend"))
+
+
+@query(f"WITH RECURSIVE {LEVELS}, st AS (SELECT series_id, innov AS v FROM z WHERE period_idx = 29), h AS (SELECT series_id, period_idx - 29 AS k, innov AS v FROM z), pth AS (SELECT series_id, 0 AS j, v FROM st UNION ALL SELECT p.series_id, p.j + 1, 0.01 + 0.02 * (29.0 / 30) + 0.6 * p.v + 0.2 * h.v FROM pth p JOIN h ON h.series_id = p.series_id AND h.k = p.j + 1 - 7 WHERE p.j < 5) SELECT series_id, j::BIGINT AS j, round(v, 6) + 0.0 AS level FROM pth WHERE j > 0")
+def level_point_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = levels(spark, sf_dir).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("period_idx", "innov"))), lambda x: x["innov"]).alias("past"))
+    beta = F.array(*map(F.lit, (0.01, 0.02, 0.6, 0.2)))
+    path = numeric.point_path(beta, numeric.damped_trend(F.lit(0.0), 5, F.lit(30)), F.col("past"), 7)
+    return rows.select("series_id", F.posexplode(path).alias("j", "level")).select("series_id", (F.col("j") + 1).cast("long").alias("j"), r6("level").alias("level"))
+
+
+# ---- Noise and assembly ----
+
+_RESID = SHAPED + """,
+ft AS (SELECT f.series_id, f.period_idx, f.phase, f.y, sh.s * l.level AS fit FROM f JOIN sh USING (series_id, phase) JOIN l USING (series_id, period_idx)),
+fl AS (SELECT series_id, greatest(coalesce(0.1 * median(CASE WHEN abs(fit) > 1e-10 THEN abs(fit) END), 1e-8), 1e-8) AS floor FROM ft GROUP BY 1),
+rs AS (SELECT series_id, period_idx, phase, (y - fit) / greatest(abs(fit), floor) AS resid FROM ft JOIN fl USING (series_id))"""
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = folded(spark, sf_dir)
+    return assemble.phase_residuals(rows, shape.shape(rows, 24), fold.level(rows))
+
+
+@query(f"WITH {_RESID} SELECT series_id, period_idx, phase, round(resid, 9) + 0.0 AS resid FROM rs")
+def phase_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residuals(spark, sf_dir).select("series_id", "period_idx", "phase", (F.round("resid", 9) + F.lit(0.0)).alias("resid"))
+
+
+@query(f"WITH {_RESID}, mm AS (SELECT *, avg(resid) OVER w AS m, var_samp(resid) OVER w / 30 AS e FROM rs WINDOW w AS (PARTITION BY series_id, phase)) SELECT series_id, period_idx, phase, round(resid - m * least(greatest(e / (m * m + e + 1e-10), 0.0), 1.0), 6) + 0.0 AS resid FROM mm")
+def phase_bias_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.shrink_bias(_residuals(spark, sf_dir)).select("series_id", "period_idx", "phase", r6("resid").alias("resid"))
+
+
+def _exog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly panel with x1, the mean value of its events, and x2, whether it is between 8 and 17 o'clock."""
+    x = panels.resample(table(spark, sf_dir, "events").withColumnRenamed("event_type", "series_id"), "value", "ts", "hour", ["series_id"]).withColumnRenamed("y", "x1")
+    rows = hourly(spark, sf_dir).join(x, ["series_id", "ts"], "left").withColumn("x2", F.hour("ts").between(8, 17).cast("double"))
+    return clean.interpolate(rows, "x1")
+
+
+_EXOG = HOURLY + """,
+xv AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS x FROM events GROUP BY 1, 2),
+d AS (SELECT p.series_id, p.ts, p.i, xv.x AS y FROM p LEFT JOIN xv USING (series_id, ts)),
+""" + FILL + """,
+xl AS (SELECT series_id, (i // 24)::INT AS period_idx, avg(y) AS x1, avg((hour(ts) BETWEEN 8 AND 17)::INT::DOUBLE) AS x2 FROM g GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_EXOG} SELECT series_id, period_idx, round(x1, 9) AS x1, round(x2, 9) AS x2 FROM xl")
+def exog_level_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.exog_level(_exog_rows(spark, sf_dir), 24, ["x1", "x2"]).select("series_id", "period_idx", F.round("x1", 9).alias("x1"), F.round("x2", 9).alias("x2"))
+
+
+@query(f"WITH {_EXOG}, st AS (SELECT series_id, avg(x1) AS m, stddev_pop(x1) AS s FROM xl WHERE period_idx >= 7 GROUP BY 1) SELECT series_id, period_idx, round((x1 - m) / CASE WHEN s < 1e-10 THEN 1 ELSE s END, 5) + 0.0 AS x1 FROM xl JOIN st USING (series_id)")
+def exog_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = fold.standardise(fold.exog_level(_exog_rows(spark, sf_dir), 24, ["x1"]), ["x1"], 7)
+    return out.select("series_id", "period_idx", (F.round("x1", 5) + F.lit(0.0)).alias("x1"))
+
+
+@query(f"WITH {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY i DESC) AS back FROM d), a AS (SELECT series_id, min(y) AS lo, max(y) FILTER (back <= 60) AS hi, min(y) FILTER (back <= 60) AS rl, bool_and(y = round_even(y, 0)) AS whole FROM n GROUP BY 1) SELECT series_id, round(CASE WHEN hi IS NOT NULL THEN lo END, 2) AS low, round(hi + greatest(hi - rl, 1e-6), 2) AS high, coalesce(whole, false) AS whole FROM a")
+def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.clip_bounds(daily_sums(spark, sf_dir), 30).select("series_id", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), "whole")
+
+
+@query("SELECT event_id, round_even(value / 3, 0) AS y FROM events")
+def integer_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.rint(F.col("value") / 3).alias("y"))
+
+
+_PARTS = """t AS (SELECT DISTINCT event_type AS series_id FROM events),
+lh AS (SELECT series_id, s::INT AS sample_id, b::INT AS block, 100.0 + 10 * s + b AS hat, 1 / sqrt(1 + 0.5 * b) AS deflate FROM t, (SELECT unnest(range(3)) AS s), (SELECT unnest(range(2)) AS b)),
+f2 AS (SELECT series_id, p::INT AS pos, 0.9 + 0.1 * p AS s2 FROM t, (SELECT unnest(range(3)) AS p)),
+shp AS (SELECT series_id, p::INT AS phase, (p + 1) / 10.0 AS s FROM t, (SELECT unnest(range(4)) AS p)),
+ns AS (SELECT series_id, s::INT AS sample_id, p::INT AS phase, 0.01 * (s - 1) * (p + 1) AS eps FROM t, (SELECT unnest(range(3)) AS s), (SELECT unnest(range(4)) AS p))"""
+
+
+@query(f"WITH {_PARTS}, st AS (SELECT unnest(range(6))::INT AS step), r AS (SELECT lh.series_id, lh.sample_id, st.step, hat * s2 * s * (1 + eps * deflate) - 2.0 AS v FROM lh JOIN st ON st.step // 4 = lh.block JOIN f2 ON f2.series_id = lh.series_id AND f2.pos = (5 + lh.block) % 3 JOIN shp ON shp.series_id = lh.series_id AND shp.phase = st.step % 4 JOIN ns ON ns.series_id = lh.series_id AND ns.sample_id = lh.sample_id AND ns.phase = st.step % 4) SELECT series_id, sample_id, step, round_even(least(greatest(v, 9.0), 40.0), 0) AS value FROM r")
+def assemble_given_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct()
+    up = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    paths = t.withColumn("sample_id", up(3)).withColumn("block", up(2)).withColumn("nc", F.lit(5))
+    paths = assemble.deflate(paths.withColumn("level_hat", 100.0 + 10 * F.col("sample_id") + F.col("block")).withColumn("leverage", 0.5 * F.col("block")))
+    factors = t.withColumn("pos", up(3)).withColumn("s2", 0.9 + 0.1 * F.col("pos"))
+    shapes = t.withColumn("phase", up(4)).withColumn("s", (F.col("phase") + 1) / 10)
+    noise = t.withColumn("sample_id", up(3)).withColumn("phase", up(4)).withColumn("eps", 0.01 * (F.col("sample_id") - 1) * (F.col("phase") + 1))
+    bounds = t.withColumns({"low": F.lit(9.0), "high": F.lit(40.0), "whole": F.lit(True), "shift": F.lit(2.0)})
+    return assemble.assemble(assemble.reseason(paths, factors, 3), shapes, noise, bounds, 4, 6)
+
+
+# ---- Evaluation ----
+
+
+def _naive_forecasts(spark: SparkSession, sf_dir: str, season: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The last 48 hours held out, with the seasonal-naive forecast from before, and the training rows."""
+    rows = panels.hold_out(hourly(spark, sf_dir), 48)
+    train = rows.filter("part = 'train'")
+    last = train.filter(F.col("i") >= 672 - season).select("series_id", (F.col("i") % season).alias("place"), F.col("y").alias("pred"))
+    test = rows.filter("part = 'test'").select("series_id", (F.col("i") - 672).alias("step"), (F.col("i") % season).alias("place"), F.col("y").alias("actual"))
+    return test.join(last, ["series_id", "place"]).drop("place"), train.select("series_id", "i", "y")
+
+
+NAIVE = HOURLY + """,
+tr AS (SELECT * FROM p WHERE i < 672),
+fc AS (SELECT p.series_id, (p.i - 672)::BIGINT AS step, p.y AS actual, tr.y AS pred FROM p JOIN tr ON tr.series_id = p.series_id AND tr.i >= 648 AND tr.i % 24 = p.i % 24 WHERE p.i >= 672),
+nv AS (SELECT series_id, avg(abs(d)) AS naive FROM (SELECT series_id, y - lag(y, 24) OVER (PARTITION BY series_id ORDER BY i) AS d FROM tr) GROUP BY 1)"""
+
+
+@query(f"WITH {NAIVE} SELECT series_id, step, actual, pred FROM fc")
+def seasonal_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _naive_forecasts(spark, sf_dir)[0].select("series_id", F.col("step").cast("long").alias("step"), "actual", "pred")
+
+
+def _mase(spark: SparkSession, sf_dir: str, guard: str) -> DataFrame:
+    fc, train = _naive_forecasts(spark, sf_dir)
+    return evaluate.mase(fc, evaluate.naive_error(train, 24), guard).select("series_id", r6("mase").alias("mase"))
+
+
+_MASE = f"WITH {NAIVE} SELECT series_id, round(avg(abs(actual - pred)) / {{}}, 6) AS mase FROM fc JOIN nv USING (series_id) GROUP BY series_id, naive"
+
+
+@query(_MASE.format("CASE WHEN naive >= 1e-12 THEN naive END"))
+def mase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(spark, sf_dir, "missing")
+
+
+@query(_MASE.format("greatest(naive, 1e-12)"))
+def mase_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(spark, sf_dir, "clamp")
+
+
+@query(_MASE.format("naive"))
+def mase_unguarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mase(spark, sf_dir, "none")
+
+
+@query(f"WITH {NAIVE} SELECT series_id, round(100 * avg(abs(actual - pred) / greatest((abs(actual) + abs(pred)) / 2, 1e-8)), 6) AS smape FROM fc GROUP BY 1")
+def smape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.errors(_naive_forecasts(spark, sf_dir)[0]).select("series_id", r6("smape").alias("smape"))
+
+
+@query(f"WITH {NAIVE} SELECT series_id, round(avg(abs(actual - pred)), 6) AS mae FROM fc GROUP BY 1")
+def mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.errors(_naive_forecasts(spark, sf_dir)[0]).select("series_id", r6("mae").alias("mae"))
+
+
+@query(f"WITH {HOURLY}, o AS (SELECT unnest(range(6)) AS k) SELECT series_id, k::BIGINT AS origin, CASE WHEN i - 84 * k < 168 THEN 'train' ELSE 'test' END AS part, (CASE WHEN i - 84 * k < 168 THEN i - 84 * k ELSE i - 84 * k - 168 END)::BIGINT AS at, y FROM p JOIN o ON i >= 84 * k AND i < 84 * k + 216 AND 84 * k + 216 <= 720")
+def rolling_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.rolling_origins(hourly(spark, sf_dir).drop("n"), 168, 48, 6).withColumn("origin", F.col("origin").cast("long"))
+
+
+@query(f"WITH {NAIVE}, lastv AS (SELECT series_id, arg_max(y, i) AS v FROM tr GROUP BY 1), s AS (SELECT fc.series_id, avg(abs(actual - pred)) AS a, avg(abs(actual - v)) AS b FROM fc JOIN lastv USING (series_id) GROUP BY 1) SELECT round(avg(a), 6) AS mean_base, round(avg(b), 6) AS mean_other, round(100 * (avg(b) / avg(a) - 1), 6) AS delta_pct, count(*) FILTER (b < a) AS wins, round(max(b / a - 1), 6) AS worst, count(*) AS n FROM s")
+def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc, train = _naive_forecasts(spark, sf_dir)
+    last = train.groupBy("series_id").agg(F.max_by("y", "i").alias("v"))
+    scores = fc.join(last, "series_id").groupBy("series_id").agg(F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("a"), F.avg(F.abs(F.col("actual") - F.col("v"))).alias("b"))
+    out = evaluate.report(scores, "a", "b")
+    return out.select(*[r6(c).alias(c) for c in ("mean_base", "mean_other", "delta_pct")], "wins", r6("worst").alias("worst"), "n")
+
+
+@query(f"WITH {NAIVE}, lastv AS (SELECT series_id, arg_max(y, i) AS v FROM tr GROUP BY 1), s AS (SELECT fc.series_id, avg(abs(actual - pred)) AS m, avg(abs(actual - v)) AS b FROM fc JOIN lastv USING (series_id) GROUP BY 1) SELECT round(exp(avg(ln(greatest(m / b, 1e-10)))), 6) AS relative, count(*) AS matched FROM s WHERE series_id <> 'view' AND b <> 0")
+def geo_mean_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc, train = _naive_forecasts(spark, sf_dir)
+    last = train.groupBy("series_id").agg(F.max_by("y", "i").alias("v"))
+    base = fc.join(last, "series_id").groupBy("series_id").agg(F.avg(F.abs(F.col("actual") - F.col("v"))).alias("mae")).filter("series_id != 'view'")
+    return evaluate.relative(evaluate.errors(fc), base, "mae", "series_id").select(r6("relative").alias("relative"), "matched")
+
+
+@query(f"WITH {NAIVE}, qq AS (SELECT series_id, quantile_cont(y, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS v FROM tr GROUP BY 1), ql AS (SELECT series_id, unnest(v) AS value, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS quantile FROM qq), ls AS (SELECT ql.series_id, quantile, 2 * sum(abs((value - actual) * ((actual <= value)::INT::DOUBLE - quantile))) / sum(abs(actual)) AS l FROM ql JOIN fc USING (series_id) GROUP BY 1, 2) SELECT series_id, round(avg(l), 6) AS wql FROM ls GROUP BY 1")
+def quantile_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc, train = _naive_forecasts(spark, sf_dir)
+    q = evaluate.quantiles(train.withColumnRenamed("y", "value"), [k / 10 for k in range(1, 10)], ["series_id"])
+    return evaluate.quantile_loss(q.join(fc.select("series_id", "step", "actual"), "series_id")).select("series_id", r6("wql").alias("wql"))
+
+
+@query(f"WITH {HOURLY}, k AS (SELECT series_id, (i % 24)::BIGINT AS step, y AS value FROM p), a AS (SELECT series_id, step, avg(value) AS mean, median(value) AS median, quantile_cont(value, [0.1, 0.25, 0.75, 0.9]) AS q FROM k GROUP BY 1, 2) SELECT series_id, step, round(mean, 6) AS mean, median, round(q[1], 6) AS q10, round(q[2], 6) AS q25, round(q[3], 6) AS q75, round(q[4], 6) AS q90 FROM a")
+def point_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hourly(spark, sf_dir).select("series_id", (F.col("i") % 24).cast("long").alias("step"), F.col("y").alias("value"))
+    keys = ["series_id", "step"]
+    q = evaluate.quantiles(rows, [0.1, 0.25, 0.75, 0.9], keys).groupBy(*keys).pivot("quantile", [0.1, 0.25, 0.75, 0.9]).agg(F.first("value"))
+    q = q.toDF(*keys, "q10", "q25", "q75", "q90")
+    out = evaluate.point(rows, "mean", keys).withColumnRenamed("pred", "mean").join(evaluate.point(rows, "median", keys).withColumnRenamed("pred", "median"), keys).join(q, keys)
+    return out.select(*keys, r6("mean").alias("mean"), "median", *[r6(c).alias(c) for c in ("q10", "q25", "q75", "q90")])
+
+
+# ---- Forecasts: seeded sampling is beyond SQL; tests hold them to invariants ----
+
+
+@query()
+def forecast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: sample paths of two days for each event type's seasonal hourly counts."""
+    return PanelForecaster("H", 50).forecast(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 48)
+
+
+@query()
+def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PanelForecaster("H").forecast(hourly(spark, sf_dir).select("series_id", "ts", "y"), 48, output="quantiles")
+
+
+@query()
+def forecast_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _exog_rows(spark, sf_dir).select("series_id", "ts", "i", "y", "x1", "x2")
+    future = rows.filter("i >= 696").select("series_id", (F.col("i") - 696).cast("int").alias("step"), "x1", "x2")
+    return PanelForecaster("H", 50).forecast(rows.drop("i"), 24, exog=["x1", "x2"], future=future)
+
+
+@query()
+def forecast_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide panel: monthly order totals of each customer, with gaps."""
+    rows = table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    return PanelForecaster("M", 50).forecast(panels.sums(rows, "o_custkey", "o_orderdate", "o_totalprice", "month"), 6, output="quantiles", quantiles=(0.1, 0.5, 0.9))
+
+
+@query()
+def backtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PanelForecaster("H", 50).backtest(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 480, 24, 3, 24)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_samples(spark, sf_dir)
