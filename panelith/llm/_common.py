@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +46,30 @@ def ship(spark: SparkSession) -> None:
 
 def _forget(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
+        spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[1]}`")
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the writing query go when it ends; the table goes with the session.
+    The shuffle files of the writing query go when it ends; the table goes with the session. by: a column into whose hash
+    buckets the table is split, so that joins on it needn't shuffle the table again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     old = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        if by:
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(n, by).write.option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(name)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     app = spark.sparkContext.applicationId
@@ -69,17 +77,43 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         _tables[app] = []
         atexit.register(lambda: [_forget(spark, p) for p in _tables.pop(app, [])])
     _tables[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(name) if by else spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote and that is no longer needed."""
-    spark = df.sparkSession
-    for path in _tables.get(spark.sparkContext.applicationId, []):
-        if any(path.rsplit("/", 1)[1] in f for f in df.inputFiles()[:1]):
+def mark(spark: SparkSession) -> int:
+    """How many tables materialise() has written so far."""
+    return len(_tables.get(spark.sparkContext.applicationId, []))
+
+
+def forget_since(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since mark(), but for those that are to stay: nothing may read the others any more."""
+    spark = keep[0].sparkSession
+    stay = {f.rsplit("/", 2)[1] for df in keep for f in df.inputFiles()}
+    for path in _tables.get(spark.sparkContext.applicationId, [])[since:]:
+        if path.rsplit("/", 1)[1] not in stay:
             _forget(spark, path)
 
 
+def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter, with two bits for each number of the column hash. The driver gets 2^bits bits at most, however many there are."""
+    low = F.lit((1 << bits) - 1)
+    bit = F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", bits).bitwiseAND(low))).alias("bit")
+    rows = hashes.select(bit).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["map"], np.uint8)[: len(out) - at]
+    return out
+
+
+def in_bloom(bitmap: np.ndarray, bits: int, x: np.ndarray) -> np.ndarray:
+    """The places of those numbers (unsigned) that may be in the filter."""
+    low = np.uint64((1 << bits) - 1)
+    has = lambda b: (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    at = np.flatnonzero(has(x & low))
+    return at[has(x[at] >> np.uint64(bits) & low)]
+
+
 def number_rows(df: DataFrame, within: tuple[str, ...] = (), buckets: int = 512, out: str = "row_no") -> DataFrame:
     """Number the rows 0, 1, ... in each group of `within` (none: the whole table), in an order
     that depends on the rows' values only.

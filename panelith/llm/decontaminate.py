@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import materialise, ship, table
+from panelith.llm._common import bloom, in_bloom, materialise, ship, table
 from panelith.llm._words import Words, slices
 
 #: Fixed masks: 1 takes a word, 0 passes over it.
@@ -76,18 +76,6 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, Dat
     return rows.mapInArrow(word_rows, "item long, item_id long, words binary"), rows.select("item", "text").mapInArrow(seed_rows, "hash long, mask int, item long, item_at int")
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of two bits a hash. The driver gets 2^bits bits at most, whatever the size of the benchmark."""
-    low = F.lit((1 << bits) - 1)
-    bit = F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", bits).bitwiseAND(low))).alias("bit")
-    rows = hashes.select(bit).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map")).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        at = (r["b"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["map"], np.uint8)[: len(out) - at]
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, equal: float = MIN_EQUAL, bits: int = BITS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): the longest overlap of each document and item.
 
@@ -101,23 +89,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     ship(spark)
     items, item_seeds = _items(benchmark, masks)
     item_seeds = materialise(item_seeds, "item-seeds")
-    filled = spark.sparkContext.broadcast(_bitmap(item_seeds, bits))
+    filled = spark.sparkContext.broadcast(bloom(item_seeds, bits))
     schema = "doc_id long, words binary, hits array<struct<hash:long,mask:int,at:int>>"
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("mask", pa.int32()), ("at", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, low, shift = filled.value, np.uint64((1 << bits) - 1), np.uint64(bits)
-
-        def has(x: np.ndarray) -> np.ndarray:
-            return (bitmap[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
         for b in batches:
             for at, n in slices(b.column(1)):
                 w = Words(b.column(1).slice(at, n), True)
                 got = []
                 for m, first, h in seeds(w, masks):
-                    keep = np.flatnonzero(has(h & low))
-                    keep = keep[has(h[keep] >> shift & low)]
+                    keep = in_bloom(filled.value, bits, h)
                     got.append((first[keep], h[keep], np.full(len(keep), m, np.int32)))
                 first, h, m = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(first, kind="stable")

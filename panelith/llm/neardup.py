@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import materialise, ship, table
+from panelith.llm._common import bloom, forget_since, in_bloom, mark, materialise, ship, table
 from panelith.llm._words import Words, mix, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
 REGISTERS = 128
 ROWS = 5  # registers in a band
+BLOCKS = 128
+BITS = 26  # of the filter of texts that share a bucket
+TURNS = 1  # times that large buckets are compared with further leaders before what is left is compared in full
+SMALL = 16  # members of a bucket up to which pairs between its components are all compared
 
 
 def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def text_id(text: Column) -> Column:
 def _fold_links(links: DataFrame) -> DataFrame:
     """(id, root) of all ids in links (a, b): the smallest id that is connected. By alternating large and small stars, each a join of narrow rows."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges, before = materialise(edges, "edges"), None
+    edges = materialise(edges, "edges")
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -111,15 +115,14 @@ def _fold_links(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-            return roots.unionAll(edges.select("v", "v").distinct().toDF("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
-        before = now
+        # Done when each id has one neighbour below it, and that has none.
+        odd = edges.join(edges.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").select("u").unionAll(edges.groupBy("u").count().filter("count > 1").select("u"))
+        if odd.isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, bands) of each distinct text: the smallest doc_id, and the bands (null if it has no words)."""
+    """(id, doc_id, bands, size) of each distinct text: the smallest doc_id, the bands (null if it has no words) and the number of shingles."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,42 +131,142 @@ def _texts(docs: DataFrame) -> DataFrame:
                 w = Words(b.column(2).slice(at, n), True)
                 row, h, count = shingles(w)
                 own = bands(signatures(row, h, count, n)).view(np.int64)
-                some = np.diff(w.first) > 0
+                count = np.diff(w.first)
+                some = count > 0
+                size = np.where(some, np.maximum(count - SHINGLE + 1, 1), 0).astype(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * own.shape[1]), pa.array(own.ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), flat.cast(kind)], names=["id", "doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), flat.cast(kind), pa.array(size)], names=["id", "doc_id", "bands", "size"])
 
     rows = docs.filter("text is not null").select(text_id(F.col("text")).alias("id"), F.col("doc_id"), F.col("text"))
-    signed = rows.mapInArrow(run, "id binary, doc_id long, bands array<long>")
-    return signed.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands", ignorenulls=True).alias("bands"))
+    signed = rows.mapInArrow(run, "id binary, doc_id long, bands array<long>, size long")
+    return signed.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands", ignorenulls=True).alias("bands"), F.max("size").alias("size"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) of text ids whose multisets' similarity is at least `similar`."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, h, n): the sorted shingle hashes and their counts (empty if all are 1) of each text in ids, and of few others.
+
+    A filter of fixed size passes over texts that aren't wanted where they are read, so no text is shuffled.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.select(_start(F.col("id")).alias("hash")), BITS))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            start = np.array([int.from_bytes(x[:8], "big") for x in b.column(0).to_pylist()], np.uint64)
+            b = b.take(pa.array(in_bloom(wanted.value, BITS, start)))
             for at, n in slices(b.column(1)):
                 row, h, count = shingles(Words(b.column(1).slice(at, n), True))
                 ends = np.searchsorted(row, np.arange(n + 1))
                 cut = list(zip(ends[:-1], ends[1:], strict=True))
-                cols = [pa.array([x[a:z].tobytes() for a, z in cut], pa.binary()) for x in (h, count.astype(np.uint32))]
+                short = (h >> np.uint64(32)).astype(np.uint32)  # in the order of h; enough to tell the shingles of two texts apart
+                counts = count.astype(np.uint32)
+                cols = [pa.array([short[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([b"" if (counts[a:z] == 1).all() else counts[a:z].tobytes() for a, z in cut], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *cols], names=["id", "h", "n"])
 
+    rows = docs.filter("text is not null").select(text_id(F.col("text")).alias("id"), "text").mapInArrow(run, "id binary, h binary, n binary")
+    return materialise(rows.groupBy("id").agg(F.first("h").alias("h"), F.first("n").alias("n")), "sets", by="id")
+
+
+def _set(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(h, np.uint32)
+    return hashes, np.frombuffer(n, np.uint32).astype(np.int64) if n else np.ones(len(hashes), np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Those pairs (a, b) of text ids whose multisets' similarity is at least `similar`."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = lambda h, n: (np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                keep = [jaccard(get(h1, n1), get(h2, n2)) >= similar for h1, n1, h2, n2 in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+                keep = [jaccard(_set(h1, n1), _set(h2, n2)) >= similar for h1, n1, h2, n2 in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.filter("text is not null").select(text_id(F.col("text")).alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    own = materialise(texts.mapInArrow(sets, "id binary, h binary, n binary"), "shingles")
-    left, right = own.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("n").alias("n1")), own.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("n").alias("n1")), sets.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2"))
     return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "n1", "h2", "n2").mapInArrow(check, "a binary, b binary"), "links")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, h, id, root, largest, members) of buckets whose members (band, h, id) are in several components; largest: the one with the most of them."""
+    rooted = members.join(roots, "id", "left").select("band", "h", "id", F.coalesce("root", "id").alias("root"))
+    sizes = rooted.groupBy("band", "h", "root").count()
+    mixed = sizes.groupBy("band", "h").agg(F.count(F.lit(1)).alias("roots"), F.sum("count").alias("members"), F.max(F.struct("count", "root"))["root"].alias("largest")).filter("roots > 1").drop("roots")
+    return rooted.join(mixed, ["band", "h"])
+
+
+def _overlaps(x: str, y: str, similar: float) -> Column:
+    """Whether the texts of two structs (size, shared, blocks) may be similar at all.
+
+    Their overlap is at most what either shares with other components, and at most the sum over blocks of hashes of the smaller number of such shingles.
+    """
+
+    def near(both: Column) -> Column:
+        return both >= similar * (F.col(f"{x}.size") + F.col(f"{y}.size") - both)
+
+    blocks = F.aggregate(F.zip_with(f"{x}.blocks", f"{y}.blocks", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    return near(F.least(f"{x}.shared", f"{y}.shared")) & near(blocks)
+
+
+def _across(rows: DataFrame, similar: float, bounded: bool) -> DataFrame:
+    """Pairs (a, b) of members in different components of a bucket, one of them outside the largest. bounded: rows have facts (size, shared, blocks), and pairs that these rule out aren't made."""
+    outside = rows.filter("root != largest").select(F.col("band").alias("_band"), F.col("h").alias("_h"), F.col("id").alias("x"), F.col("root").alias("x_root"), *[F.col("facts").alias("x_facts")] * bounded)
+    apart = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id")))
+    same = (F.col("band") == F.col("_band")) & (F.col("h") == F.col("_h")) & apart
+    met = outside.join(rows, same & _overlaps("facts", "x_facts", similar) if bounded else same)
+    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+
+
+def _stars(rows: DataFrame, turn: int, similar: float) -> DataFrame:
+    """Pairs of some members of each bucket with all members of other components: first the member with the largest share of shared shingles, in later turns others by a hash."""
+    own = F.struct("id", "root", "facts")
+    turns = [F.struct(F.col("facts.shared") / F.col("facts.size"), "id")] if turn == 0 else [F.struct(F.xxhash64("id", F.lit(4 * turn + k)), "id") for k in range(4)]
+    heads = rows.groupBy("band", "h").agg(*[F.max_by(own, t).alias(f"_{i}") for i, t in enumerate(turns)])
+    heads = heads.select(F.col("band").alias("_band"), F.col("h").alias("_h"), F.explode(F.array(*[f"_{i}" for i in range(len(turns))])).alias("_x")).select("_band", "_h", "_x", F.col("_x.facts").alias("x_facts"))
+    met = rows.join(heads, (F.col("band") == F.col("_band")) & (F.col("h") == F.col("_h")) & (F.col("root") != F.col("_x.root")) & _overlaps("facts", "x_facts", similar))
+    return met.select(F.least("id", "_x.id").alias("a"), F.greatest("id", "_x.id").alias("b")).distinct()
+
+
+def _start(id_: Column) -> Column:
+    """The first half of a text's id as a number."""
+    return F.conv(F.hex(F.substring(id_, 1, 8)), 16, -10).cast("long")
+
+
+def _spread(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(t, h, c): each shingle's hash and count of the texts in ids; t: see _start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [_set(h, n) for h, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                size = [len(h) for h, _ in own]
+                t = np.repeat(part.column(0).to_numpy(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate([h for h, _ in own]).astype(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], names=["t", "h", "c"])
+
+    return sets.join(ids.select("id"), "id", "left_semi").select(_start(F.col("id")), "h", "n").mapInArrow(run, "t long, h long, c int")
+
+
+def _facts(spread: DataFrame, sized: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, facts): a struct of size, shared (how many shingles a text of another component has too) and blocks (these by a hash into BLOCKS)."""
+    comp = sized.join(roots, "id", "left").select("id", "size", _start(F.col("id")).alias("t"), F.coalesce("root", "id").alias("root"))
+    rows = spread.join(comp.select("t", "root"), "t")
+    common = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a != z").select("h")
+    shared = rows.join(common, "h").groupBy("t", F.pmod("h", F.lit(BLOCKS)).cast("int").alias("k")).agg(F.sum("c").cast("int").alias("c"))
+    shared = shared.groupBy("t").agg(F.sum("c").alias("shared"), F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    return comp.join(shared, "t", "left").select("id", F.struct("size", F.coalesce("shared", F.lit(0)).alias("shared"), blocks.alias("blocks")).alias("facts"))
+
+
+def _hopeful(rows: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
+    """rows of buckets with facts, without those that can't be similar to any member of another component.
+
+    A changed word gives shingles of its own, or its component's own. In a large group of changed copies this tells exactly which may be linked at all, without pairs.
+    """
+    sized = materialise(rows.join(facts, "id"), "sized")
+    least = sized.groupBy("band", "h").agg(F.min("facts.size").alias("least"))
+    size, shared = F.col("facts.size"), F.col("facts.shared")
+    return sized.join(least, ["band", "h"]).filter(shared >= similar * (size + F.greatest("least", shared) - shared)).drop("least")  # beside a partner of the best length
+
+
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(id, class_id, class_text, n_links) of each distinct text of docs (doc_id, text): its class by the smallest doc_id in it (null only if all are) and the text that has that.
 
@@ -174,28 +277,44 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Signatures are made where the rows are; distinct texts meet by band. Each bucket's first member is compared with the others,
     which settles most buckets in one go. Those that still hold several components have the members outside the largest one compared
-    with all members of other components, so no pair of a bucket stays unknown unless it is in one component anyway.
+    with all members of other components, so no pair of a bucket stays unknown unless it is in one component anyway, or, in
+    a bucket of more than SMALL, too many shingles of a text are in no other component for the pair to be similar.
     """
     spark = docs.sparkSession
     ship(spark)
+    since = mark(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = materialise(_texts(docs), "texts")
     banded = texts.filter("bands is not null").select("id", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "h", "first")
     members = materialise(banded.join(buckets, ["band", "h"]).select("band", "h", "first", "id"), "buckets")
     pairs = materialise(members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, docs, similar)
+    sets = _sets(docs, members.select("id").distinct())
+    links = _verified(pairs, sets, similar)
     roots = materialise(_fold_links(links), "roots")
-    rooted = members.drop("first").join(roots, "id", "left").select("band", "h", "id", F.coalesce("root", "id").alias("root"))
-    sizes = rooted.groupBy("band", "h", "root").count()
-    mixed = sizes.groupBy("band", "h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root"))["root"].alias("largest")).filter("roots > 1").drop("roots")
-    open_ = materialise(rooted.join(mixed, ["band", "h"]), "open")
-    outside = open_.filter("root != largest").select("band", "h", F.col("id").alias("x"), F.col("root").alias("x_root"))
-    rest = outside.join(open_, ["band", "h"]).filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
-    rest = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    open_ = materialise(_open(members.drop("first"), roots), "open")
+    # Small buckets: what is left is few pairs a member. Large ones: first another leader, then only pairs that may be similar.
+    few = _across(open_.filter(F.col("members") <= SMALL), similar, False)
+    large = open_.filter(F.col("members") > SMALL)
+    if not large.isEmpty():
+        large = large.select("band", "h", "id")
+        sized = materialise(texts.select("id", "size").join(large.select("id").distinct(), "id"), "sized")
+        spread = materialise(_spread(sized, sets), "spread")
+        for turn in range(TURNS + 1):
+            again = materialise(_hopeful(_open(large, roots), _facts(spread, sized, roots), similar), "again")
+            if turn == TURNS:
+                few = few.unionAll(_across(again, similar, True))
+                break
+            stars = materialise(_stars(again, turn, similar).join(pairs, ["a", "b"], "left_anti"), "stars")
+            if stars.isEmpty():
+                few = few.unionAll(_across(again, similar, True))
+                break
+            pairs = pairs.unionAll(stars)
+            links = links.unionAll(_verified(stars, sets, similar))
+            roots = materialise(_fold_links(links), "roots")
+    rest = materialise(few.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _verified(rest, docs, similar)
+        more = _verified(rest, sets, similar)
         if not more.isEmpty():
             links = links.unionAll(more)
             roots = materialise(_fold_links(links), "roots")
@@ -204,7 +323,9 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     of = materialise(of, "of")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "id"))
     heads = of.groupBy("root").agg(head.alias("head")).select("root", F.col("head.doc_id").alias("class_id"), F.col("head.id").alias("class_text"))
-    return of.join(heads, "root").select("id", "class_id", "class_text", "n_links")
+    out = materialise(of.join(heads, "root").select("id", "class_id", "class_text", "n_links"), "classes")
+    forget_since(since, out)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
