@@ -36,7 +36,7 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 MIN_PAGES = 4
 CONSTANT = 0.8
-MOST_OF_PAGE = 0.3
+MOST_OF_ARTICLE, MOST_OF_PAGE = 0.3, 0.9
 
 
 @dataclass
@@ -236,19 +236,21 @@ def extract(blocks: list[Block], template: set[tuple[str, int]], slots: dict[str
     """The content of a page: blocks that are neither beside it by their elements nor constant in its host's template.
 
     If the page has an article or main element with text, only what is in such. The template is passed over where it would take more than
-    MOST_OF_PAGE of that text: then the host's pages are copies of each other, not pages with one wrapper. Headings of articles are content.
+    MOST_OF_ARTICLE of that text (MOST_OF_PAGE where there is no such element): then the host's pages are copies of each other, not pages with one wrapper.
+    Headings of articles are content.
     """
     own = [b for b in blocks if not b.aside]
+    most = MOST_OF_PAGE
     if any(b.main for b in own):
-        own = [b for b in own if b.main]
+        own, most = [b for b in own if b.main], MOST_OF_ARTICLE
     rest = [b for b in own if b.main and b.heading or not template or (slots.get(b.path, b.path), _hash(b.text)) not in template]
-    if sum(len(b.text) for b in rest) < (1 - MOST_OF_PAGE) * sum(len(b.text) for b in own):
+    if sum(len(b.text) for b in rest) < (1 - most) * sum(len(b.text) for b in own):
         rest = own
     return " ".join(b.text for b in rest)
 
 
 def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
-    """(host, path, slot, hash): a host's aligned paths (hash null) and constant nodes (path and slot null).
+    """(host, path, slot, text): a host's aligned paths (text 0) and its constant nodes by slot and the text's hash (path null).
 
     Distinct skeletons and distinct pages are counted with partial aggregation, so a hot host or a copied page is small before it is
     shuffled; only a host's distinct skeletons meet, to be aligned. A text is constant in a slot if at least min_pages
@@ -285,7 +287,7 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONST
     counts = nodes.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     of_slot = nodes.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
     fixed = counts.join(of_slot, ["host", "slot"]).filter(F.col("n") >= constant * F.col("pages")).select("host", "slot", "text")
-    return slots.select("host", "path", "slot", F.lit(None).cast("long").alias("text")).unionAll(fixed.select("host", F.lit(None).cast("string"), "slot", "text"))
+    return slots.select("host", "path", "slot", F.lit(0).cast("long").alias("text")).unionAll(fixed.select("host", F.lit(None).cast("string"), "slot", "text"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
