@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelith.llm import decontaminate, language, neardup, packing, secrets
-from panelith.llm._common import materialise, table
+from panelith.llm._common import forget_since, mark, materialise, table
+
+BROADCAST_ROWS = 500_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +24,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go. They go by their text's hash, so null and repeated doc_ids don't matter."""
-    key = F.xxhash64("text")
+    key, since = F.xxhash64("text"), mark(spark)
     hit = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    hit = materialise(hit, "contaminated")
+    forget_since(since, hit)
+    small = hit.count() <= BROADCAST_ROWS  # a number each; beyond that both sides are shuffled
+    return docs.join(F.broadcast(hit) if small else hit, key == F.col("_hit"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
