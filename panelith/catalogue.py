@@ -48,6 +48,11 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def off(c: Column | str) -> Column:
+    """Rounded for comparison, off the ties that means of cents fall on."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-7, 6)
+
+
 def r6(c: Column | str) -> Column:
     """Rounded for comparison, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -201,9 +206,9 @@ def item_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Cleaning ----
 
 
-@query(f"WITH {DAILY}, {FILL} SELECT series_id, ts, round(y, 6) AS y FROM g")
+@query(f"WITH {DAILY}, {FILL} SELECT series_id, ts, round(y + 1e-7, 6) AS y FROM g")
 def interp_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.interpolate(daily_sums(spark, sf_dir)).select("series_id", "ts", r6("y").alias("y"))
+    return clean.interpolate(daily_sums(spark, sf_dir)).select("series_id", "ts", off("y").alias("y"))
 
 
 @query(f"WITH {DAILY}, {FILL}, k AS (SELECT series_id, arg_max(y, i) AS last FROM g GROUP BY 1) SELECT series_id, s::BIGINT AS step, round(last, 2) AS x FROM k, (SELECT unnest(range(5)) AS s)")
@@ -214,10 +219,10 @@ def exog_interp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", F.col("step").cast("long").alias("step"), F.round("x", 2).alias("x"))
 
 
-@query(f"WITH {DAILY}, {FILL}, e AS (SELECT series_id, i, y - 250000 AS y FROM g) SELECT series_id, i, round(greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0), 6) AS shift, round(y + greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0), 6) AS y FROM e")
+@query(f"WITH {DAILY}, {FILL}, e AS (SELECT series_id, i, y - 250000 AS y FROM g) SELECT series_id, i, round(greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0) + 1e-7, 6) AS shift, round(y + greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0) + 1e-7, 6) AS y FROM e")
 def positivity_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clean.positivity_shift(clean.interpolate(daily_sums(spark, sf_dir)).withColumn("y", F.col("y") - 250000))
-    return out.select("series_id", F.col("i").cast("long").alias("i"), F.round("shift", 6).alias("shift"), F.round("y", 6).alias("y"))
+    return out.select("series_id", F.col("i").cast("long").alias("i"), off("shift").alias("shift"), off("y").alias("y"))
 
 
 @query(f"WITH {HOURLY} SELECT series_id, arg_max(y, i) AS last_y, greatest(stddev_pop(d), 1e-6) AS sigma FROM (SELECT *, y - lag(y) OVER (PARTITION BY series_id ORDER BY i) AS d FROM p WHERE i >= 718) GROUP BY 1")
@@ -301,9 +306,9 @@ def short_series_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Folding, shapes, levels ----
 
 
-@query(f"WITH {DAILY}, {FILL}, n AS (SELECT series_id, count(*) AS n FROM g GROUP BY 1) SELECT series_id, (i - (n - 500 * 2))::BIGINT AS i, round(y, 6) AS y FROM g JOIN n USING (series_id) WHERE n // 2 > 500 AND i >= n - 1000 UNION ALL SELECT series_id, i::BIGINT, round(y, 6) FROM g JOIN n USING (series_id) WHERE n // 2 <= 500")
+@query(f"WITH {DAILY}, {FILL}, n AS (SELECT series_id, count(*) AS n FROM g GROUP BY 1) SELECT series_id, (i - (n - 500 * 2))::BIGINT AS i, round(y + 1e-7, 6) AS y FROM g JOIN n USING (series_id) WHERE n // 2 > 500 AND i >= n - 1000 UNION ALL SELECT series_id, i::BIGINT, round(y + 1e-7, 6) FROM g JOIN n USING (series_id) WHERE n // 2 <= 500")
 def level_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.truncate(clean.interpolate(daily_sums(spark, sf_dir)), 2).select("series_id", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("y"))
+    return fold.truncate(clean.interpolate(daily_sums(spark, sf_dir)), 2).select("series_id", F.col("i").cast("long").alias("i"), off("y").alias("y"))
 
 
 @query(f"WITH {FOLDED} SELECT series_id, nc::BIGINT AS nc, period_idx::BIGINT AS period_idx, level FROM l")
