@@ -76,7 +76,7 @@ class Words:
         return mix(h)
 
 
-def slices(col: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, budget: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """(first row, number of rows) of parts of about `budget` bytes, at least one row each."""
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at, n = 0, len(size)

@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     A filter of fixed size passes over texts that aren't wanted where they are read, so no text is shuffled.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.select(_start(F.col("id")).alias("hash")), BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.select(id_start(F.col("id")).alias("hash")), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,13 +225,13 @@ def _stars(rows: DataFrame, turn: int, similar: float) -> DataFrame:
     return met.select(F.least("id", "_x.id").alias("a"), F.greatest("id", "_x.id").alias("b")).distinct()
 
 
-def _start(id_: Column) -> Column:
+def id_start(id_: Column) -> Column:
     """The first half of a text's id as a number."""
     return F.conv(F.hex(F.substring(id_, 1, 8)), 16, -10).cast("long")
 
 
 def _spread(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(t, h, c): each shingle's hash and count of the texts in ids; t: see _start."""
+    """(t, h, c): each shingle's hash and count of the texts in ids; t: see id_start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,12 +242,12 @@ def _spread(ids: DataFrame, sets: DataFrame) -> DataFrame:
                 t = np.repeat(part.column(0).to_numpy(), size)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate([h for h, _ in own]).astype(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], names=["t", "h", "c"])
 
-    return sets.join(ids.select("id"), "id", "left_semi").select(_start(F.col("id")), "h", "n").mapInArrow(run, "t long, h long, c int")
+    return sets.join(ids.select("id"), "id", "left_semi").select(id_start(F.col("id")), "h", "n").mapInArrow(run, "t long, h long, c int")
 
 
 def _facts(spread: DataFrame, sized: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, facts): a struct of size, shared (how many shingles a text of another component has too) and blocks (these by a hash into BLOCKS)."""
-    comp = sized.join(roots, "id", "left").select("id", "size", _start(F.col("id")).alias("t"), F.coalesce("root", "id").alias("root"))
+    comp = sized.join(roots, "id", "left").select("id", "size", id_start(F.col("id")).alias("t"), F.coalesce("root", "id").alias("root"))
     rows = spread.join(comp.select("t", "root"), "t")
     common = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a != z").select("h")
     shared = rows.join(common, "h").groupBy("t", F.pmod("h", F.lit(BLOCKS)).cast("int").alias("k")).agg(F.sum("c").cast("int").alias("c"))
@@ -348,4 +348,4 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import materialise, ship, table
+from panelith.llm._common import forget_since, mark, materialise, ship, table
 from panelith.llm._words import Words, slices
-from panelith.llm.neardup import text_id
+from panelith.llm.neardup import id_start, text_id
 
 WINDOW = 20
 ANCHOR = 8  # words of an anchor; each window holds WINDOW - ANCHOR + 1 candidates for its own
-SPANS = "array<struct<at:int,n:int,source_doc:long,source_id:binary,source_at:int>>"
+SPANS = "array<struct<at:int,n:int,source_doc:long,source_tie:long,source_at:int>>"
 
 
 def anchors(words: Words, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
-    """(anchor, id, at) of the anchors that are at more than one place of the distinct texts. Anchors go by a 64-bit hash; one hash too many only costs time."""
+    """(t, at) of the anchors that are at more than one place of the distinct texts; t: the first half of a text's id. Anchors and texts go by 64 bits here: one place too many only costs time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,16 +50,16 @@ def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
                 _, place, h = anchors(w, window, size)
                 place, first = np.unique(place, return_index=True)
                 row = w.row[place]
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), b.column(0).slice(at, n).take(pa.array(row)), pa.array((place - w.first[row]).astype(np.int32))], names=["anchor", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), b.column(0).slice(at, n).take(pa.array(row)), pa.array((place - w.first[row]).astype(np.int32))], names=["anchor", "t", "at"])
 
-    rows = _keyed(docs).select("id", "text").mapInArrow(run, "anchor long, id binary, at int")
-    place = F.xxhash64("id", "at")  # the same for copies of a text
+    rows = _keyed(docs).select(id_start(F.col("id")).alias("t"), "text").mapInArrow(run, "anchor long, t long, at int")
+    place = F.xxhash64("t", "at")  # the same for copies of a text
     many = materialise(rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("anchor"), "anchors")
-    return rows.join(many, "anchor").select("id", "at")
+    return rows.join(many, "anchor").select("t", "at")
 
 
 def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
-    """(w1, w2, doc_id, id, at): two independent hashes and the coordinates of each window of texts (doc_id, id, text, places) whose anchor is one of places."""
+    """(w1, w2, doc_id, tie, at): two independent hashes and the coordinates of each window of texts (doc_id, tie, text, places) whose anchor is one of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,55 +77,67 @@ def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
                 for lo in range(0, len(first), 1 << 16):
                     cut = slice(lo, lo + (1 << 16))
                     idx = pa.array(row[cut])
-                    yield pa.RecordBatch.from_arrays([hashes[0][cut], hashes[1][cut], part.column(0).take(idx), part.column(1).take(idx), pa.array((first[cut] - w.first[row[cut]]).astype(np.int32))], names=["w1", "w2", "doc_id", "id", "at"])
+                    yield pa.RecordBatch.from_arrays([hashes[0][cut], hashes[1][cut], part.column(0).take(idx), part.column(1).take(idx), pa.array((first[cut] - w.first[row[cut]]).astype(np.int32))], names=["w1", "w2", "doc_id", "tie", "at"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, id binary, at int")
+    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, tie long, at int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
     """(id, doc_id, spans) of each distinct text (id: see text_id; doc_id: the smallest that has it) with words that repeat an earlier place.
 
     An edge is a window of `window` words. It is repeated if the same words start earlier: in a smaller doc_id (null
-    is the smallest; of equal doc_ids, by the text's id), or earlier in the document. spans: maximal paths (at, n, source_doc, source_id,
+    is the smallest; of equal doc_ids, by tie, half of the text's id), or earlier in the document. spans: maximal paths (at, n, source_doc, source_tie,
     source_at) of neighbouring repeated edges whose first occurrences are neighbours too; n counts edges.
 
     Anchors that are unique in the corpus rule out most edges with narrow rows; edges of the others are counted by two
     64-bit hashes, with the first occurrence found by partial aggregation, and joined back. Copies of a text are left out first, so a hot text is one text.
     """
     ship(docs.sparkSession)
+    since = mark(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = _repeated_anchors(docs, window, size).groupBy("id").agg(F.collect_set("at").alias("places"))
+    places = _repeated_anchors(docs, window, size).groupBy("t").agg(F.collect_set("at").alias("places"))
     firsts = _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("doc_id"))
-    known = materialise(firsts.join(places, "id"), "places")
-    own = known.select(F.col("id").alias("own_id"), F.col("doc_id").alias("own_doc"), "places")
-    texts = _keyed(docs).join(own, (F.col("id") == F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_doc"))).select("doc_id", "id", "text", "places")
+    known = firsts.withColumn("t", id_start(F.col("id"))).join(places, "t")
+    # doc_id tells most texts apart; where it doesn't, tie does. So an edge needn't carry a text's id.
+    doubtful = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.lit(True).alias("many"))
+    known = known.join(doubtful, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("id", "doc_id", F.when(F.col("many"), F.col("t")).otherwise(F.lit(0).cast("long")).alias("tie"), "places")
+    known = materialise(known, "places")
+    own = known.select(F.col("id").alias("own_id"), F.col("doc_id").alias("own_doc"), "tie", "places")
+    texts = _keyed(docs).join(own, (F.col("id") == F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_doc"))).select("doc_id", "tie", "text", "places")
     edges = _windows(texts, window, size)
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "id", "at")
+    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "tie", "at")
     nodes = edges.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-    nodes = materialise(nodes.select("w1", "w2", F.col("first.doc_id").alias("source_doc"), F.col("first.id").alias("source_id"), F.col("first.at").alias("source_at")), "nodes")
-    again = edges.join(nodes, ["w1", "w2"]).filter((F.col("id") != F.col("source_id")) | (F.col("at") != F.col("source_at")))
+    nodes = materialise(nodes.select("w1", "w2", F.col("first.doc_id").alias("source_doc"), F.col("first.tie").alias("source_tie"), F.col("first.at").alias("source_at")), "nodes")
+    here = F.col("doc_id").eqNullSafe(F.col("source_doc")) & (F.col("tie") == F.col("source_tie")) & (F.col("at") == F.col("source_at"))
+    again = edges.join(nodes, ["w1", "w2"]).filter(~here).select("doc_id", "tie", "at", "source_doc", "source_tie", "source_at")
+    again = materialise(again, "again")  # the edges' shuffle files go before their sources are dealt out by document
     # Repeated rows of a document give the same edges; a set holds them once.
-    paths = again.groupBy("id", "doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "source_doc", "source_id", "source_at"))).alias("edges"))
-    return materialise(paths.mapInArrow(_paths, f"id binary, doc_id long, spans {SPANS}"), "spans")
+    paths = again.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("at", "source_doc", "source_tie", "source_at"))).alias("edges"))
+    names = known.select("id", F.col("doc_id").alias("d"), F.col("tie").alias("x"))
+    paths = paths.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("x"))).select("id", "doc_id", "edges")
+    out = materialise(paths.mapInArrow(_paths, f"id binary, doc_id long, spans {SPANS}"), "spans")
+    forget_since(since, out)
+    return out
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compact each text's repeated edges, in order, to paths."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_id", pa.binary()), ("source_at", pa.int32())]))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_tie", pa.int64()), ("source_at", pa.int32())]))
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
             edges = part.column(2)
             flat = edges.flatten()
             at, source = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source_at"))
-            source_id = np.array(flat.field("source_id").to_pylist(), dtype=object)
+            doc = flat.field("source_doc")
+            doc, none, tie = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), flat.field("source_tie").to_numpy()
             text = np.repeat(np.arange(len(part)), edges.value_lengths().to_numpy(zero_copy_only=False))
             new = np.ones(len(at), bool)
-            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (source_id[1:] != source_id[:-1])
+            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (tie[1:] != tie[:-1])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(at))).astype(np.int32)
             heads = flat.take(pa.array(first))
-            spans = pa.StructArray.from_arrays([heads.field("at"), pa.array(count), heads.field("source_doc"), heads.field("source_id"), heads.field("source_at")], fields=list(kind.value_type))
+            spans = pa.StructArray.from_arrays([heads.field("at"), pa.array(count), heads.field("source_doc"), heads.field("source_tie"), heads.field("source_at")], fields=list(kind.value_type))
             ends = np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), spans).cast(kind)], names=["id", "doc_id", "spans"])
 
