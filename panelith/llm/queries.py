@@ -24,5 +24,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS kept FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN kept <> page_id THEN kept END AS refers_to FROM k"""
+
+#: All pairs of texts that share a shingle, and their components: for small tables only.
+CLASSES_SQL = """WITH RECURSIVE t AS (SELECT min(doc_id) AS rep, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT rep, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+i AS (SELECT rep, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM w),
+b AS (SELECT rep, array_to_string(w[i + 1:i + 5], ' ') AS s, count(*) AS c FROM i GROUP BY ALL),
+n AS (SELECT rep, sum(c) AS n FROM b GROUP BY 1),
+p AS (SELECT x.rep AS a, y.rep AS b, sum(least(x.c, y.c)) AS o FROM b x JOIN b y ON x.s = y.s AND x.rep < y.rep GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.rep = p.a JOIN n nb ON nb.rep = p.b WHERE o >= 0.8 * (na.n + nb.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS id, rep AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+c AS (SELECT text, (SELECT min(root) FROM r WHERE r.id = t.rep) AS class_id FROM t)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN c USING (text)"""
+
+SPANS_SQL = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) AS h FROM p),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k),
+c AS (SELECT DISTINCT doc_id, i + j AS pos FROM f, (SELECT unnest(range(20)) AS j) WHERE r > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.pos) AS t, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_bag_minhash": CLASSES_SQL, "op8_warc_zstd": WARC_SQL, "op10_debruijn_spans": SPANS_SQL}

@@ -254,3 +254,20 @@ def test_spans_point_at_sources(spark):
     rows = [(1, prose(10, rng) + " " + passage), (2, passage + " " + prose(5, rng)), (3, prose(3, rng) + " " + passage)]
     spans = {r.doc_id: [(x["at"], x["n"], x.source_doc, x.source_at) for x in r.spans] for r in substring.repeated_spans(docs(spark, rows)).collect()}
     assert spans == {2: [(0, 51, 1, 10)], 3: [(3, 51, 1, 10)]}
+
+
+# ---- SQL ----
+
+
+@pytest.mark.parametrize("name", ["op6_bag_minhash", "op8_warc_zstd", "op10_debruijn_spans"])
+def test_sql(spark, name):
+    import duckdb
+
+    from panelith.llm.queries import oracle_sql
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    text = lambda df: sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert text(queries()[name](spark, sf).toPandas()) == text(con.sql(oracle_sql()[name]).df())
