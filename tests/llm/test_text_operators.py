@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -269,5 +270,5 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    text = lambda df: sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    text = lambda df: sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert text(queries()[name](spark, sf).toPandas()) == text(con.sql(oracle_sql()[name]).df())
