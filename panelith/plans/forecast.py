@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,11 +76,13 @@ class PanelForecaster:
 
         history: (series, ts, y, exog...), y null or NaN where missing; future: (series, step from 0, exog...), horizon rows each.
         Spark computes what depends on all rows of a series (length, least value, shift, whole numbers) and interpolates, then drops rows that
-        are too old for the kernel, so that a group has at most need() rows; then one shuffle-local group a series goes to the kernel.
+        are too old for the kernel, so that a group has at most need() rows; then the kernel walks the sorted partitions, a series at a time (with exogenous columns: a group a series).
         """
         clean.validate_request(horizon, self.freq, self.n_samples)
         clean.check_exog(history, future, exog, horizon, series)
         rows = history.select(F.col(series), F.col(ts), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double") for c in exog])
+        # Dealt out by number: sizes before the kernel say little about its work, so partitions mustn't be merged by size.
+        rows = rows.repartition(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), series)
         rows = clean.index_series(rows, series, ts).withColumn("seen", F.when(~F.isnan("y"), F.col("y")))
         rows = clean.interpolate(rows, "y", 0.0, series)
         for c in exog:
@@ -91,22 +94,67 @@ class PanelForecaster:
         narrow = output == "quantiles"
         levels = [float(q) for q in quantiles]
 
-        def run(pdf: pd.DataFrame, ahead: np.ndarray | None) -> pd.DataFrame:
-            pdf = pdf.sort_values("i")
-            key, first = pdf[series].iloc[0], pdf.iloc[0]
-            back = pdf["seen"].to_numpy()[-min(lookback, len(pdf)) :]
-            own = Series(pdf["y"].to_numpy(), int(first["n"]), float(first["shift"]), None if pd.isna(first["low"]) else float(first["low"]), back[~np.isnan(back)], bool(first["whole"]), pdf[cols].to_numpy().reshape(len(pdf), -1))
-            paths = sample_paths(own, horizon, freq, n_samples, seed_of(key) if seed is None else seed, ahead)
-            if narrow:
-                q = np.quantile(paths, levels, axis=0)
-                return pd.DataFrame({series: key, "step": np.tile(np.arange(horizon), len(levels)), "quantile": np.repeat(levels, horizon), "value": q.ravel()})
-            return pd.DataFrame({series: key, "sample_id": np.repeat(np.arange(n_samples), horizon), "step": np.tile(np.arange(horizon), n_samples), "value": paths.ravel()})
+        def paths_of(key: object, y_: np.ndarray, seen: np.ndarray, n: int, low: float, whole: bool, shift: float, x: np.ndarray, ahead: np.ndarray | None) -> np.ndarray:
+            back = seen[len(seen) - min(lookback, len(seen)) :]
+            own = Series(y_, n, shift, None if np.isnan(low) else low, back[~np.isnan(back)], whole, x)
+            out = sample_paths(own, horizon, freq, n_samples, seed_of(key) if seed is None else seed, ahead)
+            return np.quantile(out, levels, axis=0) if narrow else out
 
         kind = dict(rows.dtypes)[series]
         schema = f"{series} {kind}, step int, quantile double, value double" if narrow else f"{series} {kind}, sample_id int, step int, value double"
         keep = [series, "i", "n", "y", "seen", "low", "whole", "shift", *exog]
-        if not exog:
-            return rows.select(*keep).groupBy(series).applyInPandas(lambda pdf: run(pdf, None), schema)
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def table_of(keys: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+            """Rows for each key's matrix of values: a row of it for each sample or quantile, a column for each step."""
+            each = values[0].shape[0]
+            first, step = np.repeat(np.arange(each), horizon), np.tile(np.arange(horizon, dtype=np.int32), each)
+            own = keys.take(pa.array(np.repeat(np.arange(len(values)), each * horizon)))
+            step = np.tile(step, len(values))
+            value = pa.array(np.concatenate([v.ravel() for v in values]))
+            if narrow:
+                return pa.RecordBatch.from_arrays([own, pa.array(step), pa.array(np.tile(np.array(levels)[first], len(values))), value], names=names)
+            return pa.RecordBatch.from_arrays([own, pa.array(np.tile(first.astype(np.int32), len(values))), pa.array(step), value], names=names)
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Series after series of a sorted partition; holds one batch and one series at a time."""
+            rest: pa.Table | None = None
+
+            def done(t: pa.Table, whole: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+                place = t.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                cut = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
+                if not whole:
+                    cut = cut[:-1]
+                if len(cut) < 2:
+                    return None, t
+                col = {c: t.column(c).to_numpy() for c in keep[1:8]}
+                keys = t.column(0).combine_chunks().take(pa.array(cut[:-1]))
+                values = []
+                for key, lo, hi in zip(keys.to_pylist(), cut[:-1], cut[1:], strict=True):
+                    low = col["low"][lo]
+                    values.append(paths_of(key, col["y"][lo:hi], col["seen"][lo:hi], int(col["n"][lo]), np.nan if low is None else float(low), bool(col["whole"][lo]), float(col["shift"][lo]), np.zeros((hi - lo, 0)), None))
+                return table_of(keys, values), t.slice(cut[-1])
+
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                t = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
+                if t.num_rows:
+                    out, rest = done(t, False)
+                    if out is not None:
+                        yield out
+            if rest is not None and rest.num_rows:
+                yield done(rest, True)[0]
+
+        if not exog:  # a Python group for each series would cost far more than the forecasts of short series
+            return rows.select(*keep).sortWithinPartitions(series, "i").mapInArrow(stream, schema)
+
+        def run(pdf: pd.DataFrame, ahead: np.ndarray | None) -> pd.DataFrame:
+            pdf = pdf.sort_values("i")
+            first = pdf.iloc[0]
+            low = np.nan if pd.isna(first["low"]) else float(first["low"])
+            own = paths_of(first[series], pdf["y"].to_numpy(), pdf["seen"].to_numpy(), int(first["n"]), low, bool(first["whole"]), float(first["shift"]), pdf[cols].to_numpy().reshape(len(pdf), -1), ahead)
+            return table_of(pa.array([first[series]]), [own]).to_pandas()
+
         last = rows.groupBy(series).agg(*[F.max_by(c, "i").alias(f"_last_{c}") for c in exog])
         ahead = future.select(series, "step", *[F.col(c).cast("double") for c in exog]).join(last, series)
         for c in exog:
@@ -116,7 +164,7 @@ class PanelForecaster:
 
         def both(past: pd.DataFrame, nxt: pd.DataFrame) -> pd.DataFrame:
             if past.empty:
-                return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+                return pd.DataFrame(columns=names)
             return run(past, nxt.sort_values("step")[cols].to_numpy())
 
         return rows.select(*keep).groupBy(series).cogroup(ahead.groupBy(series)).applyInPandas(both, schema)
