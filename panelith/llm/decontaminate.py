@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 from panelith.llm._common import bloom, in_bloom, materialise, ship, table
 from panelith.llm._words import Words, slices
 
-#: Fixed masks: 1 takes a word, 0 passes over it.
-MASKS = ("111111", "1101011001", "110010100011", "1010010010101", "1011000110001", "100110010100001")
+#: Fixed masks: 1 takes a word, 0 passes over it. Each stretch of MIN_OVERLAP words or more with MIN_EQUAL equal words holds a seed of one
+#: of them: one that has no shorter such stretch in it has 12, 15 or 20 words with 2, 3 or 4 unequal ones, and a test enumerates all of those.
+MASKS = ("1110111", "11010010011", "110100001011")
 MIN_ITEM = 5
 MIN_OVERLAP = 12
 MIN_EQUAL = 0.8
@@ -24,20 +27,31 @@ def offsets(masks: tuple[str, ...] = MASKS) -> list[tuple[int, ...]]:
     return [tuple(i for i, c in enumerate(m) if c == "1") for m in masks]
 
 
-def seeds(words: Words, masks: tuple[str, ...], which: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(mask, first words, hashes) for each mask, then for whole items of MIN_ITEM words up to the widest mask as masks of their own.
+def whole_item(n: int, equal: float = MIN_EQUAL) -> list[tuple[int, ...]]:
+    """The words taken by the masks for a whole item of n words: whichever may be unequal, one of the masks passes over them.
 
-    which: rows to which whole-item masks are kept (benchmark items); None: all rows (documents).
+    The item is cut into blocks (words, if a mask would take few), and each mask leaves out as many as there may be unequal words.
     """
-    for m, own in enumerate(offsets(masks)):
-        at = words.runs(len(masks[m]))
-        yield m, at, words.combine(own, at, m)
-    for n in range(MIN_ITEM, max(map(len, masks))):
+    unequal = int(n * (1 - Fraction(equal).limit_denominator(10**6)))
+    blocks = np.array_split(np.arange(n), n if n - unequal <= 4 else unequal + 2)
+    return [tuple(int(i) for k, own in enumerate(blocks) if k not in out for i in own) for out in combinations(range(len(blocks)), unequal)]
+
+
+def seeds(words: Words, masks: tuple[str, ...], equal: float, which: np.ndarray | None = None, only: set[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(mask, first words, hashes) for each mask, then for those of whole items of MIN_ITEM words up to MIN_OVERLAP - 1.
+
+    which: rows to which whole-item masks are kept (benchmark items); None: all rows (documents). only: the masks that are wanted; None: all.
+    """
+    every = [(len(m), own, False) for m, own in zip(masks, offsets(masks), strict=True)]
+    every += [(n, own, True) for n in range(MIN_ITEM, MIN_OVERLAP) for own in whole_item(n, equal)]
+    size = np.diff(words.first)
+    for m, (n, own, whole) in enumerate(every):
+        if only is not None and m not in only:
+            continue
         at = words.runs(n)
-        if which is not None:
-            size = np.diff(words.first)
+        if whole and which is not None:
             at = at[size[words.row[at]] == n]
-        yield len(masks) + n, at, words.combine(tuple(range(n)), at, len(masks) + n)
+        yield m, at, words.combine(own, at, m)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, equal: float = MIN_EQUAL) -> tuple[int, int, int, int]:
@@ -54,7 +68,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, equal: float = MIN
     return lo + start + diagonal, lo + start, end - start, int(same[start:end].sum())
 
 
-def _items(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def _items(benchmark: DataFrame, masks: tuple[str, ...], equal: float) -> tuple[DataFrame, DataFrame]:
     """(item, item_id, words) and (hash, mask, item, item_at) of the benchmark."""
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +83,7 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, Dat
             for at, n in slices(b.column(1)):
                 w = Words(b.column(1).slice(at, n), True)
                 item = b.column(0).slice(at, n).to_numpy()
-                for m, first, h in seeds(w, masks, np.arange(n)):
+                for m, first, h in seeds(w, masks, equal, np.arange(n)):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), m, np.int32)), pa.array(item[w.row[first]]), pa.array((first - w.first[w.row[first]]).astype(np.int32))], names=["hash", "mask", "item", "item_at"])
 
     rows = materialise(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "items")
@@ -81,14 +95,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
     Words are split at ASCII white space and compared in lower case. A document and an item overlap if, with one shift between
     them, a stretch of at least min_overlap words (a shorter item: all of it) has a share of at least `equal` equal words, found
-    around a place where the words that a mask takes are all equal. Items under MIN_ITEM words match nothing. Documents pass a
+    around a place where the words that a mask takes are all equal; with the default values, each has such a place. Items under MIN_ITEM words match nothing. Documents pass a
     filter of fixed size first and only those with a hit go on, with their words' hashes; then hashes, items and documents meet
     in joins. Rows with null or empty text overlap nothing; repeated documents give repeated rows; null ids are kept.
     """
     spark = docs.sparkSession
     ship(spark)
-    items, item_seeds = _items(benchmark, masks)
+    items, item_seeds = _items(benchmark, masks, equal)
     item_seeds = materialise(item_seeds, "item-seeds")
+    only = {r["mask"] for r in item_seeds.select("mask").distinct().collect()}  # a number a mask: documents needn't look for others
     filled = spark.sparkContext.broadcast(bloom(item_seeds, bits))
     schema = "doc_id long, words binary, hits array<struct<hash:long,mask:int,at:int>>"
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("mask", pa.int32()), ("at", pa.int32())]))
@@ -98,9 +113,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
             for at, n in slices(b.column(1)):
                 w = Words(b.column(1).slice(at, n), True)
                 got = []
-                for m, first, h in seeds(w, masks):
+                for m, first, h in seeds(w, masks, equal, only=only):
                     keep = in_bloom(filled.value, bits, h)
                     got.append((first[keep], h[keep], np.full(len(keep), m, np.int32)))
+                if not got:
+                    continue
                 first, h, m = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(first, kind="stable")
                 first, h, m = first[order], h[order], m[order]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -221,6 +222,17 @@ def test_contaminated(spark):
     assert dc.contaminated(docs(spark, []), bench).collect() == [] and dc.contaminated(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_masks_miss_nothing():
+    """All places of the unequal words, in stretches that have no shorter one in them, and in whole items that are shorter."""
+    for n in range(dc.MIN_OVERLAP, 24):  # from 24 words on, one of two halves is a stretch
+        taken = [sum(1 << (s + i) for i in own) for m, own in zip(dc.MASKS, dc.offsets(), strict=True) for s in range(n - len(m) + 1)]
+        unequal = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        assert np.any([unequal & t == 0 for t in taken], 0).all(), n
+    for n in range(dc.MIN_ITEM, dc.MIN_OVERLAP):
+        assert all(any(not {*c} & {*own} for own in dc.whole_item(n)) for c in itertools.combinations(range(n), n // 5)), n
+        assert all(4 <= len(own) < n for own in dc.whole_item(n))
+
+
 # ---- Repeated spans ----
 
 
