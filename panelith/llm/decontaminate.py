@@ -55,16 +55,18 @@ def seeds(words: Words, masks: tuple[str, ...], equal: float, which: np.ndarray
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, equal: float = MIN_EQUAL) -> tuple[int, int, int, int]:
-    """(start in doc, start in item, words, equal words) of the best segment in which item[i] faces doc[i + diagonal].
+    """(start in doc, start in item, words, equal words) of the longest segment with that share of equal words in which item[i] faces doc[i + diagonal].
 
-    Best by equal words less equal / (1 - equal) times the unequal ones, so at least that share is equal.
+    With whole numbers as scores, a segment has the share if its sum isn't negative. Of equally long ones the first is taken.
     """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
-    score = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -equal / (1 - equal)))))
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
+    share = Fraction(equal).limit_denominator(10**6)
+    score = np.concatenate(([0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))))
+    later = np.maximum.accumulate(score[::-1])[::-1]  # the greatest sum from here on: never rises
+    ends = np.searchsorted(-later, -score, "right") - 1
+    start = int(np.argmax(ends - np.arange(len(score))))
+    end = int(ends[start])
     return lo + start + diagonal, lo + start, end - start, int(same[start:end].sum())
 
 

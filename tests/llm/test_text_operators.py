@@ -222,6 +222,41 @@ def test_contaminated(spark):
     assert dc.contaminated(docs(spark, []), bench).collect() == [] and dc.contaminated(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def brute_segments(documents, items):
+    """(doc, item) with a long enough stretch, of all stretches on all diagonals; and the most words of one."""
+    out = {}
+    for d, t in documents:
+        a = t.split()
+        for k, s in items:
+            b = s.split()
+            for diagonal in range(-len(b) + 1, len(a)):
+                same = [b[i] == a[i + diagonal] for i in range(len(b)) if 0 <= i + diagonal < len(a)]
+                for i in range(len(same)):
+                    for j in range(i + min(dc.MIN_OVERLAP, len(b)), len(same) + 1):
+                        if 5 * sum(same[i:j]) >= 4 * (j - i):
+                            out[d, k] = max(out.get((d, k), 0), j - i)
+    return out
+
+
+def test_overlaps_with_substitutions(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for n, unequal in [(5, 1), (5, 2), (6, 1), (7, 1), (8, 1), (9, 1), (10, 1), (10, 2), (10, 3), (11, 2), (12, 1), (12, 2), (12, 3), (13, 2), (14, 2), (15, 1), (15, 2), (15, 3), (15, 4), (20, 2), (20, 3), (20, 4), (24, 4), (30, 6)]:
+        for k in range(4):
+            w = fresh(n)
+            around = (fresh(0), fresh(0)) if k % 2 or n < dc.MIN_OVERLAP else (fresh(rng.randint(1, 6)), fresh(rng.randint(1, 6)))
+            items.append((len(items), " ".join([*around[0], *w, *around[1]])))
+            for i in rng.sample(range(n), unequal):
+                w[i] = f"z{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join([*fresh(rng.randint(0, 9)), *w, *fresh(rng.randint(0, 9))])))
+    items.append((900, "one two three four five six seven eight nine ten"))
+    rows += [(900, "one two three four five other seven eight nine ten"), (901, "one two three four five other seven eight nine")]
+    got = dc.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_words for r in got} == brute_segments(rows, items)
+    assert len(got) > 80 and all(5 * r.n_equal >= 4 * r.n_words for r in got) and (900, 900, 0, 0, 10, 9) in got
+
+
 def test_masks_miss_nothing():
     """All places of the unequal words, in stretches that have no shorter one in them, and in whole items that are shorter."""
     for n in range(dc.MIN_OVERLAP, 24):  # from 24 words on, one of two halves is a stretch
