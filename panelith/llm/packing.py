@@ -16,6 +16,8 @@ from panelith.llm._common import materialise, number_rows, ship, table
 
 CAPACITY = 2048
 END_ID = 0
+#: The added token of byte_bpe_50k.json, which that tokenizer takes out of texts before it splits them.
+ADDED = ("<|endoftext|>", 50256)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, object] = {}
 
@@ -34,6 +36,17 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def ids_of(text: str, encode) -> list[int]:
+    """The tokenizer's ids of a text: those of the parts between added tokens, and the added tokens' own."""
+    mark, own = ADDED
+    first, *rest = text.split(mark)
+    ids = encode(first)
+    for part in rest:
+        ids.append(own)
+        ids += encode(part)
+    return ids
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: all full but the first."""
     head = n % capacity or capacity
@@ -51,7 +64,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None
 
     The ids are those of the tokenizer in byte_bpe_50k.json, which shares its vocabulary and merge order
     with the ranks file; then END_ID. A null text counts as empty: one piece of one id.
-    Special tokens' strings in a text are ordinary text.
+    The added token's string in a text is that token, as by the tokenizer's default.
     """
     ship(docs.sparkSession)
     ranks = ranks or default_ranks()
@@ -63,7 +76,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None
                 rows: list[tuple] = []
                 part = b.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(text or ""), END_ID], dtype="<u4").tobytes()
+                    ids = np.array([*ids_of(text or "", encode), END_ID], dtype="<u4").tobytes()
                     for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * s : 4 * (s + n)]
                         rows.append((doc, i, s, n, zlib.crc32(own), own))

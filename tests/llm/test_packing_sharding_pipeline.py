@@ -28,6 +28,23 @@ def test_ids_are_the_tokenizer_s():
         assert encode(t or "") == own.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_token(spark):
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in own.get_added_tokens_decoder().items()} == dict([packing.ADDED])
+    mark = packing.ADDED[0]
+    texts = [*TEXTS, f"a {mark} plain", mark, mark * 3, f"{mark}\n\n{mark} ", f"x{mark}y  {mark}  z", f"<|endoftext|{mark}|>", "<|endoftext |> <|ENDOFTEXT|>", f"word {mark} " * 1500]
+    rows = packing.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_ids=True).orderBy("doc_id", "piece").collect()
+    for i, t in enumerate(texts):
+        want = [*own.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+        pieces = [r for r in rows if r.doc_id == i]
+        assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist() == want, t
+        assert [(r.start, r.length) for r in pieces] == packing.cut(len(want))
+        assert [r.ids_crc32 for r in pieces] == [zlib.crc32(np.array(want[s : s + n], "<u4").tobytes()) for s, n in packing.cut(len(want))]
+    assert packing.ids_of(f"a {mark} plain", packing.encoder(packing.default_ranks())) == [64, 220, 50256, 8631]
+
+
 def check_packed(p, capacity):
     p = p.sort_values(["sequence_id", "offset"])
     before = p.groupby("sequence_id").length.cumsum() - p.length
