@@ -14,7 +14,7 @@ from panelith.llm._common import table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: A whole run of these characters is a candidate of the Markov models.
+#: A whole run of these characters is a candidate of the Markov models; so are the stretches of an ordinary one, widened to its parts.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 KINDS = ("assign", "access", "hex", "markov")
 MARK = "[SECRET]"
@@ -110,7 +110,55 @@ def ratio(token: Column, model: list[float]) -> Column:
     return let(F.concat(F.array(F.lit(0)), chars), lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda s, i: s + F.get(llr, F.get(c, i - 1) * 128 + F.get(c, i))))
 
 
-def _good(text: Column, kind: str, model: list[float], threshold: float) -> tuple[str, Column]:
+def stretches(token: Column, model: list[float], threshold: float) -> Column:
+    """(s, e) of the secrets in a run of CANDIDATE: the whole run if its ratio exceeds the threshold, else its random stretches.
+
+    A stretch ends where the sum of the ratios has fallen by the threshold, so neither ordinary text beside it nor another
+    stretch cancels it. It is widened to whole parts between "/", "_" and "-", joined with those that it touches, and kept if it has
+    LEAST characters, as a run must have. What follows a separator is no evidence for a stretch, only against it: random samples have none.
+    """
+    spans = "array<struct<s:int,e:int>>"
+    llr = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    pair = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    state = lambda total, start, top, end, out: F.struct(total.alias("total"), start.cast("int").alias("start"), top.alias("top"), end.cast("int").alias("end"), out.alias("out"))
+    zero = F.lit(0.0)
+
+    def step(a: Column, i: Column, r: Column) -> Column:
+        def of(total: Column) -> Column:
+            done = a["top"] > threshold
+            fallen = state(zero, i + 1, zero, i + 1, F.when(done, F.concat(a["out"], F.array(pair(a["start"], a["end"])))).otherwise(a["out"]))
+            risen = state(total, a["start"], total, i + 1, a["out"])
+            return F.when(total > a["top"], risen).when(total <= F.when(done, a["top"] - threshold).otherwise(zero), fallen).otherwise(state(total, a["start"], a["top"], a["end"], a["out"]))
+
+        return let(a["total"] + r, of)
+
+    def widened(found: Column, cuts: Column, size: Column) -> Column:
+        begin = lambda x: F.coalesce(F.array_max(F.filter(cuts, lambda c: c <= x["s"])) + 1, F.lit(0))
+        finish = lambda x: F.coalesce(F.array_min(F.filter(cuts, lambda c: c >= x["e"])), size)
+        parts = F.filter(F.transform(found, lambda x: pair(F.least(begin(x), x["e"] - 1), finish(x))), lambda x: x["s"] < x["e"])
+        join = lambda out, x: let(
+            F.get(out, F.size(out) - 1),
+            lambda last: F.when((F.size(out) > 0) & (x["s"] <= last["e"] + 1), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(pair(last["s"], F.greatest(last["e"], x["e"]))))).otherwise(F.concat(out, F.array(x))),
+        )
+        return F.aggregate(parts, F.array().cast(spans), join)
+
+    def inner(c: Column) -> Column:
+        of = lambda a, b: let(F.get(llr, a * 128 + b), lambda r: F.when(a.isin(*map(ord, "/_-")), F.least(r, zero)).otherwise(r))
+        ratios = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: of(F.get(c, i - 1), F.get(c, i)))
+        first = state(zero, F.lit(0), zero, F.lit(0), F.array().cast(spans))
+        last = lambda a: F.when(a["top"] > threshold, F.concat(a["out"], F.array(pair(a["start"], a["end"])))).otherwise(a["out"])
+        found = let(ratios, lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), first, lambda a, i: step(a, i, F.get(r, i)), last))
+        size = F.size(c) - 1
+        cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(c, i + 1).isin(*map(ord, "/_-")))
+        long = lambda x: F.least(x["e"], F.char_length(F.rtrim(token, F.lit("=")))) - x["s"] >= LEAST
+        kept = lambda f: F.filter(let(cuts, lambda at: widened(f, at, size)), long)
+        return let(found, lambda f: F.when(F.size(f) > 0, kept(f)).otherwise(F.array().cast(spans)))
+
+    whole = F.array(pair(F.lit(0), F.char_length(token)))
+    return F.when(ratio(token, model) > threshold, whole).otherwise(let(F.concat(F.array(F.lit(0)), F.transform(F.split(token, ""), F.ascii)), inner))
+
+
+def _good(text: Column, kind: str) -> tuple[str, Column]:
     sizes = lambda regex, group, least: F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(group)), lambda m: F.char_length(m) >= least)
     if kind == "assign":
         return ASSIGN, sizes(ASSIGN, 2, 8)
@@ -118,21 +166,38 @@ def _good(text: Column, kind: str, model: list[float], threshold: float) -> tupl
         return ACCESS, sizes(ACCESS, 0, 16)
     if kind == "hex":  # a maximal run of 32 or more: the same matches, without the many short ones
         return rf"(?<!{HEX[:-1]}){HEX[:-1]}{{32,}}+", sizes(rf"(?<!{HEX[:-1]}){HEX[:-1]}{{32,}}+", 0, 32)
-    return CANDIDATE, F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: ratio(m, model) > threshold)
+    raise ValueError(kind)
 
 
 THRESHOLD = 8.0
+LEAST = 16
+
+
+def _markov(text: Column, model: list[float], threshold: float) -> Column:
+    """(s, e) of the secrets in each match of CANDIDATE, from the match's first character."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: stretches(m, model, threshold))
+
+
+def _placed(runs: Column, inner: Column) -> Column:
+    """(s, e) in the text, of runs (s, e) there and the spans in each."""
+    return F.flatten(F.zip_with(runs, inner, lambda run, own: F.transform(own, lambda x: F.struct((run["s"] + x["s"]).alias("s"), (run["s"] + x["e"]).alias("e")))))
+
+
+def _marked(m: Column, own: Column) -> Column:
+    """m with MARK in place of its spans."""
+    end = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], m.substr(a["at"] + 1, x["s"] - a["at"]), F.lit(MARK)).alias("out")))
+    return let(end, lambda a: F.concat(a["out"], m.substr(a["at"] + 1, F.char_length(m))))
 
 
 def scan(df: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with n_assign, n_access, n_hex, n_markov and secret_spans, an array of (s, k, e): start, kind's place in KINDS, end; by start, then kind.
 
-    A Markov span is a run of CANDIDATE whose log-likelihood ratio exceeds the threshold, unless a base
-    span has the same bounds. A null or empty text has no spans; columns that clash are replaced. Spans of copies are found for each row.
+    A Markov span is a run of CANDIDATE whose log-likelihood ratio exceeds the threshold, or else a random stretch of such a run
+    (see stretches), unless a base span has the same bounds. A null or empty text has no spans; columns that clash are replaced. Spans of copies are found for each row.
     """
     own = ["n_assign", "n_access", "n_hex", "n_markov", "secret_spans"]
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = df.drop(*own).withColumns({f"_{k}": found(t, *_good(t, k, model, threshold)) for k in KINDS})
+    out = df.drop(*own).withColumns({f"_{k}": found(t, *_good(t, k)) for k in KINDS[:3]} | {"_markov": F.when(t.rlike(CANDIDATE), _placed(found(t, CANDIDATE), _markov(t, model, threshold))).otherwise(found(F.lit(""), CANDIDATE))})
     out = out.withColumn("_markov", F.array_except("_markov", F.concat("_access", "_hex")))
     tag = lambda i: lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
     tagged = [F.transform(f"_{k}", tag(i)) for i, k in enumerate(KINDS)]
@@ -151,8 +216,12 @@ def redact(df: DataFrame, model: list[float], text: str = "text", threshold: flo
     out = df
     for k in KINDS:
         t = F.col(text)
-        regex, good = _good(t, k, model, threshold)
-        parts = F.zip_with(F.regexp_extract_all(t, F.lit(regex), F.lit(0)), good, lambda m, g: F.when(g, F.lit(MARK)).otherwise(m))
+        if k == "markov":
+            regex = CANDIDATE
+            parts = F.zip_with(F.regexp_extract_all(t, F.lit(regex), F.lit(0)), _markov(t, model, threshold), _marked)
+        else:
+            regex, good = _good(t, k)
+            parts = F.zip_with(F.regexp_extract_all(t, F.lit(regex), F.lit(0)), good, lambda m, g: F.when(g, F.lit(MARK)).otherwise(m))
         whole = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(t, regex, -1).alias("p"), parts.alias("m")), lambda x: F.array(x["p"], F.coalesce(x["m"], F.lit(""))))), "")
         out = out.withColumn(text, F.when(t.rlike(regex), whole).otherwise(t))
     return out

@@ -91,6 +91,34 @@ def test_markov_held_out(spark):
     assert rate[True] > 0.9 and rate[False] < 0.03
 
 
+PATHS = ["https/www/example/com/static/images", "src/main/resources/configuration", "the_quick_value_buffer_handler", "documents/archive/reports/annual/summary/overview/details/appendix/index", "my-service-account-name"]
+
+
+def test_secrets_in_long_runs(spark, model):
+    rng = random.Random(17)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n, more="": "".join(rng.choice(chars + more) for _ in range(n))
+    rows, want = [], {}
+    for i in range(400):
+        a, b = rng.choice(PATHS), rng.choice(PATHS)
+        t = [token(rng.randint(18, 40)) for _ in range(2)]
+        rows.append((i, [f"é {a}/{t[0]} x", f"{t[0]}/{a}/{b}", f"{a}/{t[0]}/{b} end", f"{a}/{b}/{t[0]}/{a}/{b}/{t[1]}/{a}"][i % 4]))
+        want[i] = t[: 1 + (i % 4 == 3)]
+    df = docs(spark, rows)
+    found = {r.doc_id: [rows[r.doc_id][1][x.s : x.e] for x in r.secret_spans] for r in secrets.scan(df, model).collect()}
+    redacted = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert np.mean([all(any(t in f for f in found[i]) for t in want[i]) for i in want]) > 0.95
+    assert np.mean([not any(t in redacted[i] for t in want[i]) for i in want]) > 0.95
+    for i, t in rows:  # redaction takes what the scan found, and leaves the rest
+        for f in found[i]:
+            t = t.replace(f, secrets.MARK, 1)
+        assert redacted[i] == t
+    plain = [(i, "/".join(rng.choice(PATHS) for _ in range(5))) for i in range(100)]
+    assert sum(bool(r.secret_spans) for r in secrets.scan(docs(spark, plain), model).collect()) == 0
+    plain = [PATHS[0] + "/aB3xK9", PATHS[3] + "-" * 4, PATHS[3] + "/2024/01/15/2024-01-15-10-22-33", PATHS[3] + "/__init__/test__case"]
+    assert all(not r.secret_spans for r in secrets.scan(docs(spark, enumerate(plain)), model).collect())
+
+
 # ---- Language ----
 
 
