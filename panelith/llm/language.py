@@ -102,12 +102,14 @@ class Model:
 def train(labelled: DataFrame, per_language: int = 300) -> Model:
     """Fit on about `per_language` distinct texts of each language: a bounded sample, chosen by a hash of the text.
 
-    labelled: (text, lang); rows with null lang or without a letter are passed over. The driver gets a count for
+    labelled: (text, lang); rows with null lang or without a letter are passed over. The hash's threshold comes from the
+    number of distinct texts, so copies don't thin out the others. The driver gets a count for
     each language and the sample's vectors, never texts. With no rows the model predicts nothing.
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    texts = F.count_distinct(F.when(F.col("text").rlike(r"\p{L}"), F.xxhash64("text")))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(texts.alias("n")).collect()}
     if not counts:
         return Model((), (), np.zeros((0, DIMS + 1)), {})
     top = 1 << 30

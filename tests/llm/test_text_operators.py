@@ -142,6 +142,21 @@ def test_language_edges(spark):
     assert single.predict("words")[0] == "en" and language.predict(df.limit(0), single).collect() == []
 
 
+def test_language_with_many_copies(spark):
+    """Copies and letterless texts outnumber a language's other texts by far; its sample is as large as without them."""
+    other = lambda k: F.concat(F.lit(f"{k} text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    rows = spark.range(1000).select(other("das").alias("text"), F.lit("de").alias("lang")).unionAll(spark.range(1000).select(other("the").alias("text"), F.lit("en").alias("lang")))
+    rows = rows.unionAll(spark.range(300_000).select(F.lit("one copy").alias("text"), F.lit("en").alias("lang"))).unionAll(spark.range(100_000).select(F.col("id").cast("string").alias("text"), F.lit("en").alias("lang")))
+    sizes = []
+    fit = language.svm
+    try:
+        language.svm = lambda x, y, *a: sizes.append(((y > 0).sum(), (y < 0).sum())) or fit(x, y, *a)
+        model = language.train(rows)
+    finally:
+        language.svm = fit
+    assert model.languages == ("de", "en") and sizes and all(n == 300 for pair in sizes for n in pair)
+
+
 # ---- Near-duplicates ----
 
 
