@@ -27,7 +27,7 @@ FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.sp
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def features(text: str | None) -> np.ndarray | None:
@@ -36,7 +36,7 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(chars, 0xFFFF)] | (chars > 0xFFFF)
+    letter = _letters()[chars]
     if not letter.any():
         return None
     keep = letter.copy()

@@ -142,6 +142,14 @@ def test_language_edges(spark):
     assert single.predict("words")[0] == "en" and language.predict(df.limit(0), single).collect() == []
 
 
+def test_letters_beyond_the_first_plane():
+    for t in ("😀", "😀 🎉 12", "\U0001d7ce", "\U0010ffff", "\ud83d"):
+        assert language.features(t) is None
+    for t in ("\U00020000", "😀 \U00010400"):
+        assert language.features(t) is not None
+    assert np.array_equal(language.features("ab😀cd"), language.features("ab cd"))
+
+
 def test_language_with_many_copies(spark):
     """Copies and letterless texts outnumber a language's other texts by far; its sample is as large as without them."""
     other = lambda k: F.concat(F.lit(f"{k} text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
