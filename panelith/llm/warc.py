@@ -48,9 +48,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
 
 
 def build_dictionary(records: list[bytes], size: int = 32 << 10, sample: int = 2 << 20) -> bytes:
-    """A dictionary from records spread over the archive, at most `sample` bytes of them, each at most 16 KiB; empty if they are too few."""
-    step = max(1, sum(map(len, records)) // sample)
-    used = [r[: 16 << 10] for r in records[::step]]
+    """A dictionary from pieces of at most 16 KiB spread over the whole of all records, about `sample` bytes of them; empty if the
+    records are too short or too much alike for one."""
+    total = sum(map(len, records))
+    piece = min(16 << 10, max(256, total // 16))  # an archive of few bytes is cut finer
+    pieces = [r[at : at + piece] for r in records for at in range(0, len(r), piece)]
+    step = max(1, total // sample)
+    used = pieces[::step]
     if len(used) < 8:
         return b""
     try:

@@ -139,3 +139,13 @@ def test_wrapper_induction(spark):
     assert got[22].startswith("Same the very same words") and got[22].endswith("2")  # copies are content
     assert (got[30], got[31], got[32], got[33]) == ("no host", "bad url", "", "alone")
     assert hc.main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("n", "size"), [(20, 400_000), (3, 2_000_000), (40, 300)])
+def test_dictionary_of_few_or_long_records(n, size):
+    rng = random.Random(n)
+    words = [f"<p class='{rng.randrange(10**6)}'>" for _ in range(3000)]
+    records = [b"".join(rng.choice(words).encode() for _ in range(size // 18)) for _ in range(n)]
+    data = warc.write_archive(records)
+    assert warc.build_dictionary(records) and int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+    assert list(warc.read_archive(data)) == records
