@@ -14,14 +14,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that number_rows() puts into a bucket, on average.
+BUCKET_ROWS = 250_000
 _shipped: dict[str, str] = {}
 _tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all runs in one process (tests), a temporary one.
+
+    On a cluster a folder of this machine wouldn't do: executors would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="panelith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -114,15 +121,31 @@ def in_bloom(bitmap: np.ndarray, bits: int, x: np.ndarray) -> np.ndarray:
     return at[has(x[at] >> np.uint64(bits) & low)]
 
 
-def number_rows(df: DataFrame, within: tuple[str, ...] = (), buckets: int = 512, out: str = "row_no") -> DataFrame:
+def filter_bits(n: int, most: int = 28) -> int:
+    """Bits of a filter for n numbers, as a power of two: some 16 for each, 2^most at most (beyond that it lets more through, which costs time only)."""
+    return min(most, max(16, (16 * n).bit_length()))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which have one narrow row for each key: a hot key's rows are dealt over `salts` tasks by a hash of the column `by`, and each fact goes to all of them."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def number_rows(df: DataFrame, within: tuple[str, ...] = (), buckets: int | None = None, out: str = "row_no", rows: int | None = None) -> DataFrame:
     """Number the rows 0, 1, ... in each group of `within` (none: the whole table), in an order
     that depends on the rows' values only.
 
     Equal rows are counted first, so a row that is repeated any number of times moves as one; each group
-    is split by a hash into `buckets` that are numbered on their own, and the buckets' counts
-    (at most `buckets` a group) give where each begins. So neither a hot group nor a hot row meets in a task.
+    is split by a hash into buckets that are numbered on their own, and the buckets' counts
+    give where each begins. So neither a hot group nor a hot row meets in a task. buckets: how many a group; None: one for each
+    BUCKET_ROWS of the table's rows, 64 at least. rows: the table's number of rows, if it is known. Columns of df may have any names, but for `out`.
     """
-    cols = df.columns
+    if buckets is None:
+        buckets = max(64, -(-(df.count() if rows is None else rows) // BUCKET_ROWS))
+    names, cols = df.columns, [f"_c{i}" for i in range(len(df.columns))]
+    df, within = df.toDF(*cols), tuple(cols[names.index(w)] for w in within)
     hashed = F.pmod(F.xxhash64(*cols), F.lit(buckets))
     runs = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", hashed)
     keys = [*within, "_b"]
@@ -135,7 +158,7 @@ def number_rows(df: DataFrame, within: tuple[str, ...] = (), buckets: int = 512,
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     placed = runs.withColumn("_upto", F.sum("_n").over(part)).join(begins, same)
     first = F.col("_begin") + F.col("_upto") - F.col("_n")
-    return placed.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias(out))
+    return placed.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1))).toDF(*names, out)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

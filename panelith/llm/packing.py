@@ -176,8 +176,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = np.searchsorted((seg[:, 0] << 48) + seg[:, 1], (n << 48) + r, "right") - 1
         return pd.DataFrame({"sequence_id": seg[at, 2] + r - seg[at, 1], "offset": seg[at, 3]})
 
-    ranked = number_rows(pieces.drop("sequence_id", "offset"), ("length",), out="_rank")
-    return ranked.withColumn("_at", place("length", "_rank")).select("*", "_at.*").drop("_rank", "_at")
+    ranked = number_rows(pieces.drop("sequence_id", "offset"), ("length",), out="rank within length", rows=sum(counts.values()))
+    own = [F.col(f"`{c}`") for c in ranked.columns[:-1]]
+    return ranked.select(*own, place("length", "`rank within length`").alias("place of the piece")).select(*own, "`place of the piece`.*")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

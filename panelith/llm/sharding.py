@@ -75,14 +75,17 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """
     df = df.drop("row_no", "shard", "slot")
     ship(df.sparkSession)
-    walk = Feistel(df.count(), seed)
+    n = df.count()
+    walk = Feistel(n, seed)
 
     @F.pandas_udf("long")
     def place(row_no: pd.Series) -> pd.Series:
         return pd.Series(walk.place(row_no.to_numpy()))
 
-    placed = number_rows(df).withColumn("_at", place("row_no"))
-    return placed.select("*", F.pmod("_at", F.lit(n_shards)).cast("int").alias("shard"), F.expr(f"_at div {n_shards}").alias("slot")).drop("_at")
+    numbered = number_rows(df, rows=n)
+    at = place("row_no")
+    both = F.struct(F.pmod(at, F.lit(n_shards)).cast("int").alias("shard"), F.floor(at / n_shards).cast("long").alias("slot"))
+    return numbered.select(*[F.col(f"`{c}`") for c in numbered.columns], both.alias("place of the row")).select(*[F.col(f"`{c}`") for c in numbered.columns], "`place of the row`.*")
 
 
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
