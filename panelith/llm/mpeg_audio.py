@@ -32,6 +32,7 @@ SIDE = 17  # side information of a mono frame of version 1, layer III
 HEAD = 4 + 2 + SIDE
 SIZES = tuple(144 * k * 1000 // RATE for k in KBITS[True, 3])  # no padding is needed at 32 kHz
 LAME = b"PANELITH1"
+CLOSING = 3  # bitrate of the closing frame, whose silence is longer than an ID3v1 tag and the footer of an APEv2 tag
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,48 @@ def frame_crc(covered: bytes) -> int:
     return crc
 
 
+def _bits_crc(crc: int, data: bytes, first: int, bits: int) -> int:
+    """The CRC of frame_crc() carried on over some bits of data."""
+    for i in range(first, first + bits):
+        top = (crc >> 15 ^ data[i >> 3] >> (7 - (i & 7))) & 1
+        crc = (crc << 1 ^ 0x8005 if top else crc << 1) & 0xFFFF
+    return crc
+
+
+# Fixed values of layer II: bits of allocation by subband as (bits, subbands) for each table, and which table holds.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
+
+
+def _allocation(h: Header) -> str:
+    if h.version != "1":
+        return "low"
+    each = h.kbits // (1 if h.mono else 2)
+    if each < 56:
+        return "d" if h.hertz == 32000 else "c"
+    return "a" if each <= 80 or h.hertz == 48000 else "b"
+
+
+def checked_crc(frame: bytes, h: Header) -> int:
+    """The CRC-16 that a protected frame should have: over half its header and, by layer, the side information, the bit allocation, or that and the scale factor selection."""
+    if h.layer == 3:
+        return frame_crc(frame[2:4] + frame[6 : 6 + h.side])
+    crc, at, end = frame_crc(frame[2:4]), 48, 8 * len(frame)
+    channels = 1 if h.mono else 2
+    joint = frame[3] >> 6 == 1
+    widths = [4] * 32 if h.layer == 1 else [w for w, n in ALLOCATION[_allocation(h)] for _ in range(n)]
+    bound = min(4 * (1 + (frame[3] >> 4 & 3)), len(widths)) if joint else len(widths)
+    used, p = 0, at
+    for sb, width in enumerate(widths):
+        for _ in range(channels if sb < bound else 1):
+            if p + width > end:
+                return -1
+            value = int.from_bytes(frame[p >> 3 : (p >> 3) + 2].ljust(2, b"\0"), "big") >> (16 - (p & 7) - width) & ((1 << width) - 1)
+            used += (channels if sb >= bound else 1) * (value > 0)
+            p += width
+    p += 2 * used if h.layer == 2 else 0
+    return _bits_crc(crc, frame, at, p - at) if p <= end else -1
+
+
 _BLOCK = 1024
 
 
@@ -121,17 +164,20 @@ def write_audio(payload: bytes, n_bytes: int) -> bytes:
     """A variable-bitrate stream of silent frames of layer III whose ancillary data are the payload.
 
     An ID3v2.4 tag holds the lengths and a CRC-32, the first frame the table of the variable
-    bitrate with the CRC of all audio data; each other frame is protected by its own CRC.
+    bitrate with the CRC of all audio data; each other frame is protected by its own CRC. The last frame holds
+    no payload, so whatever the payload is, the stream doesn't end in bytes that read as a tag.
     """
     frames, offsets, at = [], [], 0
     top = len(SIZES) - 1
-    while at < len(payload):
+    while True:
         left = len(payload) - at
-        kind = top if left >= SIZES[top] - HEAD else next(i for i in range(1, top + 1) if SIZES[i] - HEAD >= left)
+        kind = CLOSING if left <= 0 else top if left >= SIZES[top] - HEAD else next(i for i in range(1, top + 1) if SIZES[i] - HEAD >= left)
         room = SIZES[kind] - HEAD
         head = bytes((0xFF, 0xFA, kind << 4 | 2 << 2, 0xC0))
         frames.append(head + frame_crc(head[2:] + bytes(SIDE)).to_bytes(2, "big") + bytes(SIDE) + payload[at : at + room].ljust(room, b"\0"))
         offsets.append(len(frames[-1]))
+        if left <= 0:
+            break
         at += room
     audio = b"".join(frames)
     info = SIZES[2]
@@ -158,6 +204,7 @@ class Audio:
     vbr: str | None = None
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
+    table: list[int] = field(default_factory=list)  # byte offsets of the seek table's points, evenly spaced in time
     delay: int = 0
     padding: int = 0
     offsets: list[int] = field(default_factory=list)
@@ -203,17 +250,19 @@ def _id3v2(data: bytes, out: dict[str, str]) -> int:
     return min(at, len(data))
 
 
-def _tail(data: bytes, out: dict[str, str]) -> int:
-    """Where the audio ends, before ID3v1 and APEv2 tags."""
+def _tail(data: bytes, out: dict[str, str], least: int) -> int:
+    """Where the audio ends, before ID3v1 and APEv2 tags. What begins before `least` is no tag: a table says that audio is there."""
     end = len(data)
-    if data[-128:-125] == b"TAG" and end >= 128:
+    if data[-128:-125] == b"TAG" and end >= least + 128:
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 out[f"id3v1:{name}"] = value
-    if data[end - 32 : end - 24] == b"APETAGEX" and end >= 32:
+    if data[max(0, end - 32) : max(0, end - 24)] == b"APETAGEX" and end >= least + 32:
         size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
         p = start = end - size
+        if start - 32 * (flags >> 31) < least:
+            return end
         for _ in range(count):
             if not 0 <= p < end - 32:
                 break
@@ -232,7 +281,8 @@ def read_audio(data: bytes | None) -> Audio:
     Null, empty or foreign data give no frames; what lies between frames counts as skipped; a last frame that is cut off isn't taken.
     """
     data, out = data or b"", Audio()
-    at, end = _id3v2(data, out.tags), _tail(data, out.tags)
+    at = _id3v2(data, out.tags)
+    end = _tail(data, out.tags, _promised(data, at))
     start, first = at, None
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -246,11 +296,11 @@ def read_audio(data: bytes | None) -> Audio:
             continue
         if first is None:
             first, out.version, out.layer, out.hertz = h, h.version, h.layer, h.hertz
-            if _table(data[at : at + h.size], h, out, data[at + h.size : end]):
+            if _table(data[at : at + h.size], h, out, data[at + h.size : end], at):
                 at = start = at + h.size
                 continue
-        if h.protected and h.layer == 3:
-            ok = frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            ok = checked_crc(data[at : at + h.size], h) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.crc_ok += ok
             out.crc_bad += not ok
         out.offsets.append(at)
@@ -275,8 +325,19 @@ def _marked(frame: bytes, h: Header) -> bool:
     return frame[p : p + 4] in (b"Xing", b"Info") or frame[36:40] == b"VBRI"
 
 
-def _table(frame: bytes, h: Header, out: Audio, rest: bytes) -> bool:
-    """Read the variable-bitrate table of a first frame; False if it has none and so is audio."""
+def _promised(data: bytes, at: int) -> int:
+    """Where the audio ends by the byte count of a table in the frame at `at`; `at` if it has none, or one past the data."""
+    h = header(data[at : at + 4])
+    if h is None:
+        return at
+    found = Audio()
+    _table(data[at : at + h.size], h, found, b"", at)
+    end = at + (found.vbr_bytes or 0)
+    return end if end <= len(data) else at
+
+
+def _table(frame: bytes, h: Header, out: Audio, rest: bytes, at: int) -> bool:
+    """Read the variable-bitrate table of a first frame, which is at `at`; False if it has none and so is audio."""
     p = 4 + 2 * h.protected + h.side
     if frame[p : p + 4] in (b"Xing", b"Info"):
         out.vbr = frame[p : p + 4].decode()
@@ -286,7 +347,9 @@ def _table(frame: bytes, h: Header, out: Audio, rest: bytes) -> bool:
             out.vbr_frames, q = int.from_bytes(frame[q : q + 4], "big"), q + 4
         if flags & 2:
             out.vbr_bytes, q = int.from_bytes(frame[q : q + 4], "big"), q + 4
-        q += 100 * bool(flags & 4) + 4 * bool(flags & 8)
+        if flags & 4:
+            out.table, q = [at + (out.vbr_bytes or 0) * b // 256 for b in frame[q : q + 100]], q + 100
+        q += 4 * bool(flags & 8)
         if len(frame) >= q + 36 and any(frame[q : q + 9]):
             gap = int.from_bytes(frame[q + 21 : q + 24], "big")
             out.delay, out.padding = gap >> 12, gap & 0xFFF
@@ -296,7 +359,12 @@ def _table(frame: bytes, h: Header, out: Audio, rest: bytes) -> bool:
         return True
     if frame[36:40] == b"VBRI":
         out.vbr = "VBRI"
-        out.vbr_bytes, out.vbr_frames = struct.unpack(">II", frame[46:54])
+        out.vbr_bytes, out.vbr_frames, n, scale, width, _ = struct.unpack(">IIHHHH", frame[46:62].ljust(16, b"\0"))
+        place = at + h.size
+        if width:
+            for k in range(62, min(62 + n * width, len(frame) - width + 1), width):
+                out.table.append(place)
+                place += int.from_bytes(frame[k : k + width], "big") * scale
         return True
     return False
 
@@ -331,7 +399,7 @@ PROBED = {
 PROBED_DDL = "frames long, hertz int, samples long, seconds double, vbr string, crc_ok long, crc_bad long, music_ok boolean, skipped long, seek array<long>, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(data: bytes | None, every: int = 16) -> tuple:
+def describe(data: bytes | None, every: int = 1) -> tuple:
     """A row of PROBED. seek: the byte offset of each `every`-th frame. Payload columns are null in streams that hold none."""
     a = read_audio(data)
     data = data or b""
