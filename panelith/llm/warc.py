@@ -14,35 +14,45 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import materialise, ship, table
+from panelith.llm._common import materialise, ship, spread_join, table
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT = 1000
+#: Up to this size the payloads that occur again, a digest and a URL each, go to all executors.
+BROADCAST_BYTES = 32 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}\0{url}'.encode()).digest())}>"
+def record_id(page_id: int | None, url: str | None, digest: bytes) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}\0{url}\0'.encode() + digest).digest())}>"
 
 
 def _line(value: str) -> str:
-    """Without what would break a header line: control characters and % are percent-encoded."""
-    return re.sub(r"[\x00-\x20%\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    """Without what would break a header line: white space and control characters are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
-    """A response, or with refers_to a revisit, which has the response's HTTP header but no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A response, or with refers_to (and that record's URL) a revisit, which has the response's HTTP header but no payload.
+
+    Fields of the format name the record that a revisit refers to, so other readers find it; fields with X- hold what the format has no
+    field for: page ids, and a URL that can't stand in a header line as it is.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
+        if _line(url) != url:
+            head.append(f"X-Target-URI: {base64.b64encode(url.encode()).decode()}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_line(refers_url)}")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -126,12 +136,18 @@ def write_warc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
     Each task closes an archive at `archive_bytes` of records, so none grows with the input, and each has a dictionary of its own.
     """
     ship(pages.sparkSession)
-    raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", raw.alias("payload"), F.sha1(raw).alias("digest"))
-    long = rows.filter(F.length("payload") >= LEAST_REVISIT)
-    kept = long.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    refers = F.when((F.length("payload") >= LEAST_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    joined = rows.join(kept, "digest", "left").select("page_id", "url", "payload", "digest", refers.cast("long").alias("refers_to"))
+    raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"), F.unhex(F.sha1(raw)).alias("digest"))
+    long = F.length("payload") >= LEAST_REVISIT
+    # Which records are responses is decided on narrow rows; payloads stay where they are.
+    last = F.max(F.struct("page_id", "url"))
+    kept = rows.filter(long).groupBy("digest").agg(last.alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept.page_id is not null").select("digest", "kept")
+    kept = materialise(kept, "kept")
+    size = kept.agg(F.coalesce(F.sum(F.lit(64) + F.coalesce(F.length("kept.url"), F.lit(0))), F.lit(0))).first()[0]
+    # Beyond the bound both sides are shuffled, a hot payload's rows over several tasks.
+    joined = rows.join(F.broadcast(kept), "digest", "left") if size <= BROADCAST_BYTES else spread_join(rows.withColumn("_row", F.xxhash64("page_id", "url")), kept, ["digest"], "_row", 64, "left")
+    refers = F.when(long & ~F.col("page_id").eqNullSafe(F.col("kept.page_id")), F.col("kept"))
+    joined = joined.select("page_id", "url", "payload", "digest", refers["page_id"].alias("refers_to"), refers["url"].alias("refers_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[bytes] = []
@@ -144,8 +160,8 @@ def write_warc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                for page, url, payload, digest, refer in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
-                    own.append(record(page, url, payload, bytes.fromhex(digest), refer))
+                for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                    own.append(record(*row))
                     size += len(own[-1])
                     if size >= archive_bytes:
                         yield close()
@@ -174,7 +190,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
         digest = base64.b32decode(r["warc-payload-digest"][5:]).hex()
         if whole and hashlib.sha1(r["payload"]).hexdigest() != digest:
             raise ValueError("a payload doesn't match its digest")
-        return number(r.get("x-page-id")), r.get("warc-target-uri"), r["warc-type"], number(r.get("x-refers-to-page-id")), n, digest, r["payload"] if whole else None
+        url = base64.b64decode(r["x-target-uri"]).decode() if "x-target-uri" in r else r.get("warc-target-uri")
+        return number(r.get("x-page-id")), url, r["warc-type"], number(r.get("x-refers-to-page-id")), n, digest, r["payload"] if whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
