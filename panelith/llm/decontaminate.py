@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import bloom, in_bloom, materialise, ship, table
+from panelith.llm._common import bloom, filter_bits, in_bloom, materialise, ship, spread_join, table
 from panelith.llm._words import Words, slices
 
 #: Fixed masks: 1 takes a word, 0 passes over it. Each stretch of MIN_OVERLAP words or more with MIN_EQUAL equal words holds a seed of one
 #: of them: one that has no shorter such stretch in it has 12, 15 or 20 words with 2, 3 or 4 unequal ones, and a test enumerates all of those.
 MASKS = ("1110111", "11010010011", "110100001011")
-MIN_ITEM = 5
 MIN_OVERLAP = 12
 MIN_EQUAL = 0.8
-BITS = 24
+#: Up to so many seeds and so many bytes of items the benchmark goes to all executors; beyond that both sides are shuffled.
+BROADCAST_SEEDS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def offsets(masks: tuple[str, ...] = MASKS) -> list[tuple[int, ...]]:
@@ -37,13 +37,13 @@ def whole_item(n: int, equal: float = MIN_EQUAL) -> list[tuple[int, ...]]:
     return [tuple(int(i) for k, own in enumerate(blocks) if k not in out for i in own) for out in combinations(range(len(blocks)), unequal)]
 
 
-def seeds(words: Words, masks: tuple[str, ...], equal: float, which: np.ndarray | None = None, only: set[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(mask, first words, hashes) for each mask, then for those of whole items of MIN_ITEM words up to MIN_OVERLAP - 1.
+def seeds(words: Words, masks: tuple[str, ...], equal: float, which: np.ndarray | None = None, only: Container[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(mask, first words, hashes) for each mask, then for those of whole items of 1 word up to MIN_OVERLAP - 1. Under five words all must be equal.
 
     which: rows to which whole-item masks are kept (benchmark items); None: all rows (documents). only: the masks that are wanted; None: all.
     """
     every = [(len(m), own, False) for m, own in zip(masks, offsets(masks), strict=True)]
-    every += [(n, own, True) for n in range(MIN_ITEM, MIN_OVERLAP) for own in whole_item(n, equal)]
+    every += [(n, own, True) for n in range(1, MIN_OVERLAP) for own in whole_item(n, equal)]
     size = np.diff(words.first)
     for m, (n, own, whole) in enumerate(every):
         if only is not None and m not in only:
@@ -89,23 +89,25 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...], equal: float) -> tuple[
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), m, np.int32)), pa.array(item[w.row[first]]), pa.array((first - w.first[w.row[first]]).astype(np.int32))], names=["hash", "mask", "item", "item_at"])
 
     rows = materialise(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "items")
-    return rows.mapInArrow(word_rows, "item long, item_id long, words binary"), rows.select("item", "text").mapInArrow(seed_rows, "hash long, mask int, item long, item_at int")
+    return materialise(rows.mapInArrow(word_rows, "item long, item_id long, words binary"), "item-words"), rows.select("item", "text").mapInArrow(seed_rows, "hash long, mask int, item long, item_at int")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, equal: float = MIN_EQUAL, bits: int = BITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, equal: float = MIN_EQUAL) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): the longest overlap of each document and item.
 
     Words are split at ASCII white space and compared in lower case. A document and an item overlap if, with one shift between
     them, a stretch of at least min_overlap words (a shorter item: all of it) has a share of at least `equal` equal words, found
-    around a place where the words that a mask takes are all equal; with the default values, each has such a place. Items under MIN_ITEM words match nothing. Documents pass a
-    filter of fixed size first and only those with a hit go on, with their words' hashes; then hashes, items and documents meet
-    in joins. Rows with null or empty text overlap nothing; repeated documents give repeated rows; null ids are kept.
+    around a place where the words that a mask takes are all equal; with the default values, each has such a place. So an item of under five words is found wherever its words stand in a row. Documents pass a
+    filter first, whose size follows the number of seeds, and only those with a hit go on, with their words' hashes; then hashes, items and documents meet
+    in joins: a benchmark within the broadcast bounds goes to the documents, a larger one is shuffled, with a hot seed's places and a hot item's pairs dealt over several tasks. Rows with null or empty text overlap nothing; repeated documents give repeated rows; null ids are kept.
     """
     spark = docs.sparkSession
     ship(spark)
     items, item_seeds = _items(benchmark, masks, equal)
     item_seeds = materialise(item_seeds, "item-seeds")
-    only = {r["mask"] for r in item_seeds.select("mask").distinct().collect()}  # a number a mask: documents needn't look for others
+    only = {r["mask"]: r["n"] for r in item_seeds.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}  # documents needn't look for other masks
+    n_seeds = sum(only.values())
+    bits = filter_bits(n_seeds)
     filled = spark.sparkContext.broadcast(bloom(item_seeds, bits))
     schema = "doc_id long, words binary, hits array<struct<hash:long,mask:int,at:int>>"
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("mask", pa.int32()), ("at", pa.int32())]))
@@ -135,8 +137,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(find, schema)
     hit = materialise(found.withColumn("row", F.monotonically_increasing_id()), "hits")
     single = hit.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    pairs = single.join(item_seeds, ["hash", "mask"]).select("row", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    rows = pairs.join(items, "item").join(hit.select("row", "doc_id", F.col("words").alias("doc_words")), "row").select("row", "doc_id", "item_id", "diagonal", "words", "doc_words")
+    small = n_seeds <= BROADCAST_SEEDS and items.agg(F.coalesce(F.sum(F.length("words") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    met = single.join(F.broadcast(item_seeds), ["hash", "mask"]) if small else spread_join(single, item_seeds, ["hash", "mask"], "row")
+    pairs = met.select("row", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    rows = (pairs.join(F.broadcast(items), "item") if small else spread_join(pairs, items, ["item"], "row")).join(hit.select("row", "doc_id", F.col("words").alias("doc_words")), "row").select("row", "doc_id", "item_id", "diagonal", "words", "doc_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
