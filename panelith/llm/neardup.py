@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import bloom, forget_since, in_bloom, mark, materialise, ship, table
+from panelith.llm._common import bloom, filter_bits, forget_since, in_bloom, mark, materialise, ship, spread_join, table
 from panelith.llm._words import Words, mix, slices
 
 SHINGLE = 5
@@ -17,7 +17,7 @@ SIMILAR = 0.8
 REGISTERS = 128
 ROWS = 5  # registers in a band
 BLOCKS = 128
-BITS = 26  # of the filter of texts that share a bucket
+STAR = 512  # pairs of a text beyond which they are dealt over several tasks
 TURNS = 1  # times that large buckets are compared with further leaders before what is left is compared in full
 SMALL = 16  # members of a bucket up to which pairs between its components are all compared
 
@@ -145,21 +145,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, h, n): the sorted shingle hashes and their counts (empty if all are 1) of each text in ids, and of few others.
 
-    A filter of fixed size passes over texts that aren't wanted where they are read, so no text is shuffled.
+    A filter, whose size follows the number of ids up to a bound, passes over texts that aren't wanted where they are read, so no text is shuffled.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.select(id_start(F.col("id")).alias("hash")), BITS))
+    bits = filter_bits(ids.count())
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.select(id_start(F.col("id")).alias("hash")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             start = np.array([int.from_bytes(x[:8], "big") for x in b.column(0).to_pylist()], np.uint64)
-            b = b.take(pa.array(in_bloom(wanted.value, BITS, start)))
+            b = b.take(pa.array(in_bloom(wanted.value, bits, start)))
             for at, n in slices(b.column(1)):
                 row, h, count = shingles(Words(b.column(1).slice(at, n), True))
                 ends = np.searchsorted(row, np.arange(n + 1))
                 cut = list(zip(ends[:-1], ends[1:], strict=True))
-                short = (h >> np.uint64(32)).astype(np.uint32)  # in the order of h; enough to tell the shingles of two texts apart
                 counts = count.astype(np.uint32)
-                cols = [pa.array([short[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([b"" if (counts[a:z] == 1).all() else counts[a:z].tobytes() for a, z in cut], pa.binary())]
+                cols = [pa.array([h[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([b"" if (counts[a:z] == 1).all() else counts[a:z].tobytes() for a, z in cut], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *cols], names=["id", "h", "n"])
 
     rows = docs.filter("text is not null").select(text_id(F.col("text")).alias("id"), "text").mapInArrow(run, "id binary, h binary, n binary")
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _set(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.frombuffer(h, np.uint32)
+    hashes = np.frombuffer(h, np.uint64)
     return hashes, np.frombuffer(n, np.uint32).astype(np.int64) if n else np.ones(len(hashes), np.int64)
 
 
@@ -182,7 +182,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("n").alias("n1")), sets.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2"))
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "n1", "h2", "n2").mapInArrow(check, "a binary, b binary"), "links")
+    # A text with many pairs: its pairs are dealt over several tasks, and its set goes to each of these.
+    stars = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > STAR).select("a", F.ceil(F.col("k") / STAR).cast("int").alias("k")), "stars-of")
+    if stars.isEmpty():
+        met = pairs.join(left, "a")
+    else:
+        apart = materialise(pairs.join(stars, "a", "left"), "apart")
+        few = apart.filter("k is null").select("a", "b").join(left, "a")
+        many = apart.filter("k is not null").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"))
+        heads = left.join(stars, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+        met = few.unionByName(many.join(heads, ["a", "part"]).drop("part"))
+    return materialise(met.join(right, "b").select("a", "b", "h1", "n1", "h2", "n2").mapInArrow(check, "a binary, b binary"), "links")
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = members.join(roots, "id", "left").select("band", "h", "id", F.coalesce("root", "id").alias("root"))
     sizes = rooted.groupBy("band", "h", "root").count()
     mixed = sizes.groupBy("band", "h").agg(F.count(F.lit(1)).alias("roots"), F.sum("count").alias("members"), F.max(F.struct("count", "root"))["root"].alias("largest")).filter("roots > 1").drop("roots")
-    return rooted.join(mixed, ["band", "h"])
+    return spread_join(rooted, mixed, ["band", "h"], "id")
 
 
 def _overlaps(x: str, y: str, similar: float) -> Column:
@@ -208,10 +218,11 @@ def _overlaps(x: str, y: str, similar: float) -> Column:
 
 def _across(rows: DataFrame, similar: float, bounded: bool) -> DataFrame:
     """Pairs (a, b) of members in different components of a bucket, one of them outside the largest. bounded: rows have facts (size, shared, blocks), and pairs that these rule out aren't made."""
-    outside = rows.filter("root != largest").select(F.col("band").alias("_band"), F.col("h").alias("_h"), F.col("id").alias("x"), F.col("root").alias("x_root"), *[F.col("facts").alias("x_facts")] * bounded)
-    apart = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id")))
-    same = (F.col("band") == F.col("_band")) & (F.col("h") == F.col("_h")) & apart
-    met = outside.join(rows, same & _overlaps("facts", "x_facts", similar) if bounded else same)
+    outside = rows.filter("root != largest").select("band", "h", F.col("id").alias("x"), F.col("root").alias("x_root"), *[F.col("facts").alias("x_facts")] * bounded)
+    met = spread_join(rows, outside, ["band", "h"], "id", 4 if bounded else 1)
+    met = met.filter((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
+    if bounded:
+        met = met.filter(_overlaps("facts", "x_facts", similar))
     return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
 
 
@@ -220,8 +231,8 @@ def _stars(rows: DataFrame, turn: int, similar: float) -> DataFrame:
     own = F.struct("id", "root", "facts")
     turns = [F.struct(F.col("facts.shared") / F.col("facts.size"), "id")] if turn == 0 else [F.struct(F.xxhash64("id", F.lit(4 * turn + k)), "id") for k in range(4)]
     heads = rows.groupBy("band", "h").agg(*[F.max_by(own, t).alias(f"_{i}") for i, t in enumerate(turns)])
-    heads = heads.select(F.col("band").alias("_band"), F.col("h").alias("_h"), F.explode(F.array(*[f"_{i}" for i in range(len(turns))])).alias("_x")).select("_band", "_h", "_x", F.col("_x.facts").alias("x_facts"))
-    met = rows.join(heads, (F.col("band") == F.col("_band")) & (F.col("h") == F.col("_h")) & (F.col("root") != F.col("_x.root")) & _overlaps("facts", "x_facts", similar))
+    heads = heads.select("band", "h", F.explode(F.array(*[f"_{i}" for i in range(len(turns))])).alias("_x")).withColumn("x_facts", F.col("_x.facts"))
+    met = spread_join(rows, heads, ["band", "h"], "id").filter((F.col("root") != F.col("_x.root")) & _overlaps("facts", "x_facts", similar))
     return met.select(F.least("id", "_x.id").alias("a"), F.greatest("id", "_x.id").alias("b")).distinct()
 
 
@@ -240,7 +251,7 @@ def _spread(ids: DataFrame, sets: DataFrame) -> DataFrame:
                 own = [_set(h, n) for h, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 size = [len(h) for h, _ in own]
                 t = np.repeat(part.column(0).to_numpy(), size)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate([h for h, _ in own]).astype(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], names=["t", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate([h for h, _ in own]).view(np.int64)), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], names=["t", "h", "c"])
 
     return sets.join(ids.select("id"), "id", "left_semi").select(id_start(F.col("id")), "h", "n").mapInArrow(run, "t long, h long, c int")
 
@@ -264,7 +275,7 @@ def _hopeful(rows: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
     sized = materialise(rows.join(facts, "id"), "sized")
     least = sized.groupBy("band", "h").agg(F.min("facts.size").alias("least"))
     size, shared = F.col("facts.size"), F.col("facts.shared")
-    return sized.join(least, ["band", "h"]).filter(shared >= similar * (size + F.greatest("least", shared) - shared)).drop("least")  # beside a partner of the best length
+    return spread_join(sized, least, ["band", "h"], "id").filter(shared >= similar * (size + F.greatest("least", shared) - shared)).drop("least")  # beside a partner of the best length
 
 
 def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -287,7 +298,7 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = materialise(_texts(docs), "texts")
     banded = texts.filter("bands is not null").select("id", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "h", "first")
-    members = materialise(banded.join(buckets, ["band", "h"]).select("band", "h", "first", "id"), "buckets")
+    members = materialise(spread_join(banded, buckets, ["band", "h"], "id", 8).select("band", "h", "first", "id"), "buckets")
     pairs = materialise(members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sets = _sets(docs, members.select("id").distinct())
     links = _verified(pairs, sets, similar)
