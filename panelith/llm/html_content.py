@@ -1,11 +1,21 @@
-"""Main text of web pages by wrapper induction: trees of a host's pages are aligned by simple tree matching, constant nodes become template, varying slots content."""
+"""Main text of web pages by wrapper induction: trees of a host's pages are aligned by simple tree matching, constant nodes become template, varying slots content.
+
+A page's tree has a node for each distinct path of block elements, named by tag and classes; its id is a hash of its path, so trees, slots and
+statistics are narrow rows however deep a page is. All trees of a host are merged into one wrapper, in rounds of bounded groups; then each
+tree is matched with that wrapper on its own, which gives each node its slot. Over all pages of the host, a slot knows how often it is there, how
+much of its text is the same on most pages, and how much is links. The wrapper's region of content is found from its root down: a
+container is entered as long as it holds most of the host's varying text that isn't links.
+"""
 
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -14,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import materialise, ship, table
+from panelith.llm._common import materialise, ship, spread_join, table
 
 # HTML's element classes, and names that mark parts beside the content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,20 +44,40 @@ ASIDE_NAMES = frozenset(
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d+")
+#: Elements that may be entered on the way to the content; others, such as paragraphs and lists, are parts of it.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td fieldset".split())
+MANY = 64  # kinds of classes that an element's children of one tag may have; more are rows of data and share a node
 MIN_PAGES = 4
 CONSTANT = 0.8
-MOST_OF_ARTICLE, MOST_OF_PAGE = 0.3, 0.9
+LINKED = 0.5  # a slot of which more is link text is a menu
+MOST = 0.7  # of the varying text: what a container holds to be entered
+GROUP = 64  # trees that are merged in a task
+#: Up to this size the wrappers go to all executors; beyond that they are shuffled to the pages.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
 class Block:
     """A run of text within one block element."""
 
-    path: str  # names of its block elements from the root, with their classes
+    node: int  # in the page's tree
     text: str
+    linked: int  # characters of it within links
     aside: bool  # in a part beside the content, by its elements
     main: bool  # in an article or main element
-    heading: bool
+
+
+@dataclass
+class Page:
+    """A page's tree, as (parent, label) of each node after its parent, the root 0 first; and its blocks in order."""
+
+    nodes: list[tuple[int, str]]
+    blocks: list[Block]
+
+    @cached_property
+    def ids(self) -> list[int]:
+        return ids_of(self.nodes)
 
 
 @dataclass
@@ -56,7 +86,7 @@ class _Open:
     label: str
     aside: bool
     main: bool
-    parts: list[str] = field(default_factory=list)
+    node: int
 
 
 def _beside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
@@ -70,40 +100,50 @@ def _beside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
     return any(w in ASIDE_NAMES and not (in_main and w == "header") for w in re.findall(r"[a-z]+", named))  # an article's own header holds its title
 
 
-def parse(page: str | None) -> list[Block]:
-    """The text blocks of a page in order. Any input is taken: unclosed and misnested tags are closed as browsers do in the common cases, what isn't a tag is text."""
+def parse(page: str | None) -> Page:
+    """The tree and the text blocks of a page. Any input is taken: unclosed and misnested tags are closed as browsers do in the common cases, what isn't a tag is text."""
     page = page or ""
     out: list[Block] = []
-    stack = [_Open("", "", False, False)]
+    nodes: list[tuple[int, str]] = [(-1, "")]
+    known: dict[tuple[int, str], int] = {}
+    kinds: Counter[tuple[int, str]] = Counter()
+    stack = [_Open("", "", False, False, 0)]
     text: list[str] = []
-    paths = [""]
+    linked = [0, 0]  # open links, and the place in text from which on it is link text
 
     def flush() -> None:
         if text:
             joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            inside = _SPACE.sub(" ", entities.unescape("".join(t for t, link in zip(text, links, strict=True) if link))).strip()
             text.clear()
+            links.clear()
             if joined:
                 top = stack[-1]
-                names = [o.name for o in stack if o.label]
-                out.append(Block(paths[-1], joined, any(o.aside for o in stack), top.main, bool(names) and names[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                out.append(Block(top.node, joined, min(len(inside), len(joined)), top.aside, top.main))
+
+    links: list[bool] = []
+
+    def add(piece: str) -> None:
+        text.append(piece)
+        links.append(linked[0] > 0)
 
     def close(to: int) -> None:
         if any(o.label for o in stack[to:]):
             flush()
+        linked[0] -= sum(o.name == "a" for o in stack[to:])
         del stack[to:]
-        del paths[to:]
 
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
-            text.append(page[at:])
+            add(page[at:])
             break
         if lt > at:
-            text.append(page[at:lt])
+            add(page[at:lt])
         m = _TAG.match(page, lt)
         if not m:
-            text.append("<")
+            add("<")
             at = lt + 1
             continue
         at = m.end()
@@ -129,20 +169,29 @@ def parse(page: str | None) -> list[Block]:
             if block:
                 flush()
             top = stack[-1]
-            classes = ".".join(sorted(attrs.get("class", "").split())) if block else ""
-            label = (f"{name}.{classes}" if classes else name) if block else ""
             beside = _beside(name, attrs, top.main)
             if beside and not block:
                 flush()
-                label = name
-            stack.append(_Open(name, label, beside, top.main or name in ("article", "main") or attrs.get("role") in ("main", "article")))
-            paths.append(f"{paths[-1]}/{label}" if label else paths[-1])
+            label, node = "", top.node
+            if block or beside:
+                classes = ".".join(sorted(_NUMBER.sub("0", attrs.get("class", "")).split())) if block else ""
+                label = f"{name}.{classes}" if classes else name
+                if (top.node, label) not in known:
+                    kinds[top.node, name] += 1
+                    if kinds[top.node, name] > MANY:
+                        label = name
+                node = known.get((top.node, label), -1)
+                if node < 0:
+                    node = known[top.node, label] = len(nodes)
+                    nodes.append((top.node, label))
+            stack.append(_Open(name, label, top.aside or beside, top.main or name in ("article", "main") or attrs.get("role") in ("main", "article"), node))
+            linked[0] += name == "a"
             if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
                 text.clear()
+                links.clear()
                 stack.pop()
-                paths.pop()
         elif (name := m["end"]) is not None:
             name = name.lower()
             for i in range(len(stack) - 1, 0, -1):
@@ -155,51 +204,113 @@ def parse(page: str | None) -> list[Block]:
                 if name == "p" or name == "br":
                     flush()
     flush()
+    return Page(nodes, out)
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed % 2**64) - (1 << 63)
+
+
+def ids_of(nodes: list[tuple[int, str]]) -> list[int]:
+    """Each node's id: a hash of its path."""
+    out: list[int] = []
+    for parent, label in nodes:
+        out.append(_hash(label, out[parent]) if parent >= 0 else 0)
     return out
 
 
-def skeleton(blocks: list[Block]) -> tuple[str, ...]:
-    """The distinct paths of a page's blocks in order: its tree, with runs of like siblings as one node."""
-    return tuple(dict.fromkeys(b.path for b in blocks))
+def to_text(nodes: list[tuple[int, str]]) -> str:
+    return "\n".join(f"{parent} {label}" for parent, label in nodes)
+
+
+def from_text(text: str) -> list[tuple[int, str]]:
+    return [(int(parent), label) for parent, _, label in (line.partition(" ") for line in text.split("\n"))]
 
 
-def _tree(paths: tuple[str, ...]) -> dict:
-    root: dict = {}
-    for p in paths:
-        node = root
-        for name in p.split("/")[1:]:
-            node = node.setdefault(name, {})
-    return root
+def _children(nodes: list[tuple[int, str]]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in nodes]
+    for i, (parent, _) in enumerate(nodes):
+        if parent >= 0:
+            out[parent].append(i)
+    return out
 
 
-def match(a: dict, b: dict) -> tuple[int, list[tuple[str, str]]]:
-    """Simple tree matching: the largest number of node pairs that keep labels' tags, order and ancestors, and the pairs' paths below a and b.
+def match(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> tuple[int, dict[int, int]]:
+    """Simple tree matching: the largest weight of node pairs that keep tags, order and ancestors, and b's partner of each node of a.
 
-    Labels with equal classes count a little more, so that they are preferred.
+    A pair counts 2, one with equal classes 3. Works from the deepest pairs up without recursion, so depth doesn't matter.
     """
-    x, y = list(a.items()), list(b.items())
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    inner: dict[tuple[int, int], tuple[int, list[tuple[str, str]]]] = {}
-    for i, (m, u) in enumerate(x, 1):
-        for j, (n, v) in enumerate(y, 1):
-            w = 0
-            if m.split(".")[0] == n.split(".")[0]:
-                inner[i, j] = match(u, v)
-                w = inner[i, j][0] + 2 + (m == n)
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    pairs: list[tuple[str, str]] = []
-    i, j = len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            m, n = x[i - 1][0], y[j - 1][0]
-            pairs.append((m, n))
-            pairs += [(f"{m}/{p}", f"{n}/{q}") for p, q in inner[i, j][1]]
-            i, j = i - 1, j - 1
-    return best[len(x)][len(y)], pairs
+    below_a, below_b = _children(a), _children(b)
+    tag = lambda label: label.partition(".")[0]
+    tags_a, tags_b = [tag(x) for _, x in a], [tag(x) for _, x in b]
+    met = [(0, 0)]
+    for i, j in met:  # grows while it is walked
+        if below_a[i] and below_b[j]:
+            by_tag: dict[str, list[int]] = {}
+            for y in below_b[j]:
+                by_tag.setdefault(tags_b[y], []).append(y)
+            met += [(x, y) for x in below_a[i] for y in by_tag.get(tags_a[x], ())]
+    weight: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    for i, j in reversed(met):
+        xs, ys = below_a[i], below_b[j]
+        best = 0
+        if xs and ys:
+            rows = [[0] * (len(ys) + 1)]
+            for x in xs:
+                last, row = rows[-1], [0]
+                for k, y in enumerate(ys):
+                    w = weight.get((x, y))
+                    top = last[k + 1] if last[k + 1] > row[k] else row[k]
+                    row.append(last[k] + w if w is not None and last[k] + w > top else top)
+                rows.append(row)
+            tables[i, j] = rows
+            best = rows[-1][-1]
+        weight[i, j] = best + 2 + (a[i][1] == b[j][1])
+    partner = {0: 0}
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        rows = tables.get((i, j))
+        if rows is None:
+            continue
+        m, n = len(below_a[i]), len(below_b[j])
+        while m and n:
+            if rows[m][n] == rows[m - 1][n]:
+                m -= 1
+            elif rows[m][n] == rows[m][n - 1]:
+                n -= 1
+            else:
+                x, y = below_a[i][m - 1], below_b[j][n - 1]
+                partner[x] = y
+                todo.append((x, y))
+                m, n = m - 1, n - 1
+    return weight[0, 0], partner
+
+
+def merge(trees: list[list[tuple[int, str]]]) -> list[tuple[int, str]]:
+    """A wrapper of all trees, which come in order of weight: each is matched with the wrapper so far, and nodes without a partner join it below their parent's."""
+    wrapper = list(trees[0])
+    have = {(p, label): i for i, (p, label) in enumerate(wrapper)}
+    for tree in trees[1:]:
+        _, partner = match(tree, wrapper)
+        for i, (parent, label) in enumerate(tree):
+            if i not in partner:
+                key = (partner[parent], label)
+                if key not in have:
+                    have[key] = len(wrapper)
+                    wrapper.append(key)
+                partner[i] = have[key]
+    return wrapper
+
+
+def slots_of(tree: list[tuple[int, str]], wrapper: list[tuple[int, str]]) -> list[int]:
+    """The slot of each node of a tree: its partner in the wrapper, or its own place below its parent's if it has none."""
+    _, partner = match(tree, wrapper)
+    ids, out = ids_of(wrapper), []
+    for i, (parent, label) in enumerate(tree):
+        out.append(ids[partner[i]] if i in partner else _hash(label, out[parent]))
+    return out
 
 
 def host_of(url: str | None) -> str | None:
@@ -209,113 +320,196 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def copy_key(blocks: list[Block]) -> int:
+    """Pages that agree in this are copies: a hash of the two longest texts. Copies of a page count once, or what they share would pass for a template."""
+    texts = sorted({b.text for b in blocks}, key=lambda t: (-len(t), t))[:2]
+    return _hash("\n".join(texts))
 
 
-def align(skeletons: list[tuple[str, ...]], counts: list[int]) -> list[tuple[str, str]]:
-    """(path, slot) for the paths that are aligned with another: each skeleton, the commonest first, is matched with the wrapper grown so far, and paths without a partner join it as slots of their own."""
-    order = sorted(range(len(skeletons)), key=lambda i: (-counts[i], skeletons[i]))
-    wrapper: dict[str, None] = {}
-    slot: dict[str, str] = {}
-    for i in order:
-        new = [p for p in skeletons[i] if p not in slot]
-        if wrapper and new:
-            _, pairs = match(_tree(tuple(wrapper)), _tree(skeletons[i]))
-            partner = {f"/{q}": f"/{p}" for p, q in pairs}
-            for p in new:
-                to = partner.get(p)
-                slot[p] = slot.get(to, to) if to in wrapper else p
-        else:
-            slot.update((p, p) for p in new)
-        wrapper.update(dict.fromkeys(p for p in skeletons[i] if slot[p] == p))
-    return [(p, s) for p, s in slot.items() if p != s]
+@dataclass
+class Wrapper:
+    """What extraction needs of a host: slots of trees, slots in the region of content, and what is template in them."""
 
+    nodes: str  # the merged tree
+    region: frozenset[int]
+    titles: frozenset[int]  # varying first headings outside the region
+    menus: frozenset[int]
+    constant: frozenset[tuple[int, int]]  # (slot, text's hash)
 
-def extract(blocks: list[Block], template: set[tuple[str, int]], slots: dict[str, str]) -> str:
-    """The content of a page: blocks that are neither beside it by their elements nor constant in its host's template.
 
-    If the page has an article or main element with text, only what is in such. The template is passed over where it would take more than
-    MOST_OF_ARTICLE of that text (MOST_OF_PAGE where there is no such element): then the host's pages are copies of each other, not pages with one wrapper.
-    Headings of articles are content.
-    """
-    own = [b for b in blocks if not b.aside]
-    most = MOST_OF_PAGE
-    if any(b.main for b in own):
-        own, most = [b for b in own if b.main], MOST_OF_ARTICLE
-    rest = [b for b in own if b.main and b.heading or not template or (slots.get(b.path, b.path), _hash(b.text)) not in template]
-    if sum(len(b.text) for b in rest) < (1 - most) * sum(len(b.text) for b in own):
-        rest = own
-    return " ".join(b.text for b in rest)
+@lru_cache(4096)
+def _placed(tree: str, wrapper: str) -> tuple[int, ...]:
+    return tuple(slots_of(from_text(tree), from_text(wrapper)))
 
 
-def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
-    """(host, path, slot, text): a host's aligned paths (text 0) and its constant nodes by slot and the text's hash (path null).
+@lru_cache(512)
+def _loaded(data: bytes) -> Wrapper:
+    return pickle.loads(data)
 
-    Distinct skeletons and distinct pages are counted with partial aggregation, so a hot host or a copied page is small before it is
-    shuffled; only a host's distinct skeletons meet, to be aligned. A text is constant in a slot if at least min_pages
-    distinct pages, and a share of at least `constant` of those that have the slot, hold it there.
+
+def region_of(wrapper: list[tuple[int, str]], mass: dict[int, int]) -> set[int]:
+    """The slots of the subtree that holds the content: from the root on, the container below that holds MOST of the varying text is entered."""
+    ids, below = ids_of(wrapper), _children(wrapper)
+    total = [mass.get(i, 0) for i in ids]
+    for i in range(len(wrapper) - 1, 0, -1):  # parents come first
+        total[wrapper[i][0]] += total[i]
+    at = 0
+    while True:
+        inside = [c for c in below[at] if wrapper[c][1].partition(".")[0] in CONTAINERS]
+        best = max(inside, key=lambda c: (total[c], -c), default=None)
+        if best is None or total[best] < MOST * total[0] or not total[best]:
+            break
+        at = best
+    out, todo = set(), [at]
+    while todo:
+        n = todo.pop()
+        out.add(ids[n])
+        todo += below[n]
+    return out
+
+
+def extract(page: Page, wrapper: Wrapper | None) -> str:
+    """The content of a page.
+
+    With a wrapper: blocks in its region (and varying first headings outside it) that are neither constant on the host's pages nor a menu's.
+    A page that has nothing there, or no wrapper, is judged on its own: by its article or main element if one holds text, else by all. Parts
+    that their elements mark as beside the content are left out in either case.
     """
-    ship(pages.sparkSession)
+    own = [b for b in page.blocks if not b.aside]
+    if wrapper is not None and own:
+        of = _placed(to_text(page.nodes), wrapper.nodes)
+        kept = [b for b in own if of[b.node] not in wrapper.menus and (of[b.node] in wrapper.region or of[b.node] in wrapper.titles) and (of[b.node], _hash(b.text)) not in wrapper.constant]
+        if any(of[b.node] in wrapper.region for b in kept):
+            return " ".join(b.text for b in kept)
+    if any(b.main for b in own):
+        own = [b for b in own if b.main]
+    return " ".join(b.text for b in own)
+
 
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outlines(pages: DataFrame) -> DataFrame:
+    """(host, copy, tree, blocks) of each page with a host and text: blocks as (id of the node, hash of the text, characters, of these within links), without those beside the content by their elements."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 64):
                 rows = []
-                for url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for url, html in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     host = host_of(url)
-                    if host is None:
-                        continue
-                    blocks = [x for x in parse(page) if not x.aside]
-                    rows.append((host, _hash(page or ""), "\n".join(skeleton(blocks)), [x.path for x in blocks], [_hash(x.text) for x in blocks]))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "skeleton", "paths", "texts"])
-
-    outlines = pages.select("url", "html").mapInArrow(outline, "host string, page long, skeleton string, paths array<string>, texts array<long>")
-    outlines = materialise(outlines.filter("size(paths) > 0"), "outlines")
-    kinds = outlines.groupBy("host", "skeleton").agg(F.approx_count_distinct("page").alias("n"))
-
-    def aligned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pairs = align([tuple(s.split("\n")) for s in rows.skeleton], rows.n.tolist())
-        return pd.DataFrame([(key[0], p, s) for p, s in pairs], columns=["host", "path", "slot"]).astype(object)
-
-    slots = materialise(kinds.groupBy("host").applyInPandas(aligned, "host string, path string, slot string"), "slots")
-    nodes = outlines.select("host", "page", F.explode(F.arrays_zip("paths", "texts")).alias("x")).select("host", "page", F.col("x.paths").alias("path"), F.col("x.texts").alias("text"))
-    nodes = nodes.join(slots, ["host", "path"], "left").select("host", "page", F.coalesce("slot", "path").alias("slot"), "text").distinct()
-    counts = nodes.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    of_slot = nodes.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
-    fixed = counts.join(of_slot, ["host", "slot"]).filter(F.col("n") >= constant * F.col("pages")).select("host", "slot", "text")
-    return slots.select("host", "path", "slot", F.lit(0).cast("long").alias("text")).unionAll(fixed.select("host", F.lit(None).cast("string"), "slot", "text"))
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """pages (with url and html) with text, the content of each page.
+                    page = parse(html) if host is not None else None
+                    own = [x for x in page.blocks if not x.aside] if page else []
+                    if own:
+                        ids = page.ids
+                        rows.append((host, copy_key(own), to_text(page.nodes), [{"node": ids[x.node], "text": _hash(x.text), "chars": len(x.text), "linked": x.linked} for x in own]))
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), kind), strict=True)], names=["host", "copy", "tree", "blocks"])
+
+    schema = "host string, copy long, tree string, blocks array<struct<node:long,text:long,chars:int,linked:int>>"
+    return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema)
+
+
+def _merged(kinds: DataFrame) -> DataFrame:
+    """(host, wrapper) of kinds (host, tree, n): in each round, groups of some GROUP trees of a host are merged, until each host has one."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "tree"], ascending=[False, True])
+        return pd.DataFrame([(key[0], to_text(merge([from_text(t) for t in rows.tree])), int(rows.n.sum()))], columns=["host", "tree", "n"])
+
+    rounds = 0
+    while True:
+        sizes = kinds.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+        dealt = spread_join(kinds, sizes, ["host"], "tree").withColumn("part", F.pmod(F.xxhash64("tree", F.lit(rounds)), F.col("groups")))
+        kinds = materialise(dealt.groupBy("host", "part").applyInPandas(run, "host string, tree string, n long"), "wrappers")
+        rounds += 1
+        if kinds.groupBy("host").count().filter("count > 1").isEmpty():
+            return kinds.select("host", F.col("tree").alias("wrapper"))
+
+
+def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
+    """(host, data) of hosts with at least min_pages pages that aren't copies of each other: a Wrapper each, pickled.
+
+    A text is constant in a slot if at least min_pages such pages, and a share of at least `constant` of those that have the slot, hold
+    it there. Trees, texts and slots are counted with partial aggregation, so a hot host or a copied page is small before it is
+    shuffled; a host's trees meet in bounded groups.
+    """
+    ship(pages.sparkSession)
+    outlines = materialise(_outlines(pages), "outlines")
+    kinds = materialise(outlines.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")), "trees")
+    wrappers = _merged(kinds)
+
+    @F.pandas_udf("array<struct<node:long,slot:long>>")
+    def moves(tree: pd.Series, wrapper: pd.Series) -> pd.Series:
+        both = ((ids_of(from_text(t)), _placed(t, w)) for t, w in zip(tree, wrapper, strict=True))
+        return pd.Series([[{"node": i, "slot": s} for i, s in zip(ids, slots, strict=True) if i != s] for ids, slots in both])
+
+    blocks = outlines.select("host", "copy", F.xxhash64("tree").alias("key"), F.explode("blocks").alias("b")).select("host", "copy", "key", "b.*")
+    # One row for each text that a page and its copies have in a node: then slots by the tree's alignment.
+    texts = blocks.groupBy("host", "key", "node", "text", "copy").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked"))
+    moved = spread_join(kinds, wrappers, ["host"], "tree").select("host", F.xxhash64("tree").alias("key"), F.explode(moves("tree", "wrapper")).alias("s")).select("host", "key", "s.node", "s.slot")
+    texts = texts.join(moved, ["host", "key", "node"], "left").select("host", F.coalesce("slot", "node").alias("slot"), "text", "copy", "chars", "linked")
+    texts = materialise(texts.groupBy("host", "slot", "text", "copy").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked")), "texts")
+    of_slot = texts.select("host", "slot", "copy").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
+    counts = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    counts = spread_join(counts, of_slot, ["host", "slot"], "text")
+    counts = counts.withColumn("fixed", (F.col("n") >= min_pages) & (F.col("n") >= constant * F.col("pages")))
+    varying = F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("varying")
+    stats = counts.groupBy("host", "slot").agg(varying, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.collect_list(F.when(F.col("fixed"), F.col("text"))).alias("fixed"))
+    enough = texts.select("host", "copy").distinct().groupBy("host").count().filter(F.col("count") >= min_pages).select("host")
+    # A wrapper's slots are as many as its nodes: trees of a host differ in few.
+    slim = stats.join(enough, "host").groupBy("host").agg(F.collect_list(F.struct("slot", "varying", "chars", "linked", "fixed")).alias("stats"))
+
+    @F.pandas_udf("binary")
+    def build(wrapper: pd.Series, stats: pd.Series) -> pd.Series:
+        return pd.Series([pickle.dumps(_wrapper(w, list(s))) for w, s in zip(wrapper, stats, strict=True)])
+
+    return materialise(wrappers.join(slim, "host").select("host", build("wrapper", "stats").alias("data")), "wrapper-data")
+
+
+def _wrapper(tree: str, stats: list) -> Wrapper:
+    nodes = from_text(tree)
+    chars = {s["slot"]: s["chars"] for s in stats}
+    menus = frozenset(s["slot"] for s in stats if s["linked"] > LINKED * s["chars"])
+    mass = {s["slot"]: s["varying"] for s in stats if s["slot"] not in menus}
+    region = region_of(nodes, mass)
+    headings = {i for i, (_, label) in zip(ids_of(nodes), nodes, strict=True) if label.partition(".")[0] == "h1"}
+    titles = {i for i in headings - region if 2 * mass.get(i, 0) > chars.get(i, 0)}
+    return Wrapper(tree, frozenset(region), frozenset(titles), menus, frozenset((s["slot"], t) for s in stats for t in s["fixed"]))
+
+
+def main_text(pages: DataFrame, use_wrappers: bool = True) -> DataFrame:
+    """pages (with url and html) with text, the content of each page. use_wrappers: False judges each page on its own.
 
     Blocks are joined by one space in page order, character references decoded, white space within a block turned into one space.
-    Null or empty html gives an empty text; pages without a host are judged on their own; a column text that is there is replaced.
+    Null or empty html gives an empty text; pages without a host, or of a host with few pages, are judged on their own; a column text that is there is replaced, others stay.
+    Wrappers within a bound of bytes go to the pages, which stay where they are; beyond it both are shuffled, a hot host's pages over several tasks.
     """
-    wrappers = induce(pages)
-    pair = F.struct("path", "slot", "text")
-    wrappers = materialise(wrappers.groupBy("host").agg(F.collect_list(pair).alias("wrapper")), "wrappers")  # a host's template holds few nodes: each is on most of its pages
+    spark = pages.sparkSession
+    ship(spark)
+    rest = [c for c in pages.columns if c.lower() != "text"]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)]).alias("row")
+    rows = pages.select(packed, F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    unpacked = [F.col(f"row._{i}").alias(c) for i, c in enumerate(rest)]
+    found = induce(pages) if use_wrappers else None
+    if found is None or found.agg(F.coalesce(F.sum(F.length("data") + F.length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        known = spark.sparkContext.broadcast({r["host"]: bytes(r["data"]) for r in found.collect()} if found is not None else {})
+
+        @F.pandas_udf("string")
+        def content(url: pd.Series, page: pd.Series) -> pd.Series:
+            wrappers = [known.value.get(host_of(u)) for u in url]
+            return pd.Series([extract(parse(p), None if w is None else _loaded(w)) for p, w in zip(page, wrappers, strict=True)], dtype=object)
+
+        return rows.select(*unpacked, content("url", "html").alias("text"))
 
     @F.pandas_udf("string")
     def host(urls: pd.Series) -> pd.Series:
         return urls.map(host_of)
 
     @F.pandas_udf("string")
-    def content(page: pd.Series, wrapper: pd.Series) -> pd.Series:
-        out = []
-        for p, w in zip(page, wrapper, strict=True):
-            rows = [] if w is None else list(w)
-            slots = {r["path"]: r["slot"] for r in rows if r["path"] is not None}
-            template = {(r["slot"], r["text"]) for r in rows if r["path"] is None}
-            out.append(extract(parse(p), template, slots))
-        return pd.Series(out, dtype=object)
-
-    rows = pages.drop("text").withColumn("host", host("url")).join(wrappers, "host", "left")
-    return rows.withColumn("text", content("html", "wrapper")).drop("host", "wrapper")
+    def joined_content(page: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([extract(parse(p), None if w is None else _loaded(bytes(w))) for p, w in zip(page, data, strict=True)], dtype=object)
+
+    met = spread_join(rows.withColumn("host", host("url")).withColumn("_by", F.xxhash64("html")), found, ["host"], "_by", 64, "left")
+    return met.select(*unpacked, joined_content("html", "data").alias("text"))
 
 
 def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
