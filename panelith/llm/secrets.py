@@ -31,6 +31,8 @@ WORDS = (
     "ation chaque comme dans elle encore entre être leur mais même nous pour quand sans sont tout une vous aber auch dass durch eine haben heit keit lich nicht nach noch oder schaft sich über ung werden wird zwischen "
     "ción como cuando desde donde ellos entonces esta hasta mente mismo muy para pero porque siempre sobre también todo"
 )
+# Common letter pairs of written languages, of which compound words of any language are put together.
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie ge un au la do el os ue qu ai eu"
 
 
 def let(value: Column, body) -> Column:
@@ -79,10 +81,24 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
     pick = lambda k: F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)).cast("int"))
     four = [pick(k) for k in range(4)]
     digits = F.translate(F.substring(h("n"), 1, 20), "abcdef", "012345")
-    kind = F.pmod("id", F.lit(9))
+    kind = F.pmod("id", F.lit(15))
+    part = lambda text, *cuts: F.concat(*[F.substring(text, a, n) if isinstance(a, int) else F.lit(a) for a, n in cuts])
+    uuid = part(h("u"), (1, 8), ("-", 0), (9, 4), ("-", 0), (13, 4), ("-", 0), (17, 4), ("-", 0), (21, 12))
+    moment = F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit("t")), F.lit(2_000_000_000)))
+    form = F.pmod(F.xxhash64("id", F.lit("f")), F.lit(4))
+    date = F.when(form == 0, F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss-000000")).when(form == 1, F.date_format(moment, "yyyy/MM/dd/HH_mm_ss")).when(form == 2, F.date_format(moment, "yyyyMMddHHmmss000")).otherwise(F.date_format(moment, "yyyy-MM-dd-HH-mm-ss"))
+    letters = F.concat(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" * 2), F.lit("abcdefghijklmnopqrstuvwxyz0123456789"))
+    rule = F.when(form == 0, F.substring(letters, F.pmod(F.xxhash64("id", F.lit("a")), F.lit(80)).cast("int") + 1, size)).otherwise(F.repeat(F.substring(F.lit("-_=+/0xXaAzZ1o"), (F.pmod(F.xxhash64("id", F.lit("r")), F.lit(14)) + 1).cast("int"), F.lit(1)), size))
+    dna = F.substring(F.translate(F.concat(h("d"), h("e")), "0123456789abcdef", "ACGT" * 4), F.lit(1), size)
+    syllables = F.split(F.lit(SYLLABLES), " ")
+    nine = [F.get(syllables, F.pmod(F.xxhash64("id", F.lit(f"s{k}")), F.size(syllables)).cast("int")) for k in range(9)]
+    unknown = F.substring(F.regexp_replace(F.lower(F.concat(raw, F.base64(F.unhex(h("w"))))), "[^a-z]", ""), F.lit(1), size)  # a word of a language that the others don't cover
+    compound = F.when(form < 2, F.concat(*nine)).otherwise(unknown)
+    camel = F.concat(*[x for k in range(0, 9, 3) for x in (F.initcap(F.concat(*nine[k : k + 2])) if k else F.concat(*nine[:2]), nine[k + 2])])
     plain = (
         F.when(kind == 0, F.concat_ws("_", *four)).when(kind == 1, F.concat(four[0], *[F.initcap(w) for w in four[1:]])).when(kind == 2, F.concat_ws("-", *four)).when(kind == 3, F.upper(F.concat_ws("_", *four[:3])))
-        .when(kind == 4, F.concat_ws("/", *four)).when(kind == 5, digits).when(kind == 6, F.concat(F.concat_ws("_", *four[:3]), F.substring(digits, 1, 3))).when(kind == 7, F.upper(F.concat(*four[:3]))).otherwise(F.concat(*four))
+        .when(kind == 4, F.concat_ws("/", *four)).when(kind == 5, digits).when(kind == 6, F.concat(F.concat_ws("_", *four[:3]), F.substring(digits, 1, 3))).when(kind == 7, F.upper(F.concat(*four[:3])))
+        .when(kind == 8, F.concat(*four)).when(kind == 9, rule).when(kind == 10, date).when(kind == 11, dna).when(kind == 12, uuid).when(kind == 13, camel).otherwise(compound)
     )
     return ids.select(F.substring(random, F.lit(1), size).alias("sample"), F.lit(True).alias("secret")).unionAll(ids.select(plain.alias("sample"), F.lit(False).alias("secret")))
 
@@ -111,13 +127,15 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def stretches(token: Column, model: list[float], threshold: float) -> Column:
-    """(s, e) of the secrets in a run of CANDIDATE: the whole run if its ratio exceeds the threshold, else its random stretches.
+    """(s, e) of the secrets in a run of CANDIDATE: the whole run if its ratio exceeds the threshold and EACH for each of its characters, else its random stretches; either with KINDS_OF_CHARACTERS.
 
     A stretch ends where the sum of the ratios has fallen by the threshold, so neither ordinary text beside it nor another
     stretch cancels it. It is widened to whole parts between "/", "_" and "-", joined with those that it touches, and kept if it has
     LEAST characters, as a run must have. What follows a separator is no evidence for a stretch, only against it: random samples have none.
     """
     spans = "array<struct<s:int,e:int>>"
+    text = F.split(token, "")
+    kinds = lambda x: F.size(F.array_distinct(F.slice(text, x["s"] + 1, x["e"] - x["s"])))
     llr = F.from_json(F.lit(json.dumps(model)), "array<double>")
     pair = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
     state = lambda total, start, top, end, out: F.struct(total.alias("total"), start.cast("int").alias("start"), top.alias("top"), end.cast("int").alias("end"), out.alias("out"))
@@ -151,11 +169,13 @@ def stretches(token: Column, model: list[float], threshold: float) -> Column:
         size = F.size(c) - 1
         cuts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(c, i + 1).isin(*map(ord, "/_-")))
         long = lambda x: F.least(x["e"], F.char_length(F.rtrim(token, F.lit("=")))) - x["s"] >= LEAST
-        kept = lambda f: F.filter(let(cuts, lambda at: widened(f, at, size)), long)
+        kept = lambda f: F.filter(let(cuts, lambda at: widened(f, at, size)), lambda x: long(x) & (kinds(x) >= KINDS_OF_CHARACTERS))
         return let(found, lambda f: F.when(F.size(f) > 0, kept(f)).otherwise(F.array().cast(spans)))
 
-    whole = F.array(pair(F.lit(0), F.char_length(token)))
-    return F.when(ratio(token, model) > threshold, whole).otherwise(let(F.concat(F.array(F.lit(0)), F.transform(F.split(token, ""), F.ascii)), inner))
+    n = F.char_length(token)
+    whole = F.array(pair(F.lit(0), n))
+    random = let(ratio(token, model), lambda r: (r > threshold) & (r > EACH * n)) & (kinds(whole[0]) >= KINDS_OF_CHARACTERS)
+    return F.when(random, whole).otherwise(let(F.concat(F.array(F.lit(0)), F.transform(F.split(token, ""), F.ascii)), inner))
 
 
 def _good(text: Column, kind: str) -> tuple[str, Column]:
@@ -170,7 +190,9 @@ def _good(text: Column, kind: str) -> tuple[str, Column]:
 
 
 THRESHOLD = 8.0
+EACH = 0.25  # ratio for each character that a run needs beside the sum: long ordinary runs gather some by chance
 LEAST = 16
+KINDS_OF_CHARACTERS = 7  # that a secret has at least: rules, repeats and sequences of four letters aren't random however rare their pairs are
 
 
 def _markov(text: Column, model: list[float], threshold: float) -> Column:

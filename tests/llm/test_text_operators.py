@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -129,6 +130,91 @@ def test_secrets_in_long_runs(spark, model):
     assert all(not r.secret_spans for r in secrets.scan(docs(spark, enumerate(plain)), model).collect())
 
 
+ORDINARY = ["-" * 28, "a" * 24, "ACGT" * 8, "GATTACAGATTTACCAGGATACCA", "2024-01-01T00-00-00-000000", "Title\n" + "-" * 20 + "\n| a |", "123e4567-e89b-12d3-a456-426614174000", "/usr/local/lib/python3/site-packages/numpy", "0000000000000000000001", "donaudampfschifffahrtsgesellschaft",
+            "https://www.example.com/a/b/c/index.html", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "src/main/java/com/google/common/collect/ImmutableList", "1234567890123456", "isbn-978-3-16-148410-0", "SELECT_ALL_FROM_TABLE_WHERE", "=" * 40, "aaaa-bbbb-aaaa-bbbb-aaaa"]
+
+
+def brute_model(rows, smooth=0.5):
+    """The ratios of pairs as train() defines them, in plain Python."""
+    count = {True: Counter(), False: Counter()}
+    for text, secret in rows:
+        codes = [0] + [ord(c) for c in text if 1 <= ord(c) <= 127]
+        count[secret].update(zip(codes, codes[1:], strict=False))
+    kinds = len({b for c in count.values() for _, b in c})
+    of = {k: Counter() for k in count}
+    for k, c in count.items():
+        for (a, _), n in c.items():
+            of[k][a] += n
+    log = lambda k, a, b: np.log((count[k][a, b] + smooth) / (of[k][a] + smooth * kinds))
+    return {(a, b): log(True, a, b) - log(False, a, b) for a in range(128) for b in range(128)}
+
+
+def brute_markov(run, llr):
+    """(s, e) of the secrets in one run, as stretches() says, in plain Python."""
+    codes = [0, *map(ord, run)]
+    ratios = [llr[p] for p in zip(codes, codes[1:], strict=False)]
+    varied = lambda s, e: len({*run[s:e]}) >= secrets.KINDS_OF_CHARACTERS
+    if sum(ratios) > max(secrets.THRESHOLD, secrets.EACH * len(run)) and varied(0, len(run)):
+        return [(0, len(run))]
+    ratios = [min(r, 0) if c in "/_-" else r for r, c in zip(ratios, "\0" + run, strict=False)]
+    found, total, start, top, end = [], 0.0, 0, 0.0, 0
+    for i, r in enumerate(ratios):
+        total += r
+        if total > top:
+            top, end = total, i + 1
+        elif total <= (top - secrets.THRESHOLD if top > secrets.THRESHOLD else 0):
+            if top > secrets.THRESHOLD:
+                found.append((start, end))
+            total, start, top, end = 0.0, i + 1, 0.0, i + 1
+    if top > secrets.THRESHOLD:
+        found.append((start, end))
+    cuts, out = [i for i, c in enumerate(run) if c in "/_-"], []
+    for s, e in found:
+        s, e = min(max([c for c in cuts if c <= s], default=-1) + 1, e - 1), min([c for c in cuts if c >= e], default=len(run))
+        if s < e:
+            if out and s <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(e, out[-1][1]))
+            else:
+                out.append((s, e))
+    return [(s, e) for s, e in out if min(e, len(run.rstrip("="))) - s >= 16 and varied(s, e)]
+
+
+def test_markov_against_brute_force(spark, model):
+    rows = [(r.sample, r.secret) for r in secrets.labelled_samples(spark).collect()]
+    llr = brute_model(rows)
+    assert np.allclose([llr[a, b] for a in range(128) for b in range(128)], model, atol=1e-5)
+    llr = {p: model[p[0] * 128 + p[1]] for p in llr}
+    rng = random.Random(23)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [*ORDINARY, *[x for x, _ in rows[::40]]]
+    for _ in range(300):
+        texts.append(rng.choice(["", "x ", "é("]) + rng.choice(["/", "_", "-", "+", ""]).join(rng.choice([rng.choice(PATHS), "".join(rng.choice(chars) for _ in range(rng.randint(3, 30))), prose(1, rng)]) for _ in range(rng.randint(1, 6))) + rng.choice(["", "=", "==", " end"]))
+    for r in secrets.scan(docs(spark, enumerate(texts)), model).collect():
+        t = texts[r.doc_id]
+        want = [(m.start() + s, m.start() + e) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}", t) for s, e in brute_markov(m[0], llr)]
+        base = {(x.s, x.e) for x in r.secret_spans if x.k in (1, 2)}
+        assert [(x.s, x.e) for x in r.secret_spans if x.k == 3] == [x for x in want if x not in base], t
+
+
+def test_markov_precision_and_recall_on_text(spark, model):
+    """Tokens planted in invented prose, and lines of code, paths, dates and rules without any."""
+    rng = random.Random(29)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lines = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").query("source != 'secrets'")["text"].dropna().str.slice(0, 400).tolist()[:300]
+    code = [line for f in ("secrets", "warc", "neardup", "language") for line in (Path(secrets.__file__).parent / f"{f}.py").read_text("utf-8").split("\n") if line]
+    plain = [*ORDINARY, *lines, *code]
+    got = secrets.scan(docs(spark, enumerate(plain)), model).collect()
+    wrong = [plain[r.doc_id][x.s : x.e] for r in got for x in r.secret_spans if x.k == 3]
+    planted = ["".join(rng.choice(chars) for _ in range(rng.randint(20, 48))) for _ in range(400)]
+    rows = [f"{rng.choice(lines)[:80]} {t} {rng.choice(code)}" for t in planted]
+    hit = sum(any(t == rows[r.doc_id][x.s : x.e] or t in rows[r.doc_id][x.s : x.e] for x in r.secret_spans) for r, t in ((r, planted[r.doc_id]) for r in secrets.scan(docs(spark, enumerate(rows)), model).collect()))
+    print(f"wrong spans in {len(plain)} lines: {len(wrong)}; tokens found: {hit} of {len(planted)}", wrong[:20])
+    assert hit >= 0.97 * len(planted) and len(wrong) <= 0.01 * len(plain)
+    assert not any(x.k == 3 for r in got if r.doc_id < len(ORDINARY) for x in r.secret_spans)
+    redacted = {r.doc_id: r.text for r in secrets.redact(docs(spark, enumerate(ORDINARY)), model).collect()}
+    assert redacted == dict(enumerate(ORDINARY))
+
+
 # ---- Language ----
 
 
