@@ -13,6 +13,7 @@ from panelith.constants import PENALTIES
 from panelith.functions import calendar, numeric
 from panelith.operators import assemble, clean, evaluate, fold, level, shape
 from panelith.plans.forecast import PanelForecaster, explode_channels, forecast_start
+from panelith.shipping import ship
 from panelith.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +244,8 @@ def _spectra(rows: DataFrame, periods: list[int]) -> DataFrame:
     """(series_id, p, nc, values): singular values of each series folded by each period."""
     from panelith.operators.kernel import spectrum
 
+    ship(rows.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("i")["y"].to_numpy()
         return pd.DataFrame([(pdf["series_id"].iloc[0], p, len(y) // p, spectrum(y, p)) for p in periods], columns=["series_id", "p", "nc", "values"])
@@ -349,6 +352,8 @@ def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, factor): shrinkage of the level from the spectrum; held against closed forms in tests."""
     from panelith.operators.kernel import shrinkage
 
+    ship(spark)
+
     @F.pandas_udf("double")
     def of(values: pd.Series, p: pd.Series, nc: pd.Series) -> pd.Series:
         return pd.Series([shrinkage(v, int(a), int(b)) for v, a, b in zip(values, p, nc, strict=True)])
@@ -361,6 +366,8 @@ def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(beta, median): Marchenko-Pastur medians; held against known values in tests."""
     from panelith.operators.kernel import mp_median as median
 
+    ship(spark)
+
     @F.pandas_udf("double")
     def of(beta: pd.Series) -> pd.Series:
         return beta.map(median)
@@ -395,6 +402,8 @@ def boxcox_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most likely power in [0, 1] to one decimal; the SQL looks over a fine grid."""
     from panelith.operators.kernel import boxcox_power
 
+    ship(spark)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "power": [boxcox_power(pdf.sort_values("period_idx")["level"].to_numpy())]})
 
@@ -432,6 +441,8 @@ wt AS (SELECT *, exp(-(gcv - min(gcv) OVER k) / greatest(min(gcv) OVER k, 1e-10)
 def ridge_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelith.operators.kernel import ridge
 
+    ship(spark)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period_idx")
         fit = ridge(pdf[["b0", "b1", "lag1"]].to_numpy(), pdf["target"].to_numpy())

@@ -25,13 +25,17 @@ def index_series(df: DataFrame, series: str = "series_id", ts: str = "ts") -> Da
     return df.withColumn("i", F.row_number().over(w.orderBy(ts)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
 
+def _keys(series: str | Sequence[str]) -> list[str]:
+    return [series] if isinstance(series, str) else list(series)
+
+
 def _missing(y: Column) -> Column:
     return y.isNull() | F.isnan(y)
 
 
-def interpolate(df: DataFrame, y: str = "y", fallback: float | Column = 0.0, series: str = "series_id", order: str = "i", out: str | None = None) -> DataFrame:
+def interpolate(df: DataFrame, y: str = "y", fallback: float | Column = 0.0, series: str | Sequence[str] = "series_id", order: str = "i", out: str | None = None) -> DataFrame:
     """df with y (or out) filled: linear between neighbours, constant at the edges, the fallback where a series has no value. NaN counts as missing."""
-    w = Window.partitionBy(series).orderBy(order)
+    w = Window.partitionBy(*_keys(series)).orderBy(order)
     point = F.when(~_missing(F.col(y)), F.struct(F.col(order).alias("i"), F.col(y).cast("double").alias("y")))
     before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -42,9 +46,9 @@ def interpolate(df: DataFrame, y: str = "y", fallback: float | Column = 0.0, ser
     return df.withColumn(out or y, value).drop("_a", "_b")
 
 
-def positivity_shift(df: DataFrame, series: str = "series_id") -> DataFrame:
+def positivity_shift(df: DataFrame, series: str | Sequence[str] = "series_id") -> DataFrame:
     """df with y moved to at least 1 and shift, by how much: max(1 - min(y), 1), also for positive series."""
-    shift = F.greatest(1 - F.min("y").over(Window.partitionBy(series)), F.lit(1.0))
+    shift = F.greatest(1 - F.min("y").over(Window.partitionBy(*_keys(series))), F.lit(1.0))
     return df.withColumn("shift", shift).withColumn("y", F.col("y") + F.col("shift"))
 
 
@@ -59,8 +63,8 @@ def fill_exog(history: DataFrame, future: DataFrame, columns: Sequence[str], ser
     return history, future.drop(*[f"_last_{c}" for c in columns])
 
 
-def check_exog(history: DataFrame, future: DataFrame | None, columns: Sequence[str], horizon: int, series: str = "series_id") -> None:
-    """Raise ValueError unless exogenous columns are on both sides and each series has exactly `horizon` future rows."""
+def check_exog(history: DataFrame, future: DataFrame | None, columns: Sequence[str]) -> None:
+    """Raise ValueError unless exogenous columns are on both sides. Reads no rows: how many a series has ahead is checked where it is forecast."""
     if bool(columns) != (future is not None):
         raise ValueError("X_hist and X_future must be provided together")
     if not columns:
@@ -69,10 +73,6 @@ def check_exog(history: DataFrame, future: DataFrame | None, columns: Sequence[s
         raise ValueError(f"X_hist columns {absent} are not in X_future")
     if absent := [c for c in columns if c not in history.columns]:
         raise ValueError(f"X_future columns {absent} are not in X_hist")
-    n = future.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    odd = history.select(series).distinct().join(n, series, "left").filter(F.coalesce("n", F.lit(0)) != horizon).limit(1).collect()
-    if odd:
-        raise ValueError(f"X_future length must be the horizon, {horizon}; series {odd[0][series]} has {odd[0]['n'] or 0} rows")
 
 
 def degenerate_sigma(df: DataFrame, series: str = "series_id", last: int = 50) -> DataFrame:

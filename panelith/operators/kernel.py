@@ -64,6 +64,11 @@ def cross_lags(secondary: tuple[int, ...], p: int, primary: int, nc: int) -> lis
     return sorted({*lags, primary}) if p == 1 and fits(primary) else lags
 
 
+@lru_cache(1)
+def _quadrature() -> tuple[np.ndarray, np.ndarray]:
+    return np.polynomial.legendre.leggauss(200)
+
+
 @lru_cache(128)
 def mp_median(beta: float) -> float:
     """Median of the Marchenko-Pastur law with aspect ratio beta.
@@ -73,7 +78,7 @@ def mp_median(beta: float) -> float:
     if beta <= TINY:
         return 1.0
     b = min(beta, 1.0)
-    node, weight = np.polynomial.legendre.leggauss(200)
+    node, weight = _quadrature()
     place = lambda a: 1 + b + 2 * math.sqrt(b) * np.cos(a)
 
     def mass(angle: float) -> float:  # of y above place(angle)
@@ -106,42 +111,39 @@ def shrinkage(values: np.ndarray, p: int, nc: int) -> float:
     return min(max(math.sqrt((a + math.sqrt(rest)) / 2) / top, TINY), 1.0)
 
 
-def boxcox_loglik(logs: np.ndarray, power: float) -> float:
-    """Profile log-likelihood of a Box-Cox power, from the values' logarithms."""
-    n = len(logs)
-    if power == 0:
-        spread = float(np.var(logs))
-    else:  # the variance of expm1(power * log) / power, scaled so that it can't overflow
-        top = float((power * logs).max())
-        spread = float(np.var(np.exp(power * logs - top))) / power**2
-        return -math.inf if spread <= 0 else (power - 1) * float(logs.sum()) - n / 2 * (math.log(spread) + 2 * top)
-    return -math.inf if spread <= 0 else -float(logs.sum()) - n / 2 * math.log(spread)
+def boxcox_loglik(logs: np.ndarray, power: float | np.ndarray) -> np.ndarray:
+    """Profile log-likelihood of Box-Cox powers, from the values' logarithms."""
+    p = np.atleast_1d(np.asarray(power, dtype=np.float64))
+    n, safe = len(logs), np.where(p == 0, 1.0, p)
+    # The variance of expm1(power * log) / power, scaled so that it can't overflow.
+    z = logs[None, :] * p[:, None]
+    top = z.max(axis=1)
+    z = np.where((p == 0)[:, None], logs[None, :], np.exp(z - top[:, None]))
+    z = z - z.mean(axis=1, keepdims=True)
+    spread = np.einsum("ij,ij->i", z, z) / n / safe**2
+    with np.errstate(divide="ignore"):
+        own = (p - 1) * logs.sum() - n / 2 * (np.log(spread) + 2 * np.where(p == 0, 0.0, top))
+    return np.where(spread > 0, own, -np.inf)
+
+
+_COARSE = np.arange(-6.0, 6.25, 0.5)
 
 
 def boxcox_power(x: np.ndarray) -> float:
-    """The most likely power, found without bounds (golden section about a coarse grid's best), then held to [0, 1]; 1 for few or constant positive values."""
+    """The most likely power, found without bounds (finer and finer grids about the best of a coarse one), then held to [0, 1]; 1 for few or constant positive values."""
     x = x[x > 0]
     if len(x) < LEAST_POSITIVE or x.max() == x.min():
         return 1.0
     logs = np.log(x)
-    grid = np.arange(-6.0, 6.25, 0.5)
-    at = int(np.argmax([boxcox_loglik(logs, p) for p in grid]))
-    low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-    if high <= 0 or low >= 1:
-        return 0.0 if high <= 0 else 1.0
-    step = (math.sqrt(5) - 1) / 2
-    a, b = high - step * (high - low), low + step * (high - low)
-    fa, fb = boxcox_loglik(logs, a), boxcox_loglik(logs, b)
-    while high - low > 1e-9:
-        if fa < fb:
-            low, a, fa = a, b, fb
-            b = low + step * (high - low)
-            fb = boxcox_loglik(logs, b)
-        else:
-            high, b, fb = b, a, fa
-            a = high - step * (high - low)
-            fa = boxcox_loglik(logs, a)
-    return float(min(max((low + high) / 2, 0.0), 1.0))
+    grid = _COARSE
+    while True:
+        at = int(np.argmax(boxcox_loglik(logs, grid)))
+        low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+        if high <= 0 or low >= 1:
+            return 0.0 if high <= 0 else 1.0
+        if high - low <= 1e-9:
+            return float(min(max(grid[at], 0.0), 1.0))
+        grid = np.linspace(low, high, 25)
 
 
 def boxcox(y: np.ndarray, power: float) -> np.ndarray:

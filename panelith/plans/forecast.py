@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith.functions.numeric import item_seed
 from panelith.operators import clean, evaluate
 from panelith.operators.kernel import Series, fill, need, sample_paths
+from panelith.shipping import ship
 
 
 def seed_of(series_id: object, channel: int = 0) -> int:
@@ -61,6 +62,7 @@ class PanelForecaster:
     freq: str
     n_samples: int = 200
     seed: int | None = None
+    partitions: int | None = None  # that series are dealt into; None: as many as Spark's shuffles have
 
     def __post_init__(self) -> None:
         clean.validate_request(1, self.freq, self.n_samples)
@@ -70,71 +72,115 @@ class PanelForecaster:
         return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future)
 
     def forecast(
-        self, history: DataFrame, horizon: int, series: str = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)
+        self, history: DataFrame, horizon: int, series: str | Sequence[str] = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), seeds: str | None = None
     ) -> DataFrame:
         """(series, sample_id, step, value), or with output='quantiles' (series, step, quantile, value).
 
-        history: (series, ts, y, exog...), y null or NaN where missing; future: (series, step from 0, exog...), horizon rows each.
-        Spark computes what depends on all rows of a series (length, least value, shift, whole numbers) and interpolates, then drops rows that
-        are too old for the kernel, so that a group has at most need() rows; then the kernel walks the sorted partitions, a series at a time (with exogenous columns: a group a series).
+        history: (series, ts, y, exog...), y null or NaN where missing; future: (series, step from 0, exog...), horizon rows each: if not, the
+        query fails when it runs. series: one key column or several. seeds: a column of history with each series' seed (the least counts), as explode_channels() gives; without it and without
+        a seed of the config, seed_of() of the key. All rows of a series, past and known ahead, are dealt out once; see _dealt() and _walk().
         """
         clean.validate_request(horizon, self.freq, self.n_samples)
-        clean.check_exog(history, future, exog, horizon, series)
-        rows = history.select(F.col(series), F.col(ts), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double") for c in exog])
-        # Dealt out by number: sizes before the kernel say little about its work, so partitions mustn't be merged by size.
-        rows = rows.repartition(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), series)
-        rows = clean.index_series(rows, series, ts).withColumn("seen", F.when(~F.isnan("y"), F.col("y")))
-        rows = clean.interpolate(rows, "y", 0.0, series)
-        for c in exog:
-            rows = clean.interpolate(rows, c, 0.0, series)
-        w = Window.partitionBy(series)
-        rows = rows.withColumn("low", F.min("seen").over(w)).withColumn("whole", F.coalesce(F.bool_and(F.col("seen") == F.rint("seen")).over(w), F.lit(False)))
-        rows = clean.positivity_shift(rows, series).filter(F.col("n") - F.col("i") <= need(self.freq, horizon))
-        freq, n_samples, seed, lookback, cols = self.freq, self.n_samples, self.seed, max(2 * horizon, 50), list(exog)
+        keys = [series] if isinstance(series, str) else list(series)
+        clean.check_exog(history, future, exog)
+        rows = _rows(history, keys, ts, y, exog, seeds)
+        if future is not None:
+            rows = rows.unionByName(future.select(*keys, F.lit(None).cast(dict(rows.dtypes)["_order"]).alias("_order"), F.col("step").cast("long").alias("_step"), F.lit(True).alias("_ahead"), F.lit(None).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], F.lit(None).cast("long").alias("_seed")))
         narrow = output == "quantiles"
         levels = [float(q) for q in quantiles]
+        names = ["step", "quantile", "value"] if narrow else ["sample_id", "step", "value"]
 
-        def paths_of(key: object, y_: np.ndarray, seen: np.ndarray, n: int, low: float, whole: bool, shift: float, x: np.ndarray, ahead: np.ndarray | None) -> np.ndarray:
+        def made(paths: np.ndarray, _: Ahead) -> list[np.ndarray]:
+            out = np.quantile(paths, levels, axis=0) if narrow else paths
+            first, step = np.repeat(np.arange(len(out), dtype=np.int32), horizon), np.tile(np.arange(horizon, dtype=np.int32), len(out))
+            return [step, np.array(levels)[first], out.ravel()] if narrow else [first, step, out.ravel()]
+
+        return self._walked(rows, keys, exog, horizon, names, "step int, quantile double, value double" if narrow else "sample_id int, step int, value double", made)
+
+    def backtest(self, history: DataFrame, train: int, horizon: int, n_origins: int, season: int, series: str | Sequence[str] = "series_id", ts: str = "ts", exog: Sequence[str] = (), same_seed: bool = False, seeds: str | None = None) -> DataFrame:
+        """(series, origin, mase, mae, smape) of median forecasts from rolling origins; every origin of every series is a series of its own.
+
+        With exog, the test window's rows of these columns are known ahead. same_seed: one seed for all origins (that of the
+        series, or of the column seeds), so that runs with and without exogenous columns differ by these alone; else each origin has its own.
+        The test window travels with its training rows, so that rows are dealt out once for each origin and scores are sums over what the kernel returns.
+        """
+        clean.validate_request(horizon, self.freq, self.n_samples)
+        keys = [series] if isinstance(series, str) else list(series)
+        whole = _rows(history, keys, ts, "y", exog, seeds)
+        if same_seed and self.seed is None and seeds is None:
+            whole = whole.withColumn("_seed", item_seed(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])))
+        w = Window.partitionBy(*keys)
+        whole = whole.withColumn("i", F.row_number().over(w.orderBy("_order")) - 1)
+        parts = evaluate.rolling_origins(whole, train, horizon, n_origins, keys, keep=[*exog, "_seed"])
+        own = [*keys, "origin"]
+        ahead = F.col("part") == "test"
+        rows = parts.select(*own, F.lit(None).cast("long").alias("_order"), F.col("at").cast("long").alias("_step"), ahead.alias("_ahead"), F.col("y").cast("double").alias("y"), *exog, "_seed")
+
+        def made(paths: np.ndarray, known: Ahead) -> list[np.ndarray]:
+            return [np.arange(horizon, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(horizon, naive(known.history, season))]
+
+        out = self._walked(rows, own, exog, horizon, ["step", "actual", "pred", "naive"], "step int, actual double, pred double, naive double", made)
+        return evaluate.scores(out, own).select(*own, "mase", "mae", "smape")
+
+    def _walked(self, rows: DataFrame, keys: list[str], exog: Sequence[str], horizon: int, names: list[str], ddl: str, made: Callable[[np.ndarray, Ahead], list[np.ndarray]]) -> DataFrame:
+        """(keys, names): made() of each series' sample paths and what is known of its horizon.
+
+        rows: (keys, _order, _step, _ahead, y, exog..., _seed), in the order of _order and _step. Spark computes what depends on all rows of a series (length, least value, shift, whole numbers) and
+        interpolates, then drops rows that are too old for the kernel, so that a series has at most need() rows there. Then the kernel walks
+        the sorted partitions, a series at a time, and holds one batch and one series: a Python group for each series would cost far more than the forecasts of short ones.
+        """
+        ship(rows.sparkSession)
+        n_parts = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = _dealt(rows, keys, exog, n_parts, need(self.freq, horizon))
+        freq, n_samples, seed, lookback = self.freq, self.n_samples, self.seed, max(2 * horizon, 50)
+        kinds = dict(rows.dtypes)
+        keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", *exog]
+        n_keys = len(keys)
+
+        def one(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> list[np.ndarray] | None:
+            past = lo + int(np.count_nonzero(~col["_ahead"][lo:hi]))
+            if past == lo:
+                return None  # known rows of a series without a history
+            seen = col["seen"][lo:past]
+            low, own_seed = col["low"][lo], col["_seed"][lo]
             back = seen[len(seen) - min(lookback, len(seen)) :]
-            own = Series(y_, n, shift, None if np.isnan(low) else low, back[~np.isnan(back)], whole, x)
-            out = sample_paths(own, horizon, freq, n_samples, seed_of(key) if seed is None else seed, ahead)
-            return np.quantile(out, levels, axis=0) if narrow else out
-
-        kind = dict(rows.dtypes)[series]
-        schema = f"{series} {kind}, step int, quantile double, value double" if narrow else f"{series} {kind}, sample_id int, step int, value double"
-        keep = [series, "i", "n", "y", "seen", "low", "whole", "shift", *exog]
-        names = [x.split()[0] for x in schema.split(", ")]
-
-        def table_of(keys: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
-            """Rows for each key's matrix of values: a row of it for each sample or quantile, a column for each step."""
-            each = values[0].shape[0]
-            first, step = np.repeat(np.arange(each), horizon), np.tile(np.arange(horizon, dtype=np.int32), each)
-            own = keys.take(pa.array(np.repeat(np.arange(len(values)), each * horizon)))
-            step = np.tile(step, len(values))
-            value = pa.array(np.concatenate([v.ravel() for v in values]))
-            if narrow:
-                return pa.RecordBatch.from_arrays([own, pa.array(step), pa.array(np.tile(np.array(levels)[first], len(values))), value], names=names)
-            return pa.RecordBatch.from_arrays([own, pa.array(np.tile(first.astype(np.int32), len(values))), pa.array(step), value], names=names)
+            x = np.column_stack([col[c][lo:past] for c in exog]) if exog else np.zeros((past - lo, 0))
+            ahead = None
+            if exog:
+                if hi - past != horizon:
+                    raise ValueError(f"X_future length must be the horizon, {horizon}; series {key} has {hi - past} rows")
+                ahead = np.column_stack([col[c][past:hi] for c in exog])
+                ahead = np.where(np.isnan(ahead), x[-1], ahead)  # a column without any value takes the last of its history
+            s = Series(col["y"][lo:past], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
+            used = seed if seed is not None else int(own_seed) if not np.isnan(own_seed) else seed_of(key[0] if n_keys == 1 else "\x1f".join(map(str, key)))
+            return made(sample_paths(s, horizon, freq, n_samples, used, ahead), Ahead(col["seen"][past:hi], seen))
+
+        def done(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+            """What the whole series of t give, and the rows of the last one, which may go on in the next batch."""
+            new = np.zeros(len(t), bool)
+            for c in range(n_keys):
+                place = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= place[1:] != place[:-1]
+            cut = np.concatenate(([0], np.flatnonzero(new), [len(t)] if last else []))
+            cut = cut.astype(np.int64)
+            if len(cut) < 2:
+                return None, t
+            col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in keep[n_keys:]}
+            for c in ("seen", "low", "_seed", *exog):
+                col[c] = col[c].astype(np.float64)
+            own = t.select(range(n_keys)).combine_chunks()
+            first = list(zip(*(c.take(pa.array(cut[:-1])).to_pylist() for c in own.columns), strict=True))
+            got = [one(k, col, lo, hi) for k, lo, hi in zip(first, cut[:-1], cut[1:], strict=True)]
+            whole = [(lo, g) for lo, g in zip(cut[:-1], got, strict=True) if g is not None]
+            if not whole:
+                return None, t.slice(cut[-1])
+            at = pa.array(np.repeat([lo for lo, _ in whole], [len(g[0]) for _, g in whole]))
+            values = [pa.array(np.concatenate(c)) for c in zip(*(g for _, g in whole), strict=True)]
+            columns = [c.take(at).combine_chunks() for c in own.columns]
+            return pa.RecordBatch.from_arrays([*columns, *values], names=[*keys, *names]), t.slice(cut[-1])
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Series after series of a sorted partition; holds one batch and one series at a time."""
             rest: pa.Table | None = None
-
-            def done(t: pa.Table, whole: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-                place = t.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
-                if not whole:
-                    cut = cut[:-1]
-                if len(cut) < 2:
-                    return None, t
-                col = {c: t.column(c).to_numpy() for c in keep[1:8]}
-                keys = t.column(0).combine_chunks().take(pa.array(cut[:-1]))
-                values = []
-                for key, lo, hi in zip(keys.to_pylist(), cut[:-1], cut[1:], strict=True):
-                    low = col["low"][lo]
-                    values.append(paths_of(key, col["y"][lo:hi], col["seen"][lo:hi], int(col["n"][lo]), np.nan if low is None else float(low), bool(col["whole"][lo]), float(col["shift"][lo]), np.zeros((hi - lo, 0)), None))
-                return table_of(keys, values), t.slice(cut[-1])
-
             for b in batches:
                 t = pa.Table.from_batches([b])
                 t = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
@@ -143,45 +189,49 @@ class PanelForecaster:
                     if out is not None:
                         yield out
             if rest is not None and rest.num_rows:
-                yield done(rest, True)[0]
-
-        if not exog:  # a Python group for each series would cost far more than the forecasts of short series
-            return rows.select(*keep).sortWithinPartitions(series, "i").mapInArrow(stream, schema)
-
-        def run(pdf: pd.DataFrame, ahead: np.ndarray | None) -> pd.DataFrame:
-            pdf = pdf.sort_values("i")
-            first = pdf.iloc[0]
-            low = np.nan if pd.isna(first["low"]) else float(first["low"])
-            own = paths_of(first[series], pdf["y"].to_numpy(), pdf["seen"].to_numpy(), int(first["n"]), low, bool(first["whole"]), float(first["shift"]), pdf[cols].to_numpy().reshape(len(pdf), -1), ahead)
-            return table_of(pa.array([first[series]]), [own]).to_pandas()
-
-        last = rows.groupBy(series).agg(*[F.max_by(c, "i").alias(f"_last_{c}") for c in exog])
-        ahead = future.select(series, "step", *[F.col(c).cast("double") for c in exog]).join(last, series)
-        for c in exog:
-            ahead = clean.interpolate(ahead, c, F.col(f"_last_{c}"), series, "step")
-
-        ahead = ahead.select(series, "step", *exog).toDF(series, "step", *exog)  # columns of its own: future may come from history
-
-        def both(past: pd.DataFrame, nxt: pd.DataFrame) -> pd.DataFrame:
-            if past.empty:
-                return pd.DataFrame(columns=names)
-            return run(past, nxt.sort_values("step")[cols].to_numpy())
-
-        return rows.select(*keep).groupBy(series).cogroup(ahead.groupBy(series)).applyInPandas(both, schema)
-
-    def backtest(self, history: DataFrame, train: int, horizon: int, n_origins: int, season: int, series: str = "series_id", ts: str = "ts") -> DataFrame:
-        """(series, origin, mase, mae, smape) of median forecasts from rolling origins; every origin of every series is a group of its own."""
-        rows = clean.index_series(history.select(series, ts, F.col("y").cast("double").alias("y")), series, ts)
-        parts = evaluate.rolling_origins(rows.drop("n"), train, horizon, n_origins, series)
-        key = F.concat_ws("\x1f", F.col(series), F.col("origin"))
-        past = parts.filter("part = 'train'").select(key.alias("key"), "at", "y")
-        paths = self.forecast(past, horizon, "key", "at")
-        pred = evaluate.point(paths, "median", ("key", "step"))
-        actual = parts.filter("part = 'test'").select(key.alias("key"), series, "origin", F.col("at").alias("step"), F.col("y").alias("actual"))
-        joined = actual.join(pred, ["key", "step"])
-        naive = evaluate.naive_error(past.withColumnRenamed("at", "i"), season, "key")
-        scores = evaluate.mase(joined, naive, series="key").join(evaluate.errors(joined, "key"), "key")
-        return actual.select("key", series, "origin").distinct().join(scores, "key").select(series, "origin", "mase", "mae", "smape")
+                out, _ = done(rest, True)
+                if out is not None:
+                    yield out
+
+        return rows.select(*keep).mapInArrow(stream, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), ddl]))
+
+
+@dataclass(frozen=True)
+class Ahead:
+    """What a backtest compares a forecast with: the horizon's values, and the history's as they were observed."""
+
+    actual: np.ndarray
+    history: np.ndarray
+
+
+def naive(history: np.ndarray, season: int) -> float:
+    """The mean absolute error of repeating the value a season ago; NaN for histories no longer than that."""
+    gone = np.abs(history[season:] - history[:-season])
+    gone = gone[~np.isnan(gone)]
+    return float(gone.mean()) if len(gone) else float("nan")
+
+
+def _rows(history: DataFrame, keys: list[str], ts: str, y: str, exog: Sequence[str], seeds: str | None) -> DataFrame:
+    seed = F.col(seeds).cast("long") if seeds else F.lit(None).cast("long")
+    return history.select(*keys, F.col(ts).alias("_order"), F.lit(None).cast("long").alias("_step"), F.lit(False).alias("_ahead"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], seed.alias("_seed"))
+
+
+def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int, most: int) -> DataFrame:
+    """rows, dealt out by series in one shuffle and sorted, with i, n, y (interpolated and shifted), seen, low, whole, shift.
+
+    Past and known rows are sides of a window each. The number of partitions is held: sizes before the kernel say little about its work, so partitions
+    mustn't be merged by size. For that the shuffle is by a hash beside the keys, or an earlier one by the keys alone would take its place.
+    """
+    deal = ["_deal", *keys]
+    rows = rows.withColumn("_deal", F.xxhash64(*keys)).repartition(n_parts, *deal)
+    side = Window.partitionBy(*deal, "_ahead")
+    order = side.orderBy("_order", "_step")
+    rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(side)).withColumn("seen", F.when(~F.isnan("y"), F.col("y")))
+    for c in ("y", *exog):  # a column ahead without any value stays null until the kernel knows the last of its history
+        rows = clean.interpolate(rows, c, F.when(~F.col("_ahead"), F.lit(0.0)), [*deal, "_ahead"])
+    rows = rows.withColumn("low", F.min("seen").over(side)).withColumn("whole", F.coalesce(F.bool_and(F.col("seen") == F.rint("seen")).over(side), F.lit(False))).withColumn("_seed", F.min("_seed").over(side))
+    rows = clean.positivity_shift(rows, [*deal, "_ahead"]).filter(F.col("_ahead") | (F.col("n") - F.col("i") <= most))
+    return rows.sortWithinPartitions(*deal, "_ahead", "i")
 
 
 #: The single-series call under its second name.
@@ -190,8 +240,6 @@ panel_forecast = forecast
 
 def explode_channels(items: DataFrame, target: str = "target", item: str = "item_id") -> DataFrame:
     """A series for each channel of items whose target is an array of arrays: (item, channel, i, y, seed)."""
-    from panelith.functions.numeric import item_seed
-
     rows = items.select(item, F.posexplode(target).alias("channel", "_values"))
     rows = rows.withColumn("seed", item_seed(F.col(item), F.col("channel")))
     return rows.select(item, "channel", "seed", F.posexplode("_values").alias("i", "y"))

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra.numpy import arrays
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 import panelith
 from panelith.constants import FREQ_TO_PERIOD
 from panelith.functions.calendar import period_of, periods_of, resolve_freq
 from panelith.operators.kernel import choose_period
-from panelith.plans.forecast import PanelForecaster, forecast, seed_of
+from panelith.plans.forecast import PanelForecaster, explode_channels, forecast, seed_of
+
+ROOT = Path(__file__).resolve().parents[1]
 
 NAMES = "hourly daily monthly weekly quarterly short two one negative constant gaps missing large mixed far three".split()
 
@@ -156,8 +165,8 @@ def test_panel_exog_and_quantiles(spark):
     future = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(ahead)], "series_id string, step int, x double")
     out = PanelForecaster("D", 50, seed=7).forecast(df, 14, exog=["x"], future=future, output="quantiles", quantiles=[0.5]).orderBy("step").toPandas()
     assert np.allclose(out["value"], np.median(forecast(y, 14, "D", 50, 7, x, ahead), axis=0), rtol=1e-9)
-    with pytest.raises(ValueError, match="X_future length"):
-        PanelForecaster("D", 5).forecast(df, 15, exog=["x"], future=future)
+    with pytest.raises(PythonException, match="X_future length"):
+        PanelForecaster("D", 5).forecast(df, 15, exog=["x"], future=future).collect()
     with pytest.raises(ValueError, match="provided together"):
         PanelForecaster("D", 5).forecast(df, 14, exog=["x"])
 
@@ -169,6 +178,74 @@ def test_backtest(spark, histories):
     assert len(out) == 6 and (out.mase < 1.2).all() and isinstance(out, pd.DataFrame)
 
 
+def test_backtest_against_single_forecasts(spark):
+    """Each origin's scores, plain and with exogenous columns, from forecast() of its training window and the definitions of the scores."""
+    y, x, _ = informative()
+    rows = [(k, c, i, float(v) + 10 * c, float(w)) for k in ("a", "b") for c in (0, 1) for i, (v, w) in enumerate(zip(y, x, strict=True))]
+    df = spark.createDataFrame(rows, "item string, channel int, ts int, y double, x double").withColumn("seed", F.col("channel") + 5)
+    model = PanelForecaster("D", 20)
+    for exog in ([], ["x"]):
+        got = {(r["item"], r.channel, r.origin): r for r in model.backtest(df, 200, 14, 3, 7, ["item", "channel"], exog=exog, seeds="seed").collect()}
+        assert len(got) == 12
+        for (_, c, origin), r in got.items():
+            at = origin * ((300 - 200 - 14) // 3)
+            train, test, past, ahead = y[at : at + 200] + 10 * c, y[at + 200 : at + 214] + 10 * c, x[at : at + 200], x[at + 200 : at + 214]
+            pred = np.median(forecast(train, 14, "D", 20, 5 + c, *((past, ahead) if exog else ())), axis=0)
+            mae = np.abs(test - pred).mean()
+            assert np.isclose(r.mae, mae) and np.isclose(r.mase, mae / np.abs(train[7:] - train[:-7]).mean()) and np.isclose(r.smape, 100 * np.mean(np.abs(test - pred) / np.maximum((np.abs(test) + np.abs(pred)) / 2, 1e-8)))
+    both = model.backtest(df.filter("item = 'a' and channel = 0"), 200, 14, 3, 7, "item", same_seed=True).orderBy("origin").collect()
+    for r in both:
+        at = r.origin * 28
+        assert np.isclose(r.mae, np.abs(y[at + 200 : at + 214] - np.median(forecast(y[at : at + 200], 14, "D", 20, seed_of("a")), axis=0)).mean())
+
+
+def test_backtest_deals_rows_once(spark):
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(100)], "series_id string, ts int, y double")
+    plan = PanelForecaster("D", 5).backtest(df, 50, 7, 3, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4
+
+
+def test_channels_with_their_seeds(spark):
+    y = informative()[0]
+    items = spark.createDataFrame([("it", [[float(v) for v in y], [float(v) * 2 for v in y]])], "item_id string, target array<array<double>>")
+    rows = explode_channels(items).withColumnRenamed("i", "ts")
+    out = PanelForecaster("D", 10).forecast(rows, 7, series=["item_id", "channel"], seeds="seed").orderBy("channel", "sample_id", "step").toPandas()
+    for c in (0, 1):
+        want = forecast(y * (c + 1), 7, "D", 10, seed_of("it", c))
+        assert np.allclose(out[out.channel == c]["value"].to_numpy().reshape(10, 7), want, rtol=1e-9)
+
+
+def test_nulls_and_future_without_history(spark):
+    rows = [("a", i, float(i % 7) if i % 5 else None, 1.0) for i in range(60)] + [(None, i, float(i % 3), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, ts int, y double, x double")
+    future = spark.createDataFrame([(k, s, None) for k in ("a", None, "ghost") for s in range(5)], "series_id string, step int, x double")
+    out = PanelForecaster("D", 4, seed=1).forecast(df, 5, exog=["x"], future=future).toPandas()
+    assert len(out) == 40 and out["value"].notna().all() and set(out.series_id.dropna()) == {"a"}
+    assert PanelForecaster("D", 4).forecast(df.limit(0), 5).collect() == []
+
+
+def test_series_are_dealt_over_all_partitions(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("series_id"), F.explode(F.sequence(F.lit(0), F.lit(30))).alias("ts")).withColumn("y", F.rand(1)).groupBy("series_id", "ts").agg(F.sum("y").alias("y"))
+    places = PanelForecaster("D", 2, partitions=6).forecast(rows, 2).withColumn("p", F.spark_partition_id()).select("p", "series_id").distinct().collect()
+    assert len({r.p for r in places}) > 3 and len(places) == 40
+
+
+def test_workers_get_the_package(tmp_path):
+    """Workers that start in another folder, without the package on their path, get it from the driver."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from panelith import catalogue
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").getOrCreate()
+found = catalogue.queries()
+print("ROWS", [found[n](spark, "/root/testdata/sf0.001").count() for n in ("forecast_samples", "optshrink", "boxcox_lambda", "backtest_scores")])
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "ROWS [12000, 5, 5, 15]" in done.stdout, done.stderr[-3000:]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
