@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelith.constants import PENALTIES
 from panelith.functions import calendar, numeric
-from panelith.operators import assemble, clean, evaluate, fold, level, shape
+from panelith.operators import assemble, clean, evaluate, fold, kernel, level, shape
 from panelith.plans.forecast import PanelForecaster, explode_channels, forecast_start
 from panelith.shipping import ship
 from panelith.sources import panels
@@ -226,9 +227,9 @@ def positivity_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", F.col("i").cast("long").alias("i"), off("shift").alias("shift"), off("y").alias("y"))
 
 
-@query(f"WITH {HOURLY} SELECT series_id, arg_max(y, i) AS last_y, greatest(stddev_pop(d), 1e-6) AS sigma FROM (SELECT *, y - lag(y) OVER (PARTITION BY series_id ORDER BY i) AS d FROM p WHERE i >= 718) GROUP BY 1")
+@query(f"WITH {HOURLY} SELECT series_id, arg_max(y, i) AS last_y, round(greatest(stddev_pop(d), 1e-6), 6) AS sigma FROM (SELECT *, y - lag(y) OVER (PARTITION BY series_id ORDER BY i) AS d FROM p WHERE i >= 670) GROUP BY 1")
 def degenerate_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.degenerate_sigma(hourly(spark, sf_dir).filter("i >= 718"))
+    return clean.degenerate_sigma(hourly(spark, sf_dir)).select("series_id", "last_y", r6("sigma").alias("sigma"))
 
 
 # ---- Period choice and routing ----
@@ -253,17 +254,18 @@ def _spectra(rows: DataFrame, periods: list[int]) -> DataFrame:
     return rows.select("series_id", "i", "y").groupBy("series_id").applyInPandas(run, "series_id string, p long, nc long, values array<double>")
 
 
-#: Power iteration on the rows' inner products gives the first singular value.
-POWER = """cols AS (SELECT series_id, (i % {p})::INT AS a, list(y ORDER BY i) AS v, sum(y * y) AS e FROM src GROUP BY 1, 2),
-gram AS (SELECT x.series_id, x.a, list(list_dot_product(x.v, w.v) ORDER BY w.a) AS g FROM cols x JOIN cols w USING (series_id) GROUP BY 1, 2),
-mat AS (SELECT series_id, list(g ORDER BY a) AS m FROM gram GROUP BY 1),
-it AS (SELECT series_id, m, 0 AS k, list_transform(range({p}), lambda x: 1.0::DOUBLE) AS v, 0.0::DOUBLE AS nrm FROM mat
-UNION ALL SELECT series_id, m, k + 1, list_transform(m, lambda r: list_dot_product(r, v) / sqrt(list_dot_product(v, v))), sqrt(list_dot_product(v, v)) FROM it WHERE k < 60),
-top AS (SELECT series_id, sqrt(list_dot_product(v, v)) AS s1sq FROM it WHERE k = 60),
-rss AS (SELECT t.series_id, sum(c.e) - max(t.s1sq) AS rss FROM top t JOIN cols c USING (series_id) GROUP BY 1)"""
+def _power(p: int, place: str, tag: str = "", where: str = "true") -> str:
+    """SQL for rss{tag}: power iteration on the inner products of p rows (given by `place`) gives the first singular value, and so what is left beside it."""
+    return f"""cols{tag} AS (SELECT series_id, ({place})::INT AS a, list(y ORDER BY i) AS v, sum(y * y) AS e FROM src WHERE {where} GROUP BY 1, 2),
+gram{tag} AS (SELECT x.series_id, x.a, list(list_dot_product(x.v, w.v) ORDER BY w.a) AS g FROM cols{tag} x JOIN cols{tag} w USING (series_id) GROUP BY 1, 2),
+mat{tag} AS (SELECT series_id, list(g ORDER BY a) AS m FROM gram{tag} GROUP BY 1),
+it{tag} AS (SELECT series_id, m, 0 AS k, list_transform(range({p}), lambda x: 1.0::DOUBLE) AS v FROM mat{tag}
+UNION ALL SELECT series_id, m, k + 1, list_transform(m, lambda r: list_dot_product(r, v) / sqrt(list_dot_product(v, v))) FROM it{tag} WHERE k < 60),
+top{tag} AS (SELECT series_id, sqrt(list_dot_product(v, v)) AS s1sq FROM it{tag} WHERE k = 60),
+rss{tag} AS (SELECT t.series_id, sum(c.e) - max(t.s1sq) AS rss FROM top{tag} t JOIN cols{tag} c USING (series_id) GROUP BY 1)"""
 
 
-@query(f"WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {POWER.format(p=24)} SELECT series_id, round(rss, 3) AS rss FROM rss")
+@query(f"WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {_power(24, 'i % 24')} SELECT series_id, round(rss, 3) AS rss FROM rss")
 def rank1_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.aggregate(F.slice("values", 2, 1000), F.lit(0.0), lambda s, x: s + x * x)
     return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", F.round(tail, 3).alias("rss"))
@@ -279,15 +281,17 @@ def _bics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null.unionByName(own)
 
 
-_BIC24 = f"WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {POWER.format(p=24)}, bics AS (SELECT series_id, 24::BIGINT AS p, 720 * ln(rss / 720) + 53 * ln(720) AS bic FROM rss UNION ALL SELECT series_id, 1, 720 * ln(var_pop(y)) + ln(720) FROM q GROUP BY 1)"
+#: The long period's spectrum comes from the inner products of its four latest complete periods.
+_BICS = f"""WITH RECURSIVE {SINE}, src AS (SELECT * FROM q), {_power(24, 'i % 24')}, {_power(4, '(i - 48) // 168', '168', 'i >= 48')},
+bics AS (SELECT series_id, 24::BIGINT AS p, 720 * ln(rss / 720) + 53 * ln(720) AS bic FROM rss UNION ALL SELECT series_id, 168, 672 * ln(rss / 672) + 171 * ln(672) FROM rss168 UNION ALL SELECT series_id, 1, 720 * ln(var_pop(y)) + ln(720) FROM q GROUP BY 1)"""
 
 
-@query(f"{_BIC24} SELECT series_id, p, round(bic, 3) AS bic FROM bics")
+@query(f"{_BICS} SELECT series_id, p, round(bic, 3) AS bic FROM bics")
 def bic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bics(spark, sf_dir).filter("p != 168").select("series_id", "p", F.round("bic", 3).alias("bic"))
+    return _bics(spark, sf_dir).select("series_id", "p", F.round("bic", 3).alias("bic"))
 
 
-@query(f"{_BIC24} SELECT series_id, arg_min(p, bic) AS p FROM bics GROUP BY 1")
+@query(f"{_BICS} SELECT series_id, arg_min(p, bic) AS p FROM bics GROUP BY 1")
 def select_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly period loses on this panel: four columns of 168 leave it a far larger penalty."""
     best = F.array_min(F.collect_list(F.struct("bic", "p")))["p"]
@@ -361,9 +365,12 @@ def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", of("values", "p", "nc").alias("factor"))
 
 
-@query()
+@query("""WITH b AS (SELECT unnest(range(1, 21)) / 20.0::DOUBLE AS beta), g AS (SELECT beta, k, (k + 0.5) * pi() / 20000 AS a FROM b, (SELECT unnest(range(20000)) AS k)),
+m AS (SELECT beta, k, 2 * sin(a) * sin(a) / (pi() * (1 + beta + 2 * sqrt(beta) * cos(a))) * pi() / 20000 AS w FROM g),
+c AS (SELECT *, sum(w) OVER (PARTITION BY beta ORDER BY k) AS s FROM m), h AS (SELECT beta, min(k) AS k, arg_min(s, k) AS s, arg_min(w, k) AS w FROM c WHERE s >= 0.5 GROUP BY 1)
+SELECT beta, round(1 + beta + 2 * sqrt(beta) * cos((k + 1 - (s - 0.5) / w) * pi() / 20000), 5) AS median FROM h""")
 def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(beta, median): Marchenko-Pastur medians; held against known values in tests."""
+    """(beta, median): Marchenko-Pastur medians; the SQL sums the law's mass over a fine grid of angles."""
     from panelith.operators.kernel import mp_median as median
 
     ship(spark)
@@ -372,7 +379,7 @@ def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(beta: pd.Series) -> pd.Series:
         return beta.map(median)
 
-    return spark.range(1, 21).select((F.col("id") / 20).alias("beta")).withColumn("median", of("beta"))
+    return spark.range(1, 21).select((F.col("id") / 20).alias("beta")).withColumn("median", F.round(of("beta"), 5))
 
 
 @query(f"WITH {FOLDED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS power), x AS (SELECT series_id, power, level, CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power) - 1) / power END AS z FROM l, w WHERE level > 0) SELECT series_id, power, round((power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(z)), 4) AS loglik FROM x GROUP BY 1, 2")
@@ -397,9 +404,12 @@ def boxcox_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "period_idx", "power", r6(numeric.boxcox_inverse(F.col("z"), F.col("power"))).alias("y"))
 
 
-@query(f"WITH {FOLDED}, w AS (SELECT unnest(range(201)) / 200.0 AS power), x AS (SELECT series_id, power::DOUBLE AS power, level, CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power::DOUBLE) - 1) / power::DOUBLE END AS z FROM l, w WHERE level > 0), k AS (SELECT series_id, power, (power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(z)) AS loglik FROM x GROUP BY 1, 2) SELECT series_id, round(arg_max(power, loglik), 1) AS power FROM k GROUP BY 1")
+_GRID = "k{n} AS (SELECT series_id, power, (power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power) - 1) / power END)) AS loglik FROM (SELECT l.series_id, level, w{n}.power FROM l JOIN w{n} ON w{n}.series_id = l.series_id WHERE level > 0) GROUP BY 1, 2), b{n} AS (SELECT series_id, arg_max(power, loglik) AS power FROM k{n} GROUP BY 1)"
+
+
+@query(f"WITH {FOLDED}, w1 AS (SELECT DISTINCT series_id, j / 100.0::DOUBLE AS power FROM l, (SELECT unnest(range(101)) AS j)), {_GRID.format(n=1)}, w2 AS (SELECT series_id, least(greatest(power + j / 20000.0::DOUBLE, 0.0), 1.0) AS power FROM b1, (SELECT unnest(range(-200, 201)) AS j)), {_GRID.format(n=2)} SELECT series_id, round(power, 3) AS power FROM b2")
 def boxcox_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most likely power in [0, 1] to one decimal; the SQL looks over a fine grid."""
+    """The most likely power in [0, 1] to three decimals; the SQL looks over a coarse grid and a fine one."""
     from panelith.operators.kernel import boxcox_power
 
     ship(spark)
@@ -407,7 +417,7 @@ def boxcox_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "power": [boxcox_power(pdf.sort_values("period_idx")["level"].to_numpy())]})
 
-    return fold.level(folded(spark, sf_dir)).groupBy("series_id").applyInPandas(run, "series_id string, power double").withColumn("power", F.round("power", 1))
+    return fold.level(folded(spark, sf_dir)).groupBy("series_id").applyInPandas(run, "series_id string, power double").withColumn("power", F.round("power", 3))
 
 
 @query(f"WITH {LEVELS} SELECT series_id, period_idx, round(innov, 6) + 0.0 AS innov FROM z")
@@ -540,7 +550,7 @@ def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, round_even(value / 3, 0) AS y FROM events")
 def integer_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.rint(F.col("value") / 3).alias("y"))
+    return table(spark, sf_dir, "events").select("event_id", assemble.snap(F.col("value") / 3, F.lit(True)).alias("y"))
 
 
 _PARTS = """t AS (SELECT DISTINCT event_type AS series_id FROM events),
@@ -658,6 +668,177 @@ def point_and_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*keys, r6("mean").alias("mean"), "median", *[r6(c).alias(c) for c in ("q10", "q25", "q75", "q90")])
 
 
+# ---- The kernel's own steps, against the same SQL as their native versions ----
+
+
+def _each(rows: DataFrame, order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run() of each series' rows in order, on the workers; schema: without series_id."""
+    ship(rows.sparkSession)
+    names = ["series_id", *[x.strip().split(" ")[0] for x in schema.split(",")]]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf.sort_values(order)).assign(series_id=pdf["series_id"].iloc[0])[names]
+
+    return rows.groupBy("series_id").applyInPandas(one, f"series_id string, {schema}")
+
+
+def _cells(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf["y"].to_numpy().reshape(-1, 24)
+
+
+@query(_SQL["shape1"])
+def kernel_shape1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = lambda d: pd.DataFrame({"phase": np.arange(24), "s": kernel._shape(_cells(d), _cells(d).sum(1), 24)})
+    return _each(folded(spark, sf_dir), ["period_idx", "phase"], run, "phase int, s double").select("series_id", "phase", r6("s").alias("s"))
+
+
+@query(_SQL["shape2"])
+def kernel_shape2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = lambda d: pd.DataFrame({"pos": np.arange(7), "s2": kernel.seasonal_factors(d["level"].to_numpy(), 7)})
+    return _each(fold.level(folded(spark, sf_dir)), ["period_idx"], run, "pos int, s2 double").select("series_id", "pos", r6("s2").alias("s2"))
+
+
+@query(_SQL["phase_bias_shrink"])
+def kernel_phase_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        cells = _cells(d)
+        out = kernel._phase_noise(cells, kernel._shape(cells, cells.sum(1), 24), cells.sum(1))
+        return pd.DataFrame({"period_idx": d["period_idx"], "phase": d["phase"], "resid": out.ravel()})
+
+    out = _each(folded(spark, sf_dir), ["period_idx", "phase"], run, "period_idx int, phase int, resid double")
+    return out.select("series_id", "period_idx", "phase", r6("resid").alias("resid"))
+
+
+@query(_SQL["phi_damping"])
+def kernel_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = lambda d: pd.DataFrame({"phi": [kernel.damping(d["level_bc"].to_numpy())]})
+    return _each(levels(spark, sf_dir), ["period_idx"], run, "phi double").select("series_id", r6("phi").alias("phi"))
+
+
+@query(_SQL["interp_missing"])
+def kernel_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = lambda d: pd.DataFrame({"ts": d["ts"], "y": kernel.fill(d["y"].to_numpy(dtype=float))})
+    return _each(daily_sums(spark, sf_dir), ["i"], run, "ts timestamp_ntz, y double").select("series_id", "ts", off("y").alias("y"))
+
+
+@query(_SQL["exog_zscore"])
+def kernel_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x = d[["x1"]].to_numpy()
+        past, _ = kernel._exog_blocks(x, x[:24], 30, 24, 1, 7)
+        return pd.DataFrame({"period_idx": np.arange(30), "x1": past[:, 0]})
+
+    out = _each(_exog_rows(spark, sf_dir), ["i"], run, "period_idx int, x1 double")
+    return out.select("series_id", "period_idx", (F.round("x1", 5) + F.lit(0.0)).alias("x1"))
+
+
+@query(_SQL["clip_bounds"])
+def kernel_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where samples far outside are put, and whether 0.4 within is rounded."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        s = kernel.Series.of(d["y"].to_numpy(dtype=float), 30)
+        out = kernel._held(np.array([[-1e300, 1e300]]), s)[0] if not s.whole else [s.low, s.recent.max() + max(s.recent.max() - s.recent.min(), 1e-6)]
+        return pd.DataFrame({"low": [out[0]], "high": [out[1]], "whole": [s.whole]})
+
+    return _each(daily_sums(spark, sf_dir), ["i"], run, "low double, high double, whole boolean").select("series_id", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), "whole")
+
+
+#: The mean of the inverses over penalties, by entries, for the hat values and leverages.
+_INVERSE = f"""{RIDGE},
+mi AS (SELECT cf.series_id, sum(ww*i11)/sum(ww) m11, sum(ww*i12)/sum(ww) m12, sum(ww*i13)/sum(ww) m13, sum(ww*i22)/sum(ww) m22, sum(ww*i23)/sum(ww) m23, sum(ww*i33)/sum(ww) m33, sum(ww*c0)/sum(ww) c0, sum(ww*c1)/sum(ww) c1, sum(ww*c2)/sum(ww) c2 FROM cf JOIN wt ON wt.series_id = cf.series_id AND wt.a = cf.a GROUP BY 1)"""
+_HAT = "({u}*{u}*m11 + {v}*{v}*m22 + {w}*{w}*m33 + 2*{u}*{v}*m12 + 2*{u}*{w}*m13 + 2*{v}*{w}*m23)"
+
+
+@query(f"WITH {LEVELS}, {_DESIGN}, {_INVERSE}, h AS (SELECT series_id, period_idx, y - (c0*u + c1*v + c2*w) AS r, {_HAT.format(u='u', v='v', w='w')} AS h FROM x JOIN mi USING (series_id)) SELECT series_id, period_idx, round(r / greatest(1 - h, 1e-10) / sqrt(greatest(1 + h, 1e-10)), 6) + 0.0 AS loo FROM h")
+def ridge_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left-out residuals that the level's noise is drawn from."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"period_idx": d["period_idx"], "loo": kernel.ridge(d[["b0", "b1", "lag1"]].to_numpy(), d["target"].to_numpy()).loo})
+
+    return _each(level.design(levels(spark, sf_dir), 0), ["period_idx"], run, "period_idx int, loo double").select("series_id", "period_idx", r6("loo").alias("loo"))
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, {_DESIGN}, {_INVERSE}, {_PHI},
+tr AS (SELECT series_id, j, CASE WHEN least(phi, 1 - 1e-10) <= 1e-10 THEN 29.0 / 30 ELSE (29 + phi * (1 - pow(phi, j)) / (1 - phi)) / 30 END AS d FROM ph, (SELECT unnest(range(1, 9)) AS j)),
+pth AS (SELECT series_id, 0 AS j, innov AS v, 0.0::DOUBLE AS h FROM z WHERE period_idx = 29
+UNION ALL SELECT p.series_id, p.j + 1, c0 + c1 * d + (1 - c2) * p.v, least(greatest({_HAT.format(u='1', v='d', w='p.v').replace('2*1*p.v*m13', '-2*p.v*m13').replace('2*d*p.v*m23', '-2*d*p.v*m23')}, 0.0), 10.0) FROM pth p JOIN mi ON mi.series_id = p.series_id JOIN tr ON tr.series_id = p.series_id AND tr.j = p.j + 1)
+SELECT series_id, j::BIGINT AS j, round(v, 5) + 0.0 AS level, round(h, 5) + 0.0 AS leverage FROM pth WHERE j > 0""")
+def level_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted recursion of the level without noise, and its leverages: what all sample paths go by."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        z = d["level_bc"].to_numpy()
+        model = kernel.Recursion(z - z[-1], 0, kernel.trend_ahead(z, 8), np.zeros((len(z), 0)), np.zeros((8, 0)))
+        return pd.DataFrame({"j": np.arange(1, 9), "level": model.run(np.zeros((1, 8)))[0], "leverage": model.leverage})
+
+    out = _each(levels(spark, sf_dir), ["period_idx"], run, "j long, level double, leverage double")
+    return out.select("series_id", "j", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("level", "leverage")])
+
+
+# ---- What is left: fallbacks, controls, evaluations ----
+
+_FEW = LEVELS.replace("b AS (SELECT series_id, period_idx, ln(level)", "b AS (SELECT series_id, period_idx - CASE WHEN series_id = 'view' THEN 21 ELSE 0 END AS period_idx, ln(level)").replace("FROM lv)", "FROM lv WHERE series_id <> 'view' OR period_idx >= 21)")
+
+
+@query(f"WITH {_FEW}, n AS (SELECT *, CASE WHEN series_id = 'view' THEN 9 ELSE 30 END AS nc FROM z), dz AS (SELECT series_id, period_idx, nc, -lag(innov) OVER w AS lag1, CASE WHEN nc >= 10 THEN lag(innov, 7) OVER w END AS lag_cp, innov - lag(innov) OVER w AS target FROM n WINDOW w AS (PARTITION BY series_id ORDER BY period_idx)) SELECT series_id, period_idx, round(period_idx / nc::DOUBLE, 6) AS b1, round(lag1, 6) + 0.0 AS lag1, round(lag_cp, 6) + 0.0 AS lag_cp, round(target, 6) + 0.0 AS target FROM dz WHERE period_idx >= CASE WHEN nc >= 10 THEN 7 ELSE 1 END")
+def lag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series has nine periods: the cross lag of seven would leave it two training rows, and goes."""
+    few = F.col("series_id") == "view"
+    rows = levels(spark, sf_dir).filter(~few | (F.col("period_idx") >= 21))
+    rows = rows.withColumn("period_idx", F.when(few, F.col("period_idx") - 21).otherwise(F.col("period_idx"))).withColumn("nc", F.when(few, 9).otherwise(30))
+    return level.design(rows, 7).select("series_id", "period_idx", *[r6(c).alias(c) for c in ("b1", "lag1", "lag_cp", "target")])
+
+
+@query(f"WITH {_EXOG}, fb AS (SELECT series_id, ((i - 670) // 24)::INT AS block, avg(y) AS x1 FROM g WHERE i >= 670 GROUP BY 1, 2) SELECT series_id, block, round(x1, 9) AS x1 FROM fb")
+def exog_future_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of blocks of 24 steps ahead; the last of 50 has two."""
+    ahead = _exog_rows(spark, sf_dir).filter("i >= 670").select("series_id", (F.col("i") - 670).alias("step"), "x1")
+    return fold.exog_future_level(ahead, 24, ["x1"]).select("series_id", "block", F.round("x1", 9).alias("x1"))
+
+
+_UNIFORM = "((('0x' || substr(md5('7:' || series_id || ':' || i || ':n1:{k}'), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496"
+
+
+@query(f"WITH {HOURLY} SELECT series_id, i, round(sqrt(-2 * ln({_UNIFORM.format(k=0)})) * cos(2 * pi() * {_UNIFORM.format(k=1)}), 6) + 0.0 AS n1 FROM p")
+def noise_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.with_noise(hourly(spark, sf_dir), ["n1", "n2"]).select("series_id", F.col("i").cast("long").alias("i"), r6("n1").alias("n1"))
+
+
+@query("""SELECT freq, CASE WHEN season % many = 0 THEN season // many ELSE 1 END::BIGINT AS season FROM (VALUES ('H', 24, 1), ('5min', 1440, 5), ('15T', 1440, 15), ('10S', 3600, 10), ('D', 1, 1), ('W-SUN', 1, 1), ('ME', 12, 1), ('QE-DEC', 4, 1), ('6H', 24, 6), ('5H', 24, 5), ('B', 5, 1), ('YS', 1, 1)) t(freq, season, many)""")
+def evaluation_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = ["H", "5min", "15T", "10S", "D", "W-SUN", "ME", "QE-DEC", "6H", "5H", "B", "YS"]
+    return spark.createDataFrame([(c, calendar.season_of(c)) for c in codes], "freq string, season long")
+
+
+_LEADER = f"""WITH {NAIVE}, cf AS (SELECT series_id, CASE WHEN series_id IN ('view', 'click') THEN 'a' WHEN series_id = 'signup' THEN 'b' ELSE 'c' END AS config, step, actual, pred FROM fc),
+qf AS (SELECT *, pred * f AS value, q AS quantile FROM cf, (VALUES (0.8, 0.1), (1.0, 0.5), (1.2, 0.9)) t(f, q)),
+ms AS (SELECT config, avg(m) AS mase FROM (SELECT config, series_id, avg(abs(actual - pred)) / CASE WHEN naive >= 1e-12 THEN naive END AS m FROM cf JOIN nv USING (series_id) GROUP BY config, series_id, naive) GROUP BY 1),
+wq AS (SELECT config, avg(l) AS wql FROM (SELECT config, quantile, 2 * sum(abs((value - actual) * ((actual <= value)::INT::DOUBLE - quantile))) / sum(abs(actual)) AS l FROM qf GROUP BY 1, 2) GROUP BY 1),
+rs AS (SELECT config, mase, wql FROM ms JOIN wq USING (config))"""
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fc, train = _naive_forecasts(spark, sf_dir)
+    config = F.when(F.col("series_id").isin("view", "click"), "a").when(F.col("series_id") == "signup", "b").otherwise("c")
+    levels = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(q).alias("quantile")) for f, q in ((0.8, 0.1), (1.0, 0.5), (1.2, 0.9))])
+    rows = fc.withColumn("config", config).withColumn("l", F.explode(levels)).select("config", "series_id", "step", "l.quantile", (F.col("pred") * F.col("l.f")).alias("value"), "actual")
+    return evaluate.by_config(rows, train, "H")
+
+
+@query(f"{_LEADER} SELECT config, round(mase, 6) AS mase, round(wql, 6) AS wql FROM rs")
+def config_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _configs(spark, sf_dir).select("config", r6("mase").alias("mase"), r6("wql").alias("wql"))
+
+
+@query(f"{_LEADER}, bs AS (SELECT * FROM (VALUES ('a', 0.9, 0.5), ('c', 1.1, 0.25), ('z', 1.0, 1.0)) t(config, bm, bw)), j AS (SELECT rs.*, mase / bm AS rm, wql / bw AS rw FROM rs LEFT JOIN bs USING (config)) SELECT round(exp(avg(ln(greatest(mase, 1e-10)))), 6) AS mase, round(exp(avg(ln(greatest(wql, 1e-10)))), 6) AS wql, round(exp(avg(ln(greatest(rm, 1e-10)))), 6) AS relative_mase, round(exp(avg(ln(greatest(rw, 1e-10)))), 6) AS relative_wql, count(rm) AS matched, count(*) AS n FROM j")
+def config_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = spark.createDataFrame([("a", 0.9, 0.5), ("c", 1.1, 0.25), ("z", 1.0, 1.0)], "config string, mase double, wql double")
+    out = evaluate.leaderboard(_configs(spark, sf_dir), base)
+    return out.select(*[r6(c).alias(c) for c in ("mase", "wql", "relative_mase", "relative_wql")], "matched", "n")
+
+
 # ---- Forecasts: seeded sampling is beyond SQL; tests hold them to invariants ----
 
 
@@ -691,5 +872,15 @@ def backtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PanelForecaster("H", 50).backtest(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 480, 24, 3, 24)
 
 
+@query()
+def backtest_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, origin, mase, exog, noise): medians' errors without, with known and with random exogenous columns, under one seed for each series."""
+    rows = panels.with_noise(_exog_rows(spark, sf_dir), ["n1", "n2"]).select("series_id", "ts", "y", "x1", "x2", "n1", "n2")
+    model = PanelForecaster("H", 50)
+    runs = {"mase": [], "exog": ["x1", "x2"], "noise": ["n1", "n2"]}
+    out = [model.backtest(rows, 480, 24, 3, 24, exog=cols, same_seed=True).select("series_id", "origin", F.col("mase").alias(name)) for name, cols in runs.items()]
+    return out[0].join(out[1], ["series_id", "origin"]).join(out[2], ["series_id", "origin"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_samples(spark, sf_dir)

@@ -24,3 +24,6 @@ FREQ_TO_PERIOD = {"S": 60, "T": 60, "5T": 12, "10T": 6, "15T": 4, "30T": 48, "10
 FREQ_TO_PERIODS = {"10S": [6, 360], "S": [60], "5T": [12, 288], "10T": [6, 144], "15T": [4, 96], "30T": [48, 336], "H": [24, 168], "D": [7, 365], "W": [52], "M": [12], "Q": [4], "A": [], "Y": []}
 # Anchored suffixes that shorten to their first letter.
 ANCHORED = ("ME", "QE", "YE", "MS", "QS", "YS", "AS")
+
+# Seasons that error scales of evaluations take, by base frequency; a multiple of it divides the season, or there is none.
+SEASONS = {"S": 3600, "T": 1440, "H": 24, "D": 1, "B": 5, "W": 1, "M": 12, "Q": 4, "A": 1, "Y": 1}

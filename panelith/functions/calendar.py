@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelith.constants import ANCHORED, FREQ_TO_PERIOD, FREQ_TO_PERIODS
+from panelith.constants import ANCHORED, FREQ_TO_PERIOD, FREQ_TO_PERIODS, SEASONS
 
 
 def resolve_freq(freq: str) -> str:
@@ -29,6 +29,14 @@ def periods_of(freq: str) -> list[int]:
     return list(_lookup(resolve_freq(freq), FREQ_TO_PERIODS, []))
 
 
+def season_of(freq: str) -> int:
+    """The season by which evaluations scale errors: that of the base frequency, divided by its multiple; 1 if that doesn't divide it."""
+    code = resolve_freq(freq)
+    digits = code[: len(code) - len(code.lstrip("0123456789"))]
+    season, many = _lookup(code, SEASONS, 1), int(digits or 1) or 1
+    return season // many if season % many == 0 else 1
+
+
 def resolved(freq: Column) -> Column:
     """resolve_freq of a column."""
     code = F.split_part(F.replace(F.upper(freq), F.lit("MIN"), F.lit("T")), F.lit("-"), F.lit(1))

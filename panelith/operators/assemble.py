@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelith.constants import NOISE_PERIODS, TINY, TINY_BOXCOX, TINY_SHAPE
@@ -38,13 +38,18 @@ def clip_bounds(df: DataFrame, horizon: int, series: str = "series_id") -> DataF
     return out.select(series, F.when(F.col("_hi").isNotNull(), F.col("_min")).alias("low"), high.alias("high"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
+def snap(value: Column, whole: Column) -> Column:
+    """value, rounded half to even where the history holds only integers."""
+    return F.when(whole, F.rint(value)).otherwise(value)
+
+
 def assemble(paths: DataFrame, shapes: DataFrame, noise: DataFrame, bounds: DataFrame, p: int, horizon: int, series: str = "series_id") -> DataFrame:
     """(series, sample_id, step, value) from levels (series, sample_id, block, level_hat, deflate), shapes, noise (series, sample_id, phase, eps) and bounds with shift."""
     steps = paths.withColumn("step", F.explode(F.sequence(F.col("block") * p, F.least((F.col("block") + 1) * p, F.lit(horizon)) - 1))).withColumn("phase", (F.col("step") % p).cast("int"))
     rows = steps.join(shapes, [series, "phase"]).join(noise, [series, "sample_id", "phase"]).join(bounds, series)
     raw = F.col("level_hat") * F.col("s") * (1 + F.col("eps") * F.col("deflate")) - F.col("shift")
     held = F.when(F.col("high").isNotNull(), F.least(F.greatest(raw, F.col("low")), F.col("high"))).otherwise(raw)
-    return rows.select(series, "sample_id", "step", F.when(F.col("whole"), F.rint(held)).otherwise(held).alias("value"))
+    return rows.select(series, "sample_id", "step", snap(held, F.col("whole")).alias("value"))
 
 
 def reseason(levels: DataFrame, factors: DataFrame, cp: int, series: str = "series_id") -> DataFrame:

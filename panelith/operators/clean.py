@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def validate_request(horizon: int, freq: str, n_samples: int) -> None:
+def validate_request(horizon: int, freq: str, n_samples: int, noise: str = "bootstrap") -> None:
+    if noise not in ("bootstrap", "t"):
+        raise ValueError('noise must be "bootstrap" or "t"')
     if not isinstance(freq, str):
         raise TypeError("freq must be a string")
     for name, value in (("horizon", horizon), ("n_samples", n_samples)):

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith.functions.calendar import season_of
+
 CLAMP = 1e-12
 
 
@@ -78,6 +82,32 @@ def quantiles(samples: DataFrame, levels: Sequence[float], keys: Sequence[str] =
     return rows.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.quantile", "_p.value")
 
 
+def median_mase(forecasts: DataFrame, history: DataFrame, freq: str, series: str = "series_id") -> DataFrame:
+    """(series, mase) of the 0.5 quantile in (series, step, quantile, value, actual), scaled by the season of the frequency."""
+    middle = forecasts.filter(F.abs(F.col("quantile") - 0.5) < 1e-9).withColumnRenamed("value", "pred")
+    return mase(middle, naive_error(history, season_of(freq), series), "missing", series)
+
+
+def by_config(forecasts: DataFrame, history: DataFrame, freq: str, config: str = "config", series: str = "series_id") -> DataFrame:
+    """(config, mase, wql): over the series of each configuration the mean of median_mase(), and the quantile loss over all their values.
+
+    forecasts: (config, series, step, quantile, value, actual); history: (series, i, y).
+    """
+    own = F.struct(config, series)
+    each = median_mase(forecasts.withColumn("_key", own), forecasts.select(config, series).distinct().join(history, series).withColumn("_key", own), freq, "_key")
+    scores = each.groupBy(F.col(f"_key.{config}").alias(config)).agg(F.avg("mase").alias("mase"))
+    return scores.join(quantile_loss(forecasts, config), config)
+
+
+def leaderboard(results: DataFrame, baseline: DataFrame, metrics: Sequence[str] = ("mase", "wql"), config: str = "config") -> DataFrame:
+    """One row: geometric means of each metric, and of the metric over the baseline's (relative_...), with the configurations that have all of these (matched) and all (n)."""
+    base = baseline.select(config, *[F.col(m).alias(f"_{m}") for m in metrics])
+    rows = results.join(base, config, "left").withColumns({f"_{m}": F.try_divide(F.col(m), F.col(f"_{m}")) for m in metrics})
+    whole = [F.col(f"_{m}").isNotNull() for m in metrics]
+    matched = F.count_if(reduce(and_, whole))
+    return rows.agg(*[geometric_mean(F.col(m)).alias(m) for m in metrics], *[geometric_mean(F.col(f"_{m}")).alias(f"relative_{m}") for m in metrics], matched.alias("matched"), F.count(F.lit(1)).alias("n"))
+
+
 def quantile_loss(forecasts: DataFrame, series: str = "series_id") -> DataFrame:
     """(series, wql) of (series, step, quantile, value, actual): the mean over quantiles of twice the pinball loss over the actuals' absolute sum."""
     err = F.col("value") - F.col("actual")

@@ -262,8 +262,8 @@ def need(freq: str, horizon: int) -> int:
     return max(MOST_PERIODS * max([1, period_of(freq), *periods_of(freq)]), 2 * horizon, NOISE_PERIODS)
 
 
-def sample_paths(s: Series, horizon: int, freq: str, n_samples: int, seed: int | None, x_ahead: np.ndarray | None = None) -> np.ndarray:
-    """Sample paths (n_samples, horizon). With a seed, the draws are those of one Mersenne Twister in a fixed order: level noise, then residual columns."""
+def sample_paths(s: Series, horizon: int, freq: str, n_samples: int, seed: int | None, x_ahead: np.ndarray | None = None, noise: str = "bootstrap") -> np.ndarray:
+    """Sample paths (n_samples, horizon). noise: "bootstrap" draws the level's left-out residuals again, "t" Student's t, whose heavier tails are taken back in the end. With a seed, the draws are those of one Mersenne Twister in a fixed order: level noise, then residual columns."""
     rng = np.random.RandomState(seed)
     choice = choose_period(s.y, s.n, freq)
     k = s.x.shape[1]
@@ -292,15 +292,15 @@ def sample_paths(s: Series, horizon: int, freq: str, n_samples: int, seed: int |
     past, ahead = _exog_blocks(s.x, x_ahead, nc, p, m, max(1, lag)) if k else (np.zeros((nc, 0)), np.zeros((m, 0)))
     model = Recursion(z - z[-1], lag, trend_ahead(z, m), past, ahead)
     spread = np.sqrt(1 + model.leverage)
-    paths = model.run(_level_noise(model, n_samples, m, rng))
+    paths = model.run(_level_noise(model, n_samples, m, rng, noise))
     hat = boxcox_inverse(paths + z[-1], power)
     if factors is not None:
         hat = hat * factors[(nc + np.arange(m)) % lags[0]]
 
-    noise = _phase_noise(cells, shape, raw_level)
-    drawn = noise[rng.randint(0, noise.shape[0], size=n_samples)]  # a period for each sample
+    residuals = _phase_noise(cells, shape, raw_level)
+    drawn = residuals[rng.randint(0, residuals.shape[0], size=n_samples)]  # a period for each sample
     out = hat[:, block] * shape[phase] * (1 + drawn[:, phase] / spread[block]) - s.shift
-    return _held(out, s)
+    return _held(out, s, model.freedom if noise == "t" else None)
 
 
 def _enough(nc: int, secondary: tuple[int, ...], p: int, primary: int, k: int) -> bool:
@@ -351,6 +351,7 @@ class Recursion:
         if self.differences:
             self.beta[2] = 1 - self.beta[2]
         self.z, self.lag, self.trend, self.ahead, self.trained = z, lag, trend, ahead, len(rows)
+        self.freedom = max(self.trained - self.own, 3)  # of Student's t
         self.leverage = self._leverage()
 
     def _step(self, tail: np.ndarray, j: int) -> np.ndarray:
@@ -378,14 +379,13 @@ class Recursion:
         return path[:, past:]
 
 
-def _level_noise(model: Recursion, n_samples: int, m: int, rng: np.random.RandomState) -> np.ndarray:
-    """Left-out residuals drawn again, or Student's t where they are under four, scaled by the leverages."""
+def _level_noise(model: Recursion, n_samples: int, m: int, rng: np.random.RandomState, noise: str) -> np.ndarray:
+    """Left-out residuals drawn again, or Student's t (also where residuals are under four), scaled by the leverages."""
     r = model.fit.loo
-    if len(r) >= 4:
+    if noise == "bootstrap" and len(r) >= 4:
         unit = (r - r.mean()) / max(float(r.std()), TINY)
         return rng.choice(unit, size=n_samples * m, replace=True).reshape(n_samples, m) * np.sqrt(float(r.var()) * (1 + model.leverage))
-    freedom = max(model.trained - model.own, 3)
-    return rng.standard_t(freedom, size=(n_samples, m)) * np.sqrt(float(np.mean(r * r)) * (1 + model.leverage))
+    return rng.standard_t(model.freedom, size=(n_samples, m)) * np.sqrt(float(np.mean(r * r)) * (1 + model.leverage))
 
 
 def _phase_noise(cells: np.ndarray, shape: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -401,8 +401,8 @@ def _phase_noise(cells: np.ndarray, shape: np.ndarray, level: np.ndarray) -> np.
     return out
 
 
-def _held(out: np.ndarray, s: Series) -> np.ndarray:
-    """Samples within the history's range, integers where the history has only such, and finite."""
+def _held(out: np.ndarray, s: Series, freedom: int | None = None) -> np.ndarray:
+    """Samples within the history's range, integers where the history has only such, and finite. freedom: of Student's t, whose samples move towards their median to have its variance."""
     high = 0.0
     if len(s.recent):
         top = float(s.recent.max())
@@ -410,4 +410,7 @@ def _held(out: np.ndarray, s: Series) -> np.ndarray:
         out = np.clip(out, s.low, high)
     if s.whole:
         out = np.rint(out)
+    if freedom is not None and freedom < NOISE_PERIODS:
+        middle = np.median(out, axis=0)
+        out = middle + math.sqrt(max(freedom - 2.0, 0.5) / freedom) * (out - middle)
     return np.nan_to_num(out, nan=0.0, posinf=high, neginf=0.0)

@@ -27,27 +27,23 @@ def phi(levels: DataFrame, value: str = "level_bc", series: str = "series_id") -
     return sums.select(series, F.when((F.col("_n") < 5) | (F.col("_c0") < TINY), 0.0).otherwise(ratio).alias("phi"))
 
 
-def lag_in_use(nc: int, max_cp: int) -> tuple[int, int]:
-    """(max_cp, start): the cross lag goes if it leaves fewer than LEAST_PERIODS training rows."""
-    start = max(1, max_cp) if max_cp >= 2 else 1
-    return (0, 1) if max_cp >= 2 and nc - start < LEAST_PERIODS else (max_cp, start)
-
-
 def design(levels: DataFrame, max_cp: int, exog: Sequence[str] = (), series: str = "series_id") -> DataFrame:
     """(series, period_idx, b0, b1, lag1[, lag_cp], exog..., target): the regression's rows.
 
-    With three training rows or more the target is the difference and lag1 has its sign turned; else the level itself.
+    With three training rows or more the target is the difference and lag1 has its sign turned; else the level itself. In a series where the cross
+    lag would leave fewer than LEAST_PERIODS training rows it goes: lag_cp is null there, and training starts at the second period.
     Needs nc, period_idx and innov.
     """
     w = Window.partitionBy(series).orderBy("period_idx")
-    start = max(1, max_cp)
+    used = (F.col("nc") - max_cp >= LEAST_PERIODS) if max_cp >= 2 else F.lit(False)
+    start = F.when(used, F.lit(max_cp)).otherwise(F.lit(1))
     prev = F.lag("innov", 1).over(w)
     diff = F.col("nc") - start >= 3
     rows = levels.withColumn("b0", F.lit(1.0)).withColumn("b1", F.col("period_idx") / F.col("nc"))
     rows = rows.withColumn("lag1", F.when(diff, -prev).otherwise(prev)).withColumn("target", F.when(diff, F.col("innov") - prev).otherwise(F.col("innov")))
     lags = ["lag1"]
     if max_cp >= 2:
-        rows, lags = rows.withColumn("lag_cp", F.lag("innov", max_cp).over(w)), ["lag1", "lag_cp"]
+        rows, lags = rows.withColumn("lag_cp", F.when(used, F.lag("innov", max_cp).over(w))), ["lag1", "lag_cp"]
     return rows.filter(F.col("period_idx") >= start).select(series, "period_idx", "b0", "b1", *lags, *exog, "target")
 
 

@@ -32,12 +32,12 @@ def _columns(name: str, x: object, n: int, length: str) -> np.ndarray:
     return a
 
 
-def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int | None = None, X_hist: object = None, X_future: object = None) -> np.ndarray:
-    """Sample paths (n_samples, horizon) of one series of values, NaN for missing ones.
+def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int | None = None, X_hist: object = None, X_future: object = None, noise: str = "bootstrap") -> np.ndarray:
+    """Sample paths (n_samples, horizon) of one series of values, NaN for missing ones. noise: see sample_paths().
 
     X_hist and X_future are known columns for the history and the horizon; a future column without values takes the last of its history.
     """
-    clean.validate_request(horizon, freq, n_samples)
+    clean.validate_request(horizon, freq, n_samples, noise)
     raw = np.asarray(y, dtype=np.float64)
     if raw.ndim != 1:
         raise ValueError("y must be 1-dimensional")
@@ -52,7 +52,7 @@ def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int
             raise ValueError(f"X_hist columns {past.shape[1]} must be as many as those of X_future, {ahead.shape[1]}")
         past = np.column_stack([fill(c) for c in past.T])
         ahead = np.column_stack([fill(c, past[-1, i]) for i, c in enumerate(ahead.T)])
-    return sample_paths(Series.of(raw, horizon, past), horizon, freq, n_samples, seed, ahead)
+    return sample_paths(Series.of(raw, horizon, past), horizon, freq, n_samples, seed, ahead, noise)
 
 
 @dataclass(frozen=True)
@@ -62,14 +62,15 @@ class PanelForecaster:
     freq: str
     n_samples: int = 200
     seed: int | None = None
+    noise: str = "bootstrap"
     partitions: int | None = None  # that series are dealt into; None: as many as Spark's shuffles have
 
     def __post_init__(self) -> None:
-        clean.validate_request(1, self.freq, self.n_samples)
+        clean.validate_request(1, self.freq, self.n_samples, self.noise)
 
     def predict(self, y: object, horizon: int, n_samples: int | None = None, seed: int | None = None, X_hist: object = None, X_future: object = None) -> np.ndarray:
         """forecast() of one series with these defaults; a seed of 0 counts as given."""
-        return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future)
+        return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future, self.noise)
 
     def forecast(
         self, history: DataFrame, horizon: int, series: str | Sequence[str] = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), seeds: str | None = None
@@ -132,7 +133,7 @@ class PanelForecaster:
         ship(rows.sparkSession)
         n_parts = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = _dealt(rows, keys, exog, n_parts, need(self.freq, horizon))
-        freq, n_samples, seed, lookback = self.freq, self.n_samples, self.seed, max(2 * horizon, 50)
+        freq, n_samples, seed, noise, lookback = self.freq, self.n_samples, self.seed, self.noise, max(2 * horizon, 50)
         kinds = dict(rows.dtypes)
         keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", *exog]
         n_keys = len(keys)
@@ -153,7 +154,7 @@ class PanelForecaster:
                 ahead = np.where(np.isnan(ahead), x[-1], ahead)  # a column without any value takes the last of its history
             s = Series(col["y"][lo:past], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
             used = seed if seed is not None else int(own_seed) if not np.isnan(own_seed) else seed_of(key[0] if n_keys == 1 else "\x1f".join(map(str, key)))
-            return made(sample_paths(s, horizon, freq, n_samples, used, ahead), Ahead(col["seen"][past:hi], seen))
+            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise), Ahead(col["seen"][past:hi], seen))
 
         def done(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
             """What the whole series of t give, and the rows of the last one, which may go on in the next batch."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +70,12 @@ def hold_out(df: DataFrame, horizon: int, series: str = "series_id", ts: str = "
     return df.withColumn("part", F.when(back <= horizon, "test").otherwise("train"))
 
 
-def noise_columns(n: int, k: int, seed: int = 7):
-    """(n, k) of standard normal noise, a control for exogenous columns."""
-    import numpy as np
+def with_noise(df: DataFrame, names: Sequence[str], seed: int = 7, series: str = "series_id", at: str = "i") -> DataFrame:
+    """df with columns of standard normal noise, a control for exogenous columns: a function of seed, series, place and column, so it
+    is the same on every run and on either side of a split."""
 
-    return np.random.RandomState(seed).normal(0, 1, (n, k))
+    def uniform(name: str, k: int) -> Column:
+        key = F.concat_ws(":", F.lit(str(seed)), F.col(series).cast("string"), F.col(at).cast("string"), F.lit(name), F.lit(str(k)))
+        return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    return df.withColumns({n: F.sqrt(-2 * F.ln(uniform(n, 0))) * F.cos(2 * math.pi * uniform(n, 1)) for n in names})

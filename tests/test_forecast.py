@@ -56,6 +56,15 @@ def test_bounds_and_integers(histories):
     assert out.min() >= np.rint(y).min() and out.max() <= recent.max() + max(recent.max() - recent.min(), 1e-6)
 
 
+def test_students_t(histories):
+    y, h, freq = histories["monthly"]
+    boot, t = forecast(y, h, freq, 400, 0), forecast(y, h, freq, 400, 0, noise="t")
+    assert np.isfinite(t).all() and not np.array_equal(boot, t) and np.array_equal(t, PanelForecaster(freq, 400, 0, "t").predict(y, h))
+    assert 0.5 < t.std(0).mean() / boot.std(0).mean() < 2
+    with pytest.raises(ValueError, match="noise must be"):
+        forecast(y, h, freq, 5, 0, noise="x")
+
+
 def test_follows_season(histories):
     y, h, freq = histories["hourly"]
     mean = forecast(y, h, freq, 200, seed=0).mean(0)

@@ -47,7 +47,8 @@ def test_csv_roundtrip(spark, tmp_path):
     panels.write_table(df, str(tmp_path / "x"), "csv")
     back = panels.read_csv(spark, str(tmp_path / "x"), "at", "yyyy-MM-dd HH:mm:ss").orderBy("at").toPandas()
     assert back["y"].isna().tolist() == [False, True] and back["at"].iloc[1].hour == 1
-    assert panels.noise_columns(5, 2).shape == (5, 2)
+    noise = panels.with_noise(spark.range(20000).selectExpr("'a' AS series_id", "id AS i"), ["n1", "n2"]).agg(F.avg("n1"), F.stddev("n1"), F.corr("n1", "n2")).first()
+    assert np.allclose(noise, [0, 1, 0], atol=0.03)
 
 
 def test_stream(spark, sf_dir, tmp_path):
