@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelith import shipping
+
 #: Rows that number_rows() puts into a bucket, on average.
 BUCKET_ROWS = 250_000
-_shipped: dict[str, str] = {}
 _tables: dict[str, list[str]] = {}
 
 
@@ -35,20 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per application."""
+    """Make this package importable in the executors' Python workers, and bound what these hold at once: whole texts can be long."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    if int((spark.conf.get(key, None) or "67108864").rstrip("b")) > most:  # whole texts can be long: bound what a Python worker holds
+    if int((spark.conf.get(key, None) or "67108864").rstrip("b")) > most:
         spark.conf.set(key, str(most))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="panelith-zip-"), f"{root.name}.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(out)
-    _shipped[app] = out
+    shipping.ship(spark)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
