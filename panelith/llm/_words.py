@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, cached_property
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,9 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Numbers are drawn beforehand for so many places of a word; where two kinds of hashes start.
+#: Numbers are drawn beforehand for so many places of a word.
 _PLACES = 48
-_START = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+_START = np.uint64(0x243F6A8885A308D3)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -28,8 +28,8 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _drawn(seed: int) -> np.ndarray:
-    return mix((np.arange(_PLACES << 8, dtype=np.uint64) + _START[seed]) * _BASE)
+def _drawn() -> np.ndarray:
+    return mix((np.arange(_PLACES << 8, dtype=np.uint64) + _START) * _BASE)
 
 
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +60,9 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
-        self.hash = self._hashes(0)
+        self.hash = self._hashes()
 
-    def _hashes(self, seed: int) -> np.ndarray:
+    def _hashes(self) -> np.ndarray:
         """A hash of each word: the sum of numbers that are drawn for each pair of a place and a byte, so no two words are alike by their form."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
@@ -73,29 +73,23 @@ class Words:
         data = self.data[np.arange(n) + np.repeat(self.start - first, size)]
         at = (place << 8) + data
         far = np.flatnonzero(place >= _PLACES)
-        late = mix((at[far].astype(np.uint64) + _START[seed]) * _BASE)
+        late = mix((at[far].astype(np.uint64) + _START) * _BASE)
         at[far] = 0
-        value = _drawn(seed)[at]
+        value = _drawn()[at]
         value[far] = late
         return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
-    @cached_property
-    def other(self) -> np.ndarray:
-        """Second hashes of the words, drawn apart from the first."""
-        return self._hashes(1)
-
     def runs(self, n: int) -> np.ndarray:
         """The first words of all runs of n words within a row."""
         if len(self.hash) < n:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.row[n - 1 :] == self.row[: len(self.row) - n + 1])
 
-    def combine(self, offsets: tuple[int, ...], at: np.ndarray, salt: int = 0, second: bool = False) -> np.ndarray:
+    def combine(self, offsets: tuple[int, ...], at: np.ndarray, salt: int = 0) -> np.ndarray:
         """A hash of the words at the given offsets from each of `at`, in order."""
-        words = self.other if second else self.hash
         h = np.full(len(at), (salt * 0xD1B54A32D192ED03 + 1) % 2**64, np.uint64)
         for o in offsets:
-            h = (h + words[at + o]) * _BASE
+            h = (h + self.hash[at + o]) * _BASE
             h ^= h >> np.uint64(29)
         return mix(h)
 

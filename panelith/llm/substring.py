@@ -1,4 +1,9 @@
-"""Repeated spans across documents: token k-mers as edges of a De Bruijn graph, compacted by joins and verified by source coordinates."""
+"""Repeated spans across documents: token k-mers as edges of a De Bruijn graph, compacted by joins and verified by source coordinates.
+
+An edge is a window of words, from the node of its words but the last to the node of its words but the first. Only edges that occur
+twice are in the graph. Edges that meet in a node with one edge in and one out, and whose first occurrences are neighbours, are one path. A text's
+repeated windows are walks along paths; the words of each walk are compared with those at its source.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelith.llm._common import forget_since, mark, materialise, ship, table
@@ -15,7 +21,10 @@ from panelith.llm.neardup import id_start, text_id
 
 WINDOW = 20
 ANCHOR = 8  # words of an anchor; each window holds WINDOW - ANCHOR + 1 candidates for its own
+#: Up to so many ids of texts that are wanted go to all executors, so that other texts aren't shuffled; beyond that all are.
+BROADCAST_IDS = 500_000
 SPANS = "array<struct<at:int,n:int,source_doc:long,source_tie:long,source_at:int>>"
+SPANS_TO_REMOVE = "array<struct<at:int,n:int,digest:long>>"
 
 
 def anchors(words: Words, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +61,14 @@ def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
                 row = w.row[place]
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), b.column(0).slice(at, n).take(pa.array(row)), pa.array((place - w.first[row]).astype(np.int32))], names=["anchor", "t", "at"])
 
-    rows = _keyed(docs).select(id_start(F.col("id")).alias("t"), "text").mapInArrow(run, "anchor long, t long, at int")
+    rows = materialise(_keyed(docs).select(id_start(F.col("id")).alias("t"), "text").mapInArrow(run, "anchor long, t long, at int"), "places")
     place = F.xxhash64("t", "at")  # the same for copies of a text
     many = materialise(rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("anchor"), "anchors")
     return rows.join(many, "anchor").select("t", "at")
 
 
 def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
-    """(w1, w2, doc_id, tie, at): two independent hashes and the coordinates of each window of texts (doc_id, tie, text, places) whose anchor is one of places."""
+    """(p, s, doc_id, tie, at): an edge, by the hashes of the nodes that it leads from and to, and the coordinates of each window of texts (doc_id, tie, text, places) whose anchor is one of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,25 +81,45 @@ def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
                 wanted = own.flatten().to_numpy() + w.first[row]
                 first = first[np.isin(place, wanted)]
                 row = w.row[first]
-                every = tuple(range(window))
-                hashes = [pa.array(w.combine(every, first, s).view(np.int64)) for s in (1, 2)]
+                node = np.zeros(len(w.hash), np.uint64)
+                used = np.unique(np.concatenate((first, first + 1)))
+                node[used] = w.combine(tuple(range(window - 1)), used, 1)
+                node = node.view(np.int64)
                 for lo in range(0, len(first), 1 << 16):
                     cut = slice(lo, lo + (1 << 16))
                     idx = pa.array(row[cut])
-                    yield pa.RecordBatch.from_arrays([hashes[0][cut], hashes[1][cut], part.column(0).take(idx), part.column(1).take(idx), pa.array((first[cut] - w.first[row[cut]]).astype(np.int32))], names=["w1", "w2", "doc_id", "tie", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[first[cut]]), pa.array(node[first[cut] + 1]), part.column(0).take(idx), part.column(1).take(idx), pa.array((first[cut] - w.first[row[cut]]).astype(np.int32))], names=["p", "s", "doc_id", "tie", "at"])
+
+    return texts.mapInArrow(run, "p long, s long, doc_id long, tie long, at int")
+
 
-    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, tie long, at int")
+def _compacted(edges: DataFrame) -> DataFrame:
+    """edges (p, s, source_doc, source_tie, source_at), each distinct edge with its first occurrence, with head: where its nonbranching path begins in the source.
+
+    An edge goes on with the path of another if they meet in a node that no other edge leads to or from, and if its source follows
+    the other's. Edges meet by node in one aggregation; which go on is joined back by source.
+    """
+    place = F.struct(F.col("source_doc").isNotNull().alias("k"), F.coalesce("source_doc", F.lit(0)).alias("d"), F.col("source_tie").alias("x"), F.col("source_at").alias("at"))
+    none = F.lit(None).cast("struct<k:boolean,d:bigint,x:bigint,at:int>")
+    ends = edges.select(F.col("s").alias("node"), place.alias("into"), none.alias("out")).unionAll(edges.select("p", none, place))
+    nodes = ends.groupBy("node").agg(F.count("into").alias("n_in"), F.count("out").alias("n_out"), F.max("into").alias("into"), F.max("out").alias("out"))
+    follows = (F.col("into.k") == F.col("out.k")) & (F.col("into.d") == F.col("out.d")) & (F.col("into.x") == F.col("out.x")) & (F.col("into.at") + 1 == F.col("out.at"))
+    goes_on = nodes.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & follows).select("out.*", F.lit(True).alias("on"))
+    keyed = edges.select("p", "s", "source_doc", "source_tie", "source_at", place.alias("_")).select("*", "_.*").drop("_")
+    joined = keyed.join(goes_on, ["k", "d", "x", "at"], "left")
+    before = Window.partitionBy("k", "d", "x").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a text's own edges
+    return joined.withColumn("head", F.last(F.when(F.col("on").isNull(), F.col("at")), ignorenulls=True).over(before)).drop("k", "d", "x", "at", "on")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
     """(id, doc_id, spans) of each distinct text (id: see text_id; doc_id: the smallest that has it) with words that repeat an earlier place.
 
-    An edge is a window of `window` words. It is repeated if the same words start earlier: in a smaller doc_id (null
-    is the smallest; of equal doc_ids, by tie, half of the text's id), or earlier in the document. spans: maximal paths (at, n, source_doc, source_tie,
-    source_at) of neighbouring repeated edges whose first occurrences are neighbours too; n counts edges.
+    A window is repeated if the same words start earlier: in a smaller doc_id (null is the smallest; of equal doc_ids, by tie, half
+    of the text's id), or earlier in the document. spans: (at, n, source_doc, source_tie, source_at, digest), n neighbouring windows each, whose first occurrences
+    are neighbours too and lie on one nonbranching path; digest: of the words at the source.
 
-    Anchors that are unique in the corpus rule out most edges with narrow rows; edges of the others are counted by two
-    64-bit hashes, with the first occurrence found by partial aggregation, and joined back. Copies of a text are left out first, so a hot text is one text.
+    Anchors that are unique in the corpus rule out most windows with narrow rows; the rest is counted by edges, with the first
+    occurrence found by partial aggregation; distinct edges are compacted to paths, and joined back. Copies of a text are left out first, so a hot text is one text.
     """
     ship(docs.sparkSession)
     since = mark(docs.sparkSession)
@@ -101,39 +130,79 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
     # doc_id tells most texts apart; where it doesn't, tie does. So an edge needn't carry a text's id.
     doubtful = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.lit(True).alias("many"))
     known = known.join(doubtful, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("id", "doc_id", F.when(F.col("many"), F.col("t")).otherwise(F.lit(0).cast("long")).alias("tie"), "places")
-    known = materialise(known, "places")
-    own = known.select(F.col("id").alias("own_id"), F.col("doc_id").alias("own_doc"), "tie", "places")
-    texts = _keyed(docs).join(own, (F.col("id") == F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_doc"))).select("doc_id", "tie", "text", "places")
-    edges = _windows(texts, window, size)
+    known = materialise(known, "known")
+    forget_since(since, known)
+    edges = _windows(_texts_of(docs, known.select("id", "doc_id", "tie", "places")).select("doc_id", "tie", "text", "places"), window, size)
     place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "tie", "at")
-    nodes = edges.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-    nodes = materialise(nodes.select("w1", "w2", F.col("first.doc_id").alias("source_doc"), F.col("first.tie").alias("source_tie"), F.col("first.at").alias("source_at")), "nodes")
+    distinct = edges.groupBy("p", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
+    distinct = materialise(distinct.select("p", "s", F.col("first.doc_id").alias("source_doc"), F.col("first.tie").alias("source_tie"), F.col("first.at").alias("source_at")), "edges")
+    paths = materialise(_compacted(distinct), "paths")
     here = F.col("doc_id").eqNullSafe(F.col("source_doc")) & (F.col("tie") == F.col("source_tie")) & (F.col("at") == F.col("source_at"))
-    again = edges.join(nodes, ["w1", "w2"]).filter(~here).select("doc_id", "tie", "at", "source_doc", "source_tie", "source_at")
+    again = edges.join(paths, ["p", "s"]).filter(~here).select("doc_id", "tie", "at", "source_doc", "source_tie", "source_at", "head")
     again = materialise(again, "again")  # the edges' shuffle files go before their sources are dealt out by document
     # Repeated rows of a document give the same edges; a set holds them once.
-    paths = again.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("at", "source_doc", "source_tie", "source_at"))).alias("edges"))
+    walks = again.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("at", "source_doc", "source_tie", "source_at", "head"))).alias("edges"))
     names = known.select("id", F.col("doc_id").alias("d"), F.col("tie").alias("x"))
-    paths = paths.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("x"))).select("id", "doc_id", "edges")
-    out = materialise(paths.mapInArrow(_paths, f"id binary, doc_id long, spans {SPANS}"), "spans")
+    walks = walks.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("x"))).select("id", "doc_id", "edges")
+    spans = materialise(walks.mapInArrow(_walks, f"id binary, doc_id long, spans {SPANS}"), "walks")
+    out = materialise(_with_digests(docs, known, spans, window), "spans")
     forget_since(since, out)
     return out
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compact each text's repeated edges, in order, to paths."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id, doc_id, ...) with the text of each. Few wanted ids are sent ahead, and texts that aren't among them stay where they are."""
+    texts = _keyed(docs)
+    own = wanted.withColumnsRenamed({"id": "own_id", "doc_id": "own_doc"})
+    same = (F.col("id") == F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_doc"))
+    if wanted.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(own.select("own_id", "own_doc")), same, "left_semi")
+    return texts.join(own, same).drop("own_id", "own_doc")
+
+
+def _digest(words: Words, data: bytes, at: int, n: int) -> int:
+    """A digest of n words as they are."""
+    return xxhash.xxh3_64_intdigest(b" ".join([data[s:e] for s, e in zip(words.start[at : at + n].tolist(), words.end[at : at + n].tolist(), strict=True)])) - (1 << 63)
+
+
+def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """spans (id, doc_id, spans) with the digest of the words at each span's source, from the source's text."""
+    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.source_doc", "s.source_tie", "s.source_at"), "single")
+    asked = rows.groupBy("source_doc", "source_tie").agg(F.collect_set(F.struct("source_at", "n")).alias("asked"))
+    asked = asked.join(known.select("id", "doc_id", "tie"), F.col("source_doc").eqNullSafe(F.col("doc_id")) & (F.col("source_tie") == F.col("tie"))).select("id", "doc_id", "tie", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("source_at", pa.int32()), ("n", pa.int32()), ("digest", pa.int64())]))
+        for b in batches:
+            for at, n in slices(b.column(2)):
+                part = b.slice(at, n)
+                w = Words(part.column(2), False)
+                data = w.data.tobytes()
+                out = [[{"source_at": x["source_at"], "n": x["n"], "digest": _digest(w, data, int(f) + x["source_at"], x["n"] + window - 1)} for x in own] for f, own in zip(w.first[:-1], part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["d", "x", "digests"])
+
+    texts = _texts_of(docs, materialise(asked, "asked")).select("doc_id", "tie", "text", "asked")
+    digests = texts.mapInArrow(run, "d long, x long, digests array<struct<source_at:int,n:int,digest:long>>")
+    digests = digests.select("d", "x", F.explode("digests").alias("g")).select("d", "x", F.col("g.source_at").alias("a"), F.col("g.n").alias("m"), "g.digest")
+    met = rows.join(digests, F.col("source_doc").eqNullSafe(F.col("d")) & (F.col("source_tie") == F.col("x")) & (F.col("source_at") == F.col("a")) & (F.col("n") == F.col("m")))
+    span = F.struct("at", "n", "source_doc", "source_tie", "source_at", "digest")
+    return met.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's repeated edges, in order, as walks along paths."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_tie", pa.int64()), ("source_at", pa.int32())]))
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
             edges = part.column(2)
             flat = edges.flatten()
-            at, source = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source_at"))
+            at, source, head = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source_at", "head"))
             doc = flat.field("source_doc")
             doc, none, tie = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), flat.field("source_tie").to_numpy()
             text = np.repeat(np.arange(len(part)), edges.value_lengths().to_numpy(zero_copy_only=False))
             new = np.ones(len(at), bool)
-            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (tie[1:] != tie[:-1])
+            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (head[1:] != head[:-1]) | (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (tie[1:] != tie[:-1])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(at))).astype(np.int32)
             heads = flat.take(pa.array(first))
@@ -143,7 +212,9 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of each row of docs (doc_id, text): words that no repeated edge covers, joined by one space.
+    """(doc_id, n_words, n_removed, kept) of each row of docs (doc_id, text): words that no repeated window covers, joined by one space.
+
+    A span counts only if its words have the digest of those at its source.
 
     Words are what lies between ASCII white space, unchanged. A null or empty text has no words. A row whose text
     a smaller doc_id has too loses all words if they are at least `window`, else none. Rows with equal doc_id and text are one
@@ -152,11 +223,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, window, size).select("id", "spans")
     firsts = _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("first"), F.countDistinct(F.struct("doc_id")).alias("n")).filter("n > 1").select("id", "first")
-    bare = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n")))
+    bare = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["digest"].alias("digest")))
     # A text that only one document has has no entry in firsts.
     copy = F.coalesce(F.col("copies") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))
     marks = firsts.withColumn("copies", F.lit(True)).join(spans.select("id", bare.alias("spans")), "id", "full")
-    rows = docs.withColumn("id", text_id(F.col("text"))).join(marks, "id", "left").select("doc_id", "text", copy.alias("copy"), "spans")
+    rows = docs.withColumn("id", text_id(F.col("text")))
+    wanted = marks.select("id")
+    if wanted.count() <= BROADCAST_IDS:  # texts without marks stay where they are
+        plain = rows.join(F.broadcast(wanted), "id", "left_anti").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(SPANS_TO_REMOVE).alias("spans"))
+        rows = rows.join(F.broadcast(wanted), "id", "left_semi").join(marks, "id").select("doc_id", "text", copy.alias("copy"), "spans").unionAll(plain)
+    else:
+        rows = rows.join(marks, "id", "left").select("doc_id", "text", copy.alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,14 +244,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
                 gone = np.zeros(len(w.hash) + 1, np.int64)
                 spans = part.column(3)
                 flat = spans.flatten()
-                row = np.repeat(np.arange(n), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                lo = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64) + w.first[row]
-                np.add.at(gone, lo, 1)
-                np.add.at(gone, lo + flat.field("n").to_numpy(zero_copy_only=False) + window - 1, -1)
+                row = np.repeat(np.arange(len(part)), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                data = w.data.tobytes()
+                lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n"))
+                lo, n = lo + w.first[row], n + window - 1
+                same = [_digest(w, data, a, m) == x for a, m, x in zip(lo.tolist(), n.tolist(), flat.field("digest").to_pylist(), strict=True)]
+                np.add.at(gone, lo[same], 1)
+                np.add.at(gone, (lo + n)[same], -1)
                 whole = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (size_of >= window)
                 keep = (np.cumsum(gone[:-1]) == 0) & ~whole[w.row]
-                data, kept = w.data.tobytes(), []
-                for r in range(n):
+                kept = []
+                for r in range(len(part)):
                     at = w.first[r] + np.flatnonzero(keep[w.first[r] : w.first[r + 1]])
                     kept.append(b" ".join([data[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
                 removed = size_of - np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) * (size_of > 0)
