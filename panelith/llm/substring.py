@@ -23,8 +23,8 @@ WINDOW = 20
 ANCHOR = 8  # words of an anchor; each window holds WINDOW - ANCHOR + 1 candidates for its own
 #: Up to so many ids of texts that are wanted go to all executors, so that other texts aren't shuffled; beyond that all are.
 BROADCAST_IDS = 500_000
-SPANS = "array<struct<at:int,n:int,source_doc:long,source_tie:long,source_at:int>>"
-SPANS_TO_REMOVE = "array<struct<at:int,n:int,digest:long>>"
+SPANS = "array<struct<at:int,n:int,times:int,source_doc:long,source_tie:long,source_at:int>>"
+SPANS_TO_REMOVE = "array<struct<at:int,n:int,times:int,digest:long>>"
 
 
 def anchors(words: Words, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +115,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
     """(id, doc_id, spans) of each distinct text (id: see text_id; doc_id: the smallest that has it) with words that repeat an earlier place.
 
     A window is repeated if the same words start earlier: in a smaller doc_id (null is the smallest; of equal doc_ids, by tie, half
-    of the text's id), or earlier in the document. spans: (at, n, source_doc, source_tie, source_at, digest), n neighbouring windows each, whose first occurrences
-    are neighbours too and lie on one nonbranching path; digest: of the words at the source.
+    of the text's id), or earlier in the document. spans: (at, n, times, source_doc, source_tie, source_at, digest), n neighbouring windows each, whose first occurrences
+    are neighbours too and lie on one nonbranching path, and which a text that repeats itself walks so many times in a row; digest: of the words at the source.
 
     Anchors that are unique in the corpus rule out most windows with narrow rows; the rest is counted by edges, with the first
     occurrence found by partial aggregation; distinct edges are compacted to paths, and joined back. Copies of a text are left out first, so a hot text is one text.
@@ -167,7 +167,7 @@ def _digest(words: Words, data: bytes, at: int, n: int) -> int:
 
 def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """spans (id, doc_id, spans) with the digest of the words at each span's source, from the source's text."""
-    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.source_doc", "s.source_tie", "s.source_at"), "single")
+    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.times", "s.source_doc", "s.source_tie", "s.source_at"), "single")
     asked = rows.groupBy("source_doc", "source_tie").agg(F.collect_set(F.struct("source_at", "n")).alias("asked"))
     asked = asked.join(known.select("id", "doc_id", "tie"), F.col("source_doc").eqNullSafe(F.col("doc_id")) & (F.col("source_tie") == F.col("tie"))).select("id", "doc_id", "tie", "asked")
 
@@ -185,13 +185,13 @@ def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: i
     digests = texts.mapInArrow(run, "d long, x long, digests array<struct<source_at:int,n:int,digest:long>>")
     digests = digests.select("d", "x", F.explode("digests").alias("g")).select("d", "x", F.col("g.source_at").alias("a"), F.col("g.n").alias("m"), "g.digest")
     met = rows.join(digests, F.col("source_doc").eqNullSafe(F.col("d")) & (F.col("source_tie") == F.col("x")) & (F.col("source_at") == F.col("a")) & (F.col("n") == F.col("m")))
-    span = F.struct("at", "n", "source_doc", "source_tie", "source_at", "digest")
+    span = F.struct("at", "n", "times", "source_doc", "source_tie", "source_at", "digest")
     return met.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's repeated edges, in order, as walks along paths."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("source_doc", pa.int64()), ("source_tie", pa.int64()), ("source_at", pa.int32())]))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("source_doc", pa.int64()), ("source_tie", pa.int64()), ("source_at", pa.int32())]))
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
@@ -205,8 +205,14 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (head[1:] != head[:-1]) | (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (tie[1:] != tie[:-1])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(at))).astype(np.int32)
+            # A text that repeats itself walks the same stretch again and again: one span.
+            same = np.zeros(len(first), bool)
+            same[1:] = (text[first][1:] == text[first][:-1]) & (at[first][1:] == at[first][:-1] + count[:-1]) & (source[first][1:] == source[first][:-1]) & (count[1:] == count[:-1]) & (doc[first][1:] == doc[first][:-1]) & (none[first][1:] == none[first][:-1]) & (tie[first][1:] == tie[first][:-1])
+            units = np.flatnonzero(~same)
+            times = np.diff(np.append(units, len(first))).astype(np.int32)
+            first, count = first[units], count[units]
             heads = flat.take(pa.array(first))
-            spans = pa.StructArray.from_arrays([heads.field("at"), pa.array(count), heads.field("source_doc"), heads.field("source_tie"), heads.field("source_at")], fields=list(kind.value_type))
+            spans = pa.StructArray.from_arrays([heads.field("at"), pa.array(count), pa.array(times), heads.field("source_doc"), heads.field("source_tie"), heads.field("source_at")], fields=list(kind.value_type))
             ends = np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), spans).cast(kind)], names=["id", "doc_id", "spans"])
 
@@ -223,7 +229,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, window, size).select("id", "spans")
     firsts = _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("first"), F.countDistinct(F.struct("doc_id")).alias("n")).filter("n > 1").select("id", "first")
-    bare = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["digest"].alias("digest")))
+    bare = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["times"].alias("times"), s["digest"].alias("digest")))
     # A text that only one document has has no entry in firsts.
     copy = F.coalesce(F.col("copies") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))
     marks = firsts.withColumn("copies", F.lit(True)).join(spans.select("id", bare.alias("spans")), "id", "full")
@@ -246,11 +252,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
                 flat = spans.flatten()
                 row = np.repeat(np.arange(len(part)), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
                 data = w.data.tobytes()
-                lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n"))
-                lo, n = lo + w.first[row], n + window - 1
-                same = [_digest(w, data, a, m) == x for a, m, x in zip(lo.tolist(), n.tolist(), flat.field("digest").to_pylist(), strict=True)]
+                lo, n, times = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n", "times"))
+                lo += w.first[row]
+                hi = lo + n * times + window - 1
+                same = [_digest(w, data, a, m + window - 1) == x and (k == 1 or np.array_equal(w.hash[a + m : z], w.hash[a : z - m])) for a, z, m, k, x in zip(lo.tolist(), hi.tolist(), n.tolist(), times.tolist(), flat.field("digest").to_pylist(), strict=True)]
                 np.add.at(gone, lo[same], 1)
-                np.add.at(gone, (lo + n)[same], -1)
+                np.add.at(gone, hi[same], -1)
                 whole = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (size_of >= window)
                 keep = (np.cumsum(gone[:-1]) == 0) & ~whole[w.row]
                 kept = []
