@@ -15,6 +15,8 @@ from panelith import shipping
 
 #: Rows that number_rows() puts into a bucket, on average.
 BUCKET_ROWS = 250_000
+#: Bits of a Bloom filter that each number sets.
+PROBES = 6
 _tables: dict[str, list[str]] = {}
 
 
@@ -91,9 +93,10 @@ def forget_since(since: int, *keep: DataFrame) -> None:
 
 
 def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter, with two bits for each number of the column hash. The driver gets 2^bits bits at most, however many there are."""
+    """A Bloom filter, with PROBES bits for each number of the column hash. The driver gets 2^bits bits at most, however many there are."""
     low = F.lit((1 << bits) - 1)
-    bit = F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", bits).bitwiseAND(low))).alias("bit")
+    first, step = F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", bits).bitwiseAND(low).bitwiseOR(F.lit(1))
+    bit = F.explode(F.array(*[(first + step * i).bitwiseAND(low) for i in range(PROBES)])).alias("bit")
     rows = hashes.select(bit).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map")).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
@@ -104,15 +107,17 @@ def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
 
 def in_bloom(bitmap: np.ndarray, bits: int, x: np.ndarray) -> np.ndarray:
     """The places of those numbers (unsigned) that may be in the filter."""
-    low = np.uint64((1 << bits) - 1)
-    has = lambda b: (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-    at = np.flatnonzero(has(x & low))
-    return at[has(x[at] >> np.uint64(bits) & low)]
+    low, at = np.uint64((1 << bits) - 1), np.arange(len(x))
+    for i in range(PROBES):  # each looks only at what the one before let through
+        own = x[at]
+        b = (own & low) + np.uint64(i) * (own >> np.uint64(bits) & low | np.uint64(1)) & low
+        at = at[(bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return at
 
 
 def filter_bits(n: int, most: int = 28) -> int:
-    """Bits of a filter for n numbers, as a power of two: some 16 for each, 2^most at most (beyond that it lets more through, which costs time only)."""
-    return min(most, max(16, (16 * n).bit_length()))
+    """Bits of a filter for n numbers, as a power of two: 32 to 64 for each, so that it lets some 2 in 100,000 others through at most; 2^most in all (beyond that it lets more through, which costs time only)."""
+    return min(most, max(16, (32 * n).bit_length()))
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelith.llm import decontaminate as dc
 from panelith.llm import language, neardup, secrets, substring
+from panelith.llm._common import bloom, filter_bits, in_bloom
 from panelith.llm._words import Words, mix
 from panelith.llm.queries import queries
 
@@ -71,6 +72,17 @@ SECRET_TEXTS = [None, "", "nothing here", 'x token = "04dbebab91ab85687d33eeaaf9
                 "token=password=x", "AKIAAKIAAKIAAKIA AKIA1", "f" * 31 + " " + "f" * 32, "secretſ=abcdefghij", "dGhpcyBpcyBhIHJhbmRvbQ8Zk1pQ2x4 someOrdinaryIdentifierName the_quick_value_buffer", " ".join(f"password={i:08d} {i:032x}" for i in range(400))]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_filter_lets_all_of_its_numbers_through_and_few_others(spark, n):
+    bits = filter_bits(n)
+    numbers = spark.range(n).select(F.xxhash64("id").alias("hash"))
+    bitmap = bloom(numbers, bits)
+    own = np.array([r["hash"] for r in numbers.collect()], np.int64).view(np.uint64)
+    assert len(in_bloom(bitmap, bits, own)) == n
+    others = np.random.default_rng(1).integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    assert len(in_bloom(bitmap, bits, others)) <= 40
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return secrets.train(secrets.labelled_samples(spark))
