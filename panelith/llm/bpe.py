@@ -135,9 +135,9 @@ def _packed(doc: list, row: list, part: list, ids: Iterable[list[int]]) -> pa.Re
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, row, part, ids) of documents (doc_id, text): the ids (uint32, little-endian) that the library gives for the whole text, without special tokens.
+    """(doc_id, row, part, ids, whole) of documents (doc_id, text): the ids (uint32, little-endian) that the library gives for the whole text, without special tokens.
 
-    A document within a chunk has one row, without `row`; longer ones have several, of one `row`, in the order of part. A null text is empty and has a row without ids;
+    A document within a chunk has one row, without `row` and with `whole`; longer ones have several, of one `row`, in the order of part. A null text is empty and has a row without ids;
     null and repeated doc_ids, repeated rows and other columns don't matter; an empty table gives none. Characters of one pre-token, however long, meet in one task: their merges depend on all of them.
     pattern: must not look more than PEEK characters beyond a match, and not before it.
     """
@@ -171,7 +171,8 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     piece = pieces.select("doc_id", "row", "k", F.substring("text", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece"), "left", "right")
     closed = piece.filter("not left and not right").select("doc_id", "row", F.col("k").alias("part"), F.col("piece").alias("text")).mapInArrow(plain, IDS)
     open_ = piece.filter("left or right").select("doc_id", "row", "k", "piece", "right").repartition(n, "row").sortWithinPartitions("row", "k").mapInArrow(fused, IDS)
-    return short.unionByName(closed).unionByName(open_)
+    # Literals, so that a filter by them reads one side alone.
+    return short.withColumn("whole", F.lit(True)).unionByName(closed.unionByName(open_).withColumn("whole", F.lit(False)))
 
 
 def decode(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -225,9 +226,9 @@ def digests(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
             out = [(now[1], n, ids_hash.hexdigest(), own_hash.hexdigest())]
             yield batch()
 
-    short = tokens.filter("row is null").select("doc_id", "row", "ids").mapInArrow(run, ddl)
+    short = tokens.filter("whole").select("doc_id", "row", "ids").mapInArrow(run, ddl)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    long = tokens.filter("row is not null").repartition(n_parts, "row").sortWithinPartitions("row", "part").select("doc_id", "row", "ids").mapInArrow(run, ddl)
+    long = tokens.filter("not whole").repartition(n_parts, "row").sortWithinPartitions("row", "part").select("doc_id", "row", "ids").mapInArrow(run, ddl)
     return short.unionByName(long)
 
 
