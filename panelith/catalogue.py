@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from panelith.constants import PENALTIES
 from panelith.functions import calendar, numeric
-from panelith.operators import assemble, clean, evaluate, fold, kernel, level, shape
-from panelith.plans.forecast import PanelForecaster, explode_channels, forecast_start
+from panelith.operators import assemble, clean, evaluate, fold, kernel, level, prune, shape
+from panelith.plans.forecast import PanelForecaster, explode_channels, faults, forecast_start
 from panelith.shipping import ship
 from panelith.sources import panels
 
@@ -92,6 +92,27 @@ WINDOW w1 AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
 g AS (SELECT series_id, ts, i, CASE WHEN pi = ni THEN py WHEN py IS NOT NULL AND ny IS NOT NULL THEN py + (ny - py) * (i - pi) / (ni - pi) ELSE coalesce(py, ny, 0.0) END AS y FROM f)"""
 
 
+def mixed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, ts, y, freq, horizon): hourly events by type, daily shipped quantities by return flag and monthly order totals by priority, in one panel."""
+    items = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    parts = [
+        ("H", 24, hourly(spark, sf_dir).select("series_id", "ts", "y")),
+        ("D", 14, panels.sums(items, "l_returnflag", "l_shipdate", "l_quantity", "day")),
+        ("M", 6, panels.sums(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "month")),
+    ]
+    out = [rows.select("series_id", "ts", "y", F.lit(freq).alias("freq"), F.lit(h).alias("horizon")) for freq, h, rows in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _spined(name: str, rows: str, key: str, at: str, value: str, unit: str) -> str:
+    return f"""{name}c AS (SELECT {key} AS series_id, date_trunc('{unit}', {at})::TIMESTAMP AS ts, sum({value}) AS y FROM {rows} GROUP BY 1, 2),
+{name} AS (SELECT series_id, ts, c.y FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 {unit}))::TIMESTAMP AS ts FROM {name}c GROUP BY 1) LEFT JOIN {name}c c USING (series_id, ts))"""
+
+
+MIXED = f"""{HOURLY}, {_spined('sd', 'lineitem', 'l_returnflag', 'l_shipdate', 'l_quantity', 'DAY')}, {_spined('om', 'orders', 'o_orderpriority', 'o_orderdate', 'o_totalprice', 'MONTH')},
+mx AS (SELECT series_id, ts, y, 'H' AS freq, 24 AS horizon FROM p UNION ALL SELECT series_id, ts, y, 'D', 14 FROM sd UNION ALL SELECT series_id, ts, y, 'M', 6 FROM om)"""
+
+
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold(hourly(spark, sf_dir), 24)
 
@@ -122,36 +143,67 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.centre(rows.withColumn("level_bc", numeric.boxcox(F.col("level"), F.lit(0.0))))
 
 
-CODES = "h d w min 5min 15MIN Min T 60min 20min 25min 45min 2H BH ms us ns BMS BME SM QE-DEC QS-OCT AS-JAN YS B L UNKNOWN M Q A Y S 10S 10T 30T 5T 15T H D W ME QE YE MS QS W-SUN Q-DEC"
-CODE_ROWS = f"f AS (SELECT unnest(string_split('{CODES}', ' ')) AS freq)"
+#: Granularities of events' and line items' times: (name, unit of truncation, the label's shift).
+_EVENT_UNITS = {"second": 1, "ten_seconds": 10, "minute": 60, "five_minutes": 300, "ten_minutes": 600, "quarter_hour": 900, "half_hour": 1800, "hour": 3600, "two_hours": 7200, "day": 86400}
+_SHIP_UNITS = ("week", "month", "quarter", "year")
+
+
+def granular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, ts): the times of events and shipments at many granularities, labelled by first days, and for months, quarters and years also by last days."""
+    events, items = table(spark, sf_dir, "events"), table(spark, sf_dir, "lineitem")
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    fine = F.explode(F.array(*[F.struct(F.lit(name).alias("series_id"), (F.floor(second / n) * n).alias("s")) for name, n in _EVENT_UNITS.items()])).alias("e")
+    fine = events.filter("ts is not null").select(fine).select("e.series_id", F.timestamp_seconds("e.s").cast("timestamp_ntz").alias("ts"))
+    start = lambda u: panels.truncate_ts(F.col("l_shipdate"), u)
+    end = lambda u: F.date_sub(F.add_months(start(u), {"month": 1, "quarter": 3, "year": 12}[u]), 1).cast("timestamp_ntz")
+    coarse = [F.struct(F.lit(u).alias("series_id"), start(u).alias("ts")) for u in _SHIP_UNITS] + [F.struct(F.lit(f"{u}_end").alias("series_id"), end(u).alias("ts")) for u in _SHIP_UNITS[1:]]
+    return fine.unionByName(items.select(F.explode(F.array(*coarse)).alias("e")).select("e.*"))
+
+
+_FINE = " UNION ALL ".join(f"SELECT '{name}' AS series_id, to_timestamp((floor(epoch(ts) / {n}) * {n})::BIGINT)::TIMESTAMP AS ts FROM events WHERE ts IS NOT NULL" for name, n in _EVENT_UNITS.items())
+_COARSE = " UNION ALL ".join([f"SELECT '{u}', date_trunc('{u}', l_shipdate)::TIMESTAMP FROM lineitem" for u in _SHIP_UNITS] + [f"SELECT '{u}_end', (date_trunc('{u}', l_shipdate) + INTERVAL {n} MONTH - INTERVAL 1 DAY)::TIMESTAMP FROM lineitem" for u, n in (("month", 1), ("quarter", 3), ("year", 12))])
+_ENDS = "CASE WHEN firsts THEN '{0}S' WHEN lasts THEN '{0}E' ELSE '{0}' END"
+_MANY = "(CASE WHEN gap > {0} THEN (gap // {0})::VARCHAR ELSE '' END || '{1}')"
+INFERRED = f"""gr AS (SELECT DISTINCT * FROM ({_FINE} UNION ALL {_COARSE})),
+gg AS (SELECT *, (epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY series_id ORDER BY ts))::BIGINT AS gap FROM gr),
+gf AS (SELECT series_id, min(gap) AS gap, bool_and(day(ts) = 1) AS firsts, bool_and(ts::DATE = last_day(ts)) AS lasts, min(strftime(ts, '%a')) AS dow, arg_max(strftime(ts, '%b'), ts) AS mon FROM gg GROUP BY 1),
+f AS (SELECT series_id, gap, CASE WHEN gap // 86400 BETWEEN 364 AND 366 THEN {_ENDS.format('Y')} WHEN gap // 86400 BETWEEN 89 AND 92 THEN {_ENDS.format('Q')} || '-' || upper(mon) WHEN gap // 86400 BETWEEN 28 AND 31 THEN {_ENDS.format('M')}
+WHEN gap = 604800 THEN 'W-' || upper(dow) WHEN gap % 86400 = 0 THEN {_MANY.format(86400, 'D')} WHEN gap % 3600 = 0 THEN {_MANY.format(3600, 'H')} WHEN gap % 60 = 0 THEN {_MANY.format(60, 'T')} ELSE {_MANY.format(1, 'S')} END AS freq FROM gf WHERE gap IS NOT NULL)"""
 _SUFFIX = " ".join(f"WHEN r0 LIKE '%{s}' THEN left(r0, length(r0) - 2) || '{s[0]}'" for s in ("ME", "QE", "YE", "MS", "QS", "YS", "AS"))
-RESOLVED = f"WITH {CODE_ROWS}, a AS (SELECT freq, split_part(replace(upper(freq), 'MIN', 'T'), '-', 1) AS r0 FROM f), r AS (SELECT freq, CASE {_SUFFIX} ELSE r0 END AS code FROM a)"
+RESOLVED = f"WITH {INFERRED}, a AS (SELECT series_id, freq, split_part(replace(upper(freq), 'MIN', 'T'), '-', 1) AS r0 FROM f), r AS (SELECT series_id, freq, CASE {_SUFFIX} ELSE r0 END AS code FROM a)"
 
 
-def codes(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.split(F.lit(CODES), " ")).alias("freq"))
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, freq): the codes that the times of the granular panel stand for."""
+    return calendar.inferred(granular(spark, sf_dir)).filter("freq is not null").select("series_id", "freq")
 
 
 # ---- Calendar ----
 
 
-@query(f"{RESOLVED} SELECT freq, code FROM r")
+@query(f"WITH {INFERRED} SELECT series_id, gap, freq FROM f")
+def freq_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.inferred(granular(spark, sf_dir)).filter("freq is not null")
+
+
+@query(f"{RESOLVED} SELECT series_id, freq, code FROM r")
 def freq_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codes(spark).select("freq", calendar.resolved(F.col("freq")).alias("code"))
+    return codes(spark, sf_dir).withColumn("code", calendar.resolved(F.col("freq")))
 
 
 _PERIODS = "VALUES " + ", ".join(f"('{k}', {v})" for k, v in calendar.FREQ_TO_PERIOD.items())
 _CANDIDATES = "VALUES " + ", ".join(f"('{k}', '{','.join(map(str, v))}')" for k, v in calendar.FREQ_TO_PERIODS.items())
+_SEASONS = "VALUES " + ", ".join(f"('{k}', {v})" for k, v in calendar.SEASONS.items())
 
 
-@query(f"{RESOLVED}, k(key, period) AS ({_PERIODS}) SELECT freq, coalesce(arg_max(period, length(key)), 1)::BIGINT AS period FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY freq")
+@query(f"{RESOLVED}, k(key, period) AS ({_PERIODS}) SELECT series_id, freq, coalesce(arg_max(period, length(key)), 1)::BIGINT AS period FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY ALL")
 def freq_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codes(spark).select("freq", calendar.period_column(F.col("freq")).cast("long").alias("period"))
+    return codes(spark, sf_dir).withColumn("period", calendar.period_column(F.col("freq")).cast("long"))
 
 
-@query(f"{RESOLVED}, k(key, periods) AS ({_CANDIDATES}) SELECT freq, coalesce(arg_max(periods, length(key)), '') AS periods FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY freq")
+@query(f"{RESOLVED}, k(key, periods) AS ({_CANDIDATES}) SELECT series_id, freq, coalesce(arg_max(periods, length(key)), '') AS periods FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY ALL")
 def freq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codes(spark).select("freq", F.array_join(calendar.periods_column(F.col("freq")).cast("array<string>"), ",").alias("periods"))
+    return codes(spark, sf_dir).withColumn("periods", F.array_join(calendar.periods_column(F.col("freq")).cast("array<string>"), ","))
 
 
 # ---- Ingest ----
@@ -188,11 +240,14 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.hold_out(hourly(spark, sf_dir).select("series_id", "ts", "y"), 48)
 
 
-@query("WITH t AS (SELECT DISTINCT event_type FROM events) SELECT event_type AS item_id, c::BIGINT AS channel, ((('0x' || substr(md5(event_type), 1, 8))::BIGINT + c) % 4294967296)::BIGINT AS seed, k::BIGINT AS i, (10.0 * c + k)::DOUBLE AS y FROM t, (SELECT unnest(range(3)) AS c), (SELECT unnest(range(4)) AS k)")
+@query(f"""WITH {HOURLY}, dd AS (SELECT series_id, (i // 24)::BIGINT AS i, sum(y) AS total, max(y) AS most, count(*) FILTER (y = 0)::DOUBLE AS quiet FROM p GROUP BY 1, 2)
+SELECT series_id AS item_id, channel, ((('0x' || substr(md5(series_id), 1, 8))::BIGINT + channel) % 4294967296)::BIGINT AS seed, i, y FROM (SELECT series_id, i, 0::BIGINT AS channel, total AS y FROM dd UNION ALL SELECT series_id, i, 1, most FROM dd UNION ALL SELECT series_id, i, 2, quiet FROM dd)""")
 def multivariate_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "events").select(F.col("event_type").alias("item_id")).distinct()
-    grid = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (c * 10 + k).cast("double")))
-    return explode_channels(ids.withColumn("target", grid)).select("item_id", F.col("channel").cast("long").alias("channel"), "seed", F.col("i").cast("long").alias("i"), "y")
+    """Items with three channels: each event type's counts by day, its busiest hour's and how many hours had none."""
+    days = hourly(spark, sf_dir).groupBy("series_id", F.expr("cast(i div 24 as int)").alias("d")).agg(F.sum("y").alias("total"), F.max("y").alias("most"), F.count_if(F.col("y") == 0).cast("double").alias("quiet"))
+    items = days.groupBy(F.col("series_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("d", "total", "most", "quiet"))).alias("days"))
+    items = items.select("item_id", F.array(*[F.col(f"days.{c}") for c in ("total", "most", "quiet")]).alias("target"))
+    return explode_channels(items).select("item_id", F.col("channel").cast("long").alias("channel"), "seed", F.col("i").cast("long").alias("i"), "y")
 
 
 @query(f"WITH {HOURLY} SELECT series_id, s::BIGINT AS step, max(ts) + (s + 1) * INTERVAL 1 HOUR AS ts FROM p, (SELECT unnest(range(6)) AS s) GROUP BY series_id, s")
@@ -328,16 +383,26 @@ def shape1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.shape(folded(spark, sf_dir), 24).select("series_id", "phase", r6("s").alias("s"))
 
 
-@query("""WITH g AS (SELECT sec, p, per, nc FROM (VALUES ('168', 24, 24), ('365', 7, 7), ('24,168', 1, 24), ('', 1, 7), ('52', 1, 52)) t(sec, p, per), (VALUES (10), (14), (30), (120), (500)) u(nc)),
-e AS (SELECT *, CASE WHEN sec = '' THEN [] ELSE list_transform(string_split(sec, ','), lambda x: x::INT // CASE WHEN p >= 2 THEN p ELSE 1 END) END AS lags FROM g),
-k AS (SELECT *, list_filter(lags, lambda c: c >= 2 AND c <= nc // 2) AS kept FROM e)
-SELECT sec, p::BIGINT AS p, nc::BIGINT AS nc, array_to_string(CASE WHEN p = 1 AND per >= 2 AND per <= nc // 2 THEN list_sort(list_distinct(list_concat(kept, [per]))) ELSE kept END, ',') AS lags FROM k""")
+#: Series of the mixed panel with their lengths, and the codes' periods; each candidate period p that is tried, 1 for none.
+TRIED = f"""{{mixed}}, ln AS (SELECT series_id, freq, count(*)::BIGINT AS n FROM mx GROUP BY 1, 2), kp(key, period) AS ({_PERIODS}), kc(key, periods) AS ({_CANDIDATES}),
+tp AS (SELECT series_id, freq, n, coalesce((SELECT arg_max(period, length(key)) FROM kp WHERE ends_with(freq, key)), 1) AS per, list_transform(list_filter(string_split(coalesce((SELECT arg_max(periods, length(key)) FROM kc WHERE ends_with(freq, key)), ''), ','), lambda x: x <> ''), lambda x: x::BIGINT) AS cand FROM ln),
+td AS (SELECT series_id, n, per, cand, unnest(list_concat([1::BIGINT], cand)) AS p FROM tp),
+tr AS (SELECT series_id, per::BIGINT AS per, p, n // p AS nc, list_filter(cand, lambda x: x > p) AS sec FROM td)"""
+
+
+def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, per, p, nc, sec) of the mixed panel: each candidate period p of a series' frequency and none, how often it fits, the primary period, and the longer candidates."""
+    n = mixed_panel(spark, sf_dir).groupBy("series_id", "freq").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.join(F.broadcast(calendar.dimension(n.select("freq"))), "freq").withColumn("cand", F.col("periods")).withColumn("per", F.col("period").cast("long"))
+    rows = rows.withColumn("p", F.explode(F.concat(F.array(F.lit(1)), "cand"))).withColumn("p", F.col("p").cast("long"))
+    return rows.select("series_id", "per", "p", F.expr("n div p").alias("nc"), F.filter("cand", lambda x: x > F.col("p")).alias("sec"))
+
+
+@query(f"""WITH {TRIED.replace('{mixed}', MIXED)}, k AS (SELECT *, list_filter(list_transform(sec, lambda x: x // CASE WHEN p >= 2 THEN p ELSE 1 END), lambda c: c >= 2 AND c <= nc // 2) AS kept FROM tr)
+SELECT series_id, p, nc, array_to_string(CASE WHEN p = 1 AND per >= 2 AND per <= nc // 2 THEN list_sort(list_distinct(list_concat(kept, [per]))) ELSE kept END, ',') AS lags FROM k""")
 def cross_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = "('168', 24, 24), ('365', 7, 7), ('24,168', 1, 24), ('', 1, 7), ('52', 1, 52)"
-    rows = spark.sql(f"SELECT sec, p, per, explode(array(10, 14, 30, 120, 500)) AS nc FROM VALUES {cases} AS t(sec, p, per)")
-    sec = F.when(F.col("sec") == "", F.array().cast("array<int>")).otherwise(F.split("sec", ",").cast("array<int>"))
-    lags = numeric.cross_periods(sec, F.col("p"), F.col("per"), F.col("nc"))
-    return rows.select("sec", F.col("p").cast("long").alias("p"), F.col("nc").cast("long").alias("nc"), F.array_join(lags.cast("array<string>"), ",").alias("lags"))
+    lags = numeric.cross_periods(F.col("sec"), F.col("p"), F.col("per"), F.col("nc"))
+    return tried(spark, sf_dir).select("series_id", "p", "nc", F.array_join(lags.cast("array<string>"), ",").alias("lags"))
 
 
 @query(f"WITH {SHAPE2} SELECT series_id, pos, round(s2, 6) AS s2 FROM s2")
@@ -365,12 +430,12 @@ def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", of("values", "p", "nc").alias("factor"))
 
 
-@query("""WITH b AS (SELECT unnest(range(1, 21)) / 20.0::DOUBLE AS beta), g AS (SELECT beta, k, (k + 0.5) * pi() / 20000 AS a FROM b, (SELECT unnest(range(20000)) AS k)),
-m AS (SELECT beta, k, 2 * sin(a) * sin(a) / (pi() * (1 + beta + 2 * sqrt(beta) * cos(a))) * pi() / 20000 AS w FROM g),
-c AS (SELECT *, sum(w) OVER (PARTITION BY beta ORDER BY k) AS s FROM m), h AS (SELECT beta, min(k) AS k, arg_min(s, k) AS s, arg_min(w, k) AS w FROM c WHERE s >= 0.5 GROUP BY 1)
-SELECT beta, round(1 + beta + 2 * sqrt(beta) * cos((k + 1 - (s - 0.5) / w) * pi() / 20000), 5) AS median FROM h""")
+@query(f"""WITH {TRIED.replace('{mixed}', MIXED)}, bt AS (SELECT DISTINCT round(least(p, nc) / greatest(p, nc)::DOUBLE, 4) AS beta FROM tr WHERE p > 1 AND nc > 1), ga AS (SELECT beta, k, (k + 0.5) * pi() / 20000 AS a FROM bt, (SELECT unnest(range(20000)) AS k)),
+ma AS (SELECT beta, k, 2 * sin(a) * sin(a) / (pi() * (1 + beta + 2 * sqrt(beta) * cos(a))) * pi() / 20000 AS w FROM ga),
+ca AS (SELECT *, sum(w) OVER (PARTITION BY beta ORDER BY k) AS s FROM ma), h AS (SELECT beta, min(k) AS k, arg_min(s, k) AS s, arg_min(w, k) AS w FROM ca WHERE s >= 0.5 GROUP BY 1)
+SELECT series_id, p, h.beta, round(1 + h.beta + 2 * sqrt(h.beta) * cos((k + 1 - (s - 0.5) / w) * pi() / 20000), 5) AS median FROM tr JOIN h ON h.beta = round(least(p, nc) / greatest(p, nc)::DOUBLE, 4) WHERE p > 1 AND nc > 1""")
 def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(beta, median): Marchenko-Pastur medians; the SQL sums the law's mass over a fine grid of angles."""
+    """(series_id, p, beta, median): Marchenko-Pastur medians at the aspect ratios that the series' own foldings have; the SQL sums the law's mass over a fine grid of angles."""
     from panelith.operators.kernel import mp_median as median
 
     ship(spark)
@@ -379,7 +444,8 @@ def mp_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(beta: pd.Series) -> pd.Series:
         return beta.map(median)
 
-    return spark.range(1, 21).select((F.col("id") / 20).alias("beta")).withColumn("median", F.round(of("beta"), 5))
+    rows = tried(spark, sf_dir).filter("p > 1 and nc > 1").withColumn("beta", F.round(F.least("p", "nc") / F.greatest("p", "nc"), 4))
+    return rows.select("series_id", "p", "beta", F.round(of("beta"), 5).alias("median"))
 
 
 @query(f"WITH {FOLDED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS power), x AS (SELECT series_id, power, level, CASE WHEN power = 0 THEN ln(level) ELSE (pow(level, power) - 1) / power END AS z FROM l, w WHERE level > 0) SELECT series_id, power, round((power - 1) * sum(ln(level)) - count(*) / 2.0 * ln(var_pop(z)), 4) AS loglik FROM x GROUP BY 1, 2")
@@ -449,6 +515,11 @@ wt AS (SELECT *, exp(-(gcv - min(gcv) OVER k) / greatest(min(gcv) OVER k, 1e-10)
 
 @query(f"WITH {LEVELS}, {_DESIGN}, {RIDGE} SELECT series_id, round(sum(ww*c0)/sum(ww), 5) + 0.0 AS theta0, round(sum(ww*c1)/sum(ww), 5) + 0.0 AS theta1, round(sum(ww*c2)/sum(ww), 5) + 0.0 AS theta2, round(min(gcv), 8) AS least FROM wt GROUP BY 1")
 def ridge_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir).select("series_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("theta0", "theta1", "theta2")], F.round("least", 8).alias("least"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, theta0, theta1, theta2, least) of the levels' differences."""
     from panelith.operators.kernel import ridge
 
     ship(spark)
@@ -458,15 +529,14 @@ def ridge_loocv(spark: SparkSession, sf_dir: str) -> DataFrame:
         fit = ridge(pdf[["b0", "b1", "lag1"]].to_numpy(), pdf["target"].to_numpy())
         return pd.DataFrame([(pdf["series_id"].iloc[0], *fit.coef, fit.least)], columns=["series_id", "theta0", "theta1", "theta2", "least"])
 
-    out = level.design(levels(spark, sf_dir), 0).groupBy("series_id").applyInPandas(run, "series_id string, theta0 double, theta1 double, theta2 double, least double")
-    return out.select("series_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("theta0", "theta1", "theta2")], F.round("least", 8).alias("least"))
+    return level.design(levels(spark, sf_dir), 0).groupBy("series_id").applyInPandas(run, "series_id string, theta0 double, theta1 double, theta2 double, least double")
 
 
-@query("SELECT n_nationkey::BIGINT AS k, round(n_nationkey * 0.1::DOUBLE, 6) AS b0, round(n_nationkey * 0.2::DOUBLE, 6) AS b1, round(CASE WHEN n_nationkey % 2 = 0 THEN 1 - n_nationkey * 0.01 ELSE n_nationkey * 0.01 END, 6) AS b2 FROM nation")
+@query(f"WITH {LEVELS}, {_DESIGN}, {RIDGE} SELECT series_id, round(sum(ww*c0)/sum(ww), 5) + 0.0 AS b0, round(sum(ww*c1)/sum(ww), 5) + 0.0 AS b1, round(1 - sum(ww*c2)/sum(ww), 5) + 0.0 AS b2 FROM wt GROUP BY 1")
 def recover_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    beta = numeric.recover_beta(F.array(k * F.lit(0.1), k * F.lit(0.2), k * F.lit(0.01)), k % 2 == 0)
-    return table(spark, sf_dir, "nation").select(k.cast("long").alias("k"), F.round(beta[0], 6).alias("b0"), F.round(beta[1], 6).alias("b1"), F.round(beta[2], 6).alias("b2"))
+    """Coefficients of the level from those fitted to its differences."""
+    theta = _fitted(spark, sf_dir).select("series_id", numeric.recover_beta(F.array("theta0", "theta1", "theta2"), True).alias("beta"))
+    return theta.select("series_id", *[(F.round(F.col("beta")[i], 5) + F.lit(0.0)).alias(f"b{i}") for i in range(3)])
 
 
 _PHI = """d1 AS (SELECT series_id, period_idx, level_bc - lag(level_bc) OVER (PARTITION BY series_id ORDER BY period_idx) AS d FROM b),
@@ -480,11 +550,11 @@ def phi_damping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.phi(levels(spark, sf_dir)).select("series_id", r6("phi").alias("phi"))
 
 
-@query("WITH g AS (SELECT ph, j FROM (SELECT unnest([0.0, 0.3, 0.9, 1.5])::DOUBLE AS ph), (SELECT unnest(range(1, 6)) AS j)) SELECT ph AS phi, j::BIGINT AS j, round(CASE WHEN least(ph, 1 - 1e-10) <= 1e-10 THEN 29.0 / 30 ELSE (29 + least(ph, 1 - 1e-10) * (1 - pow(least(ph, 1 - 1e-10), j)) / (1 - least(ph, 1 - 1e-10))) / 30 END, 5) AS trend FROM g")
+@query(f"WITH {LEVELS}, {_PHI} SELECT series_id, j::BIGINT AS j, round(CASE WHEN least(phi, 1 - 1e-10) <= 1e-10 THEN 29.0 / 30 ELSE (29 + least(phi, 1 - 1e-10) * (1 - pow(least(phi, 1 - 1e-10), j)) / (1 - least(phi, 1 - 1e-10))) / 30 END, 6) AS trend FROM ph, (SELECT unnest(range(1, 9)) AS j)")
 def damped_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.9, 1.5)))).alias("phi"))
-    out = rows.select("phi", F.posexplode(numeric.damped_trend(F.col("phi"), 5, F.lit(30))).alias("j", "trend"))
-    return out.select("phi", (F.col("j") + 1).cast("long").alias("j"), F.round("trend", 5).alias("trend"))
+    """The trend regressor at the next eight periods, by each series' own damping."""
+    out = level.phi(levels(spark, sf_dir)).select("series_id", F.posexplode(numeric.damped_trend(F.col("phi"), 8, F.lit(30))).alias("j", "trend"))
+    return out.select("series_id", (F.col("j") + 1).cast("long").alias("j"), r6("trend").alias("trend"))
 
 
 @query(f"WITH RECURSIVE {LEVELS}, st AS (SELECT series_id, innov AS v FROM z WHERE period_idx = 29), h AS (SELECT series_id, period_idx - 29 AS k, innov AS v FROM z), pth AS (SELECT series_id, 0 AS j, v FROM st UNION ALL SELECT p.series_id, p.j + 1, 0.01 + 0.02 * (29.0 / 30) + 0.6 * p.v + 0.2 * h.v FROM pth p JOIN h ON h.series_id = p.series_id AND h.k = p.j + 1 - 7 WHERE p.j < 5) SELECT series_id, j::BIGINT AS j, round(v, 6) + 0.0 AS level FROM pth WHERE j > 0")
@@ -553,26 +623,6 @@ def integer_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", assemble.snap(F.col("value") / 3, F.lit(True)).alias("y"))
 
 
-_PARTS = """t AS (SELECT DISTINCT event_type AS series_id FROM events),
-lh AS (SELECT series_id, s::INT AS sample_id, b::INT AS block, 100.0 + 10 * s + b AS hat, 1 / sqrt(1 + 0.5 * b) AS deflate FROM t, (SELECT unnest(range(3)) AS s), (SELECT unnest(range(2)) AS b)),
-f2 AS (SELECT series_id, p::INT AS pos, 0.9 + 0.1 * p AS s2 FROM t, (SELECT unnest(range(3)) AS p)),
-shp AS (SELECT series_id, p::INT AS phase, (p + 1) / 10.0 AS s FROM t, (SELECT unnest(range(4)) AS p)),
-ns AS (SELECT series_id, s::INT AS sample_id, p::INT AS phase, 0.01 * (s - 1) * (p + 1) AS eps FROM t, (SELECT unnest(range(3)) AS s), (SELECT unnest(range(4)) AS p))"""
-
-
-@query(f"WITH {_PARTS}, st AS (SELECT unnest(range(6))::INT AS step), r AS (SELECT lh.series_id, lh.sample_id, st.step, hat * s2 * s * (1 + eps * deflate) - 2.0 AS v FROM lh JOIN st ON st.step // 4 = lh.block JOIN f2 ON f2.series_id = lh.series_id AND f2.pos = (5 + lh.block) % 3 JOIN shp ON shp.series_id = lh.series_id AND shp.phase = st.step % 4 JOIN ns ON ns.series_id = lh.series_id AND ns.sample_id = lh.sample_id AND ns.phase = st.step % 4) SELECT series_id, sample_id, step, round_even(least(greatest(v, 9.0), 40.0), 0) AS value FROM r")
-def assemble_given_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct()
-    up = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    paths = t.withColumn("sample_id", up(3)).withColumn("block", up(2)).withColumn("nc", F.lit(5))
-    paths = assemble.deflate(paths.withColumn("level_hat", 100.0 + 10 * F.col("sample_id") + F.col("block")).withColumn("leverage", 0.5 * F.col("block")))
-    factors = t.withColumn("pos", up(3)).withColumn("s2", 0.9 + 0.1 * F.col("pos"))
-    shapes = t.withColumn("phase", up(4)).withColumn("s", (F.col("phase") + 1) / 10)
-    noise = t.withColumn("sample_id", up(3)).withColumn("phase", up(4)).withColumn("eps", 0.01 * (F.col("sample_id") - 1) * (F.col("phase") + 1))
-    bounds = t.withColumns({"low": F.lit(9.0), "high": F.lit(40.0), "whole": F.lit(True), "shift": F.lit(2.0)})
-    return assemble.assemble(assemble.reseason(paths, factors, 3), shapes, noise, bounds, 4, 6)
-
-
 # ---- Evaluation ----
 
 
@@ -777,6 +827,28 @@ def level_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", "j", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("level", "leverage")])
 
 
+_PLUS = FOLDED.replace("AS phase, y FROM p", "AS phase, y + 1 AS y FROM p")
+_PARTS = _RESID.replace(FOLDED, _PLUS) + SHAPE2[len(FOLDED) :] + f""",
+ep AS (SELECT series_id, (period_idx - 20)::INT AS sample_id, phase, resid - m * least(greatest(e / (m * m + e + 1e-10), 0.0), 1.0) AS eps FROM (SELECT *, avg(resid) OVER w AS m, var_samp(resid) OVER w / 30 AS e FROM rs WINDOW w AS (PARTITION BY series_id, phase)) WHERE period_idx BETWEEN 20 AND 22),
+lf AS ({_SQL["level_forecast"]}),
+pt AS (SELECT l.series_id, (27 + b - period_idx)::INT AS sample_id, b::INT AS block, level / greatest(s2.s2, 1e-10) * fx.s2 AS hat FROM l JOIN s2 ON s2.series_id = l.series_id AND s2.pos = period_idx % 7, (SELECT unnest(range(2)) AS b) JOIN s2 fx ON fx.series_id = l.series_id AND fx.pos = (30 + b) % 7 WHERE 27 + b - period_idx BETWEEN 0 AND 2),
+bd AS (SELECT series_id, min(y) AS low, max(y) FILTER (i >= 660) + greatest(max(y) FILTER (i >= 660) - min(y) FILTER (i >= 660), 1e-6) AS high FROM p GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_PARTS}, st AS (SELECT unnest(range(30))::INT AS step), r AS (SELECT series_id, sample_id, step, hat * s * (1 + eps / sqrt(1 + leverage)) - 1 AS v FROM pt JOIN st ON step // 24 = block JOIN sh USING (series_id) JOIN ep USING (series_id, sample_id) JOIN lf USING (series_id) WHERE sh.phase = step % 24 AND ep.phase = step % 24 AND lf.j = block + 1) SELECT series_id, sample_id, step, round_even(least(greatest(v, low), high), 0) AS value FROM r JOIN bd USING (series_id)")
+def assemble_given_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples put together from fitted parts: levels of the last periods in the place of drawn ones, seasonal factors, shapes, residuals of three periods, leverages, and the history's range."""
+    whole = hourly(spark, sf_dir)
+    rows = fold.fold(clean.positivity_shift(whole).drop("n"), 24)
+    totals, shapes = fold.level(rows), shape.shape(rows, 24)
+    factors = shape.shape2(totals, 7)
+    noise = assemble.shrink_bias(assemble.phase_residuals(rows, shapes, totals)).filter("period_idx between 20 and 22").select("series_id", (F.col("period_idx") - 20).alias("sample_id"), "phase", F.col("resid").alias("eps"))
+    flat = shape.deseason(totals, factors, 7).withColumn("block", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sample_id", 27 + F.col("block") - F.col("period_idx")).filter("sample_id between 0 and 2")
+    paths = flat.select("series_id", "nc", "sample_id", "block", F.col("level").alias("level_hat")).join(level_forecast(spark, sf_dir).select("series_id", (F.col("j") - 1).cast("int").alias("block"), "leverage"), ["series_id", "block"])
+    bounds = assemble.clip_bounds(whole, 30).withColumn("shift", F.greatest(1 - F.col("low"), F.lit(1.0)))
+    return assemble.assemble(assemble.reseason(assemble.deflate(paths), factors, 7), shapes, noise, bounds, 24, 30)
+
+
 # ---- What is left: fallbacks, controls, evaluations ----
 
 _FEW = LEVELS.replace("b AS (SELECT series_id, period_idx, ln(level)", "b AS (SELECT series_id, period_idx - CASE WHEN series_id = 'view' THEN 21 ELSE 0 END AS period_idx, ln(level)").replace("FROM lv)", "FROM lv WHERE series_id <> 'view' OR period_idx >= 21)")
@@ -806,10 +878,9 @@ def noise_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.with_noise(hourly(spark, sf_dir), ["n1", "n2"]).select("series_id", F.col("i").cast("long").alias("i"), r6("n1").alias("n1"))
 
 
-@query("""SELECT freq, CASE WHEN season % many = 0 THEN season // many ELSE 1 END::BIGINT AS season FROM (VALUES ('H', 24, 1), ('5min', 1440, 5), ('15T', 1440, 15), ('10S', 3600, 10), ('D', 1, 1), ('W-SUN', 1, 1), ('ME', 12, 1), ('QE-DEC', 4, 1), ('6H', 24, 6), ('5H', 24, 5), ('B', 5, 1), ('YS', 1, 1)) t(freq, season, many)""")
+@query(f"{RESOLVED}, k(key, season) AS ({_SEASONS}), m AS (SELECT series_id, freq, coalesce(arg_max(season, length(key)), 1) AS season, greatest(coalesce(try_cast(regexp_extract(code, '^[0-9]+') AS INT), 1), 1) AS many FROM r LEFT JOIN k ON ends_with(code, key) GROUP BY series_id, freq, code) SELECT series_id, freq, (CASE WHEN season % many = 0 THEN season // many ELSE 1 END)::BIGINT AS season FROM m")
 def evaluation_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = ["H", "5min", "15T", "10S", "D", "W-SUN", "ME", "QE-DEC", "6H", "5H", "B", "YS"]
-    return spark.createDataFrame([(c, calendar.season_of(c)) for c in codes], "freq string, season long")
+    return codes(spark, sf_dir).withColumn("season", calendar.season_column(F.col("freq")).cast("long"))
 
 
 _LEADER = f"""WITH {NAIVE}, cf AS (SELECT series_id, CASE WHEN series_id IN ('view', 'click') THEN 'a' WHEN series_id = 'signup' THEN 'b' ELSE 'c' END AS config, step, actual, pred FROM fc),
@@ -855,9 +926,10 @@ def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forecast_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day of the panel from the days before it, and from that day's own columns."""
     rows = _exog_rows(spark, sf_dir).select("series_id", "ts", "i", "y", "x1", "x2")
     future = rows.filter("i >= 696").select("series_id", (F.col("i") - 696).cast("int").alias("step"), "x1", "x2")
-    return PanelForecaster("H", 50).forecast(rows.drop("i"), 24, exog=["x1", "x2"], future=future)
+    return PanelForecaster("H", 50).forecast(rows.filter("i < 696").drop("i"), 24, exog=["x1", "x2"], future=future)
 
 
 @query()
@@ -867,6 +939,69 @@ def forecast_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PanelForecaster("M", 50).forecast(panels.sums(rows, "o_custkey", "o_orderdate", "o_totalprice", "month"), 6, output="quantiles", quantiles=(0.1, 0.5, 0.9))
 
 
+@query(f"""WITH {MIXED}, kp(key, period) AS ({_PERIODS}), kc(key, periods) AS ({_CANDIDATES}), ks(key, season) AS ({_SEASONS}),
+ln AS (SELECT series_id, freq, max(horizon) AS horizon, count(*)::BIGINT AS n FROM mx GROUP BY 1, 2),
+k AS (SELECT *, (SELECT arg_max(period, length(key)) FROM kp WHERE ends_with(freq, key))::BIGINT AS period, (SELECT arg_max(periods, length(key)) FROM kc WHERE ends_with(freq, key)) AS periods, (SELECT arg_max(season, length(key)) FROM ks WHERE ends_with(freq, key))::BIGINT AS season FROM ln)
+SELECT series_id, freq, period, periods, season, n, greatest(500 * list_max(list_transform(string_split(periods, ','), lambda x: x::BIGINT)), 500 * period, 2 * horizon, 50)::BIGINT AS need FROM k""")
+def mixed_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each series of the mixed panel takes from its own frequency."""
+    n = mixed_panel(spark, sf_dir).groupBy("series_id", "freq").agg(F.count(F.lit(1)).alias("n"), F.max("horizon").alias("horizon"))
+    own = n.join(F.broadcast(calendar.dimension(n.select("freq"))), "freq")
+    need = F.greatest("reach", 2 * F.col("horizon"), F.lit(50)).cast("long")
+    return own.select("series_id", "freq", F.col("period").cast("long").alias("period"), F.array_join(F.col("periods").cast("array<string>"), ",").alias("periods"), F.col("season").cast("long").alias("season"), "n", need.alias("need"))
+
+
+@query()
+def forecast_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly, daily and monthly series forecast in one job, each by its own frequency over its own horizon; a test holds it to three single calls."""
+    return PanelForecaster(None, 50).forecast(mixed_panel(spark, sf_dir), "horizon", output="quantiles", quantiles=(0.1, 0.5, 0.9), freqs="freq")
+
+
+def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_panel(spark, sf_dir).filter("freq = 'D'").select("series_id", "ts", "y")
+
+
+#: Of business days ('B') 500 rows are needed, in buckets of an eighth of their time.
+_CUTS = MIXED + """,
+hb AS (SELECT series_id, floor(epoch(ts) / (500 * 86400 // 8))::BIGINT AS bucket, count(*) AS n, count(y) AS observed, min(y) AS low, bool_and(y = round_even(y, 0)) AS whole FROM sd GROUP BY 1, 2),
+ha AS (SELECT *, sum(n) OVER (PARTITION BY series_id ORDER BY bucket DESC) - n >= 500 AS old FROM hb)"""
+
+
+@query(f"WITH {_CUTS} SELECT series_id, sum(n)::BIGINT AS n, min(low) AS low, bool_and(whole) AS whole, max(bucket) FILTER (old AND observed > 0) AS cut FROM ha GROUP BY 1")
+def prune_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each series of shipments may be cut before its rows are shuffled, by a histogram over time."""
+    rows = _shipped(spark, sf_dir).select("series_id", F.col("ts").alias("_order"), "y", F.lit(500).cast("long").alias("_need"), F.lit(calendar.seconds_of("B")).cast("long").alias("_second"))
+    return prune.cuts(prune.histogram(rows, ["series_id"]), ["series_id"]).drop("largest")
+
+
+@query()
+def forecast_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of daily shipments by their last 500 days: older rows are counted, but not shuffled. A test holds it to the call that shuffles all."""
+    return PanelForecaster("B", 50, prune=True).forecast(_shipped(spark, sf_dir), 10, output="quantiles", quantiles=(0.1, 0.5, 0.9))
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithms of hourly counts, infinite where there are none, and daily shipments: one flag's far beyond what squares can hold, one flag's missing."""
+    logs = hourly(spark, sf_dir).select("series_id", "ts", F.when(F.col("y") == 0, float("-inf")).otherwise(F.ln("y")).alias("y"))
+    flag = F.col("series_id")
+    return logs.unionByName(_shipped(spark, sf_dir).withColumn("y", F.when(flag == "A", F.col("y") * 1e200).when(flag == "N", F.lit(float("nan"))).otherwise(F.col("y"))))
+
+
+_FAULTS = f"WITH {MIXED} SELECT series_id, 'infinite' AS fault FROM p GROUP BY 1 HAVING min(y) = 0 UNION ALL SELECT DISTINCT series_id, CASE series_id WHEN 'A' THEN 'overflow' ELSE 'no values' END FROM sd WHERE series_id IN ('A', 'N')"
+
+
+@query(_FAULTS)
+def series_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series that can't be forecast, by what their values show."""
+    return clean.faults(_faulty(spark, sf_dir))
+
+
+@query(_FAULTS)
+def forecast_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side output of a forecast of that panel: its bad series don't end the job, and don't change the others."""
+    return faults(PanelForecaster("D", 20, on_error="report").forecast(_faulty(spark, sf_dir), 7))
+
+
 @query()
 def backtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PanelForecaster("H", 50).backtest(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 480, 24, 3, 24)

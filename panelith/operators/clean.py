@@ -21,6 +21,23 @@ def validate_request(horizon: int, freq: str, n_samples: int, noise: str = "boot
             raise ValueError(f"{name} must be >= 1")
 
 
+#: Reasons why a series can't be forecast that its values show, worst first.
+INFINITE, OVERFLOW, EMPTY = "infinite", "overflow", "no values"
+#: The largest value whose square, summed, is still far from overflowing.
+LARGEST = 1e150
+
+
+def fault(largest: Column) -> Column:
+    """The reason, if any, from the largest absolute value of a series that isn't missing (null: there is none)."""
+    return F.when(largest.isNull(), EMPTY).when(largest == float("inf"), INFINITE).when(largest > LARGEST, OVERFLOW)
+
+
+def faults(history: DataFrame, series: str | Sequence[str] = "series_id", y: str = "y") -> DataFrame:
+    """(series, fault) of the series whose values show that they can't be forecast: one aggregation, combined before the shuffle."""
+    known = F.when(~_missing(F.col(y)), F.abs(F.col(y).cast("double")))
+    return history.groupBy(*_keys(series)).agg(fault(F.max(known)).alias("fault")).filter("fault is not null")
+
+
 def index_series(df: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
     """df with i, the 0-based place in the series by ts, and n, the series' length."""
     w = Window.partitionBy(series)

@@ -37,15 +37,16 @@ def errors(forecasts: DataFrame, series: str = "series_id") -> DataFrame:
     return forecasts.groupBy(series).agg(F.avg(F.abs(a - p)).alias("mae"), smape_of(a, p).alias("smape"))
 
 
-def rolling_origins(history: DataFrame, train: int, horizon: int, n_origins: int, series: str | Sequence[str] = "series_id", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of each origin's training (part 'train') and test window (part 'test'), with origin, the place at in the part, y and the columns in keep.
+def rolling_origins(history: DataFrame, train: int | str, horizon: int | str, n_origins: int, series: str | Sequence[str] = "series_id", keep: Sequence[str] = ()) -> DataFrame:
+    """train and horizon: numbers, or columns with each series' own. Rows of each origin's training (part 'train') and test window (part 'test'), with origin, the place at in the part, y and the columns in keep.
 
     Origins start at train + k * step with step = (n - train - horizon) div n_origins, 1 at least. The first and the last origin whose
     window holds a row come from its place by arithmetic, so a row is made once for each of these alone.
     """
     keys = [series] if isinstance(series, str) else list(series)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = history.withColumn("_n", n).withColumn("_step", F.greatest(F.expr(f"(_n - {train} - {horizon}) div {n_origins}"), F.lit(1)))
+    train, horizon = (F.col(x).cast("long") if isinstance(x, str) else F.lit(x) for x in (train, horizon))
+    rows = history.withColumn("_n", n).withColumn("_step", F.greatest(F.floor((F.col("_n") - train - horizon) / n_origins), F.lit(1)))
     rows = rows.withColumn("_lo", F.greatest(F.lit(0), F.ceil((F.col("i") - (train + horizon - 1)) / F.col("_step"))).cast("int"))
     last = F.floor((F.col("_n") - train - horizon) / F.col("_step"))
     rows = rows.withColumn("_hi", F.least(F.lit(n_origins - 1), F.floor(F.col("i") / F.col("_step")), last).cast("int")).filter("_lo <= _hi")
@@ -54,12 +55,12 @@ def rolling_origins(history: DataFrame, train: int, horizon: int, n_origins: int
     return rows.select(*keys, "origin", F.when(test, "test").otherwise("train").alias("part"), F.when(test, F.col("_at") - train).otherwise(F.col("_at")).cast("long").alias("at"), "y", *keep)
 
 
-def scores(forecasts: DataFrame, keys: Sequence[str], guard: str = "missing") -> DataFrame:
-    """(keys, mase, mae, smape) of (keys, step, actual, pred, naive) in one aggregation; naive is the same in all rows of a key. guard: as in mase()."""
+def scores(forecasts: DataFrame, keys: Sequence[str], guard: str = "missing", extra: Sequence[Column] = ()) -> DataFrame:
+    """(keys, mase, mae, smape) of (keys, step, actual, pred, naive) in one aggregation; naive is the same in all rows of a key. guard: as in mase(). extra: further aggregates."""
     a, p = F.col("actual"), F.col("pred")
     known = F.when(~F.isnan("naive"), F.col("naive"))
     below = {"missing": F.when(known >= CLAMP, known), "clamp": F.greatest(known, F.lit(CLAMP)), "none": known}[guard]
-    out = forecasts.withColumn("actual", F.when(~F.isnan("actual"), a)).groupBy(*keys).agg(F.avg(F.abs(a - p)).alias("mae"), smape_of(a, p).alias("smape"), F.first(below).alias("_below"))
+    out = forecasts.withColumn("actual", F.when(~F.isnan("actual"), a)).groupBy(*keys).agg(F.avg(F.abs(a - p)).alias("mae"), smape_of(a, p).alias("smape"), F.first(below).alias("_below"), *extra)
     return out.withColumn("mase", F.try_divide(F.col("mae"), F.col("_below"))).drop("_below")
 
 

@@ -11,9 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith.constants import NOISE_PERIODS
+from panelith.functions import calendar
+from panelith.functions.calendar import season_of
 from panelith.functions.numeric import item_seed
 from panelith.operators import clean, evaluate
-from panelith.operators.kernel import Series, fill, need, sample_paths
+from panelith.operators import prune as prune_
+from panelith.operators.kernel import Series, fill, sample_paths
 from panelith.shipping import ship
 
 
@@ -43,6 +47,8 @@ def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int
         raise ValueError("y must be 1-dimensional")
     if not len(raw):
         raise ValueError("y must not be empty")
+    if np.isinf(raw).any():
+        raise ValueError("y must not have infinite values")
     if (X_hist is None) != (X_future is None):
         raise ValueError("X_hist and X_future must be provided together")
     past = ahead = None
@@ -57,93 +63,133 @@ def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int
 
 @dataclass(frozen=True)
 class PanelForecaster:
-    """Defaults for forecasts. Without a seed each series has one of its own from its id, so that a task that runs again gives the same paths."""
+    """Defaults for forecasts. Without a seed each series has one of its own from its id, so that a task that runs again gives the same paths.
 
-    freq: str
+    freq: a code for all series; None where a column of the panel has each series' own.
+    prune: look first for what is too old to matter, so that it isn't shuffled; see prune.recent(). It reads the history twice, so it is for tables, and for series longer than need().
+    on_error: "raise" ends the query with a series that can't be forecast; "report" gives such a series one row, with the reason in the column `fault`, which is null in all others.
+    """
+
+    freq: str | None
     n_samples: int = 200
     seed: int | None = None
     noise: str = "bootstrap"
     partitions: int | None = None  # that series are dealt into; None: as many as Spark's shuffles have
+    prune: bool = False
+    on_error: str = "raise"
 
     def __post_init__(self) -> None:
-        clean.validate_request(1, self.freq, self.n_samples, self.noise)
+        clean.validate_request(1, "" if self.freq is None else self.freq, self.n_samples, self.noise)
+        if self.on_error not in ("raise", "report"):
+            raise ValueError('on_error must be "raise" or "report"')
 
     def predict(self, y: object, horizon: int, n_samples: int | None = None, seed: int | None = None, X_hist: object = None, X_future: object = None) -> np.ndarray:
         """forecast() of one series with these defaults; a seed of 0 counts as given."""
         return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future, self.noise)
 
     def forecast(
-        self, history: DataFrame, horizon: int, series: str | Sequence[str] = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), seeds: str | None = None
+        self, history: DataFrame, horizon: int | str, series: str | Sequence[str] = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), seeds: str | None = None, freqs: str | None = None
     ) -> DataFrame:
         """(series, sample_id, step, value), or with output='quantiles' (series, step, quantile, value).
 
         history: (series, ts, y, exog...), y null or NaN where missing; future: (series, step from 0, exog...), horizon rows each: if not, the
         query fails when it runs. series: one key column or several. seeds: a column of history with each series' seed (the least counts), as explode_channels() gives; without it and without
-        a seed of the config, seed_of() of the key. All rows of a series, past and known ahead, are dealt out once; see _dealt() and _walk().
+        a seed of the config, seed_of() of the key. freqs: a column with each series' frequency (the least counts; null: that of the config), so that one job
+        holds hourly, daily and monthly series; horizon may be the name of such a column too. All rows of a series, past and known ahead, are dealt out once; see _dealt() and _walk().
         """
-        clean.validate_request(horizon, self.freq, self.n_samples)
+        clean.validate_request(1 if isinstance(horizon, str) else horizon, self.freq or "", self.n_samples)
         keys = [series] if isinstance(series, str) else list(series)
         clean.check_exog(history, future, exog)
-        rows = _rows(history, keys, ts, y, exog, seeds)
+        self._known_freq(freqs)
+        rows = _rows(history, keys, ts, y, exog, seeds, freqs, horizon)
         if future is not None:
-            rows = rows.unionByName(future.select(*keys, F.lit(None).cast(dict(rows.dtypes)["_order"]).alias("_order"), F.col("step").cast("long").alias("_step"), F.lit(True).alias("_ahead"), F.lit(None).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], F.lit(None).cast("long").alias("_seed")))
+            null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+            rows = rows.unionByName(future.select(*keys, null("_order", dict(rows.dtypes)["_order"]), F.col("step").cast("long").alias("_step"), F.lit(True).alias("_ahead"), null("y", "double"), *[F.col(c).cast("double").alias(c) for c in exog], null("_seed", "long"), null("_freq", "string"), null("_horizon", "int")))
         narrow = output == "quantiles"
         levels = [float(q) for q in quantiles]
         names = ["step", "quantile", "value"] if narrow else ["sample_id", "step", "value"]
 
         def made(paths: np.ndarray, _: Ahead) -> list[np.ndarray]:
             out = np.quantile(paths, levels, axis=0) if narrow else paths
-            first, step = np.repeat(np.arange(len(out), dtype=np.int32), horizon), np.tile(np.arange(horizon, dtype=np.int32), len(out))
+            h = paths.shape[1]
+            first, step = np.repeat(np.arange(len(out), dtype=np.int32), h), np.tile(np.arange(h, dtype=np.int32), len(out))
             return [step, np.array(levels)[first], out.ravel()] if narrow else [first, step, out.ravel()]
 
-        return self._walked(rows, keys, exog, horizon, names, "step int, quantile double, value double" if narrow else "sample_id int, step int, value double", made)
+        return self._walked(rows, keys, exog, names, "step int, quantile double, value double" if narrow else "sample_id int, step int, value double", made, freqs is not None, self.prune)
 
-    def backtest(self, history: DataFrame, train: int, horizon: int, n_origins: int, season: int, series: str | Sequence[str] = "series_id", ts: str = "ts", exog: Sequence[str] = (), same_seed: bool = False, seeds: str | None = None) -> DataFrame:
+    def backtest(
+        self, history: DataFrame, train: int | str, horizon: int | str, n_origins: int, season: int | None = None, series: str | Sequence[str] = "series_id", ts: str = "ts", exog: Sequence[str] = (), same_seed: bool = False, seeds: str | None = None, freqs: str | None = None, output: str = "scores", quantiles: Sequence[float] = ()
+    ) -> DataFrame:
         """(series, origin, mase, mae, smape) of median forecasts from rolling origins; every origin of every series is a series of its own.
 
         With exog, the test window's rows of these columns are known ahead. same_seed: one seed for all origins (that of the
         series, or of the column seeds), so that runs with and without exogenous columns differ by these alone; else each origin has its own.
         The test window travels with its training rows, so that rows are dealt out once for each origin and scores are sums over what the kernel returns.
+        freqs, and names of columns for train and horizon: as in forecast(). season: of the naive error's scale; None takes that of each series' frequency.
+        output='steps': (series, origin, step, actual, pred, naive, q...) before they are summed, with a column for each of quantiles, named q1, q2...
         """
-        clean.validate_request(horizon, self.freq, self.n_samples)
+        clean.validate_request(1 if isinstance(horizon, str) else horizon, self.freq or "", self.n_samples)
         keys = [series] if isinstance(series, str) else list(series)
-        whole = _rows(history, keys, ts, "y", exog, seeds)
+        self._known_freq(freqs)
+        whole = _rows(history, keys, ts, "y", exog, seeds, freqs, horizon)
+        if isinstance(train, str):
+            whole = _rows(history, keys, ts, "y", [*exog, train], seeds, freqs, horizon).withColumnRenamed(train, "_train")
         if same_seed and self.seed is None and seeds is None:
             whole = whole.withColumn("_seed", item_seed(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])))
         w = Window.partitionBy(*keys)
         whole = whole.withColumn("i", F.row_number().over(w.orderBy("_order")) - 1)
-        parts = evaluate.rolling_origins(whole, train, horizon, n_origins, keys, keep=[*exog, "_seed"])
+        parts = evaluate.rolling_origins(whole, "_train" if isinstance(train, str) else train, "_horizon" if isinstance(horizon, str) else horizon, n_origins, keys, keep=[*exog, "_seed", "_freq", "_horizon"])
         own = [*keys, "origin"]
         ahead = F.col("part") == "test"
-        rows = parts.select(*own, F.lit(None).cast("long").alias("_order"), F.col("at").cast("long").alias("_step"), ahead.alias("_ahead"), F.col("y").cast("double").alias("y"), *exog, "_seed")
+        rows = parts.select(*own, F.lit(None).cast("long").alias("_order"), F.col("at").cast("long").alias("_step"), ahead.alias("_ahead"), F.col("y").cast("double").alias("y"), *exog, "_seed", "_freq", "_horizon")
+        levels = [float(q) for q in quantiles]
+        names = ["step", "actual", "pred", "naive", *(f"q{i + 1}" for i in range(len(levels)))]
 
         def made(paths: np.ndarray, known: Ahead) -> list[np.ndarray]:
-            return [np.arange(horizon, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(horizon, naive(known.history, season))]
+            h = paths.shape[1]
+            out = [np.arange(h, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(h, naive(known.history, season_of(known.freq) if season is None else season))]
+            return out + (list(np.quantile(paths, levels, axis=0)) if levels else [])
+
+        out = self._walked(rows, own, exog, names, ", ".join(f"{n} {'int' if n == 'step' else 'double'}" for n in names), made, freqs is not None, False)
+        if output == "steps":
+            return out
+        extra = [F.max("fault").alias("fault")] if self.on_error == "report" else []
+        return evaluate.scores(out, own, extra=extra).select(*own, "mase", "mae", "smape", *(["fault"] if extra else []))
 
-        out = self._walked(rows, own, exog, horizon, ["step", "actual", "pred", "naive"], "step int, actual double, pred double, naive double", made)
-        return evaluate.scores(out, own).select(*own, "mase", "mae", "smape")
+    def _known_freq(self, freqs: str | None) -> None:
+        if self.freq is None and freqs is None:
+            raise ValueError("freq must be given for all series, or as a column")
 
-    def _walked(self, rows: DataFrame, keys: list[str], exog: Sequence[str], horizon: int, names: list[str], ddl: str, made: Callable[[np.ndarray, Ahead], list[np.ndarray]]) -> DataFrame:
+    def _walked(self, rows: DataFrame, keys: list[str], exog: Sequence[str], names: list[str], ddl: str, made: Callable[[np.ndarray, Ahead], list[np.ndarray]], own_freqs: bool, prune: bool) -> DataFrame:
         """(keys, names): made() of each series' sample paths and what is known of its horizon.
 
-        rows: (keys, _order, _step, _ahead, y, exog..., _seed), in the order of _order and _step. Spark computes what depends on all rows of a series (length, least value, shift, whole numbers) and
+        rows: (keys, _order, _step, _ahead, y, exog..., _seed, _freq, _horizon), in the order of _order and _step. Spark computes what depends on all rows of a series (length, least value, shift, whole numbers, faults) and
         interpolates, then drops rows that are too old for the kernel, so that a series has at most need() rows there. Then the kernel walks
         the sorted partitions, a series at a time, and holds one batch and one series: a Python group for each series would cost far more than the forecasts of short ones.
         """
         ship(rows.sparkSession)
         n_parts = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = _dealt(rows, keys, exog, n_parts, need(self.freq, horizon))
-        freq, n_samples, seed, noise, lookback = self.freq, self.n_samples, self.seed, self.noise, max(2 * horizon, 50)
+        rows = _needed(rows, self.freq, own_freqs)
+        facts = None
+        if prune:
+            rows, facts = prune_.recent(rows, keys)
+        rows = _dealt(rows, keys, exog, n_parts, facts)
+        default, n_samples, seed, noise, report = self.freq or "", self.n_samples, self.seed, self.noise, self.on_error == "report"
         kinds = dict(rows.dtypes)
-        keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", *exog]
+        keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", "_freq", "_horizon", "fault", *exog]
         n_keys = len(keys)
 
         def one(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> list[np.ndarray] | None:
             past = lo + int(np.count_nonzero(~col["_ahead"][lo:hi]))
             if past == lo:
                 return None  # known rows of a series without a history
+            fault = col["fault"][lo]
+            if fault is not None and (report or fault == clean.INFINITE):
+                raise ValueError(f"{fault}" if report else f"y must not have infinite values; series {key} has")
+            freq, horizon = col["_freq"][lo] or default, int(col["_horizon"][lo])
             seen = col["seen"][lo:past]
             low, own_seed = col["low"][lo], col["_seed"][lo]
+            lookback = max(2 * horizon, 50)
             back = seen[len(seen) - min(lookback, len(seen)) :]
             x = np.column_stack([col[c][lo:past] for c in exog]) if exog else np.zeros((past - lo, 0))
             ahead = None
@@ -154,7 +200,17 @@ class PanelForecaster:
                 ahead = np.where(np.isnan(ahead), x[-1], ahead)  # a column without any value takes the last of its history
             s = Series(col["y"][lo:past], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
             used = seed if seed is not None else int(own_seed) if not np.isnan(own_seed) else seed_of(key[0] if n_keys == 1 else "\x1f".join(map(str, key)))
-            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise), Ahead(col["seen"][past:hi], seen))
+            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise), Ahead(col["seen"][past:hi], seen, freq))
+
+        def tried(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> tuple[list[np.ndarray] | None, str | None]:
+            try:
+                return one(key, col, lo, hi), None
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                if not report:
+                    raise
+                return None, str(e) or type(e).__name__
+
+        fields = [pa.field(*f) for f in zip(names, [pa.int32() if x.strip().split(" ")[1] == "int" else pa.float64() for x in ddl.split(",")], strict=True)]
 
         def done(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
             """What the whole series of t give, and the rows of the last one, which may go on in the next batch."""
@@ -171,14 +227,20 @@ class PanelForecaster:
                 col[c] = col[c].astype(np.float64)
             own = t.select(range(n_keys)).combine_chunks()
             first = list(zip(*(c.take(pa.array(cut[:-1])).to_pylist() for c in own.columns), strict=True))
-            got = [one(k, col, lo, hi) for k, lo, hi in zip(first, cut[:-1], cut[1:], strict=True)]
-            whole = [(lo, g) for lo, g in zip(cut[:-1], got, strict=True) if g is not None]
-            if not whole:
+            got = [(lo, *tried(k, col, lo, hi)) for k, lo, hi in zip(first, cut[:-1], cut[1:], strict=True)]
+            whole = [(lo, g) for lo, g, _ in got if g is not None]
+            failed = [(lo, e) for lo, _, e in got if e is not None]
+            if not whole and not failed:
                 return None, t.slice(cut[-1])
-            at = pa.array(np.repeat([lo for lo, _ in whole], [len(g[0]) for _, g in whole]))
-            values = [pa.array(np.concatenate(c)) for c in zip(*(g for _, g in whole), strict=True)]
+            at = pa.array(np.concatenate([np.repeat([lo for lo, _ in whole], [len(g[0]) for _, g in whole]), [lo for lo, _ in failed]]).astype(np.int64))
+            n_good = len(at) - len(failed)
+            values = [pa.array(np.concatenate(c) if whole else [], f.type) for c, f in zip(zip(*(g for _, g in whole), strict=True) if whole else [()] * len(fields), fields, strict=True)]
+            if failed:
+                values = [pa.concat_arrays([v, pa.nulls(len(failed), v.type)]) for v in values]
+            if report:
+                values.append(pa.array([None] * n_good + [e for _, e in failed], pa.string()))
             columns = [c.take(at).combine_chunks() for c in own.columns]
-            return pa.RecordBatch.from_arrays([*columns, *values], names=[*keys, *names]), t.slice(cut[-1])
+            return pa.RecordBatch.from_arrays([*columns, *values], names=[*keys, *names, *(["fault"] if report else [])]), t.slice(cut[-1])
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest: pa.Table | None = None
@@ -194,7 +256,7 @@ class PanelForecaster:
                 if out is not None:
                     yield out
 
-        return rows.select(*keep).mapInArrow(stream, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), ddl]))
+        return rows.select(*keep).mapInArrow(stream, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), ddl, *(["fault string"] if report else [])]))
 
 
 @dataclass(frozen=True)
@@ -203,6 +265,7 @@ class Ahead:
 
     actual: np.ndarray
     history: np.ndarray
+    freq: str
 
 
 def naive(history: np.ndarray, season: int) -> float:
@@ -212,26 +275,55 @@ def naive(history: np.ndarray, season: int) -> float:
     return float(gone.mean()) if len(gone) else float("nan")
 
 
-def _rows(history: DataFrame, keys: list[str], ts: str, y: str, exog: Sequence[str], seeds: str | None) -> DataFrame:
+def faults(forecasts: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, fault) of the series that a forecast with on_error='report' couldn't do; the others are forecasts.filter('fault is null'). Write the forecasts first, or they are made twice."""
+    return forecasts.filter("fault is not null").select(*keys, "fault")
+
+
+def _rows(history: DataFrame, keys: list[str], ts: str, y: str, exog: Sequence[str], seeds: str | None, freqs: str | None, horizon: int | str) -> DataFrame:
     seed = F.col(seeds).cast("long") if seeds else F.lit(None).cast("long")
-    return history.select(*keys, F.col(ts).alias("_order"), F.lit(None).cast("long").alias("_step"), F.lit(False).alias("_ahead"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], seed.alias("_seed"))
+    freq = F.col(freqs).cast("string") if freqs else F.lit(None).cast("string")
+    ahead = F.col(horizon) if isinstance(horizon, str) else F.lit(int(horizon))
+    return history.select(*keys, F.col(ts).alias("_order"), F.lit(None).cast("long").alias("_step"), F.lit(False).alias("_ahead"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], seed.alias("_seed"), freq.alias("_freq"), ahead.cast("int").alias("_horizon"))
+
+
+def _needed(rows: DataFrame, freq: str | None, own: bool) -> DataFrame:
+    """rows with _need, how many rows from its end a series needs at most, and _second, how far apart its rows are by its frequency. Where the panel has frequencies of its own, both come from a broadcast dimension of its codes."""
+    h = F.coalesce("_horizon", F.lit(1))
+    if not own:
+        reach, second = F.lit(calendar.reach_of(freq)), F.lit(calendar.seconds_of(freq))
+    else:
+        rows = calendar.with_dimension(rows, "_freq", freq or "")
+        reach, second = F.col("_reach"), F.col("_seconds")
+    return rows.withColumn("_need", F.greatest(reach, 2 * h, F.lit(NOISE_PERIODS)).cast("long")).withColumn("_second", second.cast("long")).drop("_reach", "_seconds")
 
 
-def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int, most: int) -> DataFrame:
-    """rows, dealt out by series in one shuffle and sorted, with i, n, y (interpolated and shifted), seen, low, whole, shift.
+def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int, facts: DataFrame | None = None) -> DataFrame:
+    """rows, dealt out by series in one shuffle and sorted, with i, n, y (interpolated and shifted), seen, low, whole, shift, fault.
 
     Past and known rows are sides of a window each. The number of partitions is held: sizes before the kernel say little about its work, so partitions
     mustn't be merged by size. For that the shuffle is by a hash beside the keys, or an earlier one by the keys alone would take its place.
+    Rows of one time come in the order of their values. facts: what prune.recent() knows of whole series, of which rows then has the ends.
     """
     deal = ["_deal", *keys]
     rows = rows.withColumn("_deal", F.xxhash64(*keys)).repartition(n_parts, *deal)
     side = Window.partitionBy(*deal, "_ahead")
-    order = side.orderBy("_order", "_step")
+    order = side.orderBy("_order", "_step", "y")
     rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(side)).withColumn("seen", F.when(~F.isnan("y"), F.col("y")))
     for c in ("y", *exog):  # a column ahead without any value stays null until the kernel knows the last of its history
         rows = clean.interpolate(rows, c, F.when(~F.col("_ahead"), F.lit(0.0)), [*deal, "_ahead"])
-    rows = rows.withColumn("low", F.min("seen").over(side)).withColumn("whole", F.coalesce(F.bool_and(F.col("seen") == F.rint("seen")).over(side), F.lit(False))).withColumn("_seed", F.min("_seed").over(side))
-    rows = clean.positivity_shift(rows, [*deal, "_ahead"]).filter(F.col("_ahead") | (F.col("n") - F.col("i") <= most))
+    over = {name: c.over(side) for name, c in prune_.of_series("seen").items()}
+    series = Window.partitionBy(*deal)
+    rows = rows.withColumns({c: F.min(c).over(series) for c in ("_seed", "_freq", "_horizon")}).withColumn("_need", F.max("_need").over(series))
+    if facts is None:
+        rows = rows.withColumns(over)
+    else:
+        rows = rows.join(F.broadcast(facts), [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys], "left")
+        past = lambda c: F.when(F.col("_ahead"), over[c]).otherwise(F.col(f"_f_{c}"))
+        rows = rows.withColumn("i", F.when(F.col("_ahead"), F.col("i")).otherwise(F.col("i") + F.col("_f_n") - F.col("n")).cast("int")).withColumns({c: past(c) for c in over})
+        rows = rows.withColumn("n", F.when(F.col("_ahead"), F.col("n")).otherwise(F.col("_f_n")))
+    rows = rows.withColumn("whole", F.coalesce("whole", F.lit(False))).withColumn("shift", F.greatest(1 - F.coalesce("low", F.lit(0.0)), F.lit(1.0))).withColumn("y", F.col("y") + F.col("shift"))
+    rows = rows.withColumn("fault", clean.fault(F.col("largest"))).filter(F.col("_ahead") | (F.col("n") - F.col("i") <= F.col("_need")))
     return rows.sortWithinPartitions(*deal, "_ahead", "i")
 
 

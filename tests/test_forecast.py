@@ -245,7 +245,7 @@ def test_workers_get_the_package(tmp_path):
 import sys; sys.path.insert(0, {str(ROOT)!r})
 from pyspark.sql import SparkSession
 from panelith import catalogue
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").getOrCreate()
+spark = SparkSession.builder.master("local-cluster[1,1,700]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").config("spark.driver.memory", "600m").config("spark.executor.memory", "600m").getOrCreate()
 found = catalogue.queries()
 print("ROWS", [found[n](spark, "/root/testdata/sf0.001").count() for n in ("forecast_samples", "optshrink", "boxcox_lambda", "backtest_scores")])
 spark.stop()
@@ -261,3 +261,84 @@ def test_entry(spark):
     rows = entry.entry(spark).toPandas()
     assert len(rows) == 5 * 50 * 48 and np.isfinite(rows["value"]).all()
     assert panelith.__doc__
+
+
+def _three(spark, rows):
+    return spark.createDataFrame([(k, i, v, f, h) for k, f, h, values in rows for i, v in enumerate(values)], "series_id string, ts int, y double, freq string, horizon int")
+
+
+def test_mixed_frequencies(spark, histories):
+    """One job over series of several frequencies and horizons gives what single calls give."""
+    used = {k: histories[k] for k in ("hourly", "daily", "monthly", "quarterly", "short", "gaps")}
+    rows = [(k, f, h, [None if np.isnan(v) else float(v) for v in y]) for k, (y, h, f) in used.items()]
+    out = PanelForecaster(None, 20).forecast(_three(spark, rows), "horizon", freqs="freq").toPandas()
+    for k, (y, h, f) in used.items():
+        own = out[out.series_id == k].sort_values(["sample_id", "step"])["value"].to_numpy().reshape(20, h)
+        assert np.allclose(own, forecast(y, h, f, 20, seed=seed_of(k)), rtol=1e-9, atol=1e-9), k
+    # a null code is the forecaster's own, and the least of several codes counts
+    odd = _three(spark, [("a", None, 3, list(map(float, used["daily"][0]))), ("b", "D", 3, list(map(float, used["daily"][0])))]).withColumn("freq", F.when(F.col("ts") % 2 == 0, F.col("freq")).when(F.col("series_id") == "b", F.lit("W")))
+    got = PanelForecaster("D", 20, seed=1).forecast(odd, "horizon", freqs="freq").toPandas()
+    assert np.allclose(got[got.series_id == "a"].sort_values(["sample_id", "step"]).value, got[got.series_id == "b"].sort_values(["sample_id", "step"]).value)
+    with pytest.raises(ValueError, match="freq must be given"):
+        PanelForecaster(None).forecast(odd, 3)
+    scores = PanelForecaster(None, 10).backtest(_three(spark, rows[:3]).withColumn("train", F.when(F.col("series_id") == "hourly", 200).otherwise(80)), "train", "horizon", 2, freqs="freq").toPandas()
+    one = PanelForecaster("D", 10).backtest(_three(spark, rows[1:2]), 80, 14, 2, 1).toPandas()
+    both = scores[scores.series_id == "daily"].sort_values("origin"), one.sort_values("origin")
+    assert len(scores) == 6 and np.allclose(both[0][["mase", "mae", "smape"]], both[1][["mase", "mae", "smape"]])
+
+
+@pytest.mark.parametrize("kind", ["plain", "gaps", "late_values", "early_values", "none"])
+def test_pruned_rows_change_nothing(spark, kind):
+    """With rows that are too old left out before the shuffle, forecasts are the same; only a part is shuffled."""
+    n = 4000
+    r = np.random.RandomState(3)
+    y = 20 + 5 * np.sin(np.arange(n) / 9) + r.normal(0, 1, n)
+    y[100] = -400  # the least value is old, and counts
+    missing = {"plain": np.zeros(n, bool), "gaps": r.random(n) < 0.4, "late_values": np.arange(n) > n - 900, "early_values": (np.arange(n) > 50) & (np.arange(n) < n - 5), "none": np.ones(n, bool)}[kind]
+    values = [(k, None if m else float(v)) for k, v, m in zip(range(n), y, missing, strict=True)]
+    df = spark.createDataFrame([("long", k, v) for k, v in values] + [("short", k, v) for k, v in values[-300:]] + [(None, k, v) for k, v in values], "series_id string, d int, y double").withColumn("ts", F.timestamp_seconds(F.col("d") * 86400).cast("timestamp_ntz"))
+    run = lambda p: PanelForecaster("B", 5, seed=2, prune=p).forecast(df, 7).orderBy("series_id", "sample_id", "step").toPandas()
+    pd.testing.assert_frame_equal(run(True), run(False), rtol=1e-9, atol=1e-9)
+    from panelith.operators import prune
+    from panelith.plans import forecast as plans
+
+    rows = plans._needed(plans._rows(df, ["series_id"], "ts", "y", [], None, None, 7), "B", False)
+    kept, facts = prune.recent(rows, ["series_id"])
+    of = {row.series_id: row.n for row in kept.groupBy("series_id").agg(F.count("*").alias("n")).collect()}
+    assert of["short"] == 300 and facts.count() == 3
+    assert of["long"] <= 500 + 2 * 63 if kind in ("plain", "gaps") else of["long"] <= n
+    many = prune.MOST_SERIES
+    try:
+        prune.MOST_SERIES = 2
+        assert prune.recent(rows, ["series_id"])[1] is None
+    finally:
+        prune.MOST_SERIES = many
+
+
+def test_failed_series_are_reported(spark, histories):
+    good = {k: histories[k] for k in ("daily", "gaps", "short")}
+    rows = [(k, "D", 7, [None if np.isnan(v) else float(v) for v in y]) for k, (y, _, _) in good.items()]
+    bad = [("infinite", "D", 7, [1.0, float("inf"), *map(float, range(60))]), ("minus", "D", 7, [float("-inf"), *map(float, range(60))]), ("huge", "D", 7, [1e200, 1e300] * 40), ("nan", "D", 7, [float("nan")] * 50), ("null", "D", 7, [None] * 50)]
+    from panelith.plans.forecast import faults
+
+    report = PanelForecaster("D", 10, on_error="report")
+    out = report.forecast(_three(spark, rows + bad), 7).cache()
+    assert {tuple(r) for r in faults(out).collect()} == {("infinite", "infinite"), ("minus", "infinite"), ("huge", "overflow"), ("nan", "no values"), ("null", "no values")}
+    alone = PanelForecaster("D", 10).forecast(_three(spark, rows), 7)
+    key = ["series_id", "sample_id", "step"]
+    a, b = (d.orderBy(*key).toPandas() for d in (out.filter("fault is null").drop("fault"), alone))
+    pd.testing.assert_frame_equal(a, b)
+    only = report.forecast(_three(spark, bad[:1]), 7, output="quantiles").collect()
+    assert [tuple(r) for r in only] == [("infinite", None, None, None, "infinite")]
+    # what only the kernel finds out: too few known rows
+    future = spark.createDataFrame([("daily", s, 1.0) for s in range(7)] + [("gaps", 0, 1.0)], "series_id string, step int, x double")
+    exog = report.forecast(_three(spark, rows).withColumn("x", F.lit(1.0)), 7, exog=["x"], future=future)
+    assert {r.series_id: r.fault[:15] for r in faults(exog).collect()} == {"gaps": "X_future length", "short": "X_future length"}
+    tested = report.backtest(_three(spark, rows[:1] + bad[:1]), 40, 7, 1, 1).collect()
+    assert {(r.series_id, r.fault, r.mase is None) for r in tested} == {("daily", None, False), ("infinite", "infinite", True)}
+    with pytest.raises(PythonException, match="infinite values"):
+        PanelForecaster("D", 10).forecast(_three(spark, rows + bad[:1]), 7).collect()
+    with pytest.raises(ValueError, match="infinite values"):
+        forecast([1.0, float("inf"), 2.0], 3, "D")
+    with pytest.raises(ValueError, match="on_error"):
+        PanelForecaster("D", on_error="skip")
