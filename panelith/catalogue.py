@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelith.constants import PENALTIES
 from panelith.functions import calendar, numeric
-from panelith.operators import assemble, clean, evaluate, fold, kernel, level, prune, shape
+from panelith.operators import assemble, blocks, clean, evaluate, fold, kernel, level, prune, shape
 from panelith.plans.forecast import PanelForecaster, explode_channels, faults, forecast_start
 from panelith.shipping import ship
 from panelith.sources import panels
@@ -287,6 +287,37 @@ def degenerate_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.degenerate_sigma(hourly(spark, sf_dir)).select("series_id", "last_y", r6("sigma").alias("sigma"))
 
 
+# ---- One series that holds the whole table, scanned in blocks of time ----
+
+
+def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, ts, event_id, y, block, i, n): all events in order as a single series, with values under 50 missing."""
+    rows = table(spark, sf_dir, "events").select(F.lit("all").alias("series_id"), "ts", "event_id", panels.sentinel_to_null(F.col("value"), 50).cast("double").alias("y"))
+    return blocks.index_series(blocks.cut(rows, rows=2000), order=["ts", "event_id"])
+
+
+STREAM = f"""d AS (SELECT 'all' AS series_id, ts, event_id, CASE WHEN value >= 50 THEN value::DOUBLE END AS y, (row_number() OVER (ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1)::BIGINT AS i, count(*) OVER () AS n FROM events),
+{FILL.replace("SELECT series_id, ts, i, CASE", "SELECT series_id, ts, event_id, i, n, CASE")}"""
+
+
+@query(f"WITH {STREAM} SELECT event_id, i, n, round(y + 1e-7, 6) AS y FROM g")
+def blocked_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.interpolate(stream_of_events(spark, sf_dir)).select("event_id", "i", "n", off("y").alias("y"))
+
+
+@query(f"WITH {STREAM}, sx AS (SELECT *, greatest(1 - min(y - 70) OVER (), 1.0) AS shift FROM g) SELECT event_id, round(shift + 1e-7, 6) AS shift, round(y - 70 + shift + 1e-7, 6) AS y FROM sx")
+def blocked_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocks.positivity_shift(blocks.interpolate(stream_of_events(spark, sf_dir)).withColumn("y", F.col("y") - 70))
+    return out.select("event_id", off("shift").alias("shift"), off("y").alias("y"))
+
+
+@query(f"WITH {STREAM}, tx AS (SELECT CASE WHEN n // 7 > 100 THEN i - (n - 700) ELSE i END AS i, least(n, CASE WHEN n // 7 > 100 THEN 700 ELSE n END) AS n, y FROM g WHERE n // 7 <= 100 OR i >= n - 700), jx AS (SELECT n // 7 AS nc, i - (n - n // 7 * 7) AS j, y FROM tx) SELECT nc::INT AS nc, (j // 7)::INT AS period_idx, round(sum(y) + 1e-7, 6) AS level FROM jx WHERE j >= 0 GROUP BY 1, 2")
+def blocked_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the last hundred runs of seven events."""
+    out = fold.level(blocks.fold(blocks.truncate(blocks.interpolate(stream_of_events(spark, sf_dir)), 7, 100), 7))
+    return out.select("nc", "period_idx", off("level").alias("level"))
+
+
 # ---- Period choice and routing ----
 
 

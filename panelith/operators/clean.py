@@ -54,11 +54,11 @@ def _missing(y: Column) -> Column:
 
 def interpolate(df: DataFrame, y: str = "y", fallback: float | Column = 0.0, series: str | Sequence[str] = "series_id", order: str = "i", out: str | None = None) -> DataFrame:
     """df with y (or out) filled: linear between neighbours, constant at the edges, the fallback where a series has no value. NaN counts as missing."""
-    w = Window.partitionBy(*_keys(series)).orderBy(order)
+    w = Window.partitionBy(*_keys(series))
     point = F.when(~_missing(F.col(y)), F.struct(F.col(order).alias("i"), F.col(y).cast("double").alias("y")))
-    before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("_a", before).withColumn("_b", after)
+    # Both look back, one of them in descending order: a frame that runs to the end would read it again for each row.
+    nearest = lambda by: F.last(point, ignorenulls=True).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_b", nearest(F.desc(order))).withColumn("_a", nearest(F.asc(order)))
     a, b = F.col("_a"), F.col("_b")
     line = a["y"] + (b["y"] - a["y"]) * (F.col(order) - a["i"]) / (b["i"] - a["i"])
     value = F.when(a["i"] == b["i"], a["y"]).when(a.isNotNull() & b.isNotNull(), line).otherwise(F.coalesce(a["y"], b["y"], F.lit(fallback) if isinstance(fallback, (int, float)) else fallback))
