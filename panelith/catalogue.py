@@ -447,9 +447,32 @@ def deseason_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.deseason(rows, shape.shape2(rows, 7), 7).select("series_id", "period_idx", r6("level").alias("level"))
 
 
-@query()
+def _jacobi(src: str, p: int, sweeps: int = 9) -> str:
+    """SQL for sv (series_id, s): the singular values of the cells in `src` (series_id, i, y) folded by p (even), by one-sided Jacobi rotations.
+
+    In each round every column is turned with one other, until all are at right angles; their lengths are the singular values. Who meets whom is a round-robin: column p - 1 meets
+    column r in round r, others meet the one with which their numbers sum to 2r, modulo p - 1.
+    """
+    mate = f"CASE WHEN x.a = {p - 1} THEN x.k % {p - 1} WHEN x.a = x.k % {p - 1} THEN {p - 1} ELSE (2 * (x.k % {p - 1}) - x.a + {2 * (p - 1)}) % {p - 1} END"
+    turned = "(CASE WHEN ga = 0 OR abs(ga) <= 1e-16 * sqrt(al * be) THEN 0.0 ELSE CASE WHEN be >= al THEN 1 ELSE -1 END * sign(ga) / (abs((be - al) / (2 * ga)) + sqrt(1 + pow((be - al) / (2 * ga), 2))) END)"
+    return f"""jc AS (SELECT series_id, (i % {p})::INT AS a, 0 AS k, list(y ORDER BY i) AS v FROM {src} GROUP BY 1, 2
+UNION ALL SELECT series_id, a, k + 1, CASE WHEN a < mate THEN list_transform(range(1, len(v) + 1), lambda i: (v[i] - t * w[i]) / sqrt(1 + t * t)) ELSE list_transform(range(1, len(v) + 1), lambda i: (t * w[i] + v[i]) / sqrt(1 + t * t)) END
+FROM (SELECT *, {turned} AS t FROM (SELECT x.series_id, x.a, x.k, y.a AS mate, x.v, y.v AS w, list_dot_product(x.v, y.v) AS ga, CASE WHEN x.a < y.a THEN list_dot_product(x.v, x.v) ELSE list_dot_product(y.v, y.v) END AS al,
+CASE WHEN x.a < y.a THEN list_dot_product(y.v, y.v) ELSE list_dot_product(x.v, x.v) END AS be FROM jc x JOIN jc y ON y.series_id = x.series_id AND y.a = {mate} WHERE x.k < {sweeps * (p - 1)}))),
+sv AS (SELECT series_id, sqrt(list_dot_product(v, v)) AS s FROM jc WHERE k = {sweeps * (p - 1)})"""
+
+
+#: The factor by which the level shrinks: the first singular value against the median one, by the Marchenko-Pastur median at the aspect ratio 24 / 30.
+_SHRUNK = f"""{SINE}, psh AS (SELECT series_id, i, y + greatest(1 - min(y) OVER (PARTITION BY series_id), 1.0) AS y FROM q), {_jacobi('psh', 24)},
+ga AS (SELECT k, (k + 0.5) * pi() / 100000 AS a FROM (SELECT unnest(range(100000)) AS k)), ma AS (SELECT k, 2 * sin(a) * sin(a) / (pi() * (1.8 + 2 * sqrt(0.8) * cos(a))) * pi() / 100000 AS w FROM ga), ca AS (SELECT *, sum(w) OVER (ORDER BY k) AS s FROM ma),
+mp AS (SELECT 1.8 + 2 * sqrt(0.8) * cos((min(k) + 1 - (arg_min(s, k) - 0.5) / arg_min(w, k)) * pi() / 100000) AS middle FROM ca WHERE s >= 0.5),
+tp AS (SELECT series_id, max(s) AS top, pow(median(s), 2) / middle AS noise FROM sv, mp GROUP BY series_id, middle), tq AS (SELECT *, top * top - 1.8 * noise AS x FROM tp),
+fa AS (SELECT series_id, CASE WHEN top <= (1 + sqrt(0.8)) * sqrt(noise) OR x * x - 3.2 * noise * noise <= 0 THEN 1.0 ELSE least(greatest(sqrt((x + sqrt(greatest(x * x - 3.2 * noise * noise, 0))) / 2) / top, 1e-10), 1.0) END AS factor FROM tq)"""
+
+
+@query(f"WITH RECURSIVE {_SHRUNK} SELECT series_id, round(factor, 7) AS factor FROM fa")
 def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, factor): shrinkage of the level from the spectrum; held against closed forms in tests."""
+    """(series_id, factor): shrinkage of the level from the spectrum; the SQL turns the columns until they are at right angles."""
     from panelith.operators.kernel import shrinkage
 
     ship(spark)
@@ -458,7 +481,16 @@ def optshrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(values: pd.Series, p: pd.Series, nc: pd.Series) -> pd.Series:
         return pd.Series([shrinkage(v, int(a), int(b)) for v, a, b in zip(values, p, nc, strict=True)])
 
-    return _spectra(hourly(spark, sf_dir, 10.0), [24]).select("series_id", of("values", "p", "nc").alias("factor"))
+    rows = clean.positivity_shift(hourly(spark, sf_dir, 10.0))
+    return _spectra(rows, [24]).select("series_id", F.round(of("values", "p", "nc"), 7).alias("factor"))
+
+
+@query(f"WITH RECURSIVE {_SHRUNK} SELECT series_id, (i // 24)::INT AS period_idx, round(sum(y) * factor, 4) AS level FROM psh JOIN fa USING (series_id) GROUP BY series_id, i // 24, factor")
+def level_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level as the forecasts take it, for series whose period is 24."""
+    rows = fold.fold(clean.positivity_shift(hourly(spark, sf_dir, 10.0)), 24)
+    run = lambda d: pd.DataFrame({"period_idx": np.arange(30), "level": kernel.shrunk_level(_cells(d))})
+    return _each(rows, ["period_idx", "phase"], run, "period_idx int, level double").withColumn("level", F.round("level", 4))
 
 
 @query(f"""WITH {TRIED.replace('{mixed}', MIXED)}, bt AS (SELECT DISTINCT round(least(p, nc) / greatest(p, nc)::DOUBLE, 4) AS beta FROM tr WHERE p > 1 AND nc > 1), ga AS (SELECT beta, k, (k + 0.5) * pi() / 20000 AS a FROM bt, (SELECT unnest(range(20000)) AS k)),
@@ -880,6 +912,100 @@ def assemble_given_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble(assemble.reseason(assemble.deflate(paths), factors, 7), shapes, noise, bounds, 24, 30)
 
 
+def _gauss(columns: int) -> str:
+    """SQL for a ridge regression with any number of columns: rows rx (series_id, period_idx, x list, y) give
+
+    mi (series_id, inv, beta): the inverse and the coefficients, averaged over penalties. Each penalty's inverse comes from Gauss-Jordan elimination of [X'X + penalty | unit].
+    """
+    k = columns
+    return f"""gi AS (SELECT series_id, i, j, sum(x[i] * x[j]) AS g FROM rx, (SELECT unnest(range(1, {k + 1})) AS i), (SELECT unnest(range(1, {k + 1})) AS j) GROUP BY 1, 2, 3),
+gr AS (SELECT series_id, i, list(g ORDER BY j) AS r FROM gi GROUP BY 1, 2), gy AS (SELECT series_id, list(t ORDER BY i) AS xy FROM (SELECT series_id, i, sum(x[i] * y) AS t FROM rx, (SELECT unnest(range(1, {k + 1})) AS i) GROUP BY 1, 2) GROUP BY 1),
+al AS (SELECT unnest([{_ALPHAS}]) AS a),
+gj AS (SELECT series_id, a, 1 AS k, list(list_transform(range(1, {2 * k + 1}), lambda j: CASE WHEN j <= {k} THEN r[j] + CASE WHEN j = i THEN a ELSE 0 END WHEN j - {k} = i THEN 1.0 ELSE 0.0 END) ORDER BY i) AS m FROM gr, al GROUP BY 1, 2
+UNION ALL SELECT series_id, a, k + 1, list_transform(range(1, {k + 1}), lambda i: list_transform(range(1, {2 * k + 1}), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)) FROM gj WHERE k <= {k}),
+iv AS (SELECT series_id, a, list_transform(range(1, {k + 1}), lambda i: m[i][{k + 1}:{2 * k}]) AS inv FROM gj WHERE k = {k + 1}),
+co AS (SELECT iv.*, list_transform(inv, lambda r: list_dot_product(r, xy)) AS c FROM iv JOIN gy USING (series_id)),
+ge AS (SELECT series_id, a, avg(pow((y - list_dot_product(x, c)) / greatest(1 - list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))), 1e-10), 2)) AS gcv FROM co JOIN rx USING (series_id) GROUP BY 1, 2),
+gw AS (SELECT series_id, a, exp(-(gcv - min(gcv) OVER o) / greatest(min(gcv) OVER o, 1e-10)) AS w FROM ge WINDOW o AS (PARTITION BY series_id)),
+mn AS (SELECT series_id, i, j, sum(w * inv[i][j]) / sum(w) AS v FROM co JOIN gw USING (series_id, a), (SELECT unnest(range(1, {k + 1})) AS i), (SELECT unnest(range(1, {k + 1})) AS j) GROUP BY 1, 2, 3),
+mr AS (SELECT series_id, i, list(v ORDER BY j) AS r FROM mn GROUP BY 1, 2), mi AS (SELECT mr.series_id, list(r ORDER BY i) AS inv, list(list_dot_product(r, xy) ORDER BY i) AS beta FROM mr JOIN gy USING (series_id) GROUP BY 1)"""
+
+
+#: The sine panel's levels with a cross lag of seven periods and two exogenous columns, as z-scores of their means by day.
+_WIDE = f"""{LEVELS}, {_EXOG[len(HOURLY) + 2:]}, xs AS (SELECT series_id, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM xl WHERE period_idx >= 7 GROUP BY 1),
+zx AS (SELECT xl.series_id, period_idx, (x1 - m1) / CASE WHEN s1 < 1e-10 THEN 1 ELSE s1 END AS x1, (x2 - m2) / CASE WHEN s2 < 1e-10 THEN 1 ELSE s2 END AS x2 FROM xl JOIN xs USING (series_id)), {_DESIGN},
+rx AS (SELECT dz.series_id, dz.period_idx, [b0, b1::DOUBLE, lag1, lag_cp, x1, x2] AS x, target AS y FROM dz JOIN zx USING (series_id, period_idx) WHERE dz.period_idx >= 7), {_gauss(6)}"""
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means, _ = fold.standardise(fold.exog_level(_exog_rows(spark, sf_dir), 24, ["x1", "x2"]), ["x1", "x2"], 7)
+    return level.design(levels(spark, sf_dir).join(means, ["series_id", "period_idx"]), 7, ["x1", "x2"])
+
+
+_WIDE_COLUMNS = ["b0", "b1", "lag1", "lag_cp", "x1", "x2"]
+
+
+@query(f"WITH RECURSIVE {_WIDE} SELECT series_id, j::BIGINT AS j, round(beta[j], 6) + 0.0 AS theta FROM mi, (SELECT unnest(range(1, 7)) AS j)")
+def ridge_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients with cross lag and exogenous columns."""
+    run = lambda d: pd.DataFrame({"j": np.arange(1, 7), "theta": kernel.ridge(d[_WIDE_COLUMNS].to_numpy(), d["target"].to_numpy()).coef})
+    return _each(_wide(spark, sf_dir), ["period_idx"], run, "j long, theta double").select("series_id", "j", r6("theta").alias("theta"))
+
+
+@query(f"WITH RECURSIVE {_WIDE}, h AS (SELECT series_id, period_idx, y - list_dot_product(x, beta) AS r, list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))) AS h FROM rx JOIN mi USING (series_id)) SELECT series_id, period_idx, round(r / greatest(1 - h, 1e-10) / sqrt(greatest(1 + h, 1e-10)), 7) + 0.0 AS loo, round(h, 7) + 0.0 AS leverage FROM h")
+def ridge_wide_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left-out residuals and leverages of the training rows with cross lag and exogenous columns."""
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x = d[_WIDE_COLUMNS].to_numpy()
+        fit = kernel.ridge(x, d["target"].to_numpy())
+        return pd.DataFrame({"period_idx": d["period_idx"], "loo": fit.loo, "leverage": [fit.leverage(r) for r in x]})
+
+    out = _each(_wide(spark, sf_dir), ["period_idx"], run, "period_idx int, loo double, leverage double")
+    return out.select("series_id", "period_idx", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("loo", "leverage")])
+
+
+# ---- The generator of the draws ----
+
+
+def _twister(seeds: str, blocks_: int) -> str:
+    """SQL for mt (series_id, pos, x): the first 624 * blocks_ 32-bit numbers of a Mersenne Twister for each of `seeds` (series_id, seed).
+
+    The state is filled by its linear recurrence, then turned: each word depends on two words of the old state and on one 397 places on, which from place 227 is a word of the new
+    state, so a turn has three stretches and the last word. Then the words are tempered.
+    """
+    mix = "lambda i: xor((((s[i] & 2147483648) | (s[i + 1] & 2147483647)) >> 1), CASE WHEN s[i + 1] % 2 = 1 THEN 2567483615 ELSE 0 END)"
+    return f"""mf AS (SELECT series_id, 0 AS i, seed::UBIGINT AS x FROM {seeds} UNION ALL SELECT series_id, i + 1, (1812433253::UBIGINT * xor(x, x >> 30) + (i + 1)::UBIGINT) % 4294967296::UBIGINT FROM mf WHERE i < 623),
+ms AS (SELECT series_id, 0 AS turn, list(x::BIGINT ORDER BY i) AS s FROM mf GROUP BY 1
+UNION ALL SELECT series_id, turn + 1, list_concat(n3, [xor(n3[397], xor((((s[624] & 2147483648) | (n3[1] & 2147483647)) >> 1), CASE WHEN n3[1] % 2 = 1 THEN 2567483615 ELSE 0 END))]) FROM (
+SELECT *, list_concat(n2, list_transform(range(455, 624), lambda i: xor(n2[i - 227], f[i]))) AS n3 FROM (
+SELECT *, list_concat(n1, list_transform(range(228, 455), lambda i: xor(n1[i - 227], f[i]))) AS n2 FROM (
+SELECT *, list_transform(range(1, 228), lambda i: xor(s[i + 397], f[i])) AS n1 FROM (SELECT *, list_transform(range(1, 624), {mix}) AS f FROM ms WHERE turn < {blocks_}))))),
+mw AS (SELECT series_id, (turn - 1) * 624 + unnest(range(624)) AS pos, unnest(s) AS x0 FROM ms WHERE turn > 0),
+m1 AS (SELECT series_id, pos, xor(x0, x0 >> 11) AS x FROM mw), m2 AS (SELECT series_id, pos, xor(x, (x << 7) & 2636928640) AS x FROM m1), m3 AS (SELECT series_id, pos, xor(x, (x << 15) & 4022730752) AS x FROM m2), mt AS (SELECT series_id, pos, xor(x, x >> 18) AS x FROM m3)"""
+
+
+def _drawn(name: str, n: int, size: int, after: str | None = None) -> str:
+    """SQL for `name` (series_id, place, pos, draw): the first `size` numbers under n, among those after the last of `after`, cut to as many bits as n - 1 has."""
+    mask = (1 << (n - 1).bit_length()) - 1
+    rest = f"JOIN (SELECT series_id, max(pos) AS used FROM {after} GROUP BY 1) USING (series_id) WHERE pos > used AND" if after else "WHERE"
+    return f"{name} AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS place, pos, x & {mask} AS draw FROM mt {rest} (x & {mask}) < {n} QUALIFY place < {size})"
+
+
+@query(f"""WITH RECURSIVE sd AS (SELECT DISTINCT event_type AS series_id, ('0x' || substr(md5(event_type), 1, 8))::BIGINT AS seed FROM events), {_twister('sd', 3)}, {_drawn('d1', 23, 100)}, {_drawn('d2', 30, 50, 'd1')}
+SELECT series_id, 'level' AS stage, place, draw FROM d1 UNION ALL SELECT series_id, 'phase', place, draw FROM d2""")
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which residuals the flagship's paths draw: of 23 left-out ones for 50 paths of two periods, then of 30 periods for each path. The SQL has the generator itself."""
+    ids = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct().withColumn("seed", numeric.item_seed(F.col("series_id")))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.RandomState(int(d["seed"].iloc[0]))
+        draws = {"level": kernel.drawn_places(rng, 23, 100), "phase": kernel.drawn_places(rng, 30, 50)}
+        return pd.concat([pd.DataFrame({"stage": k, "place": np.arange(len(v)), "draw": v}) for k, v in draws.items()])
+
+    return _each(ids, ["seed"], run, "stage string, place long, draw long")
+
+
 # ---- What is left: fallbacks, controls, evaluations ----
 
 _FEW = LEVELS.replace("b AS (SELECT series_id, period_idx, ln(level)", "b AS (SELECT series_id, period_idx - CASE WHEN series_id = 'view' THEN 21 ELSE 0 END AS period_idx, ln(level)").replace("FROM lv)", "FROM lv WHERE series_id <> 'view' OR period_idx >= 21)")

@@ -262,6 +262,12 @@ def need(freq: str, horizon: int) -> int:
     return max(MOST_PERIODS * max([1, period_of(freq), *periods_of(freq)]), 2 * horizon, NOISE_PERIODS)
 
 
+def shrunk_level(cells: np.ndarray) -> np.ndarray:
+    """The sums of the periods (rows), shrunk by what the spectrum says is noise."""
+    nc, p = cells.shape
+    return cells.sum(1) * shrinkage(np.linalg.svd(cells, compute_uv=False), p, nc)
+
+
 def sample_paths(s: Series, horizon: int, freq: str, n_samples: int, seed: int | None, x_ahead: np.ndarray | None = None, noise: str = "bootstrap") -> np.ndarray:
     """Sample paths (n_samples, horizon). noise: "bootstrap" draws the level's left-out residuals again, "t" Student's t, whose heavier tails are taken back in the end. With a seed, the draws are those of one Mersenne Twister in a fixed order: level noise, then residual columns."""
     rng = np.random.RandomState(seed)
@@ -298,7 +304,7 @@ def sample_paths(s: Series, horizon: int, freq: str, n_samples: int, seed: int |
         hat = hat * factors[(nc + np.arange(m)) % lags[0]]
 
     residuals = _phase_noise(cells, shape, raw_level)
-    drawn = residuals[rng.randint(0, residuals.shape[0], size=n_samples)]  # a period for each sample
+    drawn = residuals[drawn_places(rng, len(residuals), n_samples)]  # a period for each sample
     out = hat[:, block] * shape[phase] * (1 + drawn[:, phase] / spread[block]) - s.shift
     return _held(out, s, model.freedom if noise == "t" else None)
 
@@ -379,12 +385,17 @@ class Recursion:
         return path[:, past:]
 
 
+def drawn_places(rng: np.random.RandomState, n: int, size: int) -> np.ndarray:
+    """size places among n, with replacement: the generator's 32-bit numbers, cut to the bits of n - 1, without those beyond it."""
+    return rng.randint(0, n, size=size)
+
+
 def _level_noise(model: Recursion, n_samples: int, m: int, rng: np.random.RandomState, noise: str) -> np.ndarray:
     """Left-out residuals drawn again, or Student's t (also where residuals are under four), scaled by the leverages."""
     r = model.fit.loo
     if noise == "bootstrap" and len(r) >= 4:
         unit = (r - r.mean()) / max(float(r.std()), TINY)
-        return rng.choice(unit, size=n_samples * m, replace=True).reshape(n_samples, m) * np.sqrt(float(r.var()) * (1 + model.leverage))
+        return unit[drawn_places(rng, len(unit), n_samples * m)].reshape(n_samples, m) * np.sqrt(float(r.var()) * (1 + model.leverage))
     return rng.standard_t(model.freedom, size=(n_samples, m)) * np.sqrt(float(np.mean(r * r)) * (1 + model.leverage))
 
 
