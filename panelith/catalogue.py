@@ -1070,14 +1070,63 @@ def config_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Forecasts: seeded sampling is beyond SQL; tests hold them to invariants ----
 
 
-@query()
+def _forecast_sql(n_samples: int, horizon: int = 48) -> str:
+    """SQL for out (series_id, sample_id, step, value): the whole forecast of the sine panel's series, whose period is 24 and whose cross lag is 7.
+
+    From the panel: shift, spectrum, shrunk level, shapes, factors of the week, power (bisection where the likelihood stops to rise), differences' ridge with cross lag,
+    leverages, the generator's draws of left-out residuals and of phase noise, recursion, assembly and the range of the history.
+    """
+    m = -(-horizon // 24)
+    folded_ = FOLDED[len(HOURLY) :].replace("FROM p)", "FROM psh)")
+    bent = "list_transform(g, lambda v: CASE WHEN {p} = 0 THEN v ELSE (exp({p} * v) - 1) / {p} END)"
+    falls = "list_sum(list_transform(range(1, 31), lambda i: (z[i] - list_avg(z)) * CASE WHEN {p} = 0 THEN g[i] * g[i] / 2 ELSE (g[i] * exp({p} * g[i]) - z[i]) / {p} END))"
+    rises = lambda p, src: f"SELECT *, {falls.format(p=p)} < 0 AS up FROM (SELECT *, {bent.format(p=p)} AS z FROM {src})"
+    tail = lambda x, d: f"list_dot_product([1.0, {d}, -({x}[len({x})]), {x}[len({x}) - 6]], list_transform(inv, lambda r: list_dot_product(r, [1.0, {d}, -({x}[len({x})]), {x}[len({x}) - 6]])))"
+    next_ = lambda x, d: f"beta[1] + beta[2] * {d} + (1 - beta[3]) * {x}[len({x})] + beta[4] * {x}[len({x}) - 6]"
+    return f"""{_SHRUNK}{folded_}{SHAPED[len(FOLDED):]}{SHAPE2[len(FOLDED):]}{_RESID[len(SHAPED):]},
+fq AS (SELECT l.series_id, period_idx, level * factor / greatest(s2.s2, 1e-10) AS x FROM l JOIN fa USING (series_id) JOIN s2 ON s2.series_id = l.series_id AND s2.pos = period_idx % 7),
+lg AS (SELECT series_id, list(ln(x) - am ORDER BY period_idx) AS g FROM (SELECT series_id, period_idx, x, avg(ln(x)) OVER (PARTITION BY series_id) AS am FROM fq) GROUP BY 1),
+e0 AS ({rises('0.0', 'lg')}), e1 AS ({rises('1.0', 'lg')}),
+bi AS (SELECT series_id, g, 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM lg
+UNION ALL SELECT series_id, g, k + 1, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END FROM ({rises('((lo + hi) / 2)', 'bi')}) WHERE k < 60),
+pw AS (SELECT e0.series_id, CASE WHEN NOT e0.up THEN 0.0 WHEN e1.up THEN 1.0 ELSE (lo + hi) / 2 END AS power FROM e0 JOIN e1 USING (series_id) JOIN bi USING (series_id) WHERE k = 60),
+b AS (SELECT fq.series_id, period_idx, CASE WHEN power = 0 THEN ln(x) ELSE (pow(x, power) - 1) / power END AS level_bc FROM fq JOIN pw USING (series_id)),
+z AS (SELECT *, level_bc - last_value(level_bc) OVER (PARTITION BY series_id ORDER BY period_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS innov FROM b), {_DESIGN}, {_PHI},
+rx AS (SELECT series_id, period_idx, [b0, b1::DOUBLE, lag1, lag_cp] AS x, target AS y FROM dz WHERE period_idx >= 7), {_gauss(4)},
+lr AS (SELECT series_id, list(r / greatest(1 - h, 1e-10) / sqrt(greatest(1 + h, 1e-10)) ORDER BY period_idx) AS loo FROM (SELECT series_id, period_idx, y - list_dot_product(x, beta) AS r, list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))) AS h FROM rx JOIN mi USING (series_id)) GROUP BY 1),
+td AS (SELECT series_id, j, CASE WHEN least(phi, 1 - 1e-10) <= 1e-10 THEN 29.0 / 30 ELSE (29 + least(phi, 1 - 1e-10) * (1 - pow(least(phi, 1 - 1e-10), j)) / (1 - least(phi, 1 - 1e-10))) / 30 END AS d FROM ph, (SELECT unnest(range(1, {m + 1})) AS j)),
+zl AS (SELECT series_id, list(innov ORDER BY period_idx) AS zs, max(level_bc) FILTER (period_idx = 29) AS final FROM z GROUP BY 1),
+lv AS (SELECT series_id, 0 AS j, zs, inv, beta, 0.0::DOUBLE AS h FROM zl JOIN mi USING (series_id)
+UNION ALL SELECT series_id, lv.j + 1, list_append(zs, {next_('zs', 'd')}), inv, beta, least(greatest({tail('zs', 'd')}, 0.0), 10.0) FROM lv JOIN td USING (series_id) WHERE td.j = lv.j + 1),
+sd AS (SELECT DISTINCT series_id, ('0x' || substr(md5(series_id), 1, 8))::BIGINT AS seed FROM zl), {_twister('sd', 1 + n_samples * (m + 1) * 2 // 624)}, {_drawn('dw', 23, n_samples * m)}, {_drawn('dp', 30, n_samples, 'dw')},
+nz AS (SELECT dw.series_id, place // {m} AS sample_id, place % {m} + 1 AS j, (loo[draw + 1] - list_avg(loo)) / greatest(list_stddev_pop(loo), 1e-10) * sqrt(list_var_pop(loo) * (1 + h)) AS e FROM dw JOIN lr USING (series_id) JOIN lv ON lv.series_id = dw.series_id AND lv.j = place % {m} + 1),
+pa AS (SELECT series_id, s AS sample_id, 0 AS j, zs, beta FROM lv, (SELECT unnest(range({n_samples})) AS s) WHERE j = 0
+UNION ALL SELECT pa.series_id, pa.sample_id, pa.j + 1, list_append(zs, {next_('zs', 'd')} + e), beta FROM pa JOIN td ON td.series_id = pa.series_id AND td.j = pa.j + 1 JOIN nz ON nz.series_id = pa.series_id AND nz.sample_id = pa.sample_id AND nz.j = pa.j + 1),
+hx AS (SELECT series_id, sample_id, pa.j - 1 AS block, pa.zs[len(pa.zs)] + final AS v, power, s2 FROM pa JOIN zl USING (series_id) JOIN pw USING (series_id) JOIN s2 USING (series_id) WHERE pa.j > 0 AND s2.pos = (29 + pa.j) % 7),
+ht AS (SELECT series_id, sample_id, block, CASE WHEN power = 0 THEN exp(least(greatest(v, -30.0), 30.0)) ELSE pow(least(greatest(1 + power * v, 1e-10), exp(30 * power)), 1 / power) END * s2 AS hat FROM hx),
+ep AS (SELECT series_id, period_idx, phase, resid - me * least(greatest(er / (me * me + er + 1e-10), 0.0), 1.0) AS eps FROM (SELECT *, avg(resid) OVER w AS me, var_samp(resid) OVER w / 30 AS er FROM rs WINDOW w AS (PARTITION BY series_id, phase))),
+bd AS (SELECT series_id, min(y) AS low, max(y) FILTER (i >= {720 - max(2 * horizon, 50)}) + greatest(max(y) FILTER (i >= {720 - max(2 * horizon, 50)}) - min(y) FILTER (i >= {720 - max(2 * horizon, 50)}), 1e-6) AS high, greatest(1 - min(y), 1.0) AS shift, bool_and(y = round_even(y, 0)) AS whole FROM q GROUP BY 1),
+ov AS (SELECT ht.series_id, ht.sample_id, st.step, least(greatest(hat * s * (1 + eps / sqrt(1 + h)) - shift, low), high) AS value, whole FROM ht JOIN (SELECT unnest(range({horizon})) AS step) st ON st.step // 24 = block JOIN sh ON sh.series_id = ht.series_id AND sh.phase = st.step % 24
+JOIN dp ON dp.series_id = ht.series_id AND dp.place = ht.sample_id JOIN ep ON ep.series_id = ht.series_id AND ep.period_idx = dp.draw AND ep.phase = st.step % 24 JOIN lv ON lv.series_id = ht.series_id AND lv.j = block + 1 JOIN bd ON bd.series_id = ht.series_id),
+out AS (SELECT series_id, sample_id, step, CASE WHEN whole THEN round_even(value, 0) ELSE value END AS value FROM ov)"""
+
+
+@query(f"WITH RECURSIVE {_forecast_sql(50)} SELECT series_id, sample_id::INT AS sample_id, step::INT AS step, round(value, 4) + 0.0 AS value FROM out")
 def forecast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: sample paths of two days for each event type's seasonal hourly counts."""
-    return PanelForecaster("H", 50).forecast(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 48)
+    out = PanelForecaster("H", 50).forecast(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 48)
+    return out.withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 
-@query()
+@query(f"WITH RECURSIVE {_forecast_sql(200)} SELECT series_id, step::INT AS step, quantile, round(value, 4) + 0.0 AS value FROM (SELECT series_id, step, unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS quantile, unnest(quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])) AS value FROM out GROUP BY 1, 2)")
 def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = PanelForecaster("H").forecast(hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y"), 48, output="quantiles")
+    return out.withColumn("value", F.round("value", 4) + F.lit(0.0))
+
+
+@query()
+def forecast_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of the counts without the sine, which are whole numbers."""
     return PanelForecaster("H").forecast(hourly(spark, sf_dir).select("series_id", "ts", "y"), 48, output="quantiles")
 
 

@@ -129,21 +129,33 @@ def boxcox_loglik(logs: np.ndarray, power: float | np.ndarray) -> np.ndarray:
 _COARSE = np.arange(-6.0, 6.25, 0.5)
 
 
+def _rising(logs: np.ndarray, power: float) -> bool:
+    """Whether the likelihood rises at a power: the covariance of the transformed values with their derivative is below 0. logs: centred, so that neither scale nor a power near 0 matters."""
+    if power == 0:
+        z, slope = logs, logs * logs / 2
+    else:
+        z = np.expm1(power * logs) / power
+        slope = (logs * np.exp(power * logs) - z) / power
+    return float((z - z.mean()) @ slope) < 0
+
+
 def boxcox_power(x: np.ndarray) -> float:
-    """The most likely power, found without bounds (finer and finer grids about the best of a coarse one), then held to [0, 1]; 1 for few or constant positive values."""
+    """The most likely power, found without bounds (a coarse grid, then bisection for where the likelihood stops to rise), then held to [0, 1]; 1 for few or constant positive values."""
     x = x[x > 0]
     if len(x) < LEAST_POSITIVE or x.max() == x.min():
         return 1.0
     logs = np.log(x)
-    grid = _COARSE
-    while True:
-        at = int(np.argmax(boxcox_loglik(logs, grid)))
-        low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-        if high <= 0 or low >= 1:
-            return 0.0 if high <= 0 else 1.0
-        if high - low <= 1e-9:
-            return float(min(max(grid[at], 0.0), 1.0))
-        grid = np.linspace(low, high, 25)
+    at = int(np.argmax(boxcox_loglik(logs, _COARSE)))
+    low, high = (min(max(float(_COARSE[i]), 0.0), 1.0) for i in (max(at - 1, 0), min(at + 1, len(_COARSE) - 1)))
+    logs = logs - logs.mean()
+    if low >= high or not _rising(logs, low):
+        return low
+    if _rising(logs, high):
+        return high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _rising(logs, middle) else (low, middle)
+    return (low + high) / 2
 
 
 def boxcox(y: np.ndarray, power: float) -> np.ndarray:
@@ -250,6 +262,45 @@ class Series:
         return cls(y + shift, len(raw), shift, float(raw[seen].min()) if seen.any() else None, back[~np.isnan(back)], whole, np.zeros((len(raw), 0)) if x is None else x)
 
 
+@dataclass
+class Tail:
+    """A series that grows: its last `most` values and what a forecast needs of the older ones, in bounded memory."""
+
+    most: int
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))  # NaN where missing
+    n: int = 0
+    low: float = math.nan
+    whole: bool = True
+    before: tuple[int, float] | None = None  # place and value of the last observed one that isn't in values
+
+    def extend(self, new: np.ndarray) -> None:
+        seen = new[~np.isnan(new)]
+        if np.isinf(seen).any():
+            raise ValueError("y must not have infinite values")
+        if len(seen):
+            self.low = float(np.fmin(self.low, seen.min()))
+            self.whole = self.whole and bool(np.all(seen == np.rint(seen)))
+        whole, first = np.concatenate([self.values, new]), self.n - len(self.values)
+        self.n += len(new)
+        old = whole[: max(len(whole) - self.most, 0)]
+        if len(at := np.flatnonzero(~np.isnan(old))):
+            self.before = (first + int(at[-1]), float(old[at[-1]]))
+        self.values = whole[len(old) :]
+
+    def series(self, horizon: int) -> Series:
+        """What Series.of() gives for all values so far, with the end of y."""
+        raw, first = self.values, self.n - len(self.values)
+        seen = np.flatnonzero(~np.isnan(raw))
+        place, value = seen + first, raw[seen]
+        if self.before is not None:
+            place, value = np.append(self.before[0], place), np.append(self.before[1], value)
+        y = np.interp(np.arange(first, self.n), place, value) if len(place) else np.zeros(len(raw))
+        known = not math.isnan(self.low)
+        shift = max(1.0 - (self.low if known else 0.0), 1.0)
+        back = raw[len(raw) - min(max(2 * horizon, NOISE_PERIODS), len(raw)) :]
+        return Series(y + shift, self.n, shift, self.low if known else None, back[~np.isnan(back)], self.whole and known, np.zeros((len(raw), 0)))
+
+
 def fill(raw: np.ndarray, fallback: float = 0.0) -> np.ndarray:
     seen = np.flatnonzero(~np.isnan(raw))
     if not len(seen):
