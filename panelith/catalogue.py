@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelith.constants import PENALTIES
 from panelith.functions import calendar, numeric
 from panelith.operators import assemble, blocks, clean, evaluate, fold, kernel, level, prune, shape
+from panelith.plans import sql
 from panelith.plans.forecast import PanelForecaster, explode_channels, faults, forecast_start
 from panelith.shipping import ship
 from panelith.sources import panels
@@ -1223,5 +1224,48 @@ def backtest_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].join(out[1], ["series_id", "origin"]).join(out[2], ["series_id", "origin"])
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed panel once for each of three terms, which are 1, 2 and 3 horizons long, with config (frequency and term), horizon and train, the rows before the last horizon."""
+    terms = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("k")) for t, k in (("short", 1), ("medium", 2), ("long", 3))])).alias("t")
+    n = F.count(F.lit(1)).over(Window.partitionBy("series_id", "config"))
+    rows = mixed_panel(spark, sf_dir).select("*", terms).select("series_id", "ts", "y", "freq", F.concat_ws("/", "freq", "t.term").alias("config"), (F.col("horizon") * F.col("t.k")).cast("int").alias("horizon"))
+    return rows.withColumn("train", (n - F.col("horizon")).cast("int"))
+
+
+_GRID_SQL = f"""{MIXED}, tm AS (SELECT series_id, ts, y, freq, horizon * k AS h, freq || '/' || term AS config FROM mx, (VALUES ('short', 1), ('medium', 2), ('long', 3)) v(term, k)),
+pz AS (SELECT *, CASE freq WHEN 'H' THEN 24 WHEN 'D' THEN 1 ELSE 12 END AS m, row_number() OVER (PARTITION BY series_id, config ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id, config) - h AS train FROM tm),
+nn AS (SELECT config, series_id, avg(abs(d)) AS naive FROM (SELECT config, series_id, y - CASE WHEN freq = 'H' THEN lag(y, 24) OVER w WHEN freq = 'D' THEN lag(y, 1) OVER w ELSE lag(y, 12) OVER w END AS d FROM pz WHERE i < train WINDOW w AS (PARTITION BY series_id, config ORDER BY i)) GROUP BY 1, 2),
+d AS (SELECT series_id || '|' || config AS series_id, config, i, y, ts FROM pz WHERE i < train), {FILL.replace("SELECT series_id, ts, i, CASE", "SELECT series_id, config, ts, i, CASE")},
+ag AS (SELECT a.config, a.series_id, (a.i - a.train)::INT AS step, a.y AS actual, g.y AS again FROM pz a JOIN g ON g.series_id = a.series_id || '|' || a.config AND g.i = a.train - a.m + (a.i - a.train) % a.m WHERE a.i >= a.train)"""
+
+
+@query(f"WITH {_GRID_SQL} SELECT ag.config, ag.series_id, step, actual, round(again, 6) AS again, round(naive, 6) AS naive FROM ag JOIN nn USING (config, series_id)")
+def grid_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each configuration of the grid is held against: actual values, the values a season ago, and the naive errors, as they come beside the forecasts."""
+    out = _grid_steps(spark, sf_dir).withColumn("actual", F.when(~F.isnan("actual"), F.col("actual")))
+    return out.select("config", "series_id", "step", "actual", r6("again").alias("again"), r6("naive").alias("naive"))
+
+
+_LEVELS = tuple(k / 10 for k in range(1, 10))
+
+
+def _grid_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PanelForecaster(None, 50).backtest(grid(spark, sf_dir), "train", "horizon", 1, series=["config", "series_id"], freqs="freq", output="steps", quantiles=_LEVELS)
+
+
+@query()
+def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real forecasts of all configurations in one job, each by its own frequency, horizon and season, ranked against the value a season ago. grid_baseline has the SQL of what they are held against."""
+    return evaluate.grid_scores(_grid_steps(spark, sf_dir), _LEVELS, ["config"])
+
+
+@query(_SQL["forecast_samples"])
+def forecast_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship, called from SQL."""
+    sql.register(spark)
+    hourly(spark, sf_dir, 10.0).select("series_id", "ts", "y").createOrReplaceTempView("hourly_counts")
+    return spark.sql("SELECT series_id, sample_id, step, round(value, 4) + 0.0D AS value FROM forecast(TABLE(hourly_counts) PARTITION BY series_id ORDER BY (ts), 48, 'H', 50)")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_samples(spark, sf_dir)

@@ -124,3 +124,22 @@ def relative(scores: DataFrame, baseline: DataFrame, metric: str, key: str) -> D
     """One row: the geometric mean of metric over the baseline's, over the keys that both have, and how many."""
     joined = scores.select(key, metric).join(baseline.select(key, F.col(metric).alias("_base")), key, "left").withColumn("_r", F.try_divide(F.col(metric), F.col("_base")))
     return joined.filter("_r is not null").agg(geometric_mean(F.col("_r")).alias("relative"), F.count(F.lit(1)).alias("matched"))
+
+
+def grid_scores(steps: DataFrame, levels: Sequence[float], config: Sequence[str], series: Sequence[str] = ("series_id", "origin")) -> DataFrame:
+    """(config, mase, wql, again_mase, again_wql, relative_mase, relative_wql, n, place) of PanelForecaster.backtest(output='steps', quantiles=levels).
+
+    Each configuration (say, a data set and a term) is scored over its series: the mean MASE of the 0.5 quantile and the quantile loss over all values; the same for the value a season
+    ago, which is its own quantile at all levels; their ratios; and its place by relative_wql. Steps without an actual value don't count, nor series without a naive error in the MASE.
+    """
+    a = F.col("actual")
+    rows = steps.filter(a.isNotNull() & ~F.isnan(a))
+    scale = F.when(~F.isnan("naive") & (F.col("naive") >= CLAMP), F.col("naive"))
+    pinball = lambda v, q: 2 * F.abs((v - a) * ((a <= v).cast("double") - q))
+    loss = sum((pinball(F.col(f"q{i + 1}"), q) for i, q in enumerate(levels)), F.lit(0.0)) / len(levels)
+    flat = sum((pinball(F.col("again"), q) for q in levels), F.lit(0.0)) / len(levels)
+    half = F.col(f"q{list(levels).index(0.5) + 1}") if 0.5 in levels else F.col("pred")
+    each = rows.groupBy(*config, *series).agg(F.try_divide(F.avg(F.abs(a - half)), F.first(scale)).alias("m"), F.try_divide(F.avg(F.abs(a - F.col("again"))), F.first(scale)).alias("o"), F.sum(loss).alias("l"), F.sum(flat).alias("f"), F.sum(F.abs(a)).alias("t"))
+    out = each.groupBy(*config).agg(F.avg("m").alias("mase"), F.try_divide(F.sum("l"), F.sum("t")).alias("wql"), F.avg("o").alias("again_mase"), F.try_divide(F.sum("f"), F.sum("t")).alias("again_wql"), F.count(F.lit(1)).alias("n"))
+    out = out.withColumn("relative_mase", F.try_divide("mase", "again_mase")).withColumn("relative_wql", F.try_divide("wql", "again_wql"))
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.col("relative_wql").asc_nulls_last())))  # a row a configuration

@@ -126,7 +126,7 @@ class PanelForecaster:
         series, or of the column seeds), so that runs with and without exogenous columns differ by these alone; else each origin has its own.
         The test window travels with its training rows, so that rows are dealt out once for each origin and scores are sums over what the kernel returns.
         freqs, and names of columns for train and horizon: as in forecast(). season: of the naive error's scale; None takes that of each series' frequency.
-        output='steps': (series, origin, step, actual, pred, naive, q...) before they are summed, with a column for each of quantiles, named q1, q2...
+        output='steps': (series, origin, step, actual, pred, naive, again, q...) before they are summed, with the value a season ago (again) and a column for each of quantiles, named q1, q2...
         """
         clean.validate_request(1 if isinstance(horizon, str) else horizon, self.freq or "", self.n_samples)
         keys = [series] if isinstance(series, str) else list(series)
@@ -143,11 +143,14 @@ class PanelForecaster:
         ahead = F.col("part") == "test"
         rows = parts.select(*own, F.lit(None).cast("long").alias("_order"), F.col("at").cast("long").alias("_step"), ahead.alias("_ahead"), F.col("y").cast("double").alias("y"), *exog, "_seed", "_freq", "_horizon")
         levels = [float(q) for q in quantiles]
-        names = ["step", "actual", "pred", "naive", *(f"q{i + 1}" for i in range(len(levels)))]
+        names = ["step", "actual", "pred", "naive", *(["again"] if output == "steps" else []), *(f"q{i + 1}" for i in range(len(levels)))]
 
         def made(paths: np.ndarray, known: Ahead) -> list[np.ndarray]:
             h = paths.shape[1]
-            out = [np.arange(h, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(h, naive(known.history, season_of(known.freq) if season is None else season))]
+            own = season_of(known.freq) if season is None else season
+            out = [np.arange(h, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(h, naive(known.history, own))]
+            if output == "steps":
+                out.append(np.resize(fill(known.history)[-own:], h))
             return out + (list(np.quantile(paths, levels, axis=0)) if levels else [])
 
         out = self._walked(rows, own, exog, names, ", ".join(f"{n} {'int' if n == 'step' else 'double'}" for n in names), made, freqs is not None, False)
