@@ -371,8 +371,9 @@ def _table(frame: bytes, h: Header, out: Audio, rest: bytes, at: int) -> bool:
 
 def read_payload(data: bytes, a: Audio) -> bytes:
     """The ancillary data that write_audio() stored; raises ValueError if they don't match the tag."""
-    raw = b"".join(data[o + HEAD : o + n] for o, n in zip(a.offsets, a.sizes, strict=True))[: int(a.tags["TXXX:payload_bytes"])]
-    if f"{zlib.crc32(raw):08x}" != a.tags["TXXX:payload_crc32"]:
+    size = a.tags.get("TXXX:payload_bytes", "")
+    raw = b"".join(data[o + HEAD : o + n] for o, n in zip(a.offsets, a.sizes, strict=True))[: int(size) if size.isdecimal() else 0]
+    if f"{zlib.crc32(raw):08x}" != a.tags.get("TXXX:payload_crc32") or not a.tags.get("TXXX:n_bytes", "").isdecimal():
         raise ValueError("the stored payload is damaged")
     return raw
 
@@ -394,20 +395,25 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 PROBED = {
     "frames": pa.int64(), "hertz": pa.int32(), "samples": pa.int64(), "seconds": pa.float64(), "vbr": pa.string(), "crc_ok": pa.int64(), "crc_bad": pa.int64(), "music_ok": pa.bool_(), "skipped": pa.int64(), "seek": pa.list_(pa.int64()),
-    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "payload_ok": pa.bool_(),
 }
-PROBED_DDL = "frames long, hertz int, samples long, seconds double, vbr string, crc_ok long, crc_bad long, music_ok boolean, skipped long, seek array<long>, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PROBED_DDL = "frames long, hertz int, samples long, seconds double, vbr string, crc_ok long, crc_bad long, music_ok boolean, skipped long, seek array<long>, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload_ok boolean"
 
 
 def describe(data: bytes | None, every: int = 1) -> tuple:
-    """A row of PROBED. seek: the byte offset of each `every`-th frame. Payload columns are null in streams that hold none."""
+    """A row of PROBED. seek: the byte offset of each `every`-th frame. payload_ok: null in streams that hold no payload, false in those whose payload is damaged; payload columns are null in both."""
     a = read_audio(data)
     data = data or b""
-    raw = read_payload(data, a) if "TXXX:payload_crc32" in a.tags else None
+    raw, fine = None, None
+    if "TXXX:payload_crc32" in a.tags:
+        try:
+            raw, fine = read_payload(data, a), True
+        except ValueError:
+            fine = False
     seek = a.offsets[::every]
     feature = f"mpeg{a.version}-layer{a.layer};hz={a.hertz};vbr={a.vbr};frames={len(a.offsets)};samples={a.samples};crc={a.crc_ok}/{a.crc_ok + a.crc_bad};music={a.music_ok};skipped={a.skipped};seek={zlib.crc32(np.array(seek, '<i8').tobytes()):08x}"
     own = (None,) * 4 if raw is None else (int(a.tags["TXXX:n_bytes"]), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
-    return (len(a.offsets), a.hertz, a.samples, a.seconds, a.vbr, a.crc_ok, a.crc_bad, a.music_ok, a.skipped, seek, *own, len(data), hashlib.sha256(data).hexdigest(), feature)
+    return (len(a.offsets), a.hertz, a.samples, a.seconds, a.vbr, a.crc_ok, a.crc_bad, a.music_ok, a.skipped, seek, *own, len(data), hashlib.sha256(data).hexdigest(), feature, fine)
 
 
 def probe(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
