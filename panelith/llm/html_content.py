@@ -41,6 +41,9 @@ ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search aler
 ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement adverts adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion promoted related respond reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside such a name in a class or an id without changing what it says ("site-footer", "widget_area").
+AROUND_NAMES = frozenset("area articles bar block bottom box button buttons col column container content fixed form global group holder icon icons inner item items left link links list main mobile outer page panel post posts primary right row secondary section site text title top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
@@ -94,10 +97,18 @@ def _beside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "") in ASIDE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    if named == " " or name in ("body", "html", "article", "main"):
+    if name in HEADINGS or in_main and name in INLINE or name in ("body", "html", "article", "main"):
         return False
-    return any(w in ASIDE_NAMES and not (in_main and w == "header") for w in re.findall(r"[a-z]+", named))  # an article's own header holds its title
+    # Ids are often made of the words of a heading: within an article they say nothing, and elsewhere, as classes do, only if all of their words do.
+    named = attrs.get("class", "") if in_main else f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return any(_names_aside(token, in_main) for token in named.lower().split())
+
+
+@lru_cache(65536)
+def _names_aside(token: str, in_main: bool) -> bool:
+    words = re.findall(r"[^\W\d_]+", token)
+    telling = [w for w in words if w in ASIDE_NAMES and not (in_main and w == "header")]  # an article's own header holds its title
+    return bool(telling) and all(w in ASIDE_NAMES or w in AROUND_NAMES for w in words)
 
 
 def parse(page: str | None) -> Page:
@@ -321,9 +332,9 @@ def host_of(url: str | None) -> str | None:
 
 
 def copy_key(blocks: list[Block]) -> int:
-    """Pages that agree in this are copies: a hash of the two longest texts. Copies of a page count once, or what they share would pass for a template."""
-    texts = sorted({b.text for b in blocks}, key=lambda t: (-len(t), t))[:2]
-    return _hash("\n".join(texts))
+    """Pages that agree in this are copies: a hash of the two longest texts in their article or main elements, or of all texts where there are none. Copies of a page count once, or what they share would pass for a template."""
+    inside = sorted({b.text for b in blocks if b.main}, key=lambda t: (-len(t), t))[:2]
+    return _hash("\n".join(inside or sorted({b.text for b in blocks})))
 
 
 @dataclass
