@@ -92,6 +92,20 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...], equal: float) -> tuple[
     return materialise(rows.mapInArrow(word_rows, "item long, item_id long, words binary"), "item-words"), rows.select("item", "text").mapInArrow(seed_rows, "hash long, mask int, item long, item_at int")
 
 
+def diagonals(shared: list[dict], n_doc: int, n_item: int) -> list[int]:
+    """The differences of the places that a document and an item have of the seeds they share, in order. A seed's places are marked one row of differences at a time, so a text that repeats a word costs no memory for its pairs."""
+    found = np.zeros(n_doc + n_item + 1, bool)
+    for s in shared:
+        a, b = np.array(s["ats"], np.int64), np.array(s["item_ats"], np.int64)
+        if len(a) < len(b):
+            for x in a:
+                found[x - b + n_item] = True
+        else:
+            for y in b:
+                found[a - y + n_item] = True
+    return (np.flatnonzero(found) - n_item).tolist()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, equal: float = MIN_EQUAL) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): the longest overlap of each document and item.
 
@@ -109,8 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     n_seeds = sum(only.values())
     bits = filter_bits(n_seeds)
     filled = spark.sparkContext.broadcast(bloom(item_seeds, bits))
-    schema = "doc_id long, words binary, hits array<struct<hash:long,mask:int,at:int>>"
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("mask", pa.int32()), ("at", pa.int32())]))
+    schema = "doc_id long, words binary, hits array<struct<hash:long,mask:int,ats:array<int>>>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,36 +136,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
                 if not got:
                     continue
                 first, h, m = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.argsort(first, kind="stable")
+                if not len(first):
+                    continue
+                order = np.lexsort((first, h, m, w.row[first]))  # places of one seed in one document come together
                 first, h, m = first[order], h[order], m[order]
                 row = w.row[first]
-                rows, begins = np.unique(row, return_index=True)
-                if not len(rows):
-                    continue
-                hits = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(m), pa.array((first - w.first[row]).astype(np.int32))], fields=list(kind.value_type))
+                starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (m[1:] != m[:-1]) | (h[1:] != h[:-1]))))
+                ats = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array((first - w.first[row]).astype(np.int32)))
+                hits = pa.StructArray.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(m[starts]), ats], names=["hash", "mask", "ats"])
+                rows, begins = np.unique(row[starts], return_index=True)
                 ids = b.column(0).slice(at, n).take(pa.array(rows))
                 words = [w.hash[w.first[r] : w.first[r + 1]].tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)).astype(np.int32)), hits)], names=["doc_id", "words", "hits"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(begins, len(starts)).astype(np.int32)), hits)], names=["doc_id", "words", "hits"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(find, schema)
     hit = materialise(found.withColumn("row", F.monotonically_increasing_id()), "hits")
     single = hit.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     small = n_seeds <= BROADCAST_SEEDS and items.agg(F.coalesce(F.sum(F.length("words") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    met = single.join(F.broadcast(item_seeds), ["hash", "mask"]) if small else spread_join(single, item_seeds, ["hash", "mask"], "row")
-    pairs = met.select("row", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    rows = (pairs.join(F.broadcast(items), "item") if small else spread_join(pairs, items, ["item"], "row")).join(hit.select("row", "doc_id", F.col("words").alias("doc_words")), "row").select("row", "doc_id", "item_id", "diagonal", "words", "doc_words")
+    seeds_of = item_seeds.groupBy("hash", "mask", "item").agg(F.collect_list("item_at").alias("item_ats"))
+    met = single.join(F.broadcast(seeds_of), ["hash", "mask"]) if small else spread_join(single, seeds_of, ["hash", "mask"], "row")
+    # A row for each document and item: the places of each seed that they share, as many as the two have words; their words come once.
+    pairs = met.groupBy("row", "item").agg(F.collect_list(F.struct("ats", "item_ats")).alias("shared"))
+    rows = (pairs.join(F.broadcast(items), "item") if small else spread_join(pairs, items, ["item"], "row")).join(hit.select("row", "doc_id", F.col("words").alias("doc_words")), "row").select("row", "doc_id", "item_id", "shared", "words", "doc_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         names = ["row", "doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"]
         for b in batches:
-            for at in range(0, b.num_rows, 512):
+            for at in range(0, b.num_rows, 64):
                 out = []
-                for row, doc, item, diagonal, words, own in zip(*(c.to_pylist() for c in b.slice(at, 512).columns), strict=True):
-                    words = np.frombuffer(words, np.uint64)
-                    got = overlap(np.frombuffer(own, np.uint64), words, diagonal, equal)
-                    if got[2] >= min(min_overlap, len(words)):
-                        out.append((row, doc, item, *got))
+                for row, doc, item, shared, words, own in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                    words, own = np.frombuffer(words, np.uint64), np.frombuffer(own, np.uint64)
+                    for diagonal in diagonals(shared, len(own), len(words)):
+                        got = overlap(own, words, diagonal, equal)
+                        if got[2] >= min(min_overlap, len(words)):
+                            out.append((row, doc, item, *got))
                 cols = zip(*out, strict=True) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
