@@ -155,5 +155,13 @@ def number_rows(df: DataFrame, within: tuple[str, ...] = (), buckets: int | None
     return placed.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1))).toDF(*names, out)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until no column of df is called so (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm._common import bloom, filter_bits, forget_since, in_bloom, mark, materialise, ship, spread_join, table
+from panelith.llm._common import bloom, filter_bits, forget_since, free_name, in_bloom, mark, materialise, ship, spread_join, table
 from panelith.llm._words import Words, mix, slices
 
 SHINGLE = 5
@@ -351,11 +351,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay: of each class the one with the smallest doc_id (of rows alike in doc_id and text, any one); rows without a text stay."""
-    heads = text_classes(docs, similar).filter("id = class_text").select(F.col("id").alias("_head"), F.col("class_id").alias("_head_doc"))
-    rows = docs.withColumn("_tid", text_id(F.col("text").cast("string")))
-    same = (F.col("_tid") == F.col("_head")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_head_doc"))
-    kept = rows.join(heads, same).drop("_head_doc").dropDuplicates(["_head"]).drop("_head", "_tid")
-    return kept.unionByName(rows.filter("_tid is null").drop("_tid"))
+    tid, head, head_doc = (free_name(n, docs) for n in ("_tid", "_head", "_head_doc"))
+    heads = text_classes(docs, similar).filter("id = class_text").select(F.col("id").alias(head), F.col("class_id").alias(head_doc))
+    rows = docs.withColumn(tid, text_id(F.col("text").cast("string")))
+    same = (F.col(tid) == F.col(head)) & F.col("doc_id").cast("long").eqNullSafe(F.col(head_doc))
+    kept = rows.join(heads, same).drop(head_doc).dropDuplicates([head]).drop(head, tid)
+    return kept.unionByName(rows.filter(F.col(tid).isNull()).drop(tid))
 
 
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
