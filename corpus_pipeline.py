@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelith.llm import decontaminate, language, neardup, packing, secrets
-from panelith.llm._common import forget_since, mark, materialise, table
+from panelith.llm._common import forget_since, free_name, mark, materialise, table
 
 BROADCAST_ROWS = 500_000
 
@@ -14,7 +14,8 @@ BROADCAST_ROWS = 500_000
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
-    return language.predict(docs, model, into="_predicted").filter(F.col("_predicted.lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    into = free_name("_predicted", docs)
+    return language.predict(docs, model, into=into).filter(F.col(f"{into}.lang_pred") != language.UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +25,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go. They go by their text's hash, so null and repeated doc_ids don't matter."""
-    key, since = F.xxhash64("text"), mark(spark)
-    hit = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
+    key, since, name = F.xxhash64("text"), mark(spark), free_name("_hit", docs)
+    hit = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
     hit = materialise(hit, "contaminated")
     forget_since(since, hit)
     small = hit.count() <= BROADCAST_ROWS  # a number each; beyond that both sides are shuffled
-    return docs.join(F.broadcast(hit) if small else hit, key == F.col("_hit"), "left_anti")
+    return docs.join(F.broadcast(hit) if small else hit, key == F.col(name), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
