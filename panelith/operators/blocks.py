@@ -49,9 +49,9 @@ def _carried(df: DataFrame, keys: list[str], facts: dict[str, Column], carries:
 
 
 def _windows(keys: list[str]) -> tuple[Window, Window, Window]:
-    """Over a series' blocks: those before, those after, all."""
+    """Over a series' blocks: those before, those after (the next one last), all."""
     w = Window.partitionBy(*keys)
-    return w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), w.orderBy("block").rowsBetween(1, Window.unboundedFollowing), w
+    return w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), w.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), w
 
 
 def index_series(df: DataFrame, series: str | Sequence[str] = "series_id", order: str | Sequence[str] = "ts") -> DataFrame:
@@ -68,7 +68,7 @@ def interpolate(df: DataFrame, y: str = "y", fallback: float = 0.0, series: str
     keys = [series] if isinstance(series, str) else list(series)
     point = F.when(~_missing(F.col(y)), F.struct(F.col(order).alias("i"), F.col(y).cast("double").alias("y")))
     before, after, _ = _windows(keys)
-    rows = _carried(df, keys, {"_first": F.min(point), "_last": F.max(point)}, {"_from": F.last("_last", ignorenulls=True).over(before), "_to": F.first("_first", ignorenulls=True).over(after)})
+    rows = _carried(df, keys, {"_first": F.min(point), "_last": F.max(point)}, {"_from": F.last("_last", ignorenulls=True).over(before), "_to": F.last("_first", ignorenulls=True).over(after)})
     w = Window.partitionBy(*keys, "block")
     nearest = lambda by: F.last(point, ignorenulls=True).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_a", F.coalesce(nearest(F.asc(order)), "_from")).withColumn("_b", F.coalesce(nearest(F.desc(order)), "_to"))
