@@ -379,27 +379,29 @@ def region_of(wrapper: list[tuple[int, str]], mass: dict[int, int]) -> set[int]:
     return out
 
 
-def extract(page: Page, wrapper: Wrapper | None) -> str:
+def extract(page: Page, wrapper: Wrapper | None, use_elements: bool = True) -> str:
     """The content of a page.
 
-    With a wrapper: blocks in its region (and varying first headings outside it) that are neither constant on the host's pages nor a menu's.
-    A page that has nothing there, or no wrapper, is judged on its own: by its article or main element if one holds text, else by all. Parts
-    that their elements mark as beside the content are left out in either case.
+    With a wrapper, it decides first: blocks in its region (and varying first headings outside it) that are neither constant on the host's pages
+    nor a menu's. Of these, parts that their elements mark as beside the content, such as readers' comments, are left out. A page that has nothing
+    there, or no wrapper, is judged on its own: by its article or main element if one holds text, else by all parts that aren't marked so.
+    use_elements: False goes by no element's or name's meaning.
     """
-    own = [b for b in page.blocks if not b.aside]
+    own = [b for b in page.blocks if not (use_elements and b.aside)]
     if wrapper is not None and own:
         of = _placed(to_text(page.nodes), wrapper.nodes)
-        kept = [b for b in own if of[b.node] not in wrapper.menus and (of[b.node] in wrapper.region or of[b.node] in wrapper.titles) and (of[b.node], _hash(b.text)) not in wrapper.constant]
+        kept = [b for b in page.blocks if of[b.node] not in wrapper.menus and (of[b.node] in wrapper.region or of[b.node] in wrapper.titles) and (of[b.node], _hash(b.text)) not in wrapper.constant]
+        kept = [b for b in kept if not (use_elements and b.aside)]
         if any(of[b.node] in wrapper.region for b in kept):
             return " ".join(b.text for b in kept)
-    if any(b.main for b in own):
+    if use_elements and any(b.main for b in own):
         own = [b for b in own if b.main]
     return " ".join(b.text for b in own)
 
 
-def _outlines(pages: DataFrame) -> DataFrame:
-    """(host, copy, tree, blocks) of each page with a host and text: blocks as (id of the node, hash of the text, characters, of these within links), without those beside the content by their elements."""
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32())]))
+def _outlines(pages: DataFrame, use_elements: bool) -> DataFrame:
+    """(host, copy, tree, blocks) of each page with a host and text: blocks as (id of the node, hash of the text, characters, of these within links, of these in parts that their elements don't mark as beside the content)."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.int64()), ("chars", pa.int32()), ("linked", pa.int32()), ("open", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -408,14 +410,15 @@ def _outlines(pages: DataFrame) -> DataFrame:
                 for url, html in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     host = host_of(url)
                     page = parse(html) if host is not None else None
-                    own = [x for x in page.blocks if not x.aside] if page else []
+                    own = [x for x in page.blocks if not (use_elements and x.aside)] if page else []
                     if own:
                         ids = page.ids
-                        rows.append((host, copy_key(own), to_text(page.nodes), [{"node": ids[x.node], "text": _hash(x.text), "chars": len(x.text), "linked": x.linked} for x in own]))
+                        blocks = [{"node": ids[x.node], "text": _hash(x.text), "chars": len(x.text), "linked": x.linked, "open": 0 if use_elements and x.aside else len(x.text)} for x in page.blocks]
+                        rows.append((host, copy_key(own), to_text(page.nodes), blocks))
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), kind), strict=True)], names=["host", "copy", "tree", "blocks"])
 
-    schema = "host string, copy long, tree string, blocks array<struct<node:long,text:long,chars:int,linked:int>>"
+    schema = "host string, copy long, tree string, blocks array<struct<node:long,text:long,chars:int,linked:int,open:int>>"
     return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema)
 
 
@@ -436,15 +439,16 @@ def _merged(kinds: DataFrame) -> DataFrame:
             return kinds.select("host", F.col("tree").alias("wrapper"))
 
 
-def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
+def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT, use_elements: bool = True) -> DataFrame:
     """(host, data) of hosts with at least min_pages pages that aren't copies of each other: a Wrapper each, pickled.
 
     A text is constant in a slot if at least min_pages such pages, and a share of at least `constant` of those that have the slot, hold
-    it there. Trees, texts and slots are counted with partial aggregation, so a hot host or a copied page is small before it is
+    it there; all blocks are judged so. Only where the region of content is goes by parts that aren't marked as beside it (all, without use_elements),
+    since long comments would draw it outwards. Trees, texts and slots are counted with partial aggregation, so a hot host or a copied page is small before it is
     shuffled; a host's trees meet in bounded groups.
     """
     ship(pages.sparkSession)
-    outlines = materialise(_outlines(pages), "outlines")
+    outlines = materialise(_outlines(pages, use_elements), "outlines")
     kinds = materialise(outlines.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")), "trees")
     wrappers = _merged(kinds)
 
@@ -455,15 +459,15 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONST
 
     blocks = outlines.select("host", "copy", F.xxhash64("tree").alias("key"), F.explode("blocks").alias("b")).select("host", "copy", "key", "b.*")
     # One row for each text that a page and its copies have in a node: then slots by the tree's alignment.
-    texts = blocks.groupBy("host", "key", "node", "text", "copy").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked"))
+    texts = blocks.groupBy("host", "key", "node", "text", "copy").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked"), F.max("open").alias("open"))
     moved = spread_join(kinds, wrappers, ["host"], "tree").select("host", F.xxhash64("tree").alias("key"), F.explode(moves("tree", "wrapper")).alias("s")).select("host", "key", "s.node", "s.slot")
-    texts = texts.join(moved, ["host", "key", "node"], "left").select("host", F.coalesce("slot", "node").alias("slot"), "text", "copy", "chars", "linked")
-    texts = materialise(texts.groupBy("host", "slot", "text", "copy").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked")), "texts")
+    texts = texts.join(moved, ["host", "key", "node"], "left").select("host", F.coalesce("slot", "node").alias("slot"), "text", "copy", "chars", "linked", "open")
+    texts = materialise(texts.groupBy("host", "slot", "text", "copy").agg(*[F.max(c).alias(c) for c in ("chars", "linked", "open")]), "texts")
     of_slot = texts.select("host", "slot", "copy").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
-    counts = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    counts = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("chars", "linked", "open")])
     counts = spread_join(counts, of_slot, ["host", "slot"], "text")
     counts = counts.withColumn("fixed", (F.col("n") >= min_pages) & (F.col("n") >= constant * F.col("pages")))
-    varying = F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("varying")
+    varying = F.sum(F.when(~F.col("fixed"), F.col("open")).otherwise(0)).alias("varying")
     stats = counts.groupBy("host", "slot").agg(varying, F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.collect_list(F.when(F.col("fixed"), F.col("text"))).alias("fixed"))
     enough = texts.select("host", "copy").distinct().groupBy("host").count().filter(F.col("count") >= min_pages).select("host")
     # A wrapper's slots are as many as its nodes: trees of a host differ in few.
@@ -487,8 +491,8 @@ def _wrapper(tree: str, stats: list) -> Wrapper:
     return Wrapper(tree, frozenset(region), frozenset(titles), menus, frozenset((s["slot"], t) for s in stats for t in s["fixed"]))
 
 
-def main_text(pages: DataFrame, use_wrappers: bool = True) -> DataFrame:
-    """pages (with url and html) with text, the content of each page. use_wrappers: False judges each page on its own.
+def main_text(pages: DataFrame, use_wrappers: bool = True, use_elements: bool = True) -> DataFrame:
+    """pages (with url and html) with text, the content of each page. use_wrappers: False judges each page on its own; use_elements: False leaves all to the wrappers.
 
     Blocks are joined by one space in page order, character references decoded, white space within a block turned into one space.
     Null or empty html gives an empty text; pages without a host, or of a host with few pages, are judged on their own; a column text that is there is replaced, others stay.
@@ -500,14 +504,14 @@ def main_text(pages: DataFrame, use_wrappers: bool = True) -> DataFrame:
     packed = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)]).alias("row")
     rows = pages.select(packed, F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     unpacked = [F.col(f"row._{i}").alias(c) for i, c in enumerate(rest)]
-    found = induce(pages) if use_wrappers else None
+    found = induce(pages, use_elements=use_elements) if use_wrappers else None
     if found is None or found.agg(F.coalesce(F.sum(F.length("data") + F.length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         known = spark.sparkContext.broadcast({r["host"]: bytes(r["data"]) for r in found.collect()} if found is not None else {})
 
         @F.pandas_udf("string")
         def content(url: pd.Series, page: pd.Series) -> pd.Series:
             wrappers = [known.value.get(host_of(u)) for u in url]
-            return pd.Series([extract(parse(p), None if w is None else _loaded(w)) for p, w in zip(page, wrappers, strict=True)], dtype=object)
+            return pd.Series([extract(parse(p), None if w is None else _loaded(w), use_elements) for p, w in zip(page, wrappers, strict=True)], dtype=object)
 
         return rows.select(*unpacked, content("url", "html").alias("text"))
 
@@ -517,7 +521,7 @@ def main_text(pages: DataFrame, use_wrappers: bool = True) -> DataFrame:
 
     @F.pandas_udf("string")
     def joined_content(page: pd.Series, data: pd.Series) -> pd.Series:
-        return pd.Series([extract(parse(p), None if w is None else _loaded(bytes(w))) for p, w in zip(page, data, strict=True)], dtype=object)
+        return pd.Series([extract(parse(p), None if w is None else _loaded(bytes(w)), use_elements) for p, w in zip(page, data, strict=True)], dtype=object)
 
     met = spread_join(rows.withColumn("host", host("url")).withColumn("_by", F.xxhash64("html")), found, ["host"], "_by", 64, "left")
     return met.select(*unpacked, joined_content("html", "data").alias("text"))

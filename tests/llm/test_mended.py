@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -72,3 +74,12 @@ def test_clashing_columns_stay(spark, sf_dir):
     clean = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
     assert clean.columns == docs.columns and {r._hit for r in clean.collect()} == {"_hit"}
     assert corpus_pipeline.identify_language(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_wrappers_alone_find_the_articles(spark, sf_dir):
+    """On given pages of hosts with enough pages, the wrappers give without any element's or name's meaning what they give with them; nothing else would."""
+    given = spark.read.parquet(str(Path(sf_dir).parent / "sf0.01" / "pages.parquet")).repartition(4)
+    both, alone, none = ({r.page_id: r.text for r in html_content.main_text(given, *flags).collect()} for flags in ((True, True), (True, False), (False, False)))
+    hosts = Counter(html_content.host_of(r.url) for r in given.select("url").collect())
+    many = {r.page_id for r in given.collect() if hosts[html_content.host_of(r.url)] >= html_content.MIN_PAGES}
+    assert many and all(alone[k] == both[k] != none[k] for k in many if both[k])
