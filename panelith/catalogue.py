@@ -1224,6 +1224,54 @@ def backtest_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].join(out[1], ["series_id", "origin"]).join(out[2], ["series_id", "origin"])
 
 
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, ts, y, x1, x2): each priority's order value by day, 0 where there is none, with the day's orders and whether it is a weekend."""
+    day = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), panels.truncate_ts(F.col("o_orderdate"), "day").alias("ts"))
+    days = day.agg(F.sum("o_totalprice").alias("y"), F.count(F.lit(1)).cast("double").alias("x1"))
+    rows = panels.spine(days, "day").join(days, ["series_id", "ts"], "left").na.fill(0.0, ["y", "x1"])
+    return rows.withColumn("x2", (F.dayofweek("ts").isin(1, 7)).cast("double"))
+
+
+DAYS_TRAIN, DAYS_AHEAD, DAYS_ORIGINS = 365, 14, 12
+_DAYS = f"""dd AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, sum(o_totalprice) AS y, count(*)::DOUBLE AS x1 FROM orders GROUP BY 1, 2),
+ds AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 day))::TIMESTAMP AS ts FROM dd GROUP BY 1),
+dp AS (SELECT series_id, ts, coalesce(y, 0.0) AS y, coalesce(x1, 0.0) AS x1, (isodow(ts) > 5)::INT::DOUBLE AS x2, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, greatest((count(*) OVER (PARTITION BY series_id) - {DAYS_TRAIN + DAYS_AHEAD}) // {DAYS_ORIGINS}, 1) AS gap, count(*) OVER (PARTITION BY series_id) AS n FROM ds LEFT JOIN dd USING (series_id, ts)),
+dw AS (SELECT series_id, k::BIGINT AS origin, i - k * gap AS j, y, x1, x2 FROM dp, (SELECT unnest(range({DAYS_ORIGINS})) AS k) WHERE i >= k * gap AND i < k * gap + {DAYS_TRAIN + DAYS_AHEAD} AND k * gap + {DAYS_TRAIN + DAYS_AHEAD} <= n)"""
+
+
+def _day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_days(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1)
+    return evaluate.rolling_origins(rows, DAYS_TRAIN, DAYS_AHEAD, DAYS_ORIGINS, keep=["x1", "x2"]).withColumn("origin", F.col("origin").cast("long"))
+
+
+@query(f"WITH {_DAYS} SELECT series_id, origin, CASE WHEN j < {DAYS_TRAIN} THEN 'train' ELSE 'test' END AS part, (CASE WHEN j < {DAYS_TRAIN} THEN j ELSE j - {DAYS_TRAIN} END)::BIGINT AS at, round(y, 2) AS y, x1, x2 FROM dw")
+def daily_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a year and the two weeks after it, twelve over the length of a daily panel, with the columns known ahead."""
+    return _day_windows(spark, sf_dir).withColumn("y", F.round("y", 2))
+
+
+@query(f"""WITH {_DAYS}, e AS (SELECT *, abs(y - lag(y, 7) OVER (PARTITION BY series_id, origin ORDER BY j)) AS e FROM dw),
+nv AS (SELECT series_id, origin, avg(e) FILTER (j < {DAYS_TRAIN}) AS naive FROM e GROUP BY 1, 2),
+fc AS (SELECT t.series_id, t.origin, t.y AS actual, g.y AS pred FROM dw t JOIN dw g ON g.series_id = t.series_id AND g.origin = t.origin AND g.j = {DAYS_TRAIN - 7} + (t.j - {DAYS_TRAIN}) % 7 WHERE t.j >= {DAYS_TRAIN})
+SELECT series_id, origin, round(avg(abs(actual - pred)) / any_value(naive), 6) AS mase, round(avg(abs(actual - pred)), 4) AS mae, round(100 * avg(abs(actual - pred) / greatest((abs(actual) + abs(pred)) / 2, 1e-8)), 6) AS smape FROM fc JOIN nv USING (series_id, origin) GROUP BY 1, 2""")
+def daily_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the value a week ago over these windows."""
+    out = evaluate.again_scores(_day_windows(spark, sf_dir), 7)
+    return out.select("series_id", "origin", r6("mase").alias("mase"), F.round("mae", 4).alias("mae"), r6("smape").alias("smape"))
+
+
+@query()
+def backtest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, origin, and mase, mae and smape plain, with the known columns and with noise): a year each, two weeks ahead, one seed a series; with the scores of the value a week ago."""
+    rows = panels.with_noise(order_days(spark, sf_dir).withColumn("i", F.unix_date(F.col("ts").cast("date"))), ["n1", "n2"]).drop("i")
+    model, keys = PanelForecaster("D", 100), ["series_id", "origin"]
+    named = lambda df, name: df.select(*keys, *[F.col(c).alias(f"{c}{name}") for c in ("mase", "mae", "smape")])
+    out = named(evaluate.again_scores(_day_windows(spark, sf_dir), 7), "_again")
+    for name, cols in (("", []), ("_exog", ["x1", "x2"]), ("_noise", ["n1", "n2"])):
+        out = out.join(named(model.backtest(rows, DAYS_TRAIN, DAYS_AHEAD, DAYS_ORIGINS, 7, exog=cols, same_seed=True), name), keys)
+    return out
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed panel once for each of three terms, which are 1, 2 and 3 horizons long, with config (frequency and term), horizon and train, the rows before the last horizon."""
     terms = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("k")) for t, k in (("short", 1), ("medium", 2), ("long", 3))])).alias("t")

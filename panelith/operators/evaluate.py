@@ -64,6 +64,22 @@ def scores(forecasts: DataFrame, keys: Sequence[str], guard: str = "missing", ex
     return out.withColumn("mase", F.try_divide(F.col("mae"), F.col("_below"))).drop("_below")
 
 
+def again_scores(windows: DataFrame, season: int, series: str | Sequence[str] = "series_id", guard: str = "missing") -> DataFrame:
+    """(series, origin, mase, mae, smape) of the value a season ago over the windows of rolling_origins(): what a backtest is held against.
+
+    A training window of less than a season has no such value; its scores are null, as where the scale is under the guard. Only the last season
+    of each training window is joined to its test window.
+    """
+    own = [*([series] if isinstance(series, str) else series), "origin"]
+    w = Window.partitionBy(*own, "part").orderBy("at")
+    rows = windows.withColumn("_e", F.abs(F.col("y") - F.lag("y", season).over(w))).withColumn("_back", F.max("at").over(Window.partitionBy(*own, "part")) - F.col("at"))
+    train = rows.filter("part = 'train'")
+    scale = train.groupBy(*own).agg(F.avg("_e").alias("naive"))
+    tail = train.filter(F.col("_back") < season).select(*own, (season - 1 - F.col("_back")).alias("_pos"), F.col("y").alias("pred"))
+    test = windows.filter("part = 'test'").select(*own, F.col("at").alias("step"), F.col("y").alias("actual"), F.pmod("at", F.lit(season)).alias("_pos"))
+    return scores(test.join(tail, [*own, "_pos"], "left").join(scale, own, "left"), own, guard).select(*own, "mase", "mae", "smape")
+
+
 def report(scores: DataFrame, base: str, other: str) -> DataFrame:
     """One row: means of two columns of scores, other's change in percent, other's wins, the worst inflation and the count."""
     b, o = F.avg(base), F.avg(other)
