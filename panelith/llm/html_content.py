@@ -385,7 +385,8 @@ def extract(page: Page, wrapper: Wrapper | None, use_elements: bool = True) -> s
     With a wrapper, it decides first: blocks in its region (and varying first headings outside it) that are neither constant on the host's pages
     nor a menu's. Of these, parts that their elements mark as beside the content, such as readers' comments, are left out. A page that has nothing
     there, or no wrapper, is judged on its own: by its article or main element if one holds text, else by all parts that aren't marked so.
-    use_elements: False goes by no element's or name's meaning.
+    use_elements: False keeps parts whatever their elements and names say; only which
+    nodes are containers, that a first heading may be a title, and which pages are copies of an article still goes by elements.
     """
     own = [b for b in page.blocks if not (use_elements and b.aside)]
     if wrapper is not None and own:

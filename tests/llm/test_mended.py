@@ -77,7 +77,7 @@ def test_clashing_columns_stay(spark, sf_dir):
 
 
 def test_wrappers_alone_find_the_articles(spark, sf_dir):
-    """On given pages of hosts with enough pages, the wrappers give without any element's or name's meaning what they give with them; nothing else would."""
+    """On given pages of hosts with enough pages, the wrappers keep without the marks of elements and names what they keep with them; without either, no page is right."""
     given = spark.read.parquet(str(Path(sf_dir).parent / "sf0.01" / "pages.parquet")).repartition(4)
     both, alone, none = ({r.page_id: r.text for r in html_content.main_text(given, *flags).collect()} for flags in ((True, True), (True, False), (False, False)))
     hosts = Counter(html_content.host_of(r.url) for r in given.select("url").collect())
