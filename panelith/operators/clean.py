@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def validate_request(horizon: int, freq: str, n_samples: int, noise: str = "bootstrap") -> None:
+def validate_request(horizon: int, freq: str, n_samples: int, noise: str = "bootstrap", period: int | None = None) -> None:
     if noise not in ("bootstrap", "t"):
         raise ValueError('noise must be "bootstrap" or "t"')
     if not isinstance(freq, str):
         raise TypeError("freq must be a string")
-    for name, value in (("horizon", horizon), ("n_samples", n_samples)):
+    for name, value in (("horizon", horizon), ("n_samples", n_samples), *([] if period is None else [("period", period)])):
         if isinstance(value, bool) or not isinstance(value, numbers.Integral):
             raise TypeError(f"{name} must be an integer")
         if value < 1:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelith.constants import NOISE_PERIODS
+from panelith.constants import MOST_PERIODS, NOISE_PERIODS
 from panelith.functions import calendar
 from panelith.functions.calendar import season_of
 from panelith.functions.numeric import item_seed
@@ -36,12 +36,12 @@ def _columns(name: str, x: object, n: int, length: str) -> np.ndarray:
     return a
 
 
-def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int | None = None, X_hist: object = None, X_future: object = None, noise: str = "bootstrap") -> np.ndarray:
-    """Sample paths (n_samples, horizon) of one series of values, NaN for missing ones. noise: see sample_paths().
+def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int | None = None, X_hist: object = None, X_future: object = None, noise: str = "bootstrap", period: int | None = None) -> np.ndarray:
+    """Sample paths (n_samples, horizon) of one series of values, NaN for missing ones. noise: see sample_paths(). period: held instead of chosen from the frequency's by the values.
 
     X_hist and X_future are known columns for the history and the horizon; a future column without values takes the last of its history.
     """
-    clean.validate_request(horizon, freq, n_samples, noise)
+    clean.validate_request(horizon, freq, n_samples, noise, period)
     raw = np.asarray(y, dtype=np.float64)
     if raw.ndim != 1:
         raise ValueError("y must be 1-dimensional")
@@ -58,7 +58,7 @@ def forecast(y: object, horizon: int, freq: str, n_samples: int = 200, seed: int
             raise ValueError(f"X_hist columns {past.shape[1]} must be as many as those of X_future, {ahead.shape[1]}")
         past = np.column_stack([fill(c) for c in past.T])
         ahead = np.column_stack([fill(c, past[-1, i]) for i, c in enumerate(ahead.T)])
-    return sample_paths(Series.of(raw, horizon, past), horizon, freq, n_samples, seed, ahead, noise)
+    return sample_paths(Series.of(raw, horizon, past), horizon, freq, n_samples, seed, ahead, noise, period)
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,7 @@ class PanelForecaster:
 
     freq: a code for all series; None where a column of the panel has each series' own.
     prune: look first for what is too old to matter, so that it isn't shuffled; see prune.recent(). It reads the history twice, so it is for tables, and for series longer than need().
+    period: held for all series, where they have enough of it; None: each series' own, chosen from its frequency's by a criterion that noise can turn to no period at all.
     on_error: "raise" ends the query with a series that can't be forecast; "report" gives such a series one row, with the reason in the column `fault`, which is null in all others.
     """
 
@@ -77,15 +78,16 @@ class PanelForecaster:
     partitions: int | None = None  # that series are dealt into; None: as many as Spark's shuffles have
     prune: bool = False
     on_error: str = "raise"
+    period: int | None = None
 
     def __post_init__(self) -> None:
-        clean.validate_request(1, "" if self.freq is None else self.freq, self.n_samples, self.noise)
+        clean.validate_request(1, "" if self.freq is None else self.freq, self.n_samples, self.noise, self.period)
         if self.on_error not in ("raise", "report"):
             raise ValueError('on_error must be "raise" or "report"')
 
     def predict(self, y: object, horizon: int, n_samples: int | None = None, seed: int | None = None, X_hist: object = None, X_future: object = None) -> np.ndarray:
         """forecast() of one series with these defaults; a seed of 0 counts as given."""
-        return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future, self.noise)
+        return forecast(y, horizon, self.freq, self.n_samples if n_samples is None else n_samples, self.seed if seed is None else seed, X_hist, X_future, self.noise, self.period)
 
     def forecast(
         self, history: DataFrame, horizon: int | str, series: str | Sequence[str] = "series_id", ts: str = "ts", y: str = "y", exog: Sequence[str] = (), future: DataFrame | None = None, output: str = "samples", quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), seeds: str | None = None, freqs: str | None = None
@@ -172,12 +174,13 @@ class PanelForecaster:
         """
         ship(rows.sparkSession)
         n_parts = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = _needed(rows, self.freq, own_freqs)
+        rows = _needed(rows, self.freq, own_freqs, self.period)
         facts = None
         if prune:
             rows, facts = prune_.recent(rows, keys)
         rows = _dealt(rows, keys, exog, n_parts, facts)
         default, n_samples, seed, noise, report = self.freq or "", self.n_samples, self.seed, self.noise, self.on_error == "report"
+        period = self.period
         kinds = dict(rows.dtypes)
         keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", "_freq", "_horizon", "fault", *exog]
         n_keys = len(keys)
@@ -203,7 +206,7 @@ class PanelForecaster:
                 ahead = np.where(np.isnan(ahead), x[-1], ahead)  # a column without any value takes the last of its history
             s = Series(col["y"][lo:past], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
             used = seed if seed is not None else int(own_seed) if not np.isnan(own_seed) else seed_of(key[0] if n_keys == 1 else "\x1f".join(map(str, key)))
-            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise), Ahead(col["seen"][past:hi], seen, freq))
+            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise, period), Ahead(col["seen"][past:hi], seen, freq))
 
         def tried(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> tuple[list[np.ndarray] | None, str | None]:
             try:
@@ -290,7 +293,7 @@ def _rows(history: DataFrame, keys: list[str], ts: str, y: str, exog: Sequence[s
     return history.select(*keys, F.col(ts).alias("_order"), F.lit(None).cast("long").alias("_step"), F.lit(False).alias("_ahead"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in exog], seed.alias("_seed"), freq.alias("_freq"), ahead.cast("int").alias("_horizon"))
 
 
-def _needed(rows: DataFrame, freq: str | None, own: bool) -> DataFrame:
+def _needed(rows: DataFrame, freq: str | None, own: bool, period: int | None = None) -> DataFrame:
     """rows with _need, how many rows from its end a series needs at most, and _second, how far apart its rows are by its frequency. Where the panel has frequencies of its own, both come from a broadcast dimension of its codes."""
     h = F.coalesce("_horizon", F.lit(1))
     if not own:
@@ -298,7 +301,7 @@ def _needed(rows: DataFrame, freq: str | None, own: bool) -> DataFrame:
     else:
         rows = calendar.with_dimension(rows, "_freq", freq or "")
         reach, second = F.col("_reach"), F.col("_seconds")
-    return rows.withColumn("_need", F.greatest(reach, 2 * h, F.lit(NOISE_PERIODS)).cast("long")).withColumn("_second", second.cast("long")).drop("_reach", "_seconds")
+    return rows.withColumn("_need", F.greatest(reach, F.lit(MOST_PERIODS * (period or 1)), 2 * h, F.lit(NOISE_PERIODS)).cast("long")).withColumn("_second", second.cast("long")).drop("_reach", "_seconds")
 
 
 def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int, facts: DataFrame | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ class _Renewed(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        tail, last = Tail(need(self._model.freq, self._horizon)), None
+        tail, last = Tail(need(self._model.freq, self._horizon, self._model.period)), None
         if self._state.exists():
             n, low, whole, place, value, last, held = self._state.get()
             tail = Tail(tail.most, np.frombuffer(held, "<f8"), n, np.nan if low is None else low, whole, None if place is None else (place, value))
@@ -61,7 +61,7 @@ class _Renewed(StatefulProcessor):
         low = None if np.isnan(tail.low) else tail.low
         self._state.update((tail.n, low, tail.whole, *(tail.before or (None, None)), last, tail.values.astype("<f8").tobytes()))
         seed = seed_of(key[0]) if self._model.seed is None else self._model.seed
-        paths = sample_paths(tail.series(self._horizon), self._horizon, self._model.freq, self._model.n_samples, seed, None, self._model.noise)
+        paths = sample_paths(tail.series(self._horizon), self._horizon, self._model.freq, self._model.n_samples, seed, None, self._model.noise, self._model.period)
         bands = np.quantile(paths, self._levels, axis=0)
         k, h = bands.shape
         yield pd.DataFrame({"series_id": key[0], "n": tail.n, "step": np.tile(np.arange(h, dtype=np.int32), k), "quantile": np.repeat(self._levels, h), "value": bands.ravel()})
