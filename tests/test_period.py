@@ -20,7 +20,7 @@ def busy(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["forecast_samples", "forecast_quantiles"])
+@pytest.mark.parametrize("name", ["forecast_samples", "forecast_quantiles", "forecast_sql"])
 def test_busy_tables(spark, busy, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{busy}/events.parquet'")
