@@ -18,9 +18,14 @@ from panelith.functions.numeric import item_seed
 from panelith.operators import clean, evaluate
 from panelith.operators import prune as prune_
 from panelith.operators.kernel import Series, fill, sample_paths
+from panelith.operators.stacked import stacks
 from panelith.shipping import ship
 
 
+#: Rows that a task holds before it forecasts the series that are whole among them, together.
+HELD_ROWS = 1 << 18
+
+
 def seed_of(series_id: object, channel: int = 0) -> int:
     """The seed of a series: the first 32 bits of its id's MD5 plus the channel, within 32 bits."""
     return (int(hashlib.md5(str(series_id).encode()).hexdigest()[:8], 16) + channel) % 2**32
@@ -111,11 +116,12 @@ class PanelForecaster:
         levels = [float(q) for q in quantiles]
         names = ["step", "quantile", "value"] if narrow else ["sample_id", "step", "value"]
 
-        def made(paths: np.ndarray, _: Ahead) -> list[np.ndarray]:
-            out = np.quantile(paths, levels, axis=0) if narrow else paths
-            h = paths.shape[1]
-            first, step = np.repeat(np.arange(len(out), dtype=np.int32), h), np.tile(np.arange(h, dtype=np.int32), len(out))
-            return [step, np.array(levels)[first], out.ravel()] if narrow else [first, step, out.ravel()]
+        def made(paths: np.ndarray, known: list[Ahead]) -> list[list[np.ndarray]]:
+            out = np.quantile(paths, levels, axis=1).swapaxes(0, 1) if narrow else paths
+            many, h = out.shape[1:]
+            first, step = np.repeat(np.arange(many, dtype=np.int32), h), np.tile(np.arange(h, dtype=np.int32), many)
+            before = [step, np.array(levels)[first]] if narrow else [first, step]
+            return [[*before, x.ravel()] for x in out]
 
         return self._walked(rows, keys, exog, names, "step int, quantile double, value double" if narrow else "sample_id int, step int, value double", made, freqs is not None, self.prune)
 
@@ -147,7 +153,7 @@ class PanelForecaster:
         levels = [float(q) for q in quantiles]
         names = ["step", "actual", "pred", "naive", *(["again"] if output == "steps" else []), *(f"q{i + 1}" for i in range(len(levels)))]
 
-        def made(paths: np.ndarray, known: Ahead) -> list[np.ndarray]:
+        def each(paths: np.ndarray, known: Ahead) -> list[np.ndarray]:
             h = paths.shape[1]
             own = season_of(known.freq) if season is None else season
             out = [np.arange(h, dtype=np.int32), known.actual, np.median(paths, axis=0), np.full(h, naive(known.history, own))]
@@ -155,6 +161,9 @@ class PanelForecaster:
                 out.append(np.resize(fill(known.history)[-own:], h))
             return out + (list(np.quantile(paths, levels, axis=0)) if levels else [])
 
+        def made(paths: np.ndarray, known: list[Ahead]) -> list[list[np.ndarray]]:
+            return [each(*x) for x in zip(paths, known, strict=True)]
+
         out = self._walked(rows, own, exog, names, ", ".join(f"{n} {'int' if n == 'step' else 'double'}" for n in names), made, freqs is not None, False)
         if output == "steps":
             return out
@@ -165,12 +174,12 @@ class PanelForecaster:
         if self.freq is None and freqs is None:
             raise ValueError("freq must be given for all series, or as a column")
 
-    def _walked(self, rows: DataFrame, keys: list[str], exog: Sequence[str], names: list[str], ddl: str, made: Callable[[np.ndarray, Ahead], list[np.ndarray]], own_freqs: bool, prune: bool) -> DataFrame:
-        """(keys, names): made() of each series' sample paths and what is known of its horizon.
+    def _walked(self, rows: DataFrame, keys: list[str], exog: Sequence[str], names: list[str], ddl: str, made: Callable[[np.ndarray, list[Ahead]], list[list[np.ndarray]]], own_freqs: bool, prune: bool) -> DataFrame:
+        """(keys, names): made() of the sample paths of some series (series, samples, steps) and what is known of each one's horizon.
 
-        rows: (keys, _order, _step, _ahead, y, exog..., _seed, _freq, _horizon), in the order of _order and _step. Spark computes what depends on all rows of a series (length, least value, shift, whole numbers, faults) and
-        interpolates, then drops rows that are too old for the kernel, so that a series has at most need() rows there. Then the kernel walks
-        the sorted partitions, a series at a time, and holds one batch and one series: a Python group for each series would cost far more than the forecasts of short ones.
+        rows: (keys, _order, _step, _ahead, y, exog..., _seed, _freq, _horizon), in the order of _order and _step. Spark computes what depends on all rows of a series (length, least value, shift, whole numbers, faults),
+        then drops rows that are too old for the kernel, so that a series has at most need() rows there, and one before them to interpolate from. Then the kernel walks
+        the sorted partitions and holds HELD_ROWS rows and one series. Series of one length are forecast together, see stacked.stacks(): a Python group, or NumPy's calls, for each would cost far more than the forecasts of short ones.
         """
         ship(rows.sparkSession)
         n_parts = self.partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -182,13 +191,17 @@ class PanelForecaster:
         default, n_samples, seed, noise, report = self.freq or "", self.n_samples, self.seed, self.noise, self.on_error == "report"
         period = self.period
         kinds = dict(rows.dtypes)
-        keep = [*keys, "_ahead", "i", "n", "y", "seen", "low", "whole", "shift", "_seed", "_freq", "_horizon", "fault", *exog]
+        keep = [*keys, "_ahead", "_old", "i", "n", "seen", "low", "whole", "shift", "_seed", "_freq", "_horizon", "fault", *exog]
         n_keys = len(keys)
 
-        def one(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> list[np.ndarray] | None:
+        def asked(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> tuple[Series, int, str, int, np.ndarray | None, Ahead] | None:
+            """The series, horizon, frequency, seed and known columns of a forecast, and what it is compared with."""
             past = lo + int(np.count_nonzero(~col["_ahead"][lo:hi]))
             if past == lo:
                 return None  # known rows of a series without a history
+            place, value = col["i"][lo:past], col["seen"][lo:past]
+            known = ~np.isnan(value)
+            lo += int(col["_old"][lo])
             fault = col["fault"][lo]
             if fault is not None and (report or fault == clean.INFINITE):
                 raise ValueError(f"{fault}" if report else f"y must not have infinite values; series {key} has")
@@ -204,18 +217,39 @@ class PanelForecaster:
                     raise ValueError(f"X_future length must be the horizon, {horizon}; series {key} has {hi - past} rows")
                 ahead = np.column_stack([col[c][past:hi] for c in exog])
                 ahead = np.where(np.isnan(ahead), x[-1], ahead)  # a column without any value takes the last of its history
-            s = Series(col["y"][lo:past], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
+            y = np.interp(col["i"][lo:past], place[known], value[known]) if known.any() else np.zeros(past - lo)
+            s = Series(y + col["shift"][lo], int(col["n"][lo]), float(col["shift"][lo]), None if np.isnan(low) else float(low), back[~np.isnan(back)], bool(col["whole"][lo]), x)
             used = seed if seed is not None else int(own_seed) if not np.isnan(own_seed) else seed_of(key[0] if n_keys == 1 else "\x1f".join(map(str, key)))
-            return made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise, period), Ahead(col["seen"][past:hi], seen, freq))
+            return s, horizon, freq, used, ahead, Ahead(col["seen"][past:hi], seen, freq)
 
-        def tried(key: tuple, col: dict[str, np.ndarray], lo: int, hi: int) -> tuple[list[np.ndarray] | None, str | None]:
+        def tried(call: Callable) -> tuple[object, str | None]:
             try:
-                return one(key, col, lo, hi), None
+                return call(), None
             except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
                 if not report:
                     raise
                 return None, str(e) or type(e).__name__
 
+        def forecasts(keys: list[tuple], col: dict[str, np.ndarray], cut: np.ndarray) -> list[tuple[int, list[np.ndarray] | None, str | None]]:
+            """(first row, columns or None, fault or None) of each series."""
+            asks = [tried(lambda k=k, lo=lo, hi=hi: asked(k, col, lo, hi)) for k, lo, hi in zip(keys, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            out: dict[int, tuple[list[np.ndarray] | None, str | None]] = {}
+            groups: dict[tuple[int, str], list[int]] = {}
+            for i, (a, fault) in enumerate(asks):
+                if a is None:
+                    out[i] = None, fault
+                else:
+                    groups.setdefault((a[1], a[2]), []).append(i)
+            for (horizon, freq), at in groups.items():
+                for places, paths in stacks([asks[i][0][0] for i in at], horizon, freq, n_samples, [asks[i][0][3] for i in at], noise, period):
+                    own = [at[i] for i in places]
+                    out.update(zip(own, ((x, None) for x in made(paths, [asks[i][0][5] for i in own])), strict=True))
+            for i, (a, _) in enumerate(asks):
+                if i not in out:
+                    s, horizon, freq, used, ahead, known = a
+                    out[i] = tried(lambda s=s, horizon=horizon, freq=freq, used=used, ahead=ahead, known=known: made(sample_paths(s, horizon, freq, n_samples, used, ahead, noise, period)[None], [known])[0])
+            return [(lo, *out[i]) for i, lo in enumerate(cut[:-1].tolist())]
+
         fields = [pa.field(*f) for f in zip(names, [pa.int32() if x.strip().split(" ")[1] == "int" else pa.float64() for x in ddl.split(",")], strict=True)]
 
         def done(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
@@ -233,7 +267,7 @@ class PanelForecaster:
                 col[c] = col[c].astype(np.float64)
             own = t.select(range(n_keys)).combine_chunks()
             first = list(zip(*(c.take(pa.array(cut[:-1])).to_pylist() for c in own.columns), strict=True))
-            got = [(lo, *tried(k, col, lo, hi)) for k, lo, hi in zip(first, cut[:-1], cut[1:], strict=True)]
+            got = forecasts(first, col, cut)
             whole = [(lo, g) for lo, g, _ in got if g is not None]
             failed = [(lo, e) for lo, _, e in got if e is not None]
             if not whole and not failed:
@@ -248,19 +282,24 @@ class PanelForecaster:
             columns = [c.take(at).combine_chunks() for c in own.columns]
             return pa.RecordBatch.from_arrays([*columns, *values], names=[*keys, *names, *(["fault"] if report else [])]), t.slice(cut[-1])
 
+        def pieces(out: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            return (out.slice(i, HELD_ROWS) for i in range(0, out.num_rows, HELD_ROWS))
+
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: pa.Table | None = None
+            held: list[pa.Table] = []
+            new = 0
             for b in batches:
-                t = pa.Table.from_batches([b])
-                t = t if rest is None or not rest.num_rows else pa.concat_tables([rest, t])
-                if t.num_rows:
-                    out, rest = done(t, False)
+                held.append(pa.Table.from_batches([b]))
+                new += b.num_rows
+                if new >= HELD_ROWS:
+                    out, rest = done(pa.concat_tables(held), False)
+                    held, new = [rest], 0
                     if out is not None:
-                        yield out
-            if rest is not None and rest.num_rows:
-                out, _ = done(rest, True)
+                        yield from pieces(out)
+            if held and (t := pa.concat_tables(held)).num_rows:
+                out, _ = done(t, True)
                 if out is not None:
-                    yield out
+                    yield from pieces(out)
 
         return rows.select(*keep).mapInArrow(stream, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), ddl, *(["fault string"] if report else [])]))
 
@@ -305,18 +344,18 @@ def _needed(rows: DataFrame, freq: str | None, own: bool, period: int | None = N
 
 
 def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int, facts: DataFrame | None = None) -> DataFrame:
-    """rows, dealt out by series in one shuffle and sorted, with i, n, y (interpolated and shifted), seen, low, whole, shift, fault.
+    """rows, dealt out by series in one shuffle and sorted, with i, n, seen (y, null where missing), low, whole, shift, fault, and exogenous columns interpolated.
 
     Past and known rows are sides of a window each. The number of partitions is held: sizes before the kernel say little about its work, so partitions
     mustn't be merged by size. For that the shuffle is by a hash beside the keys, or an earlier one by the keys alone would take its place.
-    Rows of one time come in the order of their values. facts: what prune.recent() knows of whole series, of which rows then has the ends.
+    Rows of one time come in the order of their values. Of rows that are too old only the last observed one stays (_old): values missing at the beginning of the others are interpolated from it. So one sort serves all. facts: what prune.recent() knows of whole series, of which rows then has the ends.
     """
     deal = ["_deal", *keys]
     rows = rows.withColumn("_deal", F.xxhash64(*keys)).repartition(n_parts, *deal)
     side = Window.partitionBy(*deal, "_ahead")
     order = side.orderBy("_order", "_step", "y")
     rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(side)).withColumn("seen", F.when(~F.isnan("y"), F.col("y")))
-    for c in ("y", *exog):  # a column ahead without any value stays null until the kernel knows the last of its history
+    for c in exog:  # a column ahead without any value stays null until the kernel knows the last of its history
         rows = clean.interpolate(rows, c, F.when(~F.col("_ahead"), F.lit(0.0)), [*deal, "_ahead"])
     over = {name: c.over(side) for name, c in prune_.of_series("seen").items()}
     series = Window.partitionBy(*deal)
@@ -328,8 +367,10 @@ def _dealt(rows: DataFrame, keys: list[str], exog: Sequence[str], n_parts: int,
         past = lambda c: F.when(F.col("_ahead"), over[c]).otherwise(F.col(f"_f_{c}"))
         rows = rows.withColumn("i", F.when(F.col("_ahead"), F.col("i")).otherwise(F.col("i") + F.col("_f_n") - F.col("n")).cast("int")).withColumns({c: past(c) for c in over})
         rows = rows.withColumn("n", F.when(F.col("_ahead"), F.col("n")).otherwise(F.col("_f_n")))
-    rows = rows.withColumn("whole", F.coalesce("whole", F.lit(False))).withColumn("shift", F.greatest(1 - F.coalesce("low", F.lit(0.0)), F.lit(1.0))).withColumn("y", F.col("y") + F.col("shift"))
-    rows = rows.withColumn("fault", clean.fault(F.col("largest"))).filter(F.col("_ahead") | (F.col("n") - F.col("i") <= F.col("_need")))
+    rows = rows.withColumn("_old", ~F.col("_ahead") & (F.col("n") - F.col("i") > F.col("_need")))
+    rows = rows.withColumn("_before", F.max(F.when(F.col("_old") & F.col("seen").isNotNull(), F.col("i"))).over(side)).filter(~F.col("_old") | (F.col("i") == F.col("_before")))
+    rows = rows.withColumn("whole", F.coalesce("whole", F.lit(False))).withColumn("shift", F.greatest(1 - F.coalesce("low", F.lit(0.0)), F.lit(1.0)))
+    rows = rows.withColumn("fault", clean.fault(F.col("largest")))
     return rows.sortWithinPartitions(*deal, "_ahead", "i")
 
 

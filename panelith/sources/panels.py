@@ -40,9 +40,15 @@ def counts(rows: DataFrame, series: str, ts: str, unit: str, start: Column | Non
 
 
 def sums(rows: DataFrame, series: str, ts: str, value: str, unit: str) -> DataFrame:
-    """(series_id, ts, y): sums by unit, null where there are no rows."""
-    c = rows.groupBy(F.col(series).alias("series_id"), truncate_ts(F.col(ts), unit).alias("ts")).agg(F.sum(value).alias("y"))
-    return spine(c, unit).join(c, ["series_id", "ts"], "left")
+    """(series_id, ts, y): sums by unit, null where there are no rows (and for a series without a name).
+
+    Each sum is followed by the units up to the next one, so that the filled panel isn't shuffled: what is shuffled are the sums.
+    """
+    c = rows.groupBy(F.col(series).alias("series_id"), truncate_ts(F.col(ts), unit).alias("ts")).agg(F.sum(value).alias("y")).filter("ts is not null")
+    step = F.expr(f"interval 1 {unit}")
+    until = F.coalesce(F.lead("ts").over(Window.partitionBy("series_id").orderBy("ts")) - step, F.col("ts"))
+    c = c.withColumn("y", F.when(F.col("series_id").isNotNull(), F.col("y"))).withColumn("_until", until)
+    return c.select("series_id", F.posexplode(F.sequence("ts", "_until", step)).alias("_k", "ts"), "y").select("series_id", "ts", F.when(F.col("_k") == 0, F.col("y")).alias("y"))
 
 
 def resample(rows: DataFrame, value: str, ts: str, unit: str, keys: Sequence[str] = ()) -> DataFrame:
