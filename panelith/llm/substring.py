@@ -23,7 +23,9 @@ WINDOW = 20
 ANCHOR = 8  # words of an anchor; each window holds WINDOW - ANCHOR + 1 candidates for its own
 #: Up to so many ids of texts that are wanted go to all executors, so that other texts aren't shuffled; beyond that all are.
 BROADCAST_IDS = 500_000
-SPANS = "array<struct<at:int,n:int,times:int,source_doc:long,source_tie:long,source_at:int>>"
+#: A place is one number: a text's rank and, in this many bits, a word of it. So places are compared and aggregated as numbers.
+AT_BITS = 31
+SPANS = "array<struct<at:int,n:int,times:int,source:long,source_at:int>>"
 SPANS_TO_REMOVE = "array<struct<at:int,n:int,times:int,digest:long>>"
 
 
@@ -68,15 +70,15 @@ def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
-    """(p, s, doc_id, tie, at): an edge, by the hashes of the nodes that it leads from and to, and the coordinates of each window of texts (doc_id, tie, text, places) whose anchor is one of places."""
+    """(p, s, place): an edge, by the hashes of the nodes that it leads from and to, and the place of each window of texts (rank, text, places) whose anchor is one of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, n in slices(b.column(2)):
+            for at, n in slices(b.column(1)):
                 part = b.slice(at, n)
-                w = Words(part.column(2), False)
+                w = Words(part.column(1), False)
                 first, place, _ = anchors(w, window, size)
-                own = part.column(3)
+                own = part.column(2)
                 row = np.repeat(np.arange(n), own.value_lengths().to_numpy(zero_copy_only=False))
                 wanted = own.flatten().to_numpy() + w.first[row]
                 first = first[np.isin(place, wanted)]
@@ -85,12 +87,21 @@ def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
                 used = np.unique(np.concatenate((first, first + 1)))
                 node[used] = w.combine(tuple(range(window - 1)), used, 1)
                 node = node.view(np.int64)
+                begins = (part.column(0).to_numpy() << AT_BITS) - w.first[:-1]
                 for lo in range(0, len(first), 1 << 16):
                     cut = slice(lo, lo + (1 << 16))
-                    idx = pa.array(row[cut])
-                    yield pa.RecordBatch.from_arrays([pa.array(node[first[cut]]), pa.array(node[first[cut] + 1]), part.column(0).take(idx), part.column(1).take(idx), pa.array((first[cut] - w.first[row[cut]]).astype(np.int32))], names=["p", "s", "doc_id", "tie", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[first[cut]]), pa.array(node[first[cut] + 1]), pa.array(first[cut] + begins[row[cut]])], names=["p", "s", "place"])
+
+    return texts.mapInArrow(run, "p long, s long, place long")
+
 
-    return texts.mapInArrow(run, "p long, s long, doc_id long, tie long, at int")
+def _ranked(known: DataFrame) -> DataFrame:
+    """known, materialised, with rank: 0, 1, ... by doc_id (null first) and tie. Sorted in ranges; the driver gets the number of rows of each range."""
+    rows = materialise(known.orderBy("doc_id", "tie").withColumn("_m", F.monotonically_increasing_id()), "known")
+    part = F.shiftright("_m", 33)
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins = np.concatenate(([0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]))).tolist()
+    return rows.withColumn("rank", F.lit(begins).cast("array<long>")[part.cast("int")] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
 
 
 def _compacted(edges: DataFrame) -> DataFrame:
@@ -99,14 +110,15 @@ def _compacted(edges: DataFrame) -> DataFrame:
     An edge goes on with the path of another if they meet in a node that no other edge leads to or from, and if its source follows
     the other's. Edges meet by node in one aggregation; which go on is joined back by source.
     """
-    place = F.struct(F.col("source_doc").isNotNull().alias("k"), F.coalesce("source_doc", F.lit(0)).alias("d"), F.col("source_tie").alias("x"), F.col("source_at").alias("at"))
-    none = F.lit(None).cast("struct<k:boolean,d:bigint,x:bigint,at:int>")
-    ends = edges.select(F.col("s").alias("node"), place.alias("into"), none.alias("out")).unionAll(edges.select("p", none, place))
-    nodes = ends.groupBy("node").agg(F.count("into").alias("n_in"), F.count("out").alias("n_out"), F.max("into").alias("into"), F.max("out").alias("out"))
-    follows = (F.col("into.k") == F.col("out.k")) & (F.col("into.d") == F.col("out.d")) & (F.col("into.x") == F.col("out.x")) & (F.col("into.at") + 1 == F.col("out.at"))
-    goes_on = nodes.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & follows).select("out.*", F.lit(True).alias("on"))
-    keyed = edges.select("p", "s", "source_doc", "source_tie", "source_at", place.alias("_")).select("*", "_.*").drop("_")
-    joined = keyed.join(goes_on, ["k", "d", "x", "at"], "left")
+    place = {"k": F.col("source_doc").isNotNull(), "d": F.coalesce("source_doc", F.lit(0).cast("long")), "x": F.col("source_tie"), "at": F.col("source_at")}
+    into, out = [c.alias(f"i{n}") for n, c in place.items()], [c.alias(f"o{n}") for n, c in place.items()]
+    none = lambda side: [F.lit(None).cast(t).alias(f"{side}{n}") for n, t in zip(place, ("boolean", "long", "long", "int"), strict=True)]
+    ends = edges.select(F.col("s").alias("node"), *into, *none("o")).unionAll(edges.select("p", *none("i"), *out))
+    # Where one edge comes and one goes, the greatest of each number is its own; numbers are aggregated in hash tables, structs by sorting.
+    nodes = ends.groupBy("node").agg(F.count("ik").alias("n_in"), F.count("ok").alias("n_out"), *[F.max(f"{side}{n}").alias(f"{side}{n}") for side in "io" for n in place])
+    follows = (F.col("ik") == F.col("ok")) & (F.col("id") == F.col("od")) & (F.col("ix") == F.col("ox")) & (F.col("iat") + 1 == F.col("oat"))
+    goes_on = nodes.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & follows).select(*[F.col(f"o{n}").alias(n) for n in place], F.lit(True).alias("on"))
+    joined = edges.withColumns(place).join(goes_on, list(place), "left")
     before = Window.partitionBy("k", "d", "x").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a text's own edges
     return joined.withColumn("head", F.last(F.when(F.col("on").isNull(), F.col("at")), ignorenulls=True).over(before)).drop("k", "d", "x", "at", "on")
 
@@ -130,20 +142,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
     # doc_id tells most texts apart; where it doesn't, tie does. So an edge needn't carry a text's id.
     doubtful = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.lit(True).alias("many"))
     known = known.join(doubtful, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("id", "doc_id", F.when(F.col("many"), F.col("t")).otherwise(F.lit(0).cast("long")).alias("tie"), "places")
-    known = materialise(known, "known")
+    known = _ranked(known)
     forget_since(since, known)
-    edges = _windows(_texts_of(docs, known.select("id", "doc_id", "tie", "places")).select("doc_id", "tie", "text", "places"), window, size)
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "tie", "at")
-    distinct = edges.groupBy("p", "s").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-    distinct = materialise(distinct.select("p", "s", F.col("first.doc_id").alias("source_doc"), F.col("first.tie").alias("source_tie"), F.col("first.at").alias("source_at")), "edges")
-    paths = materialise(_compacted(distinct), "paths")
-    here = F.col("doc_id").eqNullSafe(F.col("source_doc")) & (F.col("tie") == F.col("source_tie")) & (F.col("at") == F.col("source_at"))
-    again = edges.join(paths, ["p", "s"]).filter(~here).select("doc_id", "tie", "at", "source_doc", "source_tie", "source_at", "head")
+    edges = _windows(_texts_of(docs, known.select("id", "doc_id", "rank", "places")).select("rank", "text", "places"), window, size)
+    distinct = edges.groupBy("p", "s").agg(F.min("place").alias("source"), F.max("place").alias("last")).filter("source != last")
+    distinct = materialise(distinct.select("p", "s", "source"), "edges")
+    word = F.lit((1 << AT_BITS) - 1)
+    parted = distinct.select("p", "s", F.shiftright("source", AT_BITS).alias("source_doc"), F.lit(0).cast("long").alias("source_tie"), F.col("source").bitwiseAND(word).cast("int").alias("source_at"))
+    source = F.shiftleft("source_doc", AT_BITS).bitwiseOR(F.col("source_at").cast("long"))
+    paths = materialise(_compacted(parted).select("p", "s", source.alias("source"), "head"), "paths")
+    again = edges.join(paths, ["p", "s"]).filter("place != source").select("place", "source", "head")
     again = materialise(again, "again")  # the edges' shuffle files go before their sources are dealt out by document
     # Repeated rows of a document give the same edges; a set holds them once.
-    walks = again.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("at", "source_doc", "source_tie", "source_at", "head"))).alias("edges"))
-    names = known.select("id", F.col("doc_id").alias("d"), F.col("tie").alias("x"))
-    walks = walks.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("x"))).select("id", "doc_id", "edges")
+    walks = again.groupBy(F.shiftright("place", AT_BITS).alias("rank")).agg(F.array_sort(F.collect_set(F.struct("place", "source", "head"))).alias("edges"))
+    walks = walks.join(known.select("id", "doc_id", "rank"), "rank").select("id", "doc_id", "edges")
     spans = materialise(walks.mapInArrow(_walks, f"id binary, doc_id long, spans {SPANS}"), "walks")
     out = materialise(_with_digests(docs, known, spans, window), "spans")
     forget_since(since, out)
@@ -167,52 +179,51 @@ def _digest(words: Words, data: bytes, at: int, n: int) -> int:
 
 def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """spans (id, doc_id, spans) with the digest of the words at each span's source, from the source's text."""
-    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.times", "s.source_doc", "s.source_tie", "s.source_at"), "single")
-    asked = rows.groupBy("source_doc", "source_tie").agg(F.collect_set(F.struct("source_at", "n")).alias("asked"))
-    asked = asked.join(known.select("id", "doc_id", "tie"), F.col("source_doc").eqNullSafe(F.col("doc_id")) & (F.col("source_tie") == F.col("tie"))).select("id", "doc_id", "tie", "asked")
+    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.times", "s.source", "s.source_at"), "single")
+    asked = rows.groupBy("source").agg(F.collect_set(F.struct("source_at", "n")).alias("asked"))
+    asked = asked.join(known.select("id", "doc_id", "tie", F.col("rank").alias("source")), "source").select("id", "doc_id", "tie", "source", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("source_at", pa.int32()), ("n", pa.int32()), ("digest", pa.int64())]))
         for b in batches:
-            for at, n in slices(b.column(2)):
+            for at, n in slices(b.column(3)):
                 part = b.slice(at, n)
-                w = Words(part.column(2), False)
+                w = Words(part.column(3), False)
                 data = w.data.tobytes()
-                out = [[{"source_at": x["source_at"], "n": x["n"], "digest": _digest(w, data, int(f) + x["source_at"], x["n"] + window - 1)} for x in own] for f, own in zip(w.first[:-1], part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, kind)], names=["d", "x", "digests"])
+                out = [[{"source_at": x["source_at"], "n": x["n"], "digest": _digest(w, data, int(f) + x["source_at"], x["n"] + window - 1)} for x in own] for f, own in zip(w.first[:-1], part.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, kind)], names=["d", "x", "r", "digests"])
 
-    texts = _texts_of(docs, materialise(asked, "asked")).select("doc_id", "tie", "text", "asked")
-    digests = texts.mapInArrow(run, "d long, x long, digests array<struct<source_at:int,n:int,digest:long>>")
-    digests = digests.select("d", "x", F.explode("digests").alias("g")).select("d", "x", F.col("g.source_at").alias("a"), F.col("g.n").alias("m"), "g.digest")
-    met = rows.join(digests, F.col("source_doc").eqNullSafe(F.col("d")) & (F.col("source_tie") == F.col("x")) & (F.col("source_at") == F.col("a")) & (F.col("n") == F.col("m")))
+    texts = _texts_of(docs, materialise(asked, "asked")).select("doc_id", "tie", "source", "text", "asked")
+    digests = texts.mapInArrow(run, "d long, x long, r long, digests array<struct<source_at:int,n:int,digest:long>>")
+    digests = digests.select(F.col("d").alias("source_doc"), F.col("x").alias("source_tie"), F.col("r").alias("source"), F.explode("digests").alias("g")).select("source_doc", "source_tie", "source", "g.*")
+    met = rows.join(digests, ["source", "source_at", "n"])
     span = F.struct("at", "n", "times", "source_doc", "source_tie", "source_at", "digest")
     return met.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's repeated edges, in order, as walks along paths."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("source_doc", pa.int64()), ("source_tie", pa.int64()), ("source_at", pa.int32())]))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("source", pa.int64()), ("source_at", pa.int32())]))
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
             edges = part.column(2)
             flat = edges.flatten()
-            at, source, head = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "source_at", "head"))
-            doc = flat.field("source_doc")
-            doc, none, tie = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), flat.field("source_tie").to_numpy()
+            at, source, head = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "source", "head"))
             text = np.repeat(np.arange(len(part)), edges.value_lengths().to_numpy(zero_copy_only=False))
             new = np.ones(len(at), bool)
-            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (head[1:] != head[:-1]) | (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (tie[1:] != tie[:-1])
+            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (head[1:] != head[:-1])
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(at))).astype(np.int32)
             # A text that repeats itself walks the same stretch again and again: one span.
             same = np.zeros(len(first), bool)
-            same[1:] = (text[first][1:] == text[first][:-1]) & (at[first][1:] == at[first][:-1] + count[:-1]) & (source[first][1:] == source[first][:-1]) & (count[1:] == count[:-1]) & (doc[first][1:] == doc[first][:-1]) & (none[first][1:] == none[first][:-1]) & (tie[first][1:] == tie[first][:-1])
+            same[1:] = (text[first][1:] == text[first][:-1]) & (at[first][1:] == at[first][:-1] + count[:-1]) & (source[first][1:] == source[first][:-1]) & (count[1:] == count[:-1])
             units = np.flatnonzero(~same)
             times = np.diff(np.append(units, len(first))).astype(np.int32)
             first, count = first[units], count[units]
-            heads = flat.take(pa.array(first))
-            spans = pa.StructArray.from_arrays([heads.field("at"), pa.array(count), pa.array(times), heads.field("source_doc"), heads.field("source_tie"), heads.field("source_at")], fields=list(kind.value_type))
+            word = (1 << AT_BITS) - 1
+            columns = [(at[first] & word).astype(np.int32), count, times, source[first] >> AT_BITS, (source[first] & word).astype(np.int32)]
+            spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(kind.value_type))
             ends = np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), spans).cast(kind)], names=["id", "doc_id", "spans"])
 
