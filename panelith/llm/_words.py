@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# The separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +46,8 @@ class Words:
             col = pc.utf8_lower(col)
         self.data, self.offsets = raw(col)
         rows = len(self.offsets) - 1
-        sep = _SEPARATOR[self.data]
+        # The separators of words: space, and tab, line feed, vertical tab, form feed and carriage return, which are 9 to 13.
+        sep = (self.data == 0x20) | (self.data - np.uint8(9) < 5)
         begins, ends = ~sep, ~sep
         begins[1:] &= sep[:-1]
         ends[:-1] &= sep[1:]
@@ -60,9 +58,9 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
-        self.hash = self._hashes()
 
-    def _hashes(self) -> np.ndarray:
+    @cached_property
+    def hash(self) -> np.ndarray:
         """A hash of each word: the sum of numbers that are drawn for each pair of a place and a byte, so no two words are alike by their form."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
@@ -85,6 +83,22 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.row[n - 1 :] == self.row[: len(self.row) - n + 1])
 
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """For each row, the words for which keep holds, joined by one space."""
+        at = np.flatnonzero(keep)
+        row = self.row[at]
+        more = np.zeros(len(at), bool)  # another word of its row follows
+        more[:-1] = row[1:] == row[:-1]
+        start, end = self.start[at], self.end[at] + more
+        data = self.data.copy()
+        data[end[more] - 1] = 0x20
+        turn = np.zeros(len(data) + 1, np.int8)
+        turn[start] += 1
+        turn[end] -= 1
+        taken = data[np.cumsum(turn[:-1], dtype=np.int8).view(bool)]
+        offsets = np.concatenate(([0], np.cumsum(end - start)))[np.searchsorted(at, self.first)]
+        return pa.Array.from_buffers(pa.large_string(), len(self.first) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]).cast(pa.string())
+
     def combine(self, offsets: tuple[int, ...], at: np.ndarray, salt: int = 0) -> np.ndarray:
         """A hash of the words at the given offsets from each of `at`, in order."""
         h = np.full(len(at), (salt * 0xD1B54A32D192ED03 + 1) % 2**64, np.uint64)

@@ -25,7 +25,7 @@ ANCHOR = 8  # words of an anchor; each window holds WINDOW - ANCHOR + 1 candidat
 BROADCAST_IDS = 500_000
 #: A place is one number: a text's rank and, in this many bits, a word of it. So places are compared and aggregated as numbers.
 AT_BITS = 31
-SPANS = "array<struct<at:int,n:int,times:int,source:long,source_at:int>>"
+SPANS = "rank long, at int, n int, times int, source long, source_at int"
 SPANS_TO_REMOVE = "array<struct<at:int,n:int,times:int,digest:long>>"
 
 
@@ -51,6 +51,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(text_id(F.col("text")).alias("id"), "doc_id", "text")
 
 
+def _firsts(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, many) of each distinct text: the smallest doc_id that has it (null is the smallest), and whether others have it too. By numbers only, which are aggregated in hash tables."""
+    known, rows = F.count("doc_id"), F.count(F.lit(1))
+    many = (F.min("doc_id") != F.max("doc_id")) | ((known > 0) & (known < rows))
+    return _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.when(known == rows, F.min("doc_id")).alias("doc_id"), F.coalesce(many, F.lit(False)).alias("many"))
+
+
 def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
     """(t, at) of the anchors that are at more than one place of the distinct texts; t: the first half of a text's id. Anchors and texts go by 64 bits here: one place too many only costs time."""
 
@@ -66,7 +73,7 @@ def _repeated_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
     rows = materialise(_keyed(docs).select(id_start(F.col("id")).alias("t"), "text").mapInArrow(run, "anchor long, t long, at int"), "places")
     place = F.xxhash64("t", "at")  # the same for copies of a text
     many = materialise(rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("anchor"), "anchors")
-    return rows.join(many, "anchor").select("t", "at")
+    return rows.join(many.hint("shuffle_hash"), "anchor").select("t", "at")  # many has an anchor once: it is hashed, and rows needn't be sorted
 
 
 def _windows(texts: DataFrame, window: int, size: int) -> DataFrame:
@@ -104,31 +111,40 @@ def _ranked(known: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.lit(begins).cast("array<long>")[part.cast("int")] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
 
 
-def _compacted(edges: DataFrame) -> DataFrame:
-    """edges (p, s, source_doc, source_tie, source_at), each distinct edge with its first occurrence, with head: where its nonbranching path begins in the source.
+def _going_on(edges: DataFrame, text: list[str], at: str) -> DataFrame:
+    """edges (p, s, ...), each distinct edge with its first occurrence (the columns text, none null, and at), with on: whether it goes on with a nonbranching path.
 
     An edge goes on with the path of another if they meet in a node that no other edge leads to or from, and if its source follows
-    the other's. Edges meet by node in one aggregation; which go on is joined back by source.
+    the other's. Edges meet by node in one aggregation. A node from which one edge leads is met by one edge when the nodes are joined back.
     """
-    place = {"k": F.col("source_doc").isNotNull(), "d": F.coalesce("source_doc", F.lit(0).cast("long")), "x": F.col("source_tie"), "at": F.col("source_at")}
-    into, out = [c.alias(f"i{n}") for n, c in place.items()], [c.alias(f"o{n}") for n, c in place.items()]
-    none = lambda side: [F.lit(None).cast(t).alias(f"{side}{n}") for n, t in zip(place, ("boolean", "long", "long", "int"), strict=True)]
-    ends = edges.select(F.col("s").alias("node"), *into, *none("o")).unionAll(edges.select("p", *none("i"), *out))
+    place = [*text, at]
+    of = lambda side: [F.col(c).alias(f"{side}_{c}") for c in place]
+    none = lambda side: [F.lit(None).cast(edges.schema[c].dataType).alias(f"{side}_{c}") for c in place]
+    ends = edges.select(F.col("s").alias("node"), *of("i"), *none("o")).unionAll(edges.select("p", *none("i"), *of("o")))
     # Where one edge comes and one goes, the greatest of each number is its own; numbers are aggregated in hash tables, structs by sorting.
-    nodes = ends.groupBy("node").agg(F.count("ik").alias("n_in"), F.count("ok").alias("n_out"), *[F.max(f"{side}{n}").alias(f"{side}{n}") for side in "io" for n in place])
-    follows = (F.col("ik") == F.col("ok")) & (F.col("id") == F.col("od")) & (F.col("ix") == F.col("ox")) & (F.col("iat") + 1 == F.col("oat"))
-    goes_on = nodes.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & follows).select(*[F.col(f"o{n}").alias(n) for n in place], F.lit(True).alias("on"))
-    joined = edges.withColumns(place).join(goes_on, list(place), "left")
+    nodes = ends.groupBy("node").agg(F.count(f"i_{at}").alias("n_in"), F.count(f"o_{at}").alias("n_out"), *[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "io" for c in place])
+    follows = F.col(f"i_{at}") + 1 == F.col(f"o_{at}")
+    for c in text:
+        follows = follows & (F.col(f"i_{c}") == F.col(f"o_{c}"))
+    goes_on = nodes.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & follows).select("node", F.lit(True).alias("on"))
+    return edges.join(goes_on.hint("shuffle_hash"), F.col("p") == F.col("node"), "left").drop("node").withColumn("on", F.coalesce("on", F.lit(False)))
+
+
+def _compacted(edges: DataFrame) -> DataFrame:
+    """edges (p, s, source_doc, source_tie, source_at), each distinct edge with its first occurrence, with head: where its nonbranching path begins in the source. See _going_on()."""
+    place = {"k": F.col("source_doc").isNotNull(), "d": F.coalesce("source_doc", F.lit(0).cast("long")), "x": F.col("source_tie"), "at": F.col("source_at")}
+    joined = _going_on(edges.withColumns(place), ["k", "d", "x"], "at")
     before = Window.partitionBy("k", "d", "x").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a text's own edges
-    return joined.withColumn("head", F.last(F.when(F.col("on").isNull(), F.col("at")), ignorenulls=True).over(before)).drop("k", "d", "x", "at", "on")
+    return joined.withColumn("head", F.last(F.when(~F.col("on"), F.col("at")), ignorenulls=True).over(before)).drop("k", "d", "x", "at", "on")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, firsts: DataFrame | None = None) -> DataFrame:
     """(id, doc_id, spans) of each distinct text (id: see text_id; doc_id: the smallest that has it) with words that repeat an earlier place.
 
     A window is repeated if the same words start earlier: in a smaller doc_id (null is the smallest; of equal doc_ids, by tie, half
     of the text's id), or earlier in the document. spans: (at, n, times, source_doc, source_tie, source_at, digest), n neighbouring windows each, whose first occurrences
     are neighbours too and lie on one nonbranching path, and which a text that repeats itself walks so many times in a row; digest: of the words at the source.
+    Long stretches may be in several spans, one after the other. firsts: see _firsts(), if they are known.
 
     Anchors that are unique in the corpus rule out most windows with narrow rows; the rest is counted by edges, with the first
     occurrence found by partial aggregation; distinct edges are compacted to paths, and joined back. Copies of a text are left out first, so a hot text is one text.
@@ -136,27 +152,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) ->
     ship(docs.sparkSession)
     since = mark(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    firsts = _firsts(docs) if firsts is None else firsts
     places = _repeated_anchors(docs, window, size).groupBy("t").agg(F.collect_set("at").alias("places"))
-    firsts = _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("doc_id"))
-    known = firsts.withColumn("t", id_start(F.col("id"))).join(places, "t")
-    # doc_id tells most texts apart; where it doesn't, tie does. So an edge needn't carry a text's id.
-    doubtful = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.lit(True).alias("many"))
-    known = known.join(doubtful, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("id", "doc_id", F.when(F.col("many"), F.col("t")).otherwise(F.lit(0).cast("long")).alias("tie"), "places")
+    tie = id_start(F.col("id"))
+    known = firsts.select("id", "doc_id", tie.alias("t"), tie.alias("tie")).join(places, "t").select("id", "doc_id", "tie", "places")
     known = _ranked(known)
     forget_since(since, known)
     edges = _windows(_texts_of(docs, known.select("id", "doc_id", "rank", "places")).select("rank", "text", "places"), window, size)
+    edges = materialise(edges, "windows")  # read twice
     distinct = edges.groupBy("p", "s").agg(F.min("place").alias("source"), F.max("place").alias("last")).filter("source != last")
     distinct = materialise(distinct.select("p", "s", "source"), "edges")
-    word = F.lit((1 << AT_BITS) - 1)
-    parted = distinct.select("p", "s", F.shiftright("source", AT_BITS).alias("source_doc"), F.lit(0).cast("long").alias("source_tie"), F.col("source").bitwiseAND(word).cast("int").alias("source_at"))
-    source = F.shiftleft("source_doc", AT_BITS).bitwiseOR(F.col("source_at").cast("long"))
-    paths = materialise(_compacted(parted).select("p", "s", source.alias("source"), "head"), "paths")
-    again = edges.join(paths, ["p", "s"]).filter("place != source").select("place", "source", "head")
-    again = materialise(again, "again")  # the edges' shuffle files go before their sources are dealt out by document
-    # Repeated rows of a document give the same edges; a set holds them once.
-    walks = again.groupBy(F.shiftright("place", AT_BITS).alias("rank")).agg(F.array_sort(F.collect_set(F.struct("place", "source", "head"))).alias("edges"))
-    walks = walks.join(known.select("id", "doc_id", "rank"), "rank").select("id", "doc_id", "edges")
-    spans = materialise(walks.mapInArrow(_walks, f"id binary, doc_id long, spans {SPANS}"), "walks")
+    paths = materialise(_going_on(distinct, [], "source"), "paths")
+    again = edges.join(paths.hint("shuffle_hash"), ["p", "s"]).filter("place != source").select("place", "source", "on")
+    walks = again.repartition(F.shiftright("place", AT_BITS)).sortWithinPartitions("place").mapInArrow(_walks, SPANS)
+    spans = materialise(walks, "walks")
     out = materialise(_with_digests(docs, known, spans, window), "spans")
     forget_since(since, out)
     return out
@@ -178,8 +187,8 @@ def _digest(words: Words, data: bytes, at: int, n: int) -> int:
 
 
 def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """spans (id, doc_id, spans) with the digest of the words at each span's source, from the source's text."""
-    rows = materialise(spans.select("id", "doc_id", F.explode("spans").alias("s")).select("id", "doc_id", "s.at", "s.n", "s.times", "s.source", "s.source_at"), "single")
+    """(id, doc_id, spans) of the texts of spans (rank, at, n, times, source, source_at), with the digest of the words at each span's source, from the source's text."""
+    rows = spans
     asked = rows.groupBy("source").agg(F.collect_set(F.struct("source_at", "n")).alias("asked"))
     asked = asked.join(known.select("id", "doc_id", "tie", F.col("rank").alias("source")), "source").select("id", "doc_id", "tie", "source", "asked")
 
@@ -198,34 +207,32 @@ def _with_digests(docs: DataFrame, known: DataFrame, spans: DataFrame, window: i
     digests = digests.select(F.col("d").alias("source_doc"), F.col("x").alias("source_tie"), F.col("r").alias("source"), F.explode("digests").alias("g")).select("source_doc", "source_tie", "source", "g.*")
     met = rows.join(digests, ["source", "source_at", "n"])
     span = F.struct("at", "n", "times", "source_doc", "source_tie", "source_at", "digest")
-    return met.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return met.groupBy("rank").agg(F.array_sort(F.collect_list(span)).alias("spans")).join(known.select("id", "doc_id", "rank"), "rank").select("id", "doc_id", "spans")
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's repeated edges, in order, as walks along paths."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("times", pa.int32()), ("source", pa.int64()), ("source_at", pa.int32())]))
+    """Repeated edges (place, source, on), in order of their places, as walks along paths. A walk is cut where a batch ends. Repeated rows of a document give the same edges, which count once."""
+    word, last = (1 << AT_BITS) - 1, -1
     for b in batches:
-        for i in range(0, b.num_rows, 64):
-            part = b.slice(i, 64)
-            edges = part.column(2)
-            flat = edges.flatten()
-            at, source, head = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "source", "head"))
-            text = np.repeat(np.arange(len(part)), edges.value_lengths().to_numpy(zero_copy_only=False))
-            new = np.ones(len(at), bool)
-            new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1] + 1) | (head[1:] != head[:-1])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(at))).astype(np.int32)
-            # A text that repeats itself walks the same stretch again and again: one span.
-            same = np.zeros(len(first), bool)
-            same[1:] = (text[first][1:] == text[first][:-1]) & (at[first][1:] == at[first][:-1] + count[:-1]) & (source[first][1:] == source[first][:-1]) & (count[1:] == count[:-1])
-            units = np.flatnonzero(~same)
-            times = np.diff(np.append(units, len(first))).astype(np.int32)
-            first, count = first[units], count[units]
-            word = (1 << AT_BITS) - 1
-            columns = [(at[first] & word).astype(np.int32), count, times, source[first] >> AT_BITS, (source[first] & word).astype(np.int32)]
-            spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(kind.value_type))
-            ends = np.searchsorted(text[first], np.arange(len(part) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), spans).cast(kind)], names=["id", "doc_id", "spans"])
+        place, source, on = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        other = np.diff(place, prepend=last) != 0
+        place, source, on = place[other], source[other], on[other]
+        if not len(place):
+            continue
+        last = place[-1]
+        text = place >> AT_BITS
+        new = np.ones(len(place), bool)
+        new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1] + 1) | ~on[1:]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(place))).astype(np.int32)
+        # A text that repeats itself walks the same stretch again and again: one span.
+        same = np.zeros(len(first), bool)
+        same[1:] = (text[first][1:] == text[first][:-1]) & (place[first][1:] == place[first][:-1] + count[:-1]) & (source[first][1:] == source[first][:-1]) & (count[1:] == count[:-1])
+        units = np.flatnonzero(~same)
+        times = np.diff(np.append(units, len(first))).astype(np.int32)
+        first, count = first[units], count[units]
+        columns = [text[first], (place[first] & word).astype(np.int32), count, times, source[first] >> AT_BITS, (source[first] & word).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rank", "at", "n", "times", "source", "source_at"])
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
@@ -238,12 +245,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
     document, and are all kept alike.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, window, size).select("id", "spans")
-    firsts = _keyed(docs).select("id", "doc_id").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("first"), F.countDistinct(F.struct("doc_id")).alias("n")).filter("n > 1").select("id", "first")
+    since = mark(docs.sparkSession)
+    firsts = materialise(_firsts(docs), "firsts")
+    spans = repeated_spans(docs, window, size, firsts).select("id", "spans")
     bare = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["times"].alias("times"), s["digest"].alias("digest")))
-    # A text that only one document has has no entry in firsts.
+    # A text that only one document has has no copies.
     copy = F.coalesce(F.col("copies") & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))
-    marks = firsts.withColumn("copies", F.lit(True)).join(spans.select("id", bare.alias("spans")), "id", "full")
+    copies = firsts.filter("many").select("id", F.col("doc_id").alias("first"), F.lit(True).alias("copies"))
+    marks = materialise(copies.join(spans.select("id", bare.alias("spans")), "id", "full"), "marks")
+    forget_since(since, marks)
     rows = docs.withColumn("id", text_id(F.col("text")))
     wanted = marks.select("id")
     if wanted.count() <= BROADCAST_IDS:  # texts without marks stay where they are
@@ -258,11 +268,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
                 part = b.slice(i, n)
                 w = Words(part.column(1), False)
                 size_of = np.diff(w.first)
-                gone = np.zeros(len(w.hash) + 1, np.int64)
+                gone = np.zeros(len(w.start) + 1, np.int64)
                 spans = part.column(3)
                 flat = spans.flatten()
                 row = np.repeat(np.arange(len(part)), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                data = w.data.tobytes()
+                data = w.data.tobytes() if len(flat) else b""
                 lo, n, times = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n", "times"))
                 lo += w.first[row]
                 hi = lo + n * times + window - 1
@@ -271,12 +281,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> Da
                 np.add.at(gone, hi[same], -1)
                 whole = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (size_of >= window)
                 keep = (np.cumsum(gone[:-1]) == 0) & ~whole[w.row]
-                kept = []
-                for r in range(len(part)):
-                    at = w.first[r] + np.flatnonzero(keep[w.first[r] : w.first[r + 1]])
-                    kept.append(b" ".join([data[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
                 removed = size_of - np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) * (size_of > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size_of.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size_of.astype(np.int64)), pa.array(removed.astype(np.int64)), w.joined(keep)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
