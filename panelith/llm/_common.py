@@ -18,6 +18,7 @@ BUCKET_ROWS = 250_000
 #: Bits of a Bloom filter that each number sets.
 PROBES = 6
 _tables: dict[str, list[str]] = {}
+_named: set[str] = set()  # of these, those that are in the catalogue
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +45,9 @@ def ship(spark: SparkSession) -> None:
 
 def _forget(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
-        spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[1]}`")
+        if path in _named:
+            spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[1]}`")
+            _named.discard(path)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
@@ -65,6 +68,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     try:
         if by:
             n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            _named.add(path)
             df.repartition(n, by).write.option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(name)
         else:
             df.write.parquet(path)

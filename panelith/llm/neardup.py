@@ -104,21 +104,27 @@ def text_id(text: Column) -> Column:
 
 
 def _fold_links(links: DataFrame) -> DataFrame:
-    """(id, root) of all ids in links (a, b): the smallest id that is connected. By alternating large and small stars, each a join of narrow rows."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = materialise(edges, "edges")
+    """(id, root) of all ids in links (a, b): the smallest id that is connected. By alternating large and small stars, each a join of narrow rows.
+
+    One aggregation of the ids' neighbours tells whether another round is needed, serves its large star and is the result after the last, so a
+    round has few shuffles: the driver keeps plans and figures of each task of each shuffle.
+    """
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other")))))
+        nodes = materialise(ends.groupBy("id").agg(F.min("other").alias("least"), F.max("other").alias("most")), "roots")
+        # Done when each id that has a neighbour below it has no other one.
+        if nodes.filter("least < id and least != most").isEmpty():
+            return nodes.select("id", F.least("id", "least").alias("root"))
+        large = edges.join(nodes.select(F.col("id").alias("v"), F.least("id", "least").alias("m")), "v").select("u", F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "edges")
-        # Done when each id has one neighbour below it, and that has none.
-        odd = edges.join(edges.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").select("u").unionAll(edges.groupBy("u").count().filter("count > 1").select("u"))
-        if odd.isEmpty():
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct())
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after further links (a, b). What was folded before goes in as its stars, so few rounds are left."""
+    return _fold_links(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(links.select("a", "b")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -302,17 +308,17 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pairs = materialise(members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sets = _sets(docs, members.select("id").distinct())
     links = _verified(pairs, sets, similar)
-    roots = materialise(_fold_links(links), "roots")
+    roots = _fold_links(links)
     open_ = materialise(_open(members.drop("first"), roots), "open")
     # Small buckets: what is left is few pairs a member. Large ones: first another leader, then only pairs that may be similar.
     few = _across(open_.filter(F.col("members") <= SMALL), similar, False)
     large = open_.filter(F.col("members") > SMALL)
     if not large.isEmpty():
-        large = large.select("band", "h", "id")
+        opened, large = large, large.select("band", "h", "id")
         sized = materialise(texts.select("id", "size").join(large.select("id").distinct(), "id"), "sized")
         spread = materialise(_spread(sized, sets), "spread")
         for turn in range(TURNS + 1):
-            again = materialise(_hopeful(_open(large, roots), _facts(spread, sized, roots), similar), "again")
+            again = materialise(_hopeful(opened, _facts(spread, sized, roots), similar), "again")
             if turn == TURNS:
                 few = few.unionAll(_across(again, similar, True))
                 break
@@ -321,14 +327,14 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 few = few.unionAll(_across(again, similar, True))
                 break
             pairs = pairs.unionAll(stars)
-            links = links.unionAll(_verified(stars, sets, similar))
-            roots = materialise(_fold_links(links), "roots")
+            more = _verified(stars, sets, similar)
+            links, roots = links.unionAll(more), _joined(roots, more)
+            opened = _open(large, roots)
     rest = materialise(few.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _verified(rest, sets, similar)
         if not more.isEmpty():
-            links = links.unionAll(more)
-            roots = materialise(_fold_links(links), "roots")
+            links, roots = links.unionAll(more), _joined(roots, more)
     degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     of = texts.select("id", "doc_id").join(roots, "id", "left").join(degree, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of = materialise(of, "of")
